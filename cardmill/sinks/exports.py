@@ -7,16 +7,20 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cardmill.operators.convert import EXPORT_RELEASE, nested_to_flat, wrap_envelope
 
 
-@F.pandas_udf("string")
-def indented(texts: pd.Series) -> pd.Series:
+def indented(texts: Column) -> Column:
     """Re-indent JSON text by two spaces; Spark's own pretty option skips VARIANT."""
-    return texts.map(
-        lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False)
-    )
+
+    def indent(batch: pd.Series) -> pd.Series:
+        return batch.map(
+            lambda t: t and json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+        )
+
+    return F.pandas_udf(indent, StringType())(texts)
 
 
 def preview_json(value: Column) -> Column:
@@ -73,7 +77,7 @@ def export_nested(
     """
     lines = nested_lines(cards, family, release)
     if single_files:
-        lines = lines.withColumn("value", indented("value"))
+        lines = lines.withColumn("value", indented(F.col("value")))
     write_lines(lines, path, day, single_files)
 
 
