@@ -1,13 +1,15 @@
 """Typed reads and truthiness for values inside a VARIANT card.
 
-A card is untyped JSON, so every read says which JSON type it accepts and gives
-NULL for any other. The binary and struct casts below are cheap type probes: they
-never serialise or walk a large value, as schema_of_variant or to_json would.
+A card is untyped JSON, so every read says which JSON type it accepts and gives NULL
+for any other. Looking a key up in a VARIANT object walks its keys, so the fields a
+job needs are read once, as one struct with VARIANT leaves (a record), and all
+expressions then work on the fields of that struct.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from typing import Any
@@ -15,6 +17,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+Path = tuple[str, ...]
+
 
 def json_path(*keys: str | int) -> str:
     steps = []
@@ -30,61 +34,89 @@ def json_path(*keys: str | int) -> str:
     return "$" + "".join(steps)
 
 
-@dataclass(frozen=True)
-class Field:
-    """A place inside a VARIANT column, read by path straight from that column."""
+def tree_of(places: Iterable[tuple[Path, Any]]) -> dict[str, Any]:
+    """Nested dictionary of (path, leaf) pairs."""
+    tree: dict[str, Any] = {}
+    for path, leaf in places:
+        inner = reduce(lambda node, key: node.setdefault(key, {}), path[:-1], tree)
+        inner[path[-1]] = leaf
+    return tree
 
-    doc: Column
-    keys: tuple[str | int, ...] = ()
 
-    def at(self, *keys: str | int) -> Field:
-        return Field(self.doc, self.keys + keys)
+def backticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    def read(self, spark_type: str) -> Column:
-        return F.try_variant_get(self.doc, json_path(*self.keys), spark_type)
 
-    @cached_property
-    def value(self) -> Column:
-        return self.read("variant")
+def struct_type(tree: dict[str, Any]) -> str:
+    """Type of a record: a struct per inner level, the leaf's type (VARIANT) else."""
+    fields = [
+        f"{backticked(name)}: {struct_type(leaf) if isinstance(leaf, dict) else leaf}"
+        for name, leaf in tree.items()
+    ]
+    return f"struct<{', '.join(fields)}>"
 
-    @cached_property
-    def text(self) -> Column:
-        """The string, or NULL when the value is not a JSON string."""
-        return self.read("binary").cast("string")
 
-    @cached_property
-    def number(self) -> Column:
-        """A number or boolean as double; numeric strings do not count."""
-        return F.when(self.read("binary").isNull(), self.read("double"))
+def record_type(paths: Iterable[Path]) -> str:
+    return struct_type(tree_of((path, "variant") for path in paths))
 
-    @cached_property
-    def items(self) -> Column:
-        return self.read("array<variant>")
+
+@dataclass(frozen=True)
+class Field:
+    """A VARIANT column; the casts below are type probes that never walk its content."""
+
+    value: Column
+
+    def read(self, spark_type: str) -> Column:
+        return F.try_variant_get(self.value, "$", spark_type)
 
     @cached_property
-    def names(self) -> Column:
-        """Key names of an object, NULL otherwise; nested values are not copied."""
-        return F.map_keys(self.read("map<string,struct<>>"))
+    def is_list(self) -> Column:
+        return self.read("array<struct<>>").isNotNull()
 
     @cached_property
     def is_object(self) -> Column:
         return self.read("struct<>").isNotNull()
 
     @cached_property
-    def present(self) -> Column:
-        return self.value.isNotNull()
+    def scalar_kind(self) -> Column:
+        """Type name of a scalar, NULL for lists, objects and absent values."""
+        return F.when(~self.is_list & ~self.is_object, F.schema_of_variant(self.value))
+
+    @cached_property
+    def text(self) -> Column:
+        """The string, or NULL when the value is not a JSON string."""
+        return F.when(self.scalar_kind == "STRING", self.read("string"))
+
+    @cached_property
+    def items(self) -> Column:
+        return self.read("array<variant>")
 
     @cached_property
     def truthy(self) -> Column:
         """JavaScript truth: absent, null, '', 0 and false are false, [] and {} true."""
+        kind = self.scalar_kind
         return F.coalesce(
-            F.when(self.text.isNotNull(), self.text != "")
-            .when(self.number.isNotNull(), self.number != 0)
-            .otherwise(self.present & ~F.is_variant_null(self.value)),
-            F.lit(False),
+            F.when(kind == "STRING", self.read("string") != "")
+            .when(kind == "VOID", False)
+            .when(kind.isNotNull(), self.read("double") != 0),
+            self.value.isNotNull(),
         )
 
 
+@dataclass(frozen=True)
+class Record:
+    """A struct column read from a card by record_type."""
+
+    column: Column
+
+    def at(self, *names: str) -> Field:
+        return Field(reduce(lambda column, name: column.getField(name), names, self.column))
+
+
+def read_record(doc: Column, paths: Iterable[Path]) -> Column:
+    return F.try_variant_get(doc, "$", record_type(paths))
+
+
 def literal(value: Any) -> Column:
     """A constant VARIANT; folded once by the optimizer."""
     return F.parse_json(F.lit(json.dumps(value)))
@@ -103,20 +135,16 @@ def as_text(field: Field) -> Column:
     joined = F.array_join(
         F.transform(
             field.items,
-            lambda x: F.coalesce(
-                Field(x).text,
-                F.when(F.is_variant_null(x), F.lit("")),
-                F.when(Field(x).is_object, F.lit("[object Object]")),
-                F.try_variant_get(x, "$", "string"),
-            ),
+            lambda x: F.when(F.is_variant_null(x), F.lit(""))
+            .when(Field(x).is_object, F.lit("[object Object]"))
+            .otherwise(F.try_variant_get(x, "$", "string")),
         ),
         ",",
     )
-    return F.coalesce(
-        field.text,
-        joined,
-        F.when(field.is_object, F.lit("[object Object]")),
-        field.read("string"),
+    return (
+        F.when(field.is_list, joined)
+        .when(field.is_object, F.lit("[object Object]"))
+        .otherwise(field.read("string"))
     )
 
 
@@ -124,12 +152,13 @@ def truthy_text(field: Field) -> Column:
     return F.when(field.truthy, as_text(field))
 
 
-def nested_struct(places: dict[tuple[str, ...], Column]) -> Column:
-    """Struct with one level per path step, in the order the paths are given."""
-    tree: dict[str, Any] = {}
-    for path, column in places.items():
-        inner = reduce(lambda node, key: node.setdefault(key, {}), path[:-1], tree)
-        inner[path[-1]] = column
+def as_object(places: dict[Path, Column], optional: tuple[str, ...] = ()) -> Column:
+    """VARIANT object with one level per path step.
+
+    Top-level names in optional are left out of the object where their value is SQL
+    NULL; JSON null stays.
+    """
+    tree = tree_of(places.items())
 
     def build(node: dict[str, Any]) -> Column:
         return F.struct(
@@ -139,8 +168,18 @@ def nested_struct(places: dict[tuple[str, ...], Column]) -> Column:
             ]
         )
 
-    return build(tree)
-
-
-def as_object(places: dict[tuple[str, ...], Column]) -> Column:
-    return F.to_variant_object(nested_struct(places))
+    if not optional:
+        return F.to_variant_object(build(tree))
+
+    def entry(name: str) -> list[Column]:
+        child = tree[name]
+        value = F.to_variant_object(build(child)) if isinstance(child, dict) else child
+        return [F.lit(name), value.cast("variant")]
+
+    always = [part for name in tree if name not in optional for part in entry(name)]
+    nothing = F.create_map().cast("map<string,variant>")
+    extra = [
+        F.when(tree[name].isNotNull(), F.create_map(*entry(name))).otherwise(nothing)
+        for name in optional
+    ]
+    return F.to_variant_object(F.map_concat(F.create_map(*always), *extra))

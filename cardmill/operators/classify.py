@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.functions.text import utf16_length
-from cardmill.functions.values import Field, as_text
+from cardmill.functions.values import Field, Record, as_text, json_path, read_record
 
 # Keys that identify a card and the texts shown for it.
 SECTION_KEY = {"model": "Model", "dataset": "Dataset"}
@@ -18,11 +18,18 @@ NO_DATA = "no_data"
 UNKNOWN_TYPE = "unknown_type"
 
 
-def detect_format(file_name: Column, doc: Column) -> Column:
+HEAD_PATHS = [(key,) for key in (*SECTION_KEY.values(), *NAME_KEY.values(), "$schema")]
+
+
+def read_head(doc: Column) -> Column:
+    """The few fields that tell what a card is."""
+    return read_record(doc, HEAD_PATHS)
+
+
+def detect_format(file_name: Column, head: Record) -> Column:
     """'txt' for the flat layout, 'json' for the nested one; the file name decides first."""
-    card = Field(doc)
     name = F.lower(file_name)
-    flat = card.at(NAME_KEY["model"]).truthy | card.at(NAME_KEY["dataset"]).truthy
+    flat = head.at(NAME_KEY["model"]).truthy | head.at(NAME_KEY["dataset"]).truthy
     return (
         F.when(name.endswith(".txt"), "txt")
         .when(name.endswith(".json"), "json")
@@ -31,35 +38,39 @@ def detect_format(file_name: Column, doc: Column) -> Column:
     )
 
 
-def detect_card_type(doc: Column) -> Column:
+def detect_card_type(head: Record) -> Column:
     """'model' wins over 'dataset' when a card holds both."""
-    card = Field(doc)
     found = F
     for kind in ("model", "dataset"):
-        known = card.at(SECTION_KEY[kind]).truthy | card.at(NAME_KEY[kind]).truthy
+        known = head.at(SECTION_KEY[kind]).truthy | head.at(NAME_KEY[kind]).truthy
         found = found.when(known, kind)
     return found.otherwise("unknown")
 
 
 def reject_reason(doc: Column, card_type: Column) -> Column:
     """Why a card cannot be loaded, NULL when it can."""
-    card = Field(doc)
     return (
-        F.when(~card.present | F.is_variant_null(doc), INVALID_FILE)
-        .when(~card.truthy, NO_DATA)
-        .when(card_type == "unknown", UNKNOWN_TYPE)
+        F.when(doc.isNull() | F.is_variant_null(doc), INVALID_FILE)
+        .when(card_type != "unknown", None)
+        .when(~Field(doc).truthy, NO_DATA)
+        .otherwise(UNKNOWN_TYPE)
     )
 
 
 def classify(cards: DataFrame) -> DataFrame:
     """Add format, card_type and reject_reason. Map-only, batch or stream."""
-    doc = F.col("doc")
-    return cards.withColumns(
-        {
-            "format": detect_format(F.col("file_name"), doc),
-            "card_type": detect_card_type(doc),
-        }
-    ).withColumn("reject_reason", reject_reason(doc, F.col("card_type")))
+    head = Record(F.col("_head"))
+    return (
+        cards.withColumn("_head", read_head(F.col("doc")))
+        .withColumns(
+            {
+                "format": detect_format(F.col("file_name"), head),
+                "card_type": detect_card_type(head),
+            }
+        )
+        .withColumn("reject_reason", reject_reason(F.col("doc"), F.col("card_type")))
+        .drop("_head")
+    )
 
 
 def card_preview(cards: DataFrame) -> DataFrame:
@@ -67,7 +78,7 @@ def card_preview(cards: DataFrame) -> DataFrame:
     doc = F.col("doc")
     kind = F.col("card_type")
     title = F.concat(F.upper(F.substring(kind, 1, 1)), F.expr("substring(card_type, 2)"))
-    schema = Field(doc).at("$schema")
+    schema = Field(F.try_variant_get(doc, json_path("$schema"), "variant"))
     return cards.withColumns(
         {
             "format_text": F.upper("format"),

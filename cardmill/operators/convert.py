@@ -1,13 +1,14 @@
 """Map sections between the flat and the nested layout.
 
-Each mapping is one VARIANT expression, so a conversion is a map-only projection
-that works the same on tables and streams. A section is NULL where the card cannot
-be mapped (a list field that is no list, a text field that is no text).
+A conversion is a map-only projection that works the same on tables and streams: the
+fields are read into a record once, and the other layout is built from that record.
+A result is NULL where the card cannot be mapped (a list field that is no list, a
+text field that is no text).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,13 +24,15 @@ from cardmill.functions.text import (
 )
 from cardmill.functions.values import (
     Field,
+    Record,
     as_object,
     as_text,
     first_truthy,
     literal,
+    read_record,
     truthy_text,
 )
-from cardmill.operators.classify import NAME_KEY, SECTION_KEY
+from cardmill.operators.classify import NAME_KEY, SECTION_KEY, read_head
 from cardmill.operators.layouts import (
     CODE_WORDS,
     DATA_TYPES,
@@ -56,14 +59,14 @@ def any_of(conditions: Iterable[Column]) -> Column:
 def bad_list(field: Field) -> Column:
     """A list field that holds something else, or a list with null elements."""
     has_null = F.exists(field.items, F.is_variant_null)
-    return field.truthy & F.coalesce(has_null, F.lit(True))
+    return F.when(field.is_list, has_null).otherwise(field.truthy)
 
 
 def bad_text(field: Field) -> Column:
     return field.truthy & field.text.isNull()
 
 
-def pack(card: Field, packed: Packed) -> Column:
+def pack(card: Record, packed: Packed) -> Column:
     parts = [truthy_text(card.at(name)) for name in packed.lead]
     parts += [labelled(label, truthy_text(card.at(name))) for label, name in packed.labelled]
     return join_present(PARAGRAPH, *parts)
@@ -75,13 +78,13 @@ def infer_codes(
     other: str = OTHER_CODE,
 ) -> Column:
     """Content codes named in a text; words are matched in the letter case given."""
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(any_of(details.contains(word) for word in words), F.lit(code))
-                for words, code in code_words
-            ]
-        )
+    nothing = F.array().cast("array<string>")
+    found = F.concat(
+        *[
+            F.when(any_of(details.contains(word) for word in words), F.array(F.lit(code)))
+            .otherwise(nothing)
+            for words, code in code_words
+        ]
     )
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(other)))
 
@@ -94,109 +97,73 @@ def all_na(fields: list[Field]) -> Column:
 
 def scalar_or_list(field: Field, default: str = "") -> Column:
     """A list as it is, any other value as a list of one."""
-    return F.coalesce(
-        field.items, F.array(first_truthy(field, default=default))
-    )
+    return F.coalesce(field.items, F.array(first_truthy(field, default=default)))
+
+
+def mapped_list(field: Field, names: list[str], build: Callable[[Record], Column]) -> Column:
+    """Objects of a list, each rebuilt from the named fields; VARIANT list, [] if absent."""
+    records = F.transform(field.items, lambda x: read_record(x, [(name,) for name in names]))
+    built = F.transform(records, lambda record: build(Record(record)))
+    return F.coalesce(built, F.array().cast("array<variant>")).cast("variant")
+
 
+# ---- flat to nested ------------------------------------------------------------
 
-# ---- model -------------------------------------------------------------------
+FLAT_NAMES = sorted(
+    {name for name, _, _ in (*MODEL_FIELDS, *DATASET_FIELDS)}
+    | {name for packed in (MODEL_COMMENTS, *DATASET_PACKED) for name in packed.lead}
+    | {name for packed in (MODEL_COMMENTS, *DATASET_PACKED) for _, name in packed.labelled}
+    | {"results", "partitions", "imaging_details", "number_of_instances", "representativeness"}
+)
+
+
+def read_flat(doc: Column) -> Column:
+    """All flat fields of either card type."""
+    return read_record(doc, [(name,) for name in FLAT_NAMES])
 
 
-def flat_to_nested_model(doc: Column) -> Column:
-    card = Field(doc)
+def nested_model(card: Record) -> Column:
+    """Nested model section of a flat record, NULL when the results are no list."""
 
-    def result(element: Column) -> Column:
-        one = Field(element)
+    def result(one: Record) -> Column:
+        information = first_truthy(
+            one.at("result_description"), one.at("result_name"), default=""
+        )
         places = {
-            ("Result Information",): first_truthy(
-                one.at("result_description"), one.at("result_name"), default=""
-            ),
+            ("Result Information",): information,
             ("Metric",): scalar_or_list(one.at("result_metric")),
         }
         for name, key in RESULT_FIELDS:
             places[(key,)] = first_truthy(one.at(name), default="")
         return as_object(places)
 
+    names = ["result_name", "result_description", "result_metric"]
+    names += [name for name, _ in RESULT_FIELDS]
     places = {path: first_truthy(card.at(name), default=d) for name, path, d in MODEL_FIELDS}
     places[MODEL_COMMENTS.path] = pack(card, MODEL_COMMENTS)
     architecture = first_truthy(card.at("model_architecture"), default="")
     places[("Input",)] = architecture
     places[("Output",)] = architecture
-    places[("Results",)] = F.coalesce(
-        F.transform(card.at("results").items, result), F.array().cast("array<variant>")
-    )
+    places[("Results",)] = mapped_list(card.at("results"), names, result)
     technical = {
-        (TECHNICAL_KEY, key): first_truthy(card.at(name), default=NOT_AVAILABLE)
+        (key,): first_truthy(card.at(name), default=NOT_AVAILABLE)
         for name, key in TECHNICAL_FIELDS
     }
     nothing = all_na([card.at(name) for name, _ in TECHNICAL_FIELDS])
-    section = F.when(nothing, as_object(places)).otherwise(
-        as_object(places | technical)
-    )
+    places[(TECHNICAL_KEY,)] = F.when(~nothing, as_object(technical))
+    section = as_object(places, optional=(TECHNICAL_KEY,))
     return F.when(~bad_list(card.at("results")), section)
 
 
-def nested_to_flat_model(section: Column) -> Column:
-    card = Field(section)
-    comments = card.at(*MODEL_COMMENTS.path)
-    text = F.coalesce(comments.text, F.lit(""))
-
-    def result(element: Column) -> Column:
-        one = Field(element)
-        metric = one.at("Metric")
-        information = first_truthy(one.at("Result Information"), default="")
-        places = {("result_name",): information, ("result_description",): information}
-        for name, key in RESULT_FIELDS:
-            places[(name,)] = first_truthy(one.at(key), default="")
-        with_metric = places | {
-            ("result_metric",): F.when(metric.items.isNotNull(), metric.at(0).value).otherwise(
-                first_truthy(metric, default="")
-            )
-        }
-        empty = F.coalesce(F.size(metric.items) == 0, F.lit(False))
-        return F.when(empty, as_object(places)).otherwise(as_object(with_metric))
-
-    places = {(name,): first_truthy(card.at(*path), default=d) for name, path, d in MODEL_FIELDS}
-    task = first_paragraph(text)
-    places[("medical_task",)] = F.when(task != "", task.cast("variant")).otherwise(
-        first_truthy(card.at("Input"), default="")
-    )
-    places[("model_architecture",)] = first_truthy(
-        card.at("Input"), card.at("Output"), default=""
-    )
-    places[("results",)] = F.coalesce(
-        F.transform(card.at("Results").items, result), F.array().cast("array<variant>")
-    )
-    labels = {name: label for label, name in MODEL_COMMENTS.labelled}
-    for name, key in TECHNICAL_FIELDS:
-        found = F.coalesce(F.nullif(labelled_text(text, labels[name]), F.lit("")), F.lit(NOT_AVAILABLE))
-        places[(name,)] = F.coalesce(
-            first_truthy(card.at(TECHNICAL_KEY, key)), found.cast("variant")
-        )
-    no_text = comments.present & ~F.is_variant_null(comments.value) & comments.text.isNull()
-    return F.when(~(bad_list(card.at("Results")) | no_text), as_object(places))
-
-
-# ---- dataset -----------------------------------------------------------------
-
-
-def flat_to_nested_dataset(doc: Column) -> Column:
-    card = Field(doc)
+def nested_dataset(card: Record) -> Column:
+    """Nested dataset section of a flat record, NULL when it cannot be mapped."""
     details = card.at("imaging_details")
-    detail_list = details.items
 
     def joined(separator: str) -> Column:
-        return F.coalesce(
-            F.array_join(
-                F.transform(detail_list, lambda x: F.coalesce(as_text(Field(x)), F.lit(""))),
-                separator,
-            ),
-            F.when(details.truthy, details.text),
-            F.lit(""),
-        )
+        texts = F.transform(details.items, lambda x: F.coalesce(as_text(Field(x)), F.lit("")))
+        return F.coalesce(F.array_join(texts, separator), details.text, F.lit(""))
 
-    def subset(element: Column) -> Column:
-        one = Field(element)
+    def subset(one: Record) -> Column:
         places = {
             (key,): first_truthy(one.at(name), default=going_in)
             for name, key, going_in, _ in SUBSET_FIELDS
@@ -208,6 +175,7 @@ def flat_to_nested_dataset(doc: Column) -> Column:
         )
         return as_object(places)
 
+    names = ["patient_count", "number_instances"] + [name for name, *_ in SUBSET_FIELDS]
     places = {path: first_truthy(card.at(name), default=d) for name, path, d in DATASET_FIELDS}
     for packed in DATASET_PACKED:
         places[packed.path] = pack(card, packed)
@@ -222,22 +190,82 @@ def flat_to_nested_dataset(doc: Column) -> Column:
     places[("Composition", "Number of instances")] = F.when(
         count.truthy, leading_integer(as_text(count)).cast("variant")
     ).otherwise(literal(0))
-
     partitions = card.at("partitions")
-    subsets = {("Subsets",): F.transform(partitions.items, subset)}
-    section = F.when(F.size(partitions.items) > 0, as_object(places | subsets)).otherwise(
-        as_object(places)
+    places[("Subsets",)] = F.when(
+        F.size(partitions.items) > 0, mapped_list(partitions, names, subset)
     )
-    no_details = details.truthy & detail_list.isNull() & details.text.isNull()
+    section = as_object(places, optional=("Subsets",))
+    no_details = details.truthy & ~details.is_list & details.text.isNull()
     return F.when(~(bad_list(partitions) | no_details), section)
 
 
-def nested_to_flat_dataset(section: Column) -> Column:
-    card = Field(section)
+# ---- nested to flat ------------------------------------------------------------
+
+NESTED_PATHS = sorted(
+    {path for _, path, _ in (*MODEL_FIELDS, *DATASET_FIELDS)}
+    | {packed.path for packed in (MODEL_COMMENTS, *DATASET_PACKED)}
+    | {(TECHNICAL_KEY, key) for _, key in TECHNICAL_FIELDS}
+    | {
+        ("Composition", "Number of instances"),
+        ("Composition", "Representativeness", "Sample type"),
+        ("Composition", "Sample Size Calculation"),
+        ("Imaging", "Pre-processing"),
+        ("Input",),
+        ("Output",),
+        ("Results",),
+        ("Subsets",),
+    }
+)
+
+
+def read_nested(section: Column) -> Column:
+    """The fields of a nested section, of either card type, that have a flat place."""
+    return read_record(section, NESTED_PATHS)
+
+
+def flat_model(card: Record) -> Column:
+    """Flat model card of a nested record, NULL when it cannot be mapped."""
+    comments = card.at(*MODEL_COMMENTS.path)
+    text = F.coalesce(comments.text, F.lit(""))
+
+    def result(one: Record) -> Column:
+        metric = one.at("Metric")
+        information = first_truthy(one.at("Result Information"), default="")
+        places = {("result_name",): information, ("result_description",): information}
+        for name, key in RESULT_FIELDS:
+            places[(name,)] = first_truthy(one.at(key), default="")
+        places[("result_metric",)] = F.when(metric.is_list, F.get(metric.items, 0)).otherwise(
+            first_truthy(metric, default="")
+        )
+        return as_object(places, optional=("result_metric",))
+
+    names = ["Result Information", "Metric"] + [key for _, key in RESULT_FIELDS]
+    places = {(name,): first_truthy(card.at(*path), default=d) for name, path, d in MODEL_FIELDS}
+    task = first_paragraph(text)
+    places[("medical_task",)] = F.when(task != "", task.cast("variant")).otherwise(
+        first_truthy(card.at("Input"), default="")
+    )
+    places[("model_architecture",)] = first_truthy(
+        card.at("Input"), card.at("Output"), default=""
+    )
+    places[("results",)] = mapped_list(card.at("Results"), names, result)
+    labels = {name: label for label, name in MODEL_COMMENTS.labelled}
+    for name, key in TECHNICAL_FIELDS:
+        found = F.nullif(labelled_text(text, labels[name]), F.lit(""))
+        places[(name,)] = F.coalesce(
+            first_truthy(card.at(TECHNICAL_KEY, key)),
+            F.coalesce(found, F.lit(NOT_AVAILABLE)).cast("variant"),
+        )
+    no_text = comments.value.isNotNull() & ~F.is_variant_null(comments.value)
+    no_text = no_text & comments.text.isNull()
+    return F.when(~(bad_list(card.at("Results")) | no_text), as_object(places))
+
+
+def flat_dataset(card: Record) -> Column:
+    """Flat dataset card of a nested record, NULL when it cannot be mapped."""
     details = card.at("Imaging", "Pre-processing")
 
-    def partition(element: Column) -> Column:
-        one = Field(element)
+    def partition(one: Record) -> Column:
         places = {
             (name,): first_truthy(one.at(key), default=coming_back)
             for name, key, _, coming_back in SUBSET_FIELDS
@@ -247,6 +275,7 @@ def nested_to_flat_dataset(section: Column) -> Column:
         places[("number_instances",)] = first_truthy(instances, patients, default="")
         return as_object(places)
 
+    names = ["Patient count", "Number of instances"] + [key for _, key, *_ in SUBSET_FIELDS]
     places = {
         (name,): first_truthy(card.at(*path), default=d) for name, path, d in DATASET_FIELDS
     }
@@ -258,18 +287,15 @@ def nested_to_flat_dataset(section: Column) -> Column:
             places[(name,)] = labelled_text(text, label)
     split = F.split(details.text, DETAIL_SEPARATOR).cast("variant")
     places[("imaging_details",)] = F.when(details.truthy, split).otherwise(literal(NO_DETAILS))
-    composition = card.at("Composition")
     places[("number_of_instances",)] = first_truthy(
-        composition.at("Number of instances"), default=0
+        card.at("Composition", "Number of instances"), default=0
     )
     places[("representativeness",)] = first_truthy(
-        composition.at("Representativeness", "Sample type"),
-        composition.at("Sample Size Calculation"),
+        card.at("Composition", "Representativeness", "Sample type"),
+        card.at("Composition", "Sample Size Calculation"),
         default="",
     )
-    places[("partitions",)] = F.coalesce(
-        F.transform(card.at("Subsets").items, partition), F.array().cast("array<variant>")
-    )
+    places[("partitions",)] = mapped_list(card.at("Subsets"), names, partition)
     no_text = any_of(
         bad_text(field)
         for field in [details] + [card.at(*packed.path) for packed in DATASET_PACKED]
@@ -277,50 +303,69 @@ def nested_to_flat_dataset(section: Column) -> Column:
     return F.when(~(bad_list(card.at("Subsets")) | no_text), as_object(places))
 
 
-# ---- by card type ------------------------------------------------------------
+# ---- whole tables --------------------------------------------------------------
 
 
-def flat_to_nested(doc: Column, card_type: Column) -> Column:
-    return (
-        F.when(card_type == "model", flat_to_nested_model(doc))
-        .when(card_type == "dataset", flat_to_nested_dataset(doc))
-        .otherwise(doc)
+def flat_to_nested(
+    cards: DataFrame, doc: str = "doc", into: str = "section", card_type: str = "card_type"
+) -> DataFrame:
+    """Add the nested section of flat cards; other card types keep their document."""
+    kind, record = F.col(card_type), Record(F.col("_flat"))
+    section = (
+        F.when(kind == "model", nested_model(record))
+        .when(kind == "dataset", nested_dataset(record))
+        .otherwise(F.col(doc))
     )
+    staged = cards.withColumn("_flat", read_flat(F.col(doc)))
+    return staged.withColumn(into, section).drop("_flat")
 
 
-def nested_to_flat(section: Column, card_type: Column) -> Column:
-    return F.when(card_type == "model", nested_to_flat_model(section)).when(
-        card_type == "dataset", nested_to_flat_dataset(section)
+def nested_to_flat(
+    cards: DataFrame, section: str = "section", into: str = "flat", card_type: str = "card_type"
+) -> DataFrame:
+    """Add the flat card of nested sections; NULL for other card types."""
+    kind, record = F.col(card_type), Record(F.col("_nested"))
+    flat = F.when(kind == "model", flat_model(record)).when(
+        kind == "dataset", flat_dataset(record)
     )
+    staged = cards.withColumn("_nested", read_nested(F.col(section)))
+    return staged.withColumn(into, flat).drop("_nested")
 
 
-def pick_section(doc: Column, card_type: Column) -> Column:
+def pick_section(head: Record, card_type: Column) -> Column:
     """The section of a nested card, {} when its key is missing or falsy."""
-    card = Field(doc)
     chosen = F
     for kind, key in SECTION_KEY.items():
-        chosen = chosen.when((card_type == kind) & card.at(key).truthy, card.at(key).value)
+        chosen = chosen.when((card_type == kind) & head.at(key).truthy, head.at(key).value)
     return chosen.otherwise(literal({}))
 
 
-def mismatched(doc: Column, card_type: Column, layout: Column) -> Column:
+def mismatched(head: Record, card_type: Column, layout: Column) -> Column:
     """True where the format taken from the file name is not the layout of the content."""
-    card = Field(doc)
-    flat = any_of((card_type == k) & card.at(NAME_KEY[k]).truthy for k in NAME_KEY)
-    nested = any_of((card_type == k) & card.at(SECTION_KEY[k]).truthy for k in SECTION_KEY)
+    flat = any_of((card_type == k) & head.at(NAME_KEY[k]).truthy for k in NAME_KEY)
+    nested = any_of((card_type == k) & head.at(SECTION_KEY[k]).truthy for k in SECTION_KEY)
     return F.when(layout == "txt", ~flat).otherwise(~nested)
 
 
 def load_section(cards: DataFrame) -> DataFrame:
     """Add section, format_mismatch and convert_ok to classified, accepted cards."""
-    doc, kind, layout = F.col("doc"), F.col("card_type"), F.col("format")
-    section = F.when(layout == "txt", flat_to_nested(doc, kind)).otherwise(
-        pick_section(doc, kind)
+    kind, layout = F.col("card_type"), F.col("format")
+    head, record = Record(F.col("_head")), Record(F.col("_flat"))
+    is_flat = layout == "txt"
+    section = (
+        F.when(is_flat & (kind == "model"), nested_model(record))
+        .when(is_flat & (kind == "dataset"), nested_dataset(record))
+        .when(is_flat, F.col("doc"))
+        .otherwise(pick_section(head, kind))
+    )
+    staged = cards.withColumns(
+        {"_head": read_head(F.col("doc")), "_flat": F.when(is_flat, read_flat(F.col("doc")))}
     )
     return (
-        cards.withColumn("format_mismatch", mismatched(doc, kind, layout))
+        staged.withColumn("format_mismatch", mismatched(head, kind, layout))
         .withColumn("section", section)
         .withColumn("convert_ok", F.col("section").isNotNull())
+        .drop("_head", "_flat")
     )
 
 

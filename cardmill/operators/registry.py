@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.functions.values import Field, as_text
+from cardmill.functions.values import Record, as_text, read_record
 from cardmill.operators.classify import SECTION_KEY
 from cardmill.operators.lookup import lookup_join
 
@@ -15,18 +15,22 @@ BASE_TEXT = "Base Schema"
 NO_VERSION = "Unknown"
 
 
-def usable_schema(document: Column, card_type: Column) -> Column:
-    """True when a schema document has the parts a card schema needs."""
-    schema = Field(document)
-    parts = [
-        schema.at("$defs").truthy
-        & schema.at("properties").truthy
-        & schema.at("properties", key).truthy
+SCHEMA_PATHS = [("$id",), ("description",)] + [
+    (part, name)
+    for part, names in (("properties", SECTION_KEY.values()), ("$defs", SECTION_KEY))
+    for name in names
+]
+
+
+def usable_schema(schema: Record, card_type: Column) -> Column:
+    """True when a schema document has the section and definition of its card type."""
+    usable = [
+        schema.at("properties", key).truthy
         & schema.at("$defs", kind).truthy
         & (card_type == kind)
         for kind, key in SECTION_KEY.items()
     ]
-    return parts[0] | parts[1]
+    return usable[0] | usable[1]
 
 
 def check_registry(registry: DataFrame) -> DataFrame:
@@ -35,14 +39,18 @@ def check_registry(registry: DataFrame) -> DataFrame:
     A registry row is (card_type, source, document): source is 'base' or the address
     of a custom schema, document the parsed schema or NULL when it did not load.
     """
-    schema = Field(F.col("document"))
+    schema = Record(F.col("_schema"))
     version, about = schema.at("$id"), schema.at("description")
-    return registry.withColumns(
-        {
-            "usable": F.coalesce(usable_schema(F.col("document"), F.col("card_type")), F.lit(False)),
-            "version": F.when(version.truthy, as_text(version)).otherwise(NO_VERSION),
-            "description": F.when(about.truthy, as_text(about)).otherwise(""),
-        }
+    return (
+        registry.withColumn("_schema", read_record(F.col("document"), SCHEMA_PATHS))
+        .withColumns(
+            {
+                "usable": F.coalesce(usable_schema(schema, F.col("card_type")), F.lit(False)),
+                "version": F.when(version.truthy, as_text(version)).otherwise(NO_VERSION),
+                "description": F.when(about.truthy, as_text(about)).otherwise(""),
+            }
+        )
+        .drop("_schema")
     )
 
 

@@ -120,8 +120,8 @@ def nested_dataset_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         if(o_orderkey % 11 = 0, NULL, concat('Order ', o_orderkey)) AS Name,
         struct(if(o_orderkey % 3 = 0, array('CT', 'CT'), array('CT', o_orderstatus)) AS Content,
                if(o_orderkey % 2 = 0,
-                  array(cast('RID58' AS variant), cast(map('RID1', 'liver') AS variant)),
-                  array(cast('58' AS variant), cast(map('x', 'liver') AS variant))) AS RadLex
+                  array(cast('RID58' AS variant), to_variant_object(map('RID1', 'liver'))),
+                  array(cast('58' AS variant), to_variant_object(map('x', 'liver')))) AS RadLex
               ) AS `Indexing code`,
         array(struct('A. Author' AS Name,
                      if(o_orderkey % 4 = 0, 'nobody', 'a@b.org') AS Email)) AS Author,
@@ -130,8 +130,8 @@ def nested_dataset_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    WHEN 2 THEN cast('2020-02-30' AS variant)
                                    ELSE cast(date_format(o_orderdate, 'yyyy-MM-dd') AS variant)
                END AS Created) AS Date,
-        array(if(o_orderkey % 6 = 0, cast({reference} AS variant),
-                 cast(array({reference}) AS variant))) AS Reference,
+        array(if(o_orderkey % 6 = 0, to_variant_object({reference}),
+                 to_variant_object(array({reference})))) AS Reference,
         struct('CC' AS Text, if(o_orderkey % 10 = 0, 'no uri', 'https://a.b/c') AS URL) AS License,
         struct(array('DICOM', o_orderpriority) AS `File format`,
                if(o_orderkey % 2 = 1, 'Maybe', 'No') AS `Burned-in PHI`) AS Imaging,

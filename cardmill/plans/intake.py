@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.functions.session import scratch_path
-from cardmill.functions.values import Field
 from cardmill.operators.classify import card_preview, classify, split_rejects
 from cardmill.operators.convert import load_section
 from cardmill.operators.reports import intake_summary as summarise_intake
@@ -28,7 +27,7 @@ FROM events
 """)
 def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = cards_from_table(table(spark, sf_dir, "events"), "props")
-    k = Field(F.col("doc")).at("k").read("bigint")
+    k = F.try_variant_get("doc", "$.k", "bigint")
     return cards.select("event_id", "parse_ok", k.alias("k"))
 
 
@@ -91,10 +90,9 @@ def source_card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "to_json(struct(s_name AS dataset_name, s_suppkey AS number_of_instances)) AS value"
     )
     cards.write.option("maxRecordsPerFile", 1).text(path)
-    card = Field(F.col("doc"))
     return classify(read_cards(spark, path)).select(
-        card.at("number_of_instances").read("bigint").alias("s_suppkey"),
-        card.at("dataset_name").text.alias("s_name"),
+        F.variant_get("doc", "$.number_of_instances", "bigint").alias("s_suppkey"),
+        F.variant_get("doc", "$.dataset_name", "string").alias("s_name"),
         "card_type",
         "format",
         F.col("file_name").endswith(".txt").alias("ends_in_txt"),
@@ -150,7 +148,7 @@ def detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, 'TXT' AS format_text, 'Dataset Card' AS type_text,
        CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Detected from content' END AS schema_text,
        CASE WHEN doc_id % 2 = 0 THEN 13 + length(source) ELSE 0 END
-         + 32 + length(CAST(to_json(source) AS VARCHAR))
+         + 31 + length(CAST(to_json(source) AS VARCHAR))
          + length(CAST(to_json(text) AS VARCHAR)) AS size_chars
 FROM documents
 """)
@@ -186,7 +184,7 @@ def section_and_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "-1 - id AS id", "'a.txt' AS name", "raw"
     )
     cards = classify(cards_from_table(flat.unionByName(nested), "raw", "name"))
-    name = Field(F.col("section")).at("Name").text
+    name = F.try_variant_get("section", "$.Name", "string")
     return load_section(cards).select(
         "id", "format", "format_mismatch", "convert_ok", name.alias("name")
     )

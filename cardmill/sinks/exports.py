@@ -47,8 +47,7 @@ def nested_lines(cards: DataFrame, family: str, release: str = EXPORT_RELEASE) -
 
 def flat_lines(cards: DataFrame) -> DataFrame:
     """Cards with section and card_type to one line of flat JSON each."""
-    flat = nested_to_flat(F.col("section"), F.col("card_type"))
-    return cards.select("card_type", F.to_json(flat).alias("value"))
+    return nested_to_flat(cards).select("card_type", F.to_json("flat").alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str, day: str | None, single_files: bool) -> None:

@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.functions.session import prepare_session
-from cardmill.functions.values import Field
 
 FILE_COLUMNS = ("file_name", "raw")
 
 
-def parse_card(raw: Column) -> Column:
-    """Parse one whole JSON text, NULL when it is not exactly one JSON value.
-
-    The built-in parser stops after the first value and ignores what follows, so
-    the text is parsed as the first of two list elements; the second is a hash of
-    the text, and only a text that is one complete value leaves it in place.
-    """
-    text = F.regexp_replace(raw, r"\A\x{FEFF}", "")
-    seal = F.concat(F.lit("k"), F.xxhash64(raw).cast("string"))
-    pair = Field(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
-    )
-    return F.when(
-        (pair.at(1).text == seal) & ~pair.at(2).present, pair.at(0).value
-    )
-
-
 def file_cards(files: DataFrame) -> DataFrame:
     """Name and text of whole-file rows; the reader reports names percent-encoded."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
@@ -35,8 +17,24 @@ def file_cards(files: DataFrame) -> DataFrame:
 
 
 def with_document(cards: DataFrame, raw: str = "raw") -> DataFrame:
-    return cards.withColumn("doc", parse_card(F.col(raw))).withColumn(
-        "parse_ok", F.col("doc").isNotNull()
+    """Add doc (NULL when the text is not exactly one JSON value) and parse_ok.
+
+    The built-in parser stops after the first value and ignores what follows, so
+    the text is parsed as the first of two list elements; the second is a hash of
+    the text, and only a text that is one complete value leaves it in place.
+    """
+    text = F.regexp_replace(raw, r"\A\x{FEFF}", "")
+    seal = F.concat(F.lit("k"), F.xxhash64(raw).cast("string"))
+    sealed = F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))
+    whole = F.try_variant_get("_parsed", "$[1]", "string") == seal
+    alone = F.try_variant_get("_parsed", "$[2]", "variant").isNull()
+    doc = F.when(whole & alone, F.try_variant_get("_parsed", "$[0]", "variant"))
+    # A column of its own, so that the text is parsed once.
+    return (
+        cards.withColumn("_parsed", F.try_parse_json(sealed))
+        .withColumn("doc", doc)
+        .drop("_parsed")
+        .withColumn("parse_ok", F.col("doc").isNotNull())
     )
 
 
