@@ -2,19 +2,19 @@
 
 A card is untyped JSON, so every read says which JSON type it accepts and gives NULL
 for any other. Looking a key up in a VARIANT object walks its keys, so the fields a
-job needs are read once, as one struct with VARIANT leaves (a record), and all
-expressions then work on the fields of that struct.
+job needs are read in one pass into a struct (a record), and all expressions then
+work on the fields of that struct, which keeps the generated code small.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Path = tuple[str, ...]
@@ -56,15 +56,12 @@ def struct_type(tree: dict[str, Any]) -> str:
     return f"struct<{', '.join(fields)}>"
 
 
-def record_type(paths: Iterable[Path]) -> str:
-    return struct_type(tree_of((path, "variant") for path in paths))
-
-
 @dataclass(frozen=True)
 class Field:
-    """A VARIANT column; the casts below are type probes that never walk its content."""
+    """A VARIANT column, with its text form where one was read along with it."""
 
     value: Column
+    string: Column | None = None
 
     def read(self, spark_type: str) -> Column:
         return F.try_variant_get(self.value, "$", spark_type)
@@ -78,14 +75,18 @@ class Field:
         return self.read("struct<>").isNotNull()
 
     @cached_property
-    def scalar_kind(self) -> Column:
-        """Type name of a scalar, NULL for lists, objects and absent values."""
-        return F.when(~self.is_list & ~self.is_object, F.schema_of_variant(self.value))
+    def is_string(self) -> Column:
+        return F.schema_of_variant(self.value) == "STRING"
 
     @cached_property
     def text(self) -> Column:
         """The string, or NULL when the value is not a JSON string."""
-        return F.when(self.scalar_kind == "STRING", self.read("string"))
+        return F.when(self.is_string, self.any_text)
+
+    @cached_property
+    def any_text(self) -> Column:
+        """JSON strings as they are, other values as JSON text."""
+        return self.read("string") if self.string is None else self.string
 
     @cached_property
     def items(self) -> Column:
@@ -94,27 +95,74 @@ class Field:
     @cached_property
     def truthy(self) -> Column:
         """JavaScript truth: absent, null, '', 0 and false are false, [] and {} true."""
-        kind = self.scalar_kind
-        return F.coalesce(
-            F.when(kind == "STRING", self.read("string") != "")
-            .when(kind == "VOID", False)
-            .when(kind.isNotNull(), self.read("double") != 0),
-            self.value.isNotNull(),
-        )
+        if self.string is None:
+            return self.is_object | self.is_list | F.coalesce(self.scalar_truthy, F.lit(False))
+        return F.coalesce(self.scalar_truthy, F.lit(False))
+
+    @property
+    def scalar_truthy(self) -> Column:
+        return (self.any_text != "") & (~self.any_text.isin(FALSY_TEXTS) | self.is_string)
+
+
+# Text forms of the numbers and the boolean that are false.
+FALSY_TEXTS = ["0", "-0", "0.0", "-0.0", "false"]
 
 
 @dataclass(frozen=True)
 class Record:
-    """A struct column read from a card by record_type."""
+    """Two structs read from a card: VARIANT leaves and, for most, their text forms."""
+
+    values: Column
+    texts: Column
+    probed: frozenset[Path]
+
+    def at(self, *path: str) -> Field:
+        def leaf(column: Column) -> Column:
+            return reduce(lambda inner, name: inner.getField(name), path, column)
+
+        return Field(leaf(self.values), None if path in self.probed else leaf(self.texts))
 
-    column: Column
 
-    def at(self, *names: str) -> Field:
-        return Field(reduce(lambda column, name: column.getField(name), names, self.column))
+@dataclass(frozen=True)
+class Fields:
+    """Which fields of a card a job reads.
+
+    Each kind of struct is read in one pass over the card. Fields in probed are lists
+    or objects as a rule; they get no text form, which would serialise them.
+    """
+
+    paths: tuple[Path, ...]
+    probed: frozenset[Path] = frozenset()
+
+    def _read(self, doc: Column) -> tuple[Column, Column]:
+        texts = [path for path in self.paths if path not in self.probed]
+        return (
+            F.try_variant_get(doc, "$", struct_type(tree_of((p, "variant") for p in self.paths))),
+            F.try_variant_get(doc, "$", struct_type(tree_of((p, "string") for p in texts))),
+        )
 
+    def stage(self, cards: DataFrame, name: str, doc: Column) -> DataFrame:
+        """Add the record as two columns, so that the card is read once per column."""
+        values, texts = self._read(doc)
+        return cards.withColumns({f"_{name}_values": values, f"_{name}_texts": texts})
 
-def read_record(doc: Column, paths: Iterable[Path]) -> Column:
-    return F.try_variant_get(doc, "$", record_type(paths))
+    def record(self, name: str) -> Record:
+        return Record(F.col(f"_{name}_values"), F.col(f"_{name}_texts"), self.probed)
+
+    def unstage(self, cards: DataFrame, name: str) -> DataFrame:
+        return cards.drop(f"_{name}_values", f"_{name}_texts")
+
+    def rebuild(self, items: Column, build: Callable[[Record], Column]) -> Column:
+        """Each object of a VARIANT list put through build."""
+
+        def read(item: Column) -> Column:
+            values, texts = self._read(item)
+            return F.struct(values.alias("values"), texts.alias("texts"))
+
+        return F.transform(
+            F.transform(items, read),
+            lambda one: build(Record(one["values"], one["texts"], self.probed)),
+        )
 
 
 def literal(value: Any) -> Column:
@@ -141,10 +189,9 @@ def as_text(field: Field) -> Column:
         ),
         ",",
     )
-    return (
-        F.when(field.is_list, joined)
-        .when(field.is_object, F.lit("[object Object]"))
-        .otherwise(field.read("string"))
+    nested = F.substring(field.any_text, 1, 1).isin("[", "{") & ~field.is_string
+    return F.when(nested, F.coalesce(joined, F.lit("[object Object]"))).otherwise(
+        field.any_text
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.functions.text import utf16_length
-from cardmill.functions.values import Field, Record, as_text, json_path, read_record
+from cardmill.functions.values import Field, Fields, Record, as_text, json_path
 
 # Keys that identify a card and the texts shown for it.
 SECTION_KEY = {"model": "Model", "dataset": "Dataset"}
@@ -18,12 +18,11 @@ NO_DATA = "no_data"
 UNKNOWN_TYPE = "unknown_type"
 
 
-HEAD_PATHS = [(key,) for key in (*SECTION_KEY.values(), *NAME_KEY.values(), "$schema")]
-
-
-def read_head(doc: Column) -> Column:
-    """The few fields that tell what a card is."""
-    return read_record(doc, HEAD_PATHS)
+# The few fields that tell what a card is.
+HEAD = Fields(
+    tuple((key,) for key in (*SECTION_KEY.values(), *NAME_KEY.values())),
+    probed=frozenset((key,) for key in SECTION_KEY.values()),
+)
 
 
 def detect_format(file_name: Column, head: Record) -> Column:
@@ -59,18 +58,15 @@ def reject_reason(doc: Column, card_type: Column) -> Column:
 
 def classify(cards: DataFrame) -> DataFrame:
     """Add format, card_type and reject_reason. Map-only, batch or stream."""
-    head = Record(F.col("_head"))
-    return (
-        cards.withColumn("_head", read_head(F.col("doc")))
-        .withColumns(
-            {
-                "format": detect_format(F.col("file_name"), head),
-                "card_type": detect_card_type(head),
-            }
-        )
-        .withColumn("reject_reason", reject_reason(F.col("doc"), F.col("card_type")))
-        .drop("_head")
+    head = HEAD.record("head")
+    typed = HEAD.stage(cards, "head", F.col("doc")).withColumns(
+        {
+            "format": detect_format(F.col("file_name"), head),
+            "card_type": detect_card_type(head),
+        }
     )
+    reason = reject_reason(F.col("doc"), F.col("card_type"))
+    return HEAD.unstage(typed.withColumn("reject_reason", reason), "head")
 
 
 def card_preview(cards: DataFrame) -> DataFrame:

@@ -24,15 +24,15 @@ from cardmill.functions.text import (
 )
 from cardmill.functions.values import (
     Field,
+    Fields,
     Record,
     as_object,
     as_text,
     first_truthy,
     literal,
-    read_record,
     truthy_text,
 )
-from cardmill.operators.classify import NAME_KEY, SECTION_KEY, read_head
+from cardmill.operators.classify import HEAD, NAME_KEY, SECTION_KEY
 from cardmill.operators.layouts import (
     CODE_WORDS,
     DATA_TYPES,
@@ -100,26 +100,42 @@ def scalar_or_list(field: Field, default: str = "") -> Column:
     return F.coalesce(field.items, F.array(first_truthy(field, default=default)))
 
 
-def mapped_list(field: Field, names: list[str], build: Callable[[Record], Column]) -> Column:
-    """Objects of a list, each rebuilt from the named fields; VARIANT list, [] if absent."""
-    records = F.transform(field.items, lambda x: read_record(x, [(name,) for name in names]))
-    built = F.transform(records, lambda record: build(Record(record)))
+def mapped_list(field: Field, fields: Fields, build: Callable[[Record], Column]) -> Column:
+    """Objects of a list, each rebuilt from its fields; VARIANT list, [] if absent."""
+    built = fields.rebuild(field.items, build)
     return F.coalesce(built, F.array().cast("array<variant>")).cast("variant")
 
 
-# ---- flat to nested ------------------------------------------------------------
+def named(*names: str, probed: tuple[str, ...] = ()) -> Fields:
+    return Fields(tuple((n,) for n in names), frozenset((n,) for n in probed))
 
-FLAT_NAMES = sorted(
-    {name for name, _, _ in (*MODEL_FIELDS, *DATASET_FIELDS)}
-    | {name for packed in (MODEL_COMMENTS, *DATASET_PACKED) for name in packed.lead}
-    | {name for packed in (MODEL_COMMENTS, *DATASET_PACKED) for _, name in packed.labelled}
-    | {"results", "partitions", "imaging_details", "number_of_instances", "representativeness"}
-)
 
+# ---- flat to nested ------------------------------------------------------------
 
-def read_flat(doc: Column) -> Column:
-    """All flat fields of either card type."""
-    return read_record(doc, [(name,) for name in FLAT_NAMES])
+PACKED_NAMES = {
+    name
+    for packed in (MODEL_COMMENTS, *DATASET_PACKED)
+    for name in (*packed.lead, *(name for _, name in packed.labelled))
+}
+FLAT_LISTS = ("results", "partitions", "imaging_details")
+# All flat fields of either card type.
+FLAT = named(
+    *sorted({name for name, _, _ in (*MODEL_FIELDS, *DATASET_FIELDS)} | PACKED_NAMES),
+    *FLAT_LISTS,
+    "number_of_instances",
+    "representativeness",
+    probed=FLAT_LISTS,
+)
+FLAT_RESULT = named(
+    "result_name",
+    "result_description",
+    "result_metric",
+    *(name for name, _ in RESULT_FIELDS),
+    probed=("result_metric",),
+)
+FLAT_PARTITION = named(
+    "patient_count", "number_instances", *(name for name, *_ in SUBSET_FIELDS)
+)
 
 
 def nested_model(card: Record) -> Column:
@@ -137,14 +153,12 @@ def nested_model(card: Record) -> Column:
             places[(key,)] = first_truthy(one.at(name), default="")
         return as_object(places)
 
-    names = ["result_name", "result_description", "result_metric"]
-    names += [name for name, _ in RESULT_FIELDS]
     places = {path: first_truthy(card.at(name), default=d) for name, path, d in MODEL_FIELDS}
     places[MODEL_COMMENTS.path] = pack(card, MODEL_COMMENTS)
     architecture = first_truthy(card.at("model_architecture"), default="")
     places[("Input",)] = architecture
     places[("Output",)] = architecture
-    places[("Results",)] = mapped_list(card.at("results"), names, result)
+    places[("Results",)] = mapped_list(card.at("results"), FLAT_RESULT, result)
     technical = {
         (key,): first_truthy(card.at(name), default=NOT_AVAILABLE)
         for name, key in TECHNICAL_FIELDS
@@ -175,7 +189,6 @@ def nested_dataset(card: Record) -> Column:
         )
         return as_object(places)
 
-    names = ["patient_count", "number_instances"] + [name for name, *_ in SUBSET_FIELDS]
     places = {path: first_truthy(card.at(name), default=d) for name, path, d in DATASET_FIELDS}
     for packed in DATASET_PACKED:
         places[packed.path] = pack(card, packed)
@@ -192,7 +205,7 @@ def nested_dataset(card: Record) -> Column:
     ).otherwise(literal(0))
     partitions = card.at("partitions")
     places[("Subsets",)] = F.when(
-        F.size(partitions.items) > 0, mapped_list(partitions, names, subset)
+        F.size(partitions.items) > 0, mapped_list(partitions, FLAT_PARTITION, subset)
     )
     section = as_object(places, optional=("Subsets",))
     no_details = details.truthy & ~details.is_list & details.text.isNull()
@@ -201,11 +214,16 @@ def nested_dataset(card: Record) -> Column:
 
 # ---- nested to flat ------------------------------------------------------------
 
-NESTED_PATHS = sorted(
-    {path for _, path, _ in (*MODEL_FIELDS, *DATASET_FIELDS)}
-    | {packed.path for packed in (MODEL_COMMENTS, *DATASET_PACKED)}
-    | {(TECHNICAL_KEY, key) for _, key in TECHNICAL_FIELDS}
-    | {
+# The fields of a nested section, of either card type, that have a flat place.
+NESTED = Fields(
+    tuple(
+        sorted(
+            {path for _, path, _ in (*MODEL_FIELDS, *DATASET_FIELDS)}
+            | {packed.path for packed in (MODEL_COMMENTS, *DATASET_PACKED)}
+            | {(TECHNICAL_KEY, key) for _, key in TECHNICAL_FIELDS}
+        )
+    )
+    + (
         ("Composition", "Number of instances"),
         ("Composition", "Representativeness", "Sample type"),
         ("Composition", "Sample Size Calculation"),
@@ -214,13 +232,15 @@ NESTED_PATHS = sorted(
         ("Output",),
         ("Results",),
         ("Subsets",),
-    }
+    ),
+    probed=frozenset({("Results",), ("Subsets",)}),
+)
+NESTED_RESULT = named(
+    "Result Information", "Metric", *(key for _, key in RESULT_FIELDS), probed=("Metric",)
+)
+NESTED_SUBSET = named(
+    "Patient count", "Number of instances", *(key for _, key, *_ in SUBSET_FIELDS)
 )
-
-
-def read_nested(section: Column) -> Column:
-    """The fields of a nested section, of either card type, that have a flat place."""
-    return read_record(section, NESTED_PATHS)
 
 
 def flat_model(card: Record) -> Column:
@@ -239,7 +259,6 @@ def flat_model(card: Record) -> Column:
         )
         return as_object(places, optional=("result_metric",))
 
-    names = ["Result Information", "Metric"] + [key for _, key in RESULT_FIELDS]
     places = {(name,): first_truthy(card.at(*path), default=d) for name, path, d in MODEL_FIELDS}
     task = first_paragraph(text)
     places[("medical_task",)] = F.when(task != "", task.cast("variant")).otherwise(
@@ -248,7 +267,7 @@ def flat_model(card: Record) -> Column:
     places[("model_architecture",)] = first_truthy(
         card.at("Input"), card.at("Output"), default=""
     )
-    places[("results",)] = mapped_list(card.at("Results"), names, result)
+    places[("results",)] = mapped_list(card.at("Results"), NESTED_RESULT, result)
     labels = {name: label for label, name in MODEL_COMMENTS.labelled}
     for name, key in TECHNICAL_FIELDS:
         found = F.nullif(labelled_text(text, labels[name]), F.lit(""))
@@ -275,7 +294,6 @@ def flat_dataset(card: Record) -> Column:
         places[("number_instances",)] = first_truthy(instances, patients, default="")
         return as_object(places)
 
-    names = ["Patient count", "Number of instances"] + [key for _, key, *_ in SUBSET_FIELDS]
     places = {
         (name,): first_truthy(card.at(*path), default=d) for name, path, d in DATASET_FIELDS
     }
@@ -295,7 +313,7 @@ def flat_dataset(card: Record) -> Column:
         card.at("Composition", "Sample Size Calculation"),
         default="",
     )
-    places[("partitions",)] = mapped_list(card.at("Subsets"), names, partition)
+    places[("partitions",)] = mapped_list(card.at("Subsets"), NESTED_SUBSET, partition)
     no_text = any_of(
         bad_text(field)
         for field in [details] + [card.at(*packed.path) for packed in DATASET_PACKED]
@@ -310,26 +328,26 @@ def flat_to_nested(
     cards: DataFrame, doc: str = "doc", into: str = "section", card_type: str = "card_type"
 ) -> DataFrame:
     """Add the nested section of flat cards; other card types keep their document."""
-    kind, record = F.col(card_type), Record(F.col("_flat"))
+    kind, record = F.col(card_type), FLAT.record("flat")
     section = (
         F.when(kind == "model", nested_model(record))
         .when(kind == "dataset", nested_dataset(record))
         .otherwise(F.col(doc))
     )
-    staged = cards.withColumn("_flat", read_flat(F.col(doc)))
-    return staged.withColumn(into, section).drop("_flat")
+    staged = FLAT.stage(cards, "flat", F.col(doc))
+    return FLAT.unstage(staged.withColumn(into, section), "flat")
 
 
 def nested_to_flat(
     cards: DataFrame, section: str = "section", into: str = "flat", card_type: str = "card_type"
 ) -> DataFrame:
     """Add the flat card of nested sections; NULL for other card types."""
-    kind, record = F.col(card_type), Record(F.col("_nested"))
+    kind, record = F.col(card_type), NESTED.record("nested")
     flat = F.when(kind == "model", flat_model(record)).when(
         kind == "dataset", flat_dataset(record)
     )
-    staged = cards.withColumn("_nested", read_nested(F.col(section)))
-    return staged.withColumn(into, flat).drop("_nested")
+    staged = NESTED.stage(cards, "nested", F.col(section))
+    return NESTED.unstage(staged.withColumn(into, flat), "nested")
 
 
 def pick_section(head: Record, card_type: Column) -> Column:
@@ -350,7 +368,7 @@ def mismatched(head: Record, card_type: Column, layout: Column) -> Column:
 def load_section(cards: DataFrame) -> DataFrame:
     """Add section, format_mismatch and convert_ok to classified, accepted cards."""
     kind, layout = F.col("card_type"), F.col("format")
-    head, record = Record(F.col("_head")), Record(F.col("_flat"))
+    head, record = HEAD.record("head"), FLAT.record("flat")
     is_flat = layout == "txt"
     section = (
         F.when(is_flat & (kind == "model"), nested_model(record))
@@ -358,15 +376,14 @@ def load_section(cards: DataFrame) -> DataFrame:
         .when(is_flat, F.col("doc"))
         .otherwise(pick_section(head, kind))
     )
-    staged = cards.withColumns(
-        {"_head": read_head(F.col("doc")), "_flat": F.when(is_flat, read_flat(F.col("doc")))}
-    )
-    return (
+    staged = HEAD.stage(cards, "head", F.col("doc"))
+    staged = FLAT.stage(staged, "flat", F.when(is_flat, F.col("doc")))
+    loaded = (
         staged.withColumn("format_mismatch", mismatched(head, kind, layout))
         .withColumn("section", section)
         .withColumn("convert_ok", F.col("section").isNotNull())
-        .drop("_head", "_flat")
     )
+    return HEAD.unstage(FLAT.unstage(loaded, "flat"), "head")
 
 
 # Fixed value: release part of the schema name written into exported cards.

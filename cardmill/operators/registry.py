@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.functions.values import Record, as_text, read_record
+from cardmill.functions.values import Fields, Record, as_text
 from cardmill.operators.classify import SECTION_KEY
 from cardmill.operators.lookup import lookup_join
 
@@ -15,11 +15,10 @@ BASE_TEXT = "Base Schema"
 NO_VERSION = "Unknown"
 
 
-SCHEMA_PATHS = [("$id",), ("description",)] + [
-    (part, name)
-    for part, names in (("properties", SECTION_KEY.values()), ("$defs", SECTION_KEY))
-    for name in names
-]
+SCHEMA_PARTS = tuple(("properties", key) for key in SECTION_KEY.values()) + tuple(
+    ("$defs", kind) for kind in SECTION_KEY
+)
+SCHEMA = Fields((("$id",), ("description",), *SCHEMA_PARTS), probed=frozenset(SCHEMA_PARTS))
 
 
 def usable_schema(schema: Record, card_type: Column) -> Column:
@@ -39,19 +38,16 @@ def check_registry(registry: DataFrame) -> DataFrame:
     A registry row is (card_type, source, document): source is 'base' or the address
     of a custom schema, document the parsed schema or NULL when it did not load.
     """
-    schema = Record(F.col("_schema"))
+    schema = SCHEMA.record("schema")
     version, about = schema.at("$id"), schema.at("description")
-    return (
-        registry.withColumn("_schema", read_record(F.col("document"), SCHEMA_PATHS))
-        .withColumns(
-            {
-                "usable": F.coalesce(usable_schema(schema, F.col("card_type")), F.lit(False)),
-                "version": F.when(version.truthy, as_text(version)).otherwise(NO_VERSION),
-                "description": F.when(about.truthy, as_text(about)).otherwise(""),
-            }
-        )
-        .drop("_schema")
+    checked = SCHEMA.stage(registry, "schema", F.col("document")).withColumns(
+        {
+            "usable": F.coalesce(usable_schema(schema, F.col("card_type")), F.lit(False)),
+            "version": F.when(version.truthy, as_text(version)).otherwise(NO_VERSION),
+            "description": F.when(about.truthy, as_text(about)).otherwise(""),
+        }
     )
+    return SCHEMA.unstage(checked, "schema")
 
 
 def one_per_source(checked: DataFrame) -> DataFrame:

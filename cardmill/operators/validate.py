@@ -2,8 +2,8 @@
 
 The rules become a single SQL expression: no join, no shuffle and no state, so the
 same expression works on tables and streams and can be used in a SELECT or a view.
-Fields are read by path straight from the document; only lists need a higher-order
-function. SQL text is used here, not Column calls, because a contract has hundreds of
+The fields of a document are read into a record in one pass; only lists need a
+higher-order function. SQL text is used here, not Column calls, because a contract has hundreds of
 rules and each Column call is a round trip to the JVM.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.contracts.shapes import Shape
-from cardmill.functions.values import json_path
+from cardmill.functions.values import backticked, json_path, struct_type
 
 NO_VIOLATIONS = (
     "cast(array() AS array<struct<path:string,keyword:string,message:string>>)"
@@ -46,14 +46,17 @@ def quote(text: str) -> str:
 class Place:
     """A value inside a document and the path it is reported under, as SQL.
 
+    doc is a VARIANT expression and record a struct with its fields (see record_type).
     base is the known start of the path, start an expression before it (in lists).
     depth counts enclosing lambdas and keeps their parameter names apart.
     """
 
     doc: str
+    record: str = ""
     base: str = ""
     start: str | None = None
     keys: tuple[str | int, ...] = ()
+    is_record: bool = False
     depth: int = 0
 
     @property
@@ -62,31 +65,53 @@ class Place:
             return quote(self.base)
         return f"concat({self.start}, {quote(self.base)})" if self.base else self.start
 
-    def below(self, step: str, key: str | int) -> Place:
-        return replace(self, base=self.base + step, keys=(*self.keys, key))
+    def child(self, name: str, shape: Shape | None = None) -> Place:
+        return replace(
+            self,
+            base=f"{self.base}.{name}",
+            keys=(*self.keys, name),
+            is_record=shape is not None and holds_record(shape),
+        )
 
-    def child(self, name: str) -> Place:
-        return self.below(f".{name}", name)
+    @property
+    def slot(self) -> str:
+        """The place's own part of the record."""
+        return ".".join([self.record, *(backticked(key) for key in self.keys)])
 
     def read(self, spark_type: str) -> str:
-        return f"try_variant_get({self.doc}, {quote(json_path(*self.keys))}, '{spark_type}')"
+        """Leaves are read from the record, values that are records from the document."""
+        if not self.keys:
+            return f"try_variant_get({self.doc}, '$', '{spark_type}')"
+        if self.is_record:
+            path = quote(json_path(*self.keys))
+            return f"try_variant_get({self.doc}, {path}, '{spark_type}')"
+        return f"try_variant_get({self.slot}, '$', '{spark_type}')"
 
     @property
     def value(self) -> str:
-        return self.read("variant")
+        if not self.keys:
+            return self.doc
+        return self.read("variant") if self.is_record else self.slot
+
+    @property
+    def kind(self) -> str:
+        return f"schema_of_variant({self.value})"
 
     @property
     def present(self) -> str:
         return f"{self.value} IS NOT NULL"
 
+    @property
+    def is_string(self) -> str:
+        return f"{self.kind} = 'STRING'"
+
     @property
     def text(self) -> str:
-        """The string, NULL for any other JSON type; the cast is a cheap type probe."""
-        return f"cast({self.read('binary')} AS string)"
+        return f"if({self.is_string}, {self.read('string')}, NULL)"
 
     @property
     def number(self) -> str:
-        return f"if({self.read('binary')} IS NULL, {self.read('double')}, NULL)"
+        return f"if({self.is_string}, NULL, {self.read('double')})"
 
     @property
     def items(self) -> str:
@@ -98,7 +123,25 @@ class Place:
 
     @property
     def is_object(self) -> str:
-        return f"{self.read('struct<>')} IS NOT NULL"
+        return f"{self.slot} IS NOT NULL" if self.is_record else f"{self.read('struct<>')} IS NOT NULL"
+
+
+def holds_record(shape: Shape) -> bool:
+    return bool(shape.fields) and not shape.repeats
+
+
+def record_tree(shape: Shape) -> dict[str, Any]:
+    """The fields of a shape, those of records within it too; lists stay VARIANT."""
+    names = dict.fromkeys(shape.required, Shape()) | dict(shape.fields)
+    return {
+        name: record_tree(inner) if holds_record(inner) else "variant"
+        for name, inner in names.items()
+    }
+
+
+def read_record(doc: str, shape: Shape) -> str:
+    """All fields of a document that a shape has rules for, in one pass over it."""
+    return f"try_variant_get({doc}, '$', {quote(struct_type(record_tree(shape)))})"
 
 
 @dataclass(frozen=True)
@@ -131,12 +174,12 @@ def violation(path: str, keyword: str, message: str) -> str:
 
 def has_type(place: Place, name: str) -> str:
     if name == "string":
-        return f"({place.read('binary')} IS NOT NULL)"
+        return f"({place.is_string})"
     if name == "object":
         return f"({place.is_object})"
     if name == "array":
-        return f"({place.items} IS NOT NULL)"
-    kind = f"schema_of_variant({place.value})"
+        return f"({place.read('array<struct<>>')} IS NOT NULL)"
+    kind = place.kind
     if name == "integer":
         whole_decimal = quote(r"\ADECIMAL\([0-9]+,0\)\z")
         whole_double = f"({kind} = 'DOUBLE' AND {place.number} = floor({place.number}))"
@@ -159,7 +202,8 @@ def equals_any(place: Place, values: tuple[Any, ...]) -> str:
     ]
     matches = []
     if texts:
-        matches.append(f"coalesce({place.text} IN ({', '.join(texts)}), false)")
+        listed = f"{place.read('string')} IN ({', '.join(texts)})"
+        matches.append(f"coalesce({place.is_string} AND {listed}, false)")
     if others:
         matches.append(f"to_json({place.value}) IN ({', '.join(others)})")
     return f"({' OR '.join(matches)})"
@@ -187,7 +231,8 @@ def rules_of(place: Place, shape: Shape, repeating: bool = False) -> Iterator[Ru
 
     if shape.repeats and not repeating:
         first = f"named_struct('path', {place.path}, 'value', {place.value})"
-        spots = own_levels(first, shape, shape.levels, place.depth)
+        spots = f"flatten(transform(array({first}), top -> "
+        spots += f"{own_levels('top', shape, shape.levels, place.depth)}))"
         many = checked_spots(spots, shape, place.depth)
         yield Rule(many=f"if({place.present}, {many}, NULL)")
         return
@@ -254,7 +299,7 @@ def number_rules(place: Place, shape: Shape) -> Iterator[Rule]:
 
 def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
     for name in shape.required:
-        missing = place.child(name)
+        missing = place.child(name, shape.fields.get(name))
         broken = f"{place.is_object} AND {missing.value} IS NULL"
         yield Rule(broken, missing.path, "required", "is required")
     if shape.closed:
@@ -271,7 +316,7 @@ def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
     if shape.key_pattern is not None and shape.key_shape is not None:
         yield Rule(many=keyed_values(place, shape.key_pattern, shape.key_shape))
     for name, inner in shape.fields.items():
-        yield from rules_of(place.child(name), inner)
+        yield from rules_of(place.child(name, inner), inner)
 
 
 def extra_keys(place: Place, shape: Shape) -> str:
@@ -313,7 +358,8 @@ def list_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         message = "must not repeat items"
         yield Rule(f"size({distinct}) < size({items})", path, "uniqueItems", message)
     for position, inner in enumerate(shape.lead):
-        yield from rules_of(place.below(f"[{position}]", position), inner)
+        spots = slice_spots(place, f"slice({items}, {position + 1}, 1)", position)
+        yield Rule(many=checked_spots(spots, inner, place.depth))
     if shape.items is not None:
         spots = item_spots(place, len(shape.lead))
         if shape.items.repeats:
@@ -325,10 +371,14 @@ def list_rules(place: Place, shape: Shape) -> Iterator[Rule]:
 
 def item_spots(place: Place, offset: int = 0) -> str:
     """The items of a list, each with its path."""
-    item, index = f"item{place.depth}", f"index{place.depth}"
     items = place.items
     if offset:
         items = f"slice({items}, {offset + 1}, greatest(size({items}), 0))"
+    return slice_spots(place, items, offset)
+
+
+def slice_spots(place: Place, items: str, offset: int) -> str:
+    item, index = f"item{place.depth}", f"index{place.depth}"
     path = f"concat({place.path}, '[', cast({index} + {offset} AS string), ']')"
     return (
         f"transform({items}, ({item}, {index}) -> "
@@ -343,7 +393,13 @@ def own_levels(one: str, shape: Shape, levels: int, depth: int) -> str:
     """
     if levels == 0:
         return f"array(named_struct('path', {one}.path, 'value', cast(NULL AS variant)))"
-    inner = Place(f"{one}.value", start=f"{one}.path", depth=depth).child(shape.repeats)
+    path = quote(json_path(shape.repeats))
+    inner = Place(
+        f"try_variant_get({one}.value, {path}, 'variant')",
+        base=f".{shape.repeats}",
+        start=f"{one}.path",
+        depth=depth,
+    )
     below = f"own{depth}"
     deeper = own_levels(below, shape, levels - 1, depth + 1)
     return (
@@ -355,7 +411,21 @@ def own_levels(one: str, shape: Shape, levels: int, depth: int) -> str:
 def checked_spots(spots: str, shape: Shape, depth: int) -> str:
     """Violations of every spot of a list, in order."""
     one = f"spot{depth}"
-    place = Place(f"{one}.value", start=f"{one}.path", depth=depth + 1)
+    has_fields = bool(record_tree(shape))
+    if has_fields:
+        # A step of its own, so that the item's fields are read once.
+        record = read_record(f"{one}.value", shape)
+        spots = (
+            f"transform({spots}, {one} -> named_struct("
+            f"'path', {one}.path, 'value', {one}.value, 'record', {record}))"
+        )
+    place = Place(
+        f"{one}.value",
+        record=f"{one}.record" if has_fields else "",
+        start=f"{one}.path",
+        is_record=has_fields,
+        depth=depth + 1,
+    )
     found = violations_at(place, shape, repeating=True)
     if shape.repeats:
         beyond = violation(f"{one}.path", "depth_exceeded", TOO_DEEP_TEXT)
@@ -369,36 +439,30 @@ def valid_for(place: Place, shape: Shape) -> str:
 
 
 def violations_at(place: Place, shape: Shape, repeating: bool = False) -> str:
-    """All violations below a place, in order."""
-    groups: list[str] = []
-    single: list[str] = []
-
-    def close() -> None:
-        if single:
-            groups.append(f"array({', '.join(single)})")
-            single.clear()
+    """All violations below a place, in order.
 
+    Every rule gives an array, empty or of one violation, and the arrays are joined:
+    outside lists this leaves no step that Spark cannot compile.
+    """
+    found = []
     for rule in rules_of(place, shape, repeating):
         if rule.many:
-            close()
-            groups.append(f"coalesce({rule.many}, {NO_VIOLATIONS})")
+            found.append(f"coalesce({rule.many}, {NO_VIOLATIONS})")
         else:
-            found = violation(rule.path, rule.keyword, rule.message)
-            single.append(f"if({rule.broken}, {found}, NULL)")
-    close()
-    if not groups:
-        return NO_VIOLATIONS
-    return f"array_compact(concat({', '.join(groups)}))"
+            one = violation(rule.path, rule.keyword, rule.message)
+            found.append(f"if({rule.broken}, array({one}), {NO_VIOLATIONS})")
+    if place.start is not None and len(found) > 1:
+        return f"flatten(array({', '.join(found)}))"
+    return f"concat({', '.join(found) or NO_VIOLATIONS})"
 
 
-def violations_sql(doc: str, shape: Shape, root: str = "$") -> str:
-    """SQL expression for the violations of a VARIANT column."""
-    return violations_at(Place(doc, base=root), shape)
+def violations_sql(doc: str, record: str, shape: Shape, root: str = "$") -> str:
+    """SQL expression for the violations of a VARIANT column.
 
-
-def violations(doc: str, shape: Shape, root: str = "$") -> Column:
-    """Violations of a VARIANT column as an array of (path, keyword, message)."""
-    return F.expr(violations_sql(doc, shape, root))
+    record names a column that holds read_record(doc, shape).
+    """
+    is_record = bool(record_tree(shape))
+    return violations_at(Place(doc, record=record, base=root, is_record=is_record), shape)
 
 
 def validate(
@@ -415,16 +479,22 @@ def validate(
     with another key get NULL, so that "not checked" never reads as "valid". The key
     may be the card type, a profile name or the schema version of a registry.
     """
-    if isinstance(shapes, Shape):
-        found = violations(doc, shapes, root)
-    else:
-        found = F.coalesce(
-            *[F.when(F.col(key) == k, violations(doc, s, root)) for k, s in shapes.items()]
-        )
+    by_key = {None: shapes} if isinstance(shapes, Shape) else shapes
+    records, found = {}, []
+    for number, (wanted, shape) in enumerate(by_key.items()):
+        name = f"_record_{number}"
+        document = doc if wanted is None else f"if({key} = {quote(wanted)}, {doc}, NULL)"
+        if record_tree(shape):
+            records[name] = F.expr(read_record(document, shape))
+        checked = F.expr(violations_sql(doc, name, shape, root))
+        found.append(checked if wanted is None else F.when(F.col(key) == wanted, checked))
+    # The records are columns of their own, so that each document is read once.
     return (
-        cards.withColumn("violations", found)
+        cards.withColumns(records)
+        .withColumn("violations", F.coalesce(*found))
         .withColumn("error_count", F.when(F.col("violations").isNotNull(), F.size("violations")))
         .withColumn("is_valid", F.col("error_count") == 0)
+        .drop(*records)
     )
 
 
