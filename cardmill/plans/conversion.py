@@ -415,9 +415,10 @@ def round_trip_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT doc_id, text AS labeling, source AS noise, lang AS purpose,
+SELECT doc_id, CASE WHEN text = '' THEN 'Noise Issues: ' || source ELSE text END AS labeling,
+       source AS noise, lang AS purpose,
        {sql_labelled("'Motivation: ' || text", 'Motivation')} AS motivation, '1' AS site_count
-FROM documents WHERE text <> ''
+FROM documents
 """)
 def round_trip_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts packed into a nested card and read back.
@@ -428,7 +429,7 @@ def round_trip_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = """to_json(struct(source AS dataset_name, text AS labeling, source AS noise,
                             text AS motivation, lang AS purpose,
                             array(struct(lang AS subset_name)) AS partitions)) AS raw"""
-    documents = spread(table(spark, sf_dir, "documents")).filter("text <> ''")
+    documents = spread(table(spark, sf_dir, "documents"))
     cards = cards_from_table(documents.selectExpr("doc_id", raw)).withColumn(
         "card_type", F.lit("dataset")
     )
