@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.functions.fence import fence
 from cardmill.functions.text import utf16_length
 from cardmill.functions.values import Field, Fields, Record, as_text, json_path
 
@@ -66,7 +67,8 @@ def classify(cards: DataFrame) -> DataFrame:
         }
     )
     reason = reject_reason(F.col("doc"), F.col("card_type"))
-    return HEAD.unstage(typed.withColumn("reject_reason", reason), "head")
+    classified = HEAD.unstage(typed.withColumn("reject_reason", reason), "head")
+    return fence(classified, "format", "card_type", "reject_reason")
 
 
 def card_preview(cards: DataFrame) -> DataFrame:

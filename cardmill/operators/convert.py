@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.functions.fence import fence
 from cardmill.functions.text import (
     PARAGRAPH,
     first_paragraph,
@@ -335,7 +336,7 @@ def flat_to_nested(
         .otherwise(F.col(doc))
     )
     staged = FLAT.stage(cards, "flat", F.col(doc))
-    return FLAT.unstage(staged.withColumn(into, section), "flat")
+    return fence(FLAT.unstage(staged.withColumn(into, section), "flat"), into)
 
 
 def nested_to_flat(
@@ -347,7 +348,7 @@ def nested_to_flat(
         kind == "dataset", flat_dataset(record)
     )
     staged = NESTED.stage(cards, "nested", F.col(section))
-    return NESTED.unstage(staged.withColumn(into, flat), "nested")
+    return fence(NESTED.unstage(staged.withColumn(into, flat), "nested"), into)
 
 
 def pick_section(head: Record, card_type: Column) -> Column:
@@ -383,7 +384,8 @@ def load_section(cards: DataFrame) -> DataFrame:
         .withColumn("section", section)
         .withColumn("convert_ok", F.col("section").isNotNull())
     )
-    return HEAD.unstage(FLAT.unstage(loaded, "flat"), "head")
+    loaded = HEAD.unstage(FLAT.unstage(loaded, "flat"), "head")
+    return fence(loaded, "section", "format_mismatch", "convert_ok")
 
 
 # Fixed value: release part of the schema name written into exported cards.

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.contracts.shapes import Shape
+from cardmill.functions.fence import fence
 from cardmill.functions.values import backticked, json_path, struct_type
 
 NO_VIOLATIONS = (
@@ -489,13 +490,14 @@ def validate(
         checked = F.expr(violations_sql(doc, name, shape, root))
         found.append(checked if wanted is None else F.when(F.col(key) == wanted, checked))
     # The records are columns of their own, so that each document is read once.
-    return (
+    checked = (
         cards.withColumns(records)
         .withColumn("violations", F.coalesce(*found))
         .withColumn("error_count", F.when(F.col("violations").isNotNull(), F.size("violations")))
         .withColumn("is_valid", F.col("error_count") == 0)
         .drop(*records)
     )
+    return fence(checked, "violations", "error_count", "is_valid")
 
 
 def with_report(checked: DataFrame, shown: int = SHOWN) -> DataFrame:

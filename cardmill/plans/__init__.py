@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries():
-    from cardmill.plans import conversion, intake, validation  # noqa: F401
+    from cardmill.plans import conversion, corpora, intake, validation  # noqa: F401
     from cardmill.plans.catalog import QUERIES
 
     return dict(QUERIES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardmill.functions.fence import fence
 from cardmill.functions.session import prepare_session
 
 FILE_COLUMNS = ("file_name", "raw")
@@ -30,12 +31,13 @@ def with_document(cards: DataFrame, raw: str = "raw") -> DataFrame:
     alone = F.try_variant_get("_parsed", "$[2]", "variant").isNull()
     doc = F.when(whole & alone, F.try_variant_get("_parsed", "$[0]", "variant"))
     # A column of its own, so that the text is parsed once.
-    return (
+    parsed = (
         cards.withColumn("_parsed", F.try_parse_json(sealed))
         .withColumn("doc", doc)
         .drop("_parsed")
         .withColumn("parse_ok", F.col("doc").isNotNull())
     )
+    return fence(parsed, "doc", "parse_ok")
 
 
 def read_cards(spark: SparkSession, path: str | list[str]) -> DataFrame:
