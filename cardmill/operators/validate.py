@@ -34,6 +34,9 @@ URI_SHAPE = r"\A[A-Za-z][A-Za-z0-9+.-]*:\S+\z"
 # Fixed value: how many violations are shown before "... and N more errors".
 SHOWN = 5
 
+# Arrays joined in one step.
+GROUP = 12
+
 TOO_DEEP_TEXT = "is nested too deep to be checked"
 
 
@@ -454,7 +457,17 @@ def violations_at(place: Place, shape: Shape, repeating: bool = False) -> str:
             found.append(f"if({rule.broken}, array({one}), {NO_VIOLATIONS})")
     if place.start is not None and len(found) > 1:
         return f"flatten(array({', '.join(found)}))"
-    return f"concat({', '.join(found) or NO_VIOLATIONS})"
+    return joined(found)
+
+
+def joined(arrays: list[str]) -> str:
+    """All arrays in one, joined in groups: the compiler leaves very long methods alone."""
+    if not arrays:
+        return NO_VIOLATIONS
+    if len(arrays) <= GROUP:
+        return f"concat({', '.join(arrays)})"
+    groups = [arrays[start : start + GROUP] for start in range(0, len(arrays), GROUP)]
+    return joined([joined(group) for group in groups])
 
 
 def violations_sql(doc: str, record: str, shape: Shape, root: str = "$") -> str:
