@@ -43,6 +43,15 @@ def tree_of(places: Iterable[tuple[Path, Any]]) -> dict[str, Any]:
     return tree
 
 
+def leaves(tree: dict[str, Any], path: Path = ()) -> Iterable[tuple[Path, Any]]:
+    """The (path, leaf) pairs of a nested dictionary."""
+    for name, leaf in tree.items():
+        if isinstance(leaf, dict):
+            yield from leaves(leaf, (*path, name))
+        else:
+            yield (*path, name), leaf
+
+
 def backticked(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -2,13 +2,14 @@
 
 A conversion is a map-only projection that works the same on tables and streams: the
 fields are read into a record once, and the other layout is built from that record.
-A result is NULL where the card cannot be mapped (a list field that is no list, a
-text field that is no text).
+A result is NULL where the card cannot be mapped (a list field that is no list, a list
+with null in it, a text field that is no text).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,14 @@ from cardmill.functions.text import (
 from cardmill.functions.values import (
     Field,
     Fields,
+    Path,
     Record,
     as_object,
     as_text,
     first_truthy,
+    leaves,
     literal,
+    tree_of,
     truthy_text,
 )
 from cardmill.operators.classify import HEAD, NAME_KEY, SECTION_KEY
@@ -111,6 +115,36 @@ def named(*names: str, probed: tuple[str, ...] = ()) -> Fields:
     return Fields(tuple((n,) for n in names), frozenset((n,) for n in probed))
 
 
+@dataclass(frozen=True)
+class Mapped:
+    """A mapped card: value per place, whether it can be mapped, names left out if NULL."""
+
+    places: dict[Path, Column]
+    mappable: Column
+    optional: tuple[str, ...] = ()
+
+
+def assemble(cards: DataFrame, into: str, mapped: dict[str, Mapped], kind: Column) -> DataFrame:
+    """Add the object of each card's kind, NULL where it cannot be mapped.
+
+    The parts of an object are columns of their own before they are put together: one
+    expression for a whole card would be compiled into methods too long to be fast.
+    """
+    checks, parts, objects = {}, {}, F
+    for name, card in mapped.items():
+        check = f"_{name}_mappable"
+        checks[check] = (kind == name) & card.mappable
+        tree = tree_of(card.places.items())
+        columns = {key: f"_{name}_{number}" for number, key in enumerate(tree)}
+        for key, part in tree.items():
+            whole = as_object(dict(leaves(part))) if isinstance(part, dict) else part
+            parts[columns[key]] = F.when(F.col(check), whole.cast("variant"))
+        places = {(key,): F.col(column) for key, column in columns.items()}
+        objects = objects.when(F.col(check), as_object(places, card.optional))
+    staged = fence(cards.withColumns(checks).withColumns(parts), *checks, *parts)
+    return staged.withColumn(into, objects).drop(*checks, *parts)
+
+
 # ---- flat to nested ------------------------------------------------------------
 
 PACKED_NAMES = {
@@ -139,8 +173,8 @@ FLAT_PARTITION = named(
 )
 
 
-def nested_model(card: Record) -> Column:
-    """Nested model section of a flat record, NULL when the results are no list."""
+def nested_model(card: Record) -> Mapped:
+    """Nested model section of a flat record; the results must be a list."""
 
     def result(one: Record) -> Column:
         information = first_truthy(
@@ -166,12 +200,11 @@ def nested_model(card: Record) -> Column:
     }
     nothing = all_na([card.at(name) for name, _ in TECHNICAL_FIELDS])
     places[(TECHNICAL_KEY,)] = F.when(~nothing, as_object(technical))
-    section = as_object(places, optional=(TECHNICAL_KEY,))
-    return F.when(~bad_list(card.at("results")), section)
+    return Mapped(places, ~bad_list(card.at("results")), (TECHNICAL_KEY,))
 
 
-def nested_dataset(card: Record) -> Column:
-    """Nested dataset section of a flat record, NULL when it cannot be mapped."""
+def nested_dataset(card: Record) -> Mapped:
+    """Nested dataset section of a flat record."""
     details = card.at("imaging_details")
 
     def joined(separator: str) -> Column:
@@ -208,9 +241,8 @@ def nested_dataset(card: Record) -> Column:
     places[("Subsets",)] = F.when(
         F.size(partitions.items) > 0, mapped_list(partitions, FLAT_PARTITION, subset)
     )
-    section = as_object(places, optional=("Subsets",))
     no_details = details.truthy & ~details.is_list & details.text.isNull()
-    return F.when(~(bad_list(partitions) | no_details), section)
+    return Mapped(places, ~(bad_list(partitions) | no_details), ("Subsets",))
 
 
 # ---- nested to flat ------------------------------------------------------------
@@ -244,8 +276,8 @@ NESTED_SUBSET = named(
 )
 
 
-def flat_model(card: Record) -> Column:
-    """Flat model card of a nested record, NULL when it cannot be mapped."""
+def flat_model(card: Record) -> Mapped:
+    """Flat model card of a nested record."""
     comments = card.at(*MODEL_COMMENTS.path)
     text = F.coalesce(comments.text, F.lit(""))
 
@@ -278,11 +310,11 @@ def flat_model(card: Record) -> Column:
         )
     no_text = comments.value.isNotNull() & ~F.is_variant_null(comments.value)
     no_text = no_text & comments.text.isNull()
-    return F.when(~(bad_list(card.at("Results")) | no_text), as_object(places))
+    return Mapped(places, ~(bad_list(card.at("Results")) | no_text))
 
 
-def flat_dataset(card: Record) -> Column:
-    """Flat dataset card of a nested record, NULL when it cannot be mapped."""
+def flat_dataset(card: Record) -> Mapped:
+    """Flat dataset card of a nested record."""
     details = card.at("Imaging", "Pre-processing")
 
     def partition(one: Record) -> Column:
@@ -319,7 +351,7 @@ def flat_dataset(card: Record) -> Column:
         bad_text(field)
         for field in [details] + [card.at(*packed.path) for packed in DATASET_PACKED]
     )
-    return F.when(~(bad_list(card.at("Subsets")) | no_text), as_object(places))
+    return Mapped(places, ~(bad_list(card.at("Subsets")) | no_text))
 
 
 # ---- whole tables --------------------------------------------------------------
@@ -330,13 +362,11 @@ def flat_to_nested(
 ) -> DataFrame:
     """Add the nested section of flat cards; other card types keep their document."""
     kind, record = F.col(card_type), FLAT.record("flat")
-    section = (
-        F.when(kind == "model", nested_model(record))
-        .when(kind == "dataset", nested_dataset(record))
-        .otherwise(F.col(doc))
-    )
+    mapped = {"model": nested_model(record), "dataset": nested_dataset(record)}
     staged = FLAT.stage(cards, "flat", F.col(doc))
-    return fence(FLAT.unstage(staged.withColumn(into, section), "flat"), into)
+    built = FLAT.unstage(assemble(staged, into, mapped, kind), "flat")
+    kept = F.when(kind.isin(*mapped), F.col(into)).otherwise(F.col(doc))
+    return fence(built.withColumn(into, kept), into)
 
 
 def nested_to_flat(
@@ -344,11 +374,9 @@ def nested_to_flat(
 ) -> DataFrame:
     """Add the flat card of nested sections; NULL for other card types."""
     kind, record = F.col(card_type), NESTED.record("nested")
-    flat = F.when(kind == "model", flat_model(record)).when(
-        kind == "dataset", flat_dataset(record)
-    )
+    mapped = {"model": flat_model(record), "dataset": flat_dataset(record)}
     staged = NESTED.stage(cards, "nested", F.col(section))
-    return fence(NESTED.unstage(staged.withColumn(into, flat), "nested"), into)
+    return fence(NESTED.unstage(assemble(staged, into, mapped, kind), "nested"), into)
 
 
 def pick_section(head: Record, card_type: Column) -> Column:
@@ -371,21 +399,22 @@ def load_section(cards: DataFrame) -> DataFrame:
     kind, layout = F.col("card_type"), F.col("format")
     head, record = HEAD.record("head"), FLAT.record("flat")
     is_flat = layout == "txt"
+    mapped = {"model": nested_model(record), "dataset": nested_dataset(record)}
+    staged = FLAT.stage(cards, "flat", F.when(is_flat, F.col("doc")))
+    converted = assemble(staged, "_converted", mapped, F.when(is_flat, kind))
+    typed = HEAD.stage(FLAT.unstage(converted, "flat"), "head", F.col("doc"))
     section = (
-        F.when(is_flat & (kind == "model"), nested_model(record))
-        .when(is_flat & (kind == "dataset"), nested_dataset(record))
+        F.when(is_flat & kind.isin(*mapped), F.col("_converted"))
         .when(is_flat, F.col("doc"))
         .otherwise(pick_section(head, kind))
     )
-    staged = HEAD.stage(cards, "head", F.col("doc"))
-    staged = FLAT.stage(staged, "flat", F.when(is_flat, F.col("doc")))
     loaded = (
-        staged.withColumn("format_mismatch", mismatched(head, kind, layout))
+        typed.withColumn("format_mismatch", mismatched(head, kind, layout))
         .withColumn("section", section)
         .withColumn("convert_ok", F.col("section").isNotNull())
+        .drop("_converted")
     )
-    loaded = HEAD.unstage(FLAT.unstage(loaded, "flat"), "head")
-    return fence(loaded, "section", "format_mismatch", "convert_ok")
+    return fence(HEAD.unstage(loaded, "head"), "section", "format_mismatch", "convert_ok")
 
 
 # Fixed value: release part of the schema name written into exported cards.
