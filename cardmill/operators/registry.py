@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.functions.fence import fence
 from cardmill.functions.values import Fields, Record, as_text
 from cardmill.operators.classify import SECTION_KEY
 from cardmill.operators.lookup import lookup_join
@@ -47,7 +48,7 @@ def check_registry(registry: DataFrame) -> DataFrame:
             "description": F.when(about.truthy, as_text(about)).otherwise(""),
         }
     )
-    return SCHEMA.unstage(checked, "schema")
+    return fence(SCHEMA.unstage(checked, "schema"), "usable", "version", "description")
 
 
 def one_per_source(checked: DataFrame) -> DataFrame:

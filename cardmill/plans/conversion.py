@@ -75,6 +75,7 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
+        "text",
         join_present(
             "\n\n",
             F.col("text"),
@@ -86,7 +87,7 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, packed FROM ({PACKED_SQL})")
 def join_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(spark, sf_dir)
+    return packed_documents(spark, sf_dir).select("doc_id", "packed")
 
 
 @query(f"""
@@ -98,10 +99,9 @@ SELECT doc_id, {sql_labelled('packed', 'Noise Issues')} AS noise,
 FROM ({PACKED_SQL})
 """)
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = F.col("packed")
     with_label = F.concat(packed, F.lit("\nPURPOSE:  \n "), F.col("text"))
-    return packed_documents(spark, sf_dir).join(texts, "doc_id").select(
+    return packed_documents(spark, sf_dir).select(
         "doc_id",
         labelled_text(packed, "Noise Issues").alias("noise"),
         labelled_text(packed, "missing information").alias("missing"),

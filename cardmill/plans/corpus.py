@@ -29,8 +29,8 @@ def as_json(*expressions: str) -> str:
     return f"to_json(struct({', '.join(expressions)}))"
 
 
-def flat_model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flat model card per part: id, file_name, raw."""
+def flat_model_cards(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """A flat model card per part: id, file_name, raw, and more columns of the part."""
     result = """named_struct(
         'result_name', concat('run ', i),
         'result_description', if(i = 1, '', concat(p_type, ' ', i)),
@@ -50,7 +50,10 @@ def flat_model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"transform(slice(array(1, 2, 3), 1, p_size % 4), i -> {result}) AS results",
     )
     return spread(table(spark, sf_dir, "part")).selectExpr(
-        "p_partkey AS id", "concat('part-', p_partkey, '.txt') AS file_name", f"{raw} AS raw"
+        "p_partkey AS id",
+        "concat('part-', p_partkey, '.txt') AS file_name",
+        f"{raw} AS raw",
+        *more,
     )
 
 

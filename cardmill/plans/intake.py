@@ -176,8 +176,7 @@ FROM part
 """)
 def section_and_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat cards under a .json name load as {}, nested ones under .txt as empty fields."""
-    size = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size")
-    flat = flat_model_cards(spark, sf_dir).join(size, "id").selectExpr(
+    flat = flat_model_cards(spark, sf_dir, "p_size").selectExpr(
         "id", "if(p_size % 3 = 0, 'a.json', 'a.txt') AS name", "raw"
     )
     nested = nested_model_cards(spark, sf_dir).selectExpr(

@@ -13,11 +13,16 @@ def test_salted_join_gives_the_same_rows_for_a_hot_key(spark):
         "id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id) END AS k"
     )
     lookup = facts.filter("k IS NOT NULL AND id % 2 = 0").groupBy("k").agg(F.count("*").alias("n"))
-    broadcast, salted = (
-        sorted(map(tuple, lookup_join(facts, lookup, ["k"], spread="id", broadcast=b).collect()), key=str)
-        for b in (True, False)
-    )
+    joins = [lookup_join(facts, lookup, ["k"], spread="id", broadcast=b) for b in (True, False)]
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        broadcast, salted = (sorted(map(tuple, join.collect()), key=str) for join in joins)
+        plan = joins[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     assert broadcast == salted and len(salted) == 3000
+    assert "SortMergeJoin" in plan and "_salt" in plan
 
 
 def test_broadcast_is_measured(spark):
