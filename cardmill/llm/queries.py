@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm.common import documents
+from cardmill.llm.common import documents, whole
+from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
 from cardmill.llm.packing import pack_documents
+from cardmill.llm.secrets import PATTERNS, scan_secrets, told
 from cardmill.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,60 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+
+    def of(*kinds: str) -> Column:
+        return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+    base = of(*PATTERNS)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
+    return scan_secrets(documents(spark, sf_dir)).select(
+        "doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(spans).alias("spans")
+    )
+
+
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = whole("text").cast("binary")
+    fill = F.when(F.octet_length(payload) == 0, 64).otherwise(F.pmod(-F.octet_length(payload), F.lit(64)))
+    padded = F.concat(payload, F.unhex(F.repeat(F.lit("00"), fill)))
+    stored = documents(spark, sf_dir).select(
+        "doc_id", F.octet_length(payload).cast("long").alias("n_bytes"), mpeg_encode(padded).alias("media")
+    )
+    read = stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        mpeg_decode("media").alias("audio"),
+    )
+    audio = F.col("audio")
+    back = audio["payload"]
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(back).cast("long").alias("payload_bytes"),
+        F.sha2(back, 256).alias("payload_sha256"),
+        F.crc32(F.substring(back, -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(
+            ";",
+            F.concat_ws("/", audio["version"], audio["layer"], audio["sample_rate"], audio["channels"]),
+            audio["frames"],
+            audio["samples"],
+            audio["checked"],
+            audio["bad_checksums"],
+            audio["variable_bitrate"],
+            F.element_at(audio["seek_offsets"], -1),
+        ).alias("feature"),
+        audio["frames"].alias("frames"),
+        audio["duration_s"].alias("duration_s"),
+        audio["promised_frames"].alias("promised_frames"),
+        audio["unsynchronised_bytes"].alias("unsynchronised_bytes"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -31,6 +87,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op5_mpeg_audio": op5_mpeg_audio,
     "op6_sharding": op6_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
