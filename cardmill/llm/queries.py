@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardmill.llm.common import documents, whole
 from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
 from cardmill.llm.packing import pack_documents
+from cardmill.llm.passages import remove_repeated_passages
 from cardmill.llm.secrets import PATTERNS, scan_secrets, told
 from cardmill.llm.sharding import shard_documents
 
@@ -35,6 +36,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(documents(spark, sf_dir), 13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats")
+    )
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = whole("text").cast("binary")
     fill = F.when(F.octet_length(payload) == 0, 64).otherwise(F.pmod(-F.octet_length(payload), F.lit(64)))
@@ -88,6 +95,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_sharding": op6_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
