@@ -46,6 +46,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_heavy(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equality join with a side whose keys are unique and tell in `_count` how many rows on the left have them.
+
+    A key that holds more than a small part of one task's share would land in one task. There are at most 8 such
+    keys for each shuffle partition, so their rows are looked up from a copy in each task; the rest is shuffled.
+    """
+    partitions = shuffle_partitions(left.sparkSession)
+    total = right.agg(F.sum("_count")).first()[0] or 0
+    bound = total // (8 * partitions) + 1
+    heavy, light = right.filter(F.col("_count") > bound), right.filter(F.col("_count") <= bound)
+    few = left.join(F.broadcast(heavy.drop("_count")), on)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light.drop("_count"), on, how)
+    return few.unionByName(rest)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches, so that a task holds the Python objects of few texts at a time."""
     for batch in batches:

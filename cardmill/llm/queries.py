@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.llm.common import documents, whole
+from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
 from cardmill.llm.packing import pack_documents
 from cardmill.llm.passages import remove_repeated_passages
+from cardmill.llm.quality import quality_rules
 from cardmill.llm.secrets import PATTERNS, scan_secrets, told
 from cardmill.llm.sharding import shard_documents
+from cardmill.llm.simhash import hexadecimal, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +45,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id"
+    )
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = whole("text").cast("binary")
     fill = F.when(F.octet_length(payload) == 0, 64).otherwise(F.pmod(-F.octet_length(payload), F.lit(64)))
@@ -89,6 +98,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_runs(documents(spark, sf_dir), 3)
+    return kept.select(
+        "doc_id",
+        (F.col("n_chars") - F.char_length(whole("text"))).alias("n_removed_chars"),
+        F.sha2(whole("text"), 256).alias("kept_sha256"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), default_vocabulary(), 1024, 2)
 
@@ -96,8 +118,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
