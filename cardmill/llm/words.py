@@ -31,6 +31,8 @@ class Words:
     text: np.ndarray
     #: For each text the index of its first word, and the number of all words at the end.
     first: np.ndarray
+    #: For each wanted length a hash of the word's first bytes, at most so many.
+    prefixes: tuple[np.ndarray, ...] = ()
 
 
 def powers(count: int) -> np.ndarray:
@@ -39,12 +41,12 @@ def powers(count: int) -> np.ndarray:
     return np.multiply.accumulate(base)
 
 
-def slices(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def slices(data: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(data):
         end = min(len(data), start + SLICE)
         while end < len(data):
-            gaps = np.flatnonzero(SPACE[data[end : end + 4096]])
+            gaps = np.flatnonzero(gap[data[end : end + 4096]])
             if len(gaps):
                 end += int(gaps[0])
                 break
@@ -53,14 +55,16 @@ def slices(data: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def words_of(texts: list[bytes], *, lower: bool = False) -> Words:
-    """Hash each word of each text; equal words have equal hashes wherever they are."""
+def words_of(
+    texts: list[bytes], *, lower: bool = False, gap: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()
+) -> Words:
+    """Hash each word of each text; equal words have equal hashes wherever they are. `gap` marks the separators."""
     joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    hashes, places, power = [], [], powers(256)
-    for start, end in slices(joined):
+    hashes, places, heads, power = [], [], [[] for _ in prefixes], powers(256)
+    for start, end in slices(joined, gap):
         data = joined[start:end]
-        letters = np.flatnonzero(~SPACE[data])
+        letters = np.flatnonzero(~gap[data])
         if not len(letters):
             continue
         opens = np.flatnonzero(np.diff(letters, prepend=-2) != 1)
@@ -69,13 +73,17 @@ def words_of(texts: list[bytes], *, lower: bool = False) -> Words:
             power = powers(2 * longest)
         within = np.arange(len(letters)) - np.repeat(opens, lengths)
         values = (LOWER[data[letters]] if lower else data[letters]).astype(np.uint64) + np.uint64(1)
-        hashes.append(mix(np.add.reduceat(values * power[within], opens) + lengths.astype(np.uint64)))
+        values *= power[within]
+        hashes.append(mix(np.add.reduceat(values, opens) + lengths.astype(np.uint64)))
         places.append(letters[opens] + start)
-    if not hashes:
-        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
-    at = np.concatenate(places)
+        for head, length in zip(heads, prefixes, strict=True):
+            early = np.where(within < length, values, np.uint64(0))
+            head.append(mix(np.add.reduceat(early, opens) + np.uint64(length << 40)))
+    none = np.zeros(0, np.uint64)
+    at = np.concatenate([np.zeros(0, np.int64), *places])
     first = np.searchsorted(at, begins)
-    return Words(np.concatenate(hashes), np.repeat(np.arange(len(texts)), np.diff(first)), first)
+    parts = tuple(np.concatenate([none, *head]) for head in heads)
+    return Words(np.concatenate([none, *hashes]), np.repeat(np.arange(len(texts)), np.diff(first)), first, parts)
 
 
 def windows(words: Words, width: int, factors: np.ndarray = FACTORS) -> np.ndarray:
