@@ -27,18 +27,23 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared checkpoint folder, so that a lost executor costs no earlier work.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, where all executors can read what one has written.
 
-    The folder is the session's own `spark.checkpoint.dir`. Only a local session that has none gets one; a
-    cluster without a shared folder is an error.
+    Only a local session that has none gets one; a cluster without a shared folder is an error.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows, stored in the shared folder, so that a lost executor costs no earlier work."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm.common import documents, whole
+from cardmill.llm.common import documents, labels, whole
 from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
 from cardmill.llm.packing import pack_documents
@@ -16,6 +16,7 @@ from cardmill.llm.quality import quality_rules
 from cardmill.llm.secrets import PATTERNS, scan_secrets, told
 from cardmill.llm.sharding import shard_documents
 from cardmill.llm.simhash import hexadecimal, near_duplicates
+from cardmill.llm.toxicity import fit, held_out, score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, labels(spark, sf_dir))
+    return score_documents(docs, model).select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("_threshold").alias("threshold"),
+        (F.col("_score") >= F.col("_threshold")).alias("rejected"),
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(documents(spark, sf_dir), 13).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats")
@@ -117,6 +131,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mpeg_audio": op5_mpeg_audio,

@@ -28,8 +28,12 @@ STRETCH = 1 << 16
 #: The training sample: at most so many rows of each label, with texts of at most so many bytes.
 SAMPLE_ROWS = 1600
 SAMPLE_BYTES = 1 << 15
-EPOCHS = 6
+EPOCHS = 8
+UNTOUCHED = np.float32(1e-2)
 BATCH = 32
+DROPPED = 0.3
+#: A threshold is set on at least so many rows of each label.
+LEAST_ROWS = 10
 
 
 @dataclass
@@ -120,13 +124,15 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     prepared = [features([t])[0] for t in texts]
     dense = [*model.filters, *model.bias, model.weight]
     squares = [np.full_like(p, 1e-2) for p in dense]
-    embedding_squares = np.full((BUCKETS + 1, 1), 1e-2, dtype=np.float32)
+    embedding_squares = np.full((BUCKETS + 1, 1), UNTOUCHED, dtype=np.float32)
     offset_square = 1e-2
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             rows = np.concatenate([prepared[i] for i in chosen])
+            # Words are left out at random, so that one which only stands beside stronger ones is learned too.
+            rows = np.where(rng.random((len(rows), 1)) < DROPPED, np.int32(BUCKETS), rows)
             starts = np.cumsum([0, *(len(prepared[i]) for i in chosen)])
             found = responses(model, rows)
             best = np.stack(
@@ -168,12 +174,14 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             embedding_squares[unique] += (total * total).mean(axis=1, keepdims=True)
             model.embedding[unique] -= 0.1 * total / np.sqrt(embedding_squares[unique])
             model.embedding[BUCKETS] = 0
+    # Rows that never won a window were never learned; their first random values say nothing about a text.
+    model.embedding[embedding_squares[:, 0] == UNTOUCHED] = 0
     return model
 
 
 def threshold_of(values: np.ndarray, labels: np.ndarray) -> float:
-    """The cut between scores with the best balance of precision and recall; 0.5 where one label is missing."""
-    if not len(values) or labels.min() == labels.max():
+    """The cut between scores with the best balance of precision and recall; 0.5 where a label has too few rows to tell."""
+    if min(labels.sum(), len(labels) - labels.sum()) < LEAST_ROWS:
         return 0.5
     order = np.argsort(-values, kind="stable")
     right, ranked = np.cumsum(labels[order]), values[order]
@@ -218,6 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     model = train([texts[i] for i in seen], truth[seen])
     checked = np.flatnonzero(aside)
     values = scores(model, [texts[i] for i in checked])
+    cut_at = threshold_of(values, truth[checked])
+    model.offset -= float(np.log(cut_at / (1 - cut_at)))  # so that 0.5 is the best cut for all languages together
+    values = scores(model, [texts[i] for i in checked])
     languages = np.array([rows[i]["lang"] or "" for i in checked])
     for language in sorted(set(languages.tolist())):
         own = languages == language
