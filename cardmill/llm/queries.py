@@ -12,6 +12,7 @@ from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
 from cardmill.llm.packing import pack_documents
 from cardmill.llm.passages import remove_repeated_passages
+from cardmill.llm.pieces import decode, encode_documents, load_pieces
 from cardmill.llm.quality import quality_rules
 from cardmill.llm.secrets import PATTERNS, scan_secrets, told
 from cardmill.llm.sharding import shard_documents
@@ -125,6 +126,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, pieces = documents(spark, sf_dir), load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = encode_documents(docs, pieces)
+    back = decode("ids", spark, pieces)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(back, 256).alias("decoded_sha256"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), default_vocabulary(), 1024, 2)
 
@@ -138,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
