@@ -31,9 +31,6 @@ MOST_PIECES = 1_000_000
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 
-EDGES = "array<struct<end:int,start:int,piece:int,score:double>>"
-
-
 @dataclass
 class Pieces:
     """The piece table of a model file, and what else of the model encoding needs."""
@@ -91,52 +88,30 @@ def words_of(text: str) -> list[str]:
 def best_path(edges: Column) -> Column:
     """Piece ids of the best path through a word's edges, by a fold over them in the order of their ends.
 
-    The state has for each end so far the best score, and the start and piece of the edge that gave it. Of paths with
-    equal scores the one whose last differing piece is longer wins.
+    The state has for each end so far the best score and the ids of the path that gave it. Of paths with equal scores
+    the one whose last differing piece is longer wins.
     """
 
     def step(state: Column, edge: Column) -> Column:
-        score = F.get(state, edge["start"])["score"] + edge["score"]
-        entry = F.struct(score.alias("score"), edge["start"].alias("start"), edge["piece"].alias("piece"))
-        known = (F.size(state) > edge["end"]) & (F.get(state, edge["end"])["score"] >= score)
+        before = F.get(state, edge["start"])
+        score = before["score"] + edge["score"]
+        entry = F.struct(score.alias("score"), F.concat(before["ids"], F.array(edge["piece"])).alias("ids"))
+        known = F.coalesce(F.get(state, edge["end"])["score"] >= score, F.lit(False))
         return F.when(known, state).otherwise(F.concat(F.slice(state, 1, edge["end"]), F.array(entry)))
 
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("piece")))
-    states = F.aggregate(F.sort_array(edges), first, step)
-
-    def back(walk: Column, _: Column) -> Column:
-        here = F.get(walk["states"], walk["at"])
-        on = F.struct(walk["states"], here["start"].alias("at"), F.concat(F.array(here["piece"]), walk["ids"]).alias("ids"))
-        return F.when(walk["at"] > 0, on).otherwise(walk)
-
-    begin = F.struct(
-        states.alias("states"), (F.size(states) - 1).alias("at"), F.array().cast("array<int>").alias("ids")
-    )
-    # `states` is laid out once, as the start of the second fold; that fold takes a step for each end at most.
-    return F.aggregate(edges, begin, back, lambda walk: walk["ids"])
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    return F.aggregate(F.sort_array(edges), first, step, lambda state: F.element_at(state, -1)["ids"])
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) for distinct words: substrings up to the longest piece, joined to the pieces, folded by word."""
     spark = words.sparkSession
     table = spark.createDataFrame(pieces.rows, "_piece string, _id int, _score double")
-    starts = F.sequence(F.lit(0), F.char_length("word") - 1)
-    spans = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - s)),
-                lambda n: F.struct(s.alias("start"), n.alias("length")),
-            ),
-        )
-    )
-    exploded = words.filter(F.char_length("word") > 0).select("word", F.explode(spans).alias("span"))
-    exploded = exploded.select(
-        "word",
-        F.col("span.start").alias("start"),
-        F.col("span.length").alias("length"),
-        F.substring("word", F.col("span.start") + 1, F.col("span.length")).alias("_piece"),
-    )
+    length = F.char_length("word")
+    starts = words.filter(length > 0).select("word", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
+    ends = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), length - F.col("start")))
+    spans = starts.select("word", "start", F.explode(ends).alias("length"))
+    exploded = spans.withColumn("_piece", F.substring("word", F.col("start") + 1, F.col("length")))
     # A single character without a piece is an edge too, so every word has a path.
     edges = exploded.join(F.broadcast(table), "_piece", "left").filter(F.col("_id").isNotNull() | (F.col("length") == 1))
     edge = F.struct(
