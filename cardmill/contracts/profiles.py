@@ -15,13 +15,13 @@ from cardmill.contracts.shapes import (
     integer,
     listing,
     record,
+    self_listing,
     text,
 )
 
 # Fixed value: release part of the schema name the declared contract asks for. It is
 # older than the release written on export, so exported dataset cards break this rule.
 DECLARED_RELEASE = "2025-03"
-SUBSET_LEVELS = 4
 
 TEXT = text()
 EMAIL = text(format="email")
@@ -117,10 +117,10 @@ AGE_BOUND = listing(
 )
 
 
-def subset(levels: int) -> Shape:
-    """A group of patients; its field Subset lists groups within it."""
+def subset() -> Shape:
+    """A group of patients; its field Subset lists groups within it, down to any depth."""
     counts = ("Site count", "Patient count", "Exam count", "Series count", "Image count")
-    return record(
+    group = record(
         dict.fromkeys(counts, COUNT)
         | {
             "Age range": listing(AGE_BOUND, min_items=2, max_items=2),
@@ -129,9 +129,8 @@ def subset(levels: int) -> Shape:
         }
         | texts("Criterion", "Comments")
         | {"Subset": listing()},
-        repeats="Subset",
-        levels=levels,
     )
+    return self_listing(group, "Subset")
 
 
 def dataset_section(one_subset: Shape, *, values_on_items: bool = False) -> Shape:
@@ -204,14 +203,13 @@ def declared_dataset(
     *,
     values_on_items: bool = False,
     release: str = DECLARED_RELEASE,
-    levels: int = SUBSET_LEVELS,
 ) -> Shape:
     """Rules for a whole nested dataset card; family starts the schema name."""
     return record(
         {
             "$schema": Shape(constant=f"{family}-dataset-{release}.json"),
             "Card": CARD,
-            "Dataset": dataset_section(subset(levels), values_on_items=values_on_items),
+            "Dataset": dataset_section(subset(), values_on_items=values_on_items),
         },
         required=("$schema", "Dataset"),
     )
@@ -225,9 +223,10 @@ def form_shape(shape: Shape) -> Shape:
     """Rules an entry form keeps of a shape: combined rules become plain text."""
     if shape.one_of or shape.condition is not None or shape.key_pattern is not None:
         return TEXT
-    if shape.repeats:
-        inner = shape.fields | {shape.repeats: listing(TEXT)}
-        return form_shape(shape.with_(fields=inner, repeats=None))
+    if shape.loop is not None:
+        inner, routes = shape.loop.members[shape.loop.entry]
+        again = {steps[0]: listing(TEXT) if len(steps) > 1 else TEXT for steps, _ in routes}
+        return form_shape(inner.with_(fields=inner.fields | again))
     if shape.types == ("array",) and shape.items is not None:
         long_list = len(shape.items.values) > LONG_VALUE_LIST
         return shape.with_(items=form_shape(shape.items), unique=shape.unique or long_list)
@@ -244,7 +243,7 @@ def form_section(section: Shape) -> Shape:
 
 def form_dataset() -> Shape:
     """Form rules of the declared dataset section; a subset within a subset is a text."""
-    return form_section(dataset_section(subset(SUBSET_LEVELS)))
+    return form_section(dataset_section(subset()))
 
 
 # The rules a form falls back to when a schema cannot be used.

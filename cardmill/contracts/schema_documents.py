@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
-from cardmill.contracts.profiles import FALLBACK_SECTION, SUBSET_LEVELS, TEXT, form_section
-from cardmill.contracts.shapes import TOO_DEEP, Shape
+from cardmill.contracts.profiles import FALLBACK_SECTION, LONG_VALUE_LIST, TEXT
+from cardmill.contracts.shapes import UNSET, Loop, Route, Shape, record
 
 # Keywords that carry a rule, by the shape attribute that holds a plain value.
 PLAIN = {
@@ -23,93 +24,187 @@ PLAIN = {
     "pattern": "pattern",
     "uniqueItems": "unique",
 }
-INNER = {"if": "condition", "items": "items", "then": "then", "else": "otherwise"}
+INNER = {"if": "condition", "then": "then", "else": "otherwise"}
 # Keywords that describe and never fail a value.
 SILENT = {"$comment", "$defs", "$id", "$schema", "description", "examples", "title"}
 SILENT_WHEN_TRUE = {"additionalProperties", "items", "unevaluatedItems"}
-CHECKED_FORMATS = {"date", "email", "uri"}
+CHECKED_FORMATS = {"date", "date-time", "email", "time", "uri", "uuid"}
+REFERENCE = "#/$defs/"
 
 
-def shape_from_document(document: dict[str, Any], levels: int = SUBSET_LEVELS) -> Shape:
-    """Shape of a whole card. Raises ValueError on a rule that is not supported."""
-    return _shape(document, document.get("$defs", {}), (), levels)
+def shape_from_document(document: dict[str, Any]) -> Shape:
+    """Shape of a whole card. Raises ValueError on a rule that is not supported, so that none is skipped."""
+    return Reader(document.get("$defs", {})).shape(document)
+
+
+def references(node: Any) -> Iterator[str]:
+    if isinstance(node, dict):
+        if isinstance(node.get("$ref"), str):
+            yield node["$ref"].removeprefix(REFERENCE)
+        for key, value in node.items():
+            if key not in ("const", "default", "enum", "examples"):
+                yield from references(value)
+    elif isinstance(node, list):
+        for value in node:
+            yield from references(value)
+
+
+class Reader:
+    """Reads the nodes of one document; a definition that comes back inside itself becomes a loop."""
+
+    def __init__(self, definitions: dict[str, Any]):
+        self.definitions = definitions
+        self.reach = {name: self.reached(name) for name in definitions}
+
+    def reached(self, name: str) -> set[str]:
+        seen: set[str] = set()
+        open_ = [name]
+        while open_:
+            for other in references(self.definitions[open_.pop()]):
+                if other in self.definitions and other not in seen:
+                    seen.add(other)
+                    open_.append(other)
+        return seen
+
+    def shape(self, node: Any) -> Shape:
+        return Walk(self, frozenset(), []).shape(node, ())
+
+    def loop(self, name: str) -> Shape:
+        """The definition with all that take turns with it, each read once."""
+        group = frozenset(n for n in self.reach[name] if name in self.reach[n]) | {name}
+        members = {}
+        for member in sorted(group):
+            walk = Walk(self, group, [])
+            shape = walk.shape(self.definitions[member], ())
+            members[member] = (shape, tuple(walk.routes))
+        return Shape(loop=Loop(name, members))
+
+
+class Walk:
+    """One definition's own rules; values of the group's definitions in it are noted as routes."""
+
+    def __init__(self, reader: Reader, group: frozenset[str], routes: list[Route]):
+        self.reader, self.group, self.routes = reader, group, routes
+
+    def shape(self, node: Any, steps: tuple[str | int, ...] | None) -> Shape:
+        """steps is the way from the definition, None where a value can't be singled out by a way."""
+        if node is True:
+            return Shape()
+        if node is False:
+            return Shape(never=True)
+        own = self.plain({k: v for k, v in node.items() if k != "$ref"}, steps)
+        if "$ref" not in node:
+            return own
+        return merged(self.reference(node["$ref"], steps), own)
+
+    def reference(self, ref: str, steps: tuple[str | int, ...] | None) -> Shape:
+        name, reader = ref.removeprefix(REFERENCE), self.reader
+        if name not in reader.definitions:
+            raise ValueError(f"unknown reference: {ref}")
+        if name in self.group:
+            if not steps:
+                raise ValueError(f"{name} comes back where no way leads to it")
+            self.routes.append((steps, name))
+            return Shape()
+        if name in reader.reach[name]:
+            return reader.loop(name)
+        return self.shape(reader.definitions[name], steps)
+
+    def plain(self, node: dict[str, Any], steps: tuple[str | int, ...] | None) -> Shape:
+        def inside(*more: str | int) -> tuple[str | int, ...] | None:
+            return None if steps is None else (*steps, *more)
+
+        found: dict[str, Any] = {}
+        for keyword, value in node.items():
+            if keyword in SILENT or (keyword in SILENT_WHEN_TRUE and value is True):
+                continue
+            if keyword == "format" and value not in CHECKED_FORMATS:
+                raise ValueError(f"format not supported: {value}")
+            if keyword in PLAIN:
+                found[PLAIN[keyword]] = value
+            elif keyword in INNER:
+                found[INNER[keyword]] = self.shape(value, None)
+            elif keyword == "items":
+                found["items"] = self.shape(value, inside(len(node.get("prefixItems", ()))))
+            elif keyword == "type":
+                found["types"] = (value,) if isinstance(value, str) else tuple(value)
+            elif keyword == "enum":
+                found["values"] = tuple(value)
+            elif keyword == "required":
+                found["required"] = tuple(value)
+            elif keyword == "properties":
+                found["fields"] = {name: self.shape(rule, inside(name)) for name, rule in value.items()}
+            elif keyword == "additionalProperties" and value is False:
+                found["closed"] = True
+            elif keyword == "patternProperties" and len(value) == 1:
+                (found["key_pattern"], rule), = value.items()
+                found["key_shape"] = self.shape(rule, None)
+            elif keyword == "prefixItems":
+                found["lead"] = tuple(self.shape(rule, None) for rule in value)
+            elif keyword == "oneOf":
+                found["one_of"] = tuple(self.shape(rule, None) for rule in value)
+            else:
+                raise ValueError(f"rule not supported: {keyword}")
+        return Shape(**found)
+
+
+def merged(base: Shape, beside: Shape) -> Shape:
+    """The rules of a reference and those that stand beside it; the same rule twice is refused."""
+    plain = Shape()
+    given = {n: v for n, v in vars(beside).items() if v is not getattr(plain, n) and v != getattr(plain, n)}
+    given |= {"constant": None} if beside.constant is None else {}
+    for name in given:
+        held = getattr(base, name)
+        if held is not UNSET and held != getattr(plain, name) and name != "default":
+            raise ValueError(f"rule given beside a reference that has it too: {name}")
+    if given.keys() & {"fields", "closed", "key_pattern"} and base.loop is not None:
+        raise ValueError("fields given beside a reference that comes back inside itself")
+    return base.with_(**given)
+
+
+# ---- form rules ----------------------------------------------------------------
+
+# Any of these makes a value a plain text in a form.
+COMBINED = ("anyOf", "oneOf", "allOf", "if", "then", "else", "patternProperties")
+# What a form keeps of a value; all else is left to the declared rules.
+FORM_KEPT = (*PLAIN, "type", "enum", "required")
 
 
 def form_from_document(document: dict[str, Any], card_type: str) -> Shape:
-    """Form rules of a card type's section; only the name is asked for when there is none.
+    """Form rules of a card type's section; only the name is asked for where there is none or it can't be read.
 
-    A definition within itself becomes a plain text, so nothing is unrolled here.
+    A value with combined rules, or a definition within itself, becomes a plain text.
     """
     definitions = document.get("$defs", {})
-    if card_type not in definitions:
+    try:
+        section = definitions[card_type]
+        fields = {name: form_value(rule, definitions, ()) for name, rule in section["properties"].items()}
+        return record(fields, closed=False, required=tuple(section.get("required", ())))
+    except (AttributeError, KeyError, TypeError, ValueError):
         return FALLBACK_SECTION
-    return form_section(_shape(definitions[card_type], definitions, (), levels=None))
-
-
-def _definition(
-    name: str, definitions: dict[str, Any], opened: tuple[str, ...], levels: int | None
-) -> Shape:
-    """A named definition. One that lists itself in a field is kept as repeating."""
-    node = definitions[name]
-    own = [
-        key
-        for key, rule in node.get("properties", {}).items()
-        if isinstance(rule, dict) and rule.get("items", {}) != {} and rule.get("type") == "array"
-        and isinstance(rule["items"], dict) and rule["items"].get("$ref") == f"#/$defs/{name}"
-    ]
-    if levels is None or len(own) != 1:
-        return _shape(node, definitions, (*opened, name), levels)
-    rest = {k: v for k, v in node["properties"][own[0]].items() if k != "items"}
-    flat = node | {"properties": node["properties"] | {own[0]: rest}}
-    shape = _shape(flat, definitions, (*opened, name), levels)
-    return shape.with_(repeats=own[0], levels=levels)
-
-
-def _shape(
-    node: Any, definitions: dict[str, Any], opened: tuple[str, ...], levels: int | None
-) -> Shape:
-    def inner(value: Any) -> Shape:
-        return _shape(value, definitions, opened, levels)
-
-    if node is True:
-        return Shape()
+
+
+def form_value(node: Any, definitions: dict[str, Any], opened: tuple[str, ...]) -> Shape:
+    if isinstance(node, bool):
+        return Shape() if node else Shape(never=True)
     if "$ref" in node:
-        name = node["$ref"].removeprefix("#/$defs/")
-        if name not in definitions:
-            raise ValueError(f"unknown reference: {node['$ref']}")
-        if levels is None and name in opened:
+        name = node["$ref"].removeprefix(REFERENCE)
+        if name in opened:
             return TEXT
-        if levels is not None and opened.count(name) >= levels:
-            return TOO_DEEP
-        return _definition(name, definitions, opened, levels)
-
-    found: dict[str, Any] = {}
-    for keyword, value in node.items():
-        if keyword in SILENT or (keyword in SILENT_WHEN_TRUE and value is True):
-            continue
-        if keyword == "format" and value not in CHECKED_FORMATS:
-            continue
-        if keyword in PLAIN:
-            found[PLAIN[keyword]] = value
-        elif keyword in INNER:
-            found[INNER[keyword]] = inner(value)
-        elif keyword == "type":
-            found["types"] = (value,) if isinstance(value, str) else tuple(value)
-        elif keyword == "enum":
-            found["values"] = tuple(value)
-        elif keyword == "required":
-            found["required"] = tuple(value)
-        elif keyword == "properties":
-            found["fields"] = {name: inner(rule) for name, rule in value.items()}
-        elif keyword == "additionalProperties" and value is False:
-            found["closed"] = True
-        elif keyword == "patternProperties" and len(value) == 1:
-            (found["key_pattern"], rule), = value.items()
-            found["key_shape"] = inner(rule)
-        elif keyword == "prefixItems":
-            found["lead"] = tuple(inner(rule) for rule in value)
-        elif keyword == "oneOf":
-            found["one_of"] = tuple(inner(rule) for rule in value)
-        else:
-            raise ValueError(f"rule not supported: {keyword}")
-    return Shape(**found)
+        if name in definitions:
+            return form_value(definitions[name], definitions, (*opened, name))
+    if any(node.get(k) for k in COMBINED) or isinstance(node.get("additionalProperties"), dict):
+        return TEXT
+    held = {k: v for k, v in node.items() if k in FORM_KEPT and (k != "format" or v in CHECKED_FORMATS)}
+    shape = Walk(Reader({}), frozenset(), []).plain(held, None)
+    if node.get("additionalProperties") is False:
+        shape = shape.with_(closed=True)
+    if "items" in node and node.get("type") == "array":
+        items = form_value(node["items"], definitions, opened)
+        shape = shape.with_(items=items, unique=shape.unique or len(items.values) > LONG_VALUE_LIST)
+    if node.get("prefixItems"):
+        shape = shape.with_(lead=tuple(form_value(x, definitions, opened) for x in node["prefixItems"]))
+    if node.get("properties") and node.get("type") == "object":
+        fields = {name: form_value(rule, definitions, opened) for name, rule in node["properties"].items()}
+        shape = shape.with_(fields=fields)
+    return shape

@@ -7,13 +7,34 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 
+class Unset:
+    """Stands for a rule that is not given, as null is a value."""
+
+    def __repr__(self) -> str:
+        return "UNSET"
+
+
+UNSET = Unset()
+
+# A way from a value to values of a recursive shape in it: field names, and for lists the first item's number.
+Route = tuple[tuple[str | int, ...], str]
+
+
+@dataclass(frozen=True)
+class Loop:
+    """A recursive shape: the rules of each shape that takes part, and where it holds others of them."""
+
+    entry: str
+    members: Mapping[str, tuple[Shape, tuple[Route, ...]]]
+
+
 @dataclass(frozen=True)
 class Shape:
     """Rules for one value. Rules that do not apply to its JSON type pass."""
 
     types: tuple[str, ...] = ()
     values: tuple[Any, ...] = ()
-    constant: Any = None
+    constant: Any = UNSET
     # objects
     fields: Mapping[str, Shape] = field(default_factory=dict)
     required: tuple[str, ...] = ()
@@ -41,11 +62,10 @@ class Shape:
     condition: Shape | None = None
     then: Shape | None = None
     otherwise: Shape | None = None
-    # name of a field that lists values of this same shape, down to so many levels
-    repeats: str | None = None
-    levels: int = 0
-    # beyond the levels a recursive shape is written out to
-    too_deep: bool = False
+    # rules that come back inside the value, down to any depth
+    loop: Loop | None = None
+    # no value passes
+    never: bool = False
     default: Any = None
 
     def with_(self, **changes: Any) -> Shape:
@@ -76,4 +96,6 @@ def listing(items: Shape | None = None, **rules: Any) -> Shape:
     return Shape(types=("array",), items=items, **rules)
 
 
-TOO_DEEP = Shape(too_deep=True)
+def self_listing(shape: Shape, field_name: str) -> Shape:
+    """A shape whose field lists values of the same shape."""
+    return Shape(loop=Loop("", {"": (shape, (((field_name, 0), ""),))}))

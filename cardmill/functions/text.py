@@ -44,16 +44,27 @@ def first_paragraph(text: Column) -> Column:
 
 
 def leading_integer(text: Column) -> Column:
-    """Integer at the start of a text (decimal, or hexadecimal after 0x), else NULL.
+    """Integer at the start of a text (decimal, or hexadecimal after 0x) as VARIANT, else NULL.
 
-    The result is a decimal of 38 digits; longer digit runs give NULL.
+    Up to 38 digits it is exact; a longer run of digits gives the nearest double, as does one of more
+    than 15 hexadecimal digits, and JSON null where no double is large enough.
     """
-    hexa = F.regexp_extract(text, rf"\A{SPACE}*[+-]?0[xX]([0-9a-fA-F]+)", 1)
+    hexa = F.regexp_extract(text, rf"\A{SPACE}*[+-]?0[xX]0*([0-9a-fA-F]+)", 1)
     sign = F.when(text.rlike(rf"\A{SPACE}*-"), F.lit(-1)).otherwise(F.lit(1))
     digits = F.regexp_extract(text, rf"\A{SPACE}*([+-]?[0-9]+)", 1)
+    exact_hexa = F.when(F.length(hexa) <= 15, F.conv(hexa, 16, 10).try_cast("bigint") * sign)
+    folded = F.aggregate(
+        F.split(hexa, ""), F.lit(0.0), lambda sum_, digit: sum_ * 16 + F.conv(digit, 16, 10).try_cast("double")
+    )
     return F.when(
-        hexa != "", F.conv(hexa, 16, 10).try_cast("decimal(38,0)") * sign
-    ).otherwise(digits.try_cast("decimal(38,0)")).cast("decimal(38,0)")
+        hexa != "", F.coalesce(exact_hexa.cast("variant"), finite(folded * sign))
+    ).otherwise(F.coalesce(digits.try_cast("decimal(38,0)").cast("variant"), finite(digits.try_cast("double"))))
+
+
+def finite(number: Column) -> Column:
+    """A double as VARIANT; JSON null where it is infinite or no number."""
+    beyond = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
+    return F.when(beyond, F.parse_json(F.lit("null"))).otherwise(number.cast("variant"))
 
 
 def utf16_length(text: Column) -> Column:

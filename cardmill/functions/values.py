@@ -17,6 +17,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.functions.json_text import number_text, odd_number
+
 Path = tuple[str, ...]
 
 
@@ -187,6 +189,12 @@ def first_truthy(*choices: Field, default: Any = None) -> Column:
     return F.coalesce(*found)
 
 
+def scalar_text(field: Field) -> Column:
+    """Strings as they are, numbers as they print in a text."""
+    odd = odd_number(field.any_text) & ~field.is_string
+    return F.when(odd, number_text(field.any_text)).otherwise(field.any_text)
+
+
 def as_text(field: Field) -> Column:
     """Text of any value as it reads inside a larger text; lists are comma-joined."""
     joined = F.array_join(
@@ -194,13 +202,13 @@ def as_text(field: Field) -> Column:
             field.items,
             lambda x: F.when(F.is_variant_null(x), F.lit(""))
             .when(Field(x).is_object, F.lit("[object Object]"))
-            .otherwise(F.try_variant_get(x, "$", "string")),
+            .otherwise(scalar_text(Field(x))),
         ),
         ",",
     )
     nested = F.substring(field.any_text, 1, 1).isin("[", "{") & ~field.is_string
     return F.when(nested, F.coalesce(joined, F.lit("[object Object]"))).otherwise(
-        field.any_text
+        scalar_text(field)
     )
 
 

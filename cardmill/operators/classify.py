@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardmill.functions.fence import fence
 from cardmill.functions.text import utf16_length
+from cardmill.functions.json_text import compact_json
 from cardmill.functions.values import Field, Fields, Record, as_text, json_path
 
 # Keys that identify a card and the texts shown for it.
@@ -81,7 +82,7 @@ def card_preview(cards: DataFrame) -> DataFrame:
         {
             "format_text": F.upper("format"),
             "type_text": F.concat(title, F.lit(" Card")),
-            "size_chars": utf16_length(F.to_json(doc)),
+            "size_chars": utf16_length(compact_json(doc)),
             "schema_text": F.when(schema.truthy, as_text(schema)).otherwise(NO_SCHEMA_TEXT),
         }
     )

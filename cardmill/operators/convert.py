@@ -19,8 +19,6 @@ from cardmill.functions.fence import fence
 from cardmill.functions.text import (
     PARAGRAPH,
     first_paragraph,
-    join_present,
-    labelled,
     labelled_text,
     leading_integer,
 )
@@ -31,6 +29,7 @@ from cardmill.functions.values import (
     Record,
     as_object,
     as_text,
+    backticked,
     first_truthy,
     leaves,
     literal,
@@ -73,8 +72,11 @@ def bad_text(field: Field) -> Column:
 
 def pack(card: Record, packed: Packed) -> Column:
     parts = [truthy_text(card.at(name)) for name in packed.lead]
-    parts += [labelled(label, truthy_text(card.at(name))) for label, name in packed.labelled]
-    return join_present(PARAGRAPH, *parts)
+    # A truthy value gets its label even where its text is empty, as that of [] is.
+    parts += [
+        F.concat(F.lit(f"{label}: "), truthy_text(card.at(name))) for label, name in packed.labelled
+    ]
+    return F.concat_ws(PARAGRAPH, *parts)
 
 
 def infer_codes(
@@ -235,7 +237,7 @@ def nested_dataset(card: Record) -> Mapped:
     places[("Composition", "Data type")] = literal(DATA_TYPES)
     count = card.at("number_of_instances")
     places[("Composition", "Number of instances")] = F.when(
-        count.truthy, leading_integer(as_text(count)).cast("variant")
+        count.truthy, leading_integer(as_text(count))
     ).otherwise(literal(0))
     partitions = card.at("partitions")
     places[("Subsets",)] = F.when(
@@ -372,8 +374,9 @@ def flat_to_nested(
 def nested_to_flat(
     cards: DataFrame, section: str = "section", into: str = "flat", card_type: str = "card_type"
 ) -> DataFrame:
-    """Add the flat card of nested sections; NULL for other card types."""
-    kind, record = F.col(card_type), NESTED.record("nested")
+    """Add the flat card of nested sections; NULL for other card types and where there is no section."""
+    kind = F.when(F.col(backticked(section)).isNotNull(), F.col(card_type))
+    record = NESTED.record("nested")
     mapped = {"model": flat_model(record), "dataset": flat_dataset(record)}
     staged = NESTED.stage(cards, "nested", F.col(section))
     return fence(NESTED.unstage(assemble(staged, into, mapped, kind), "nested"), into)
@@ -424,7 +427,7 @@ EXPORT_RELEASE = "2025-05"
 def wrap_envelope(
     section: Column, card_type: Column, family: str, release: str = EXPORT_RELEASE
 ) -> Column:
-    """Whole nested card around a section; family is the first part of the schema name."""
+    """Whole nested card around a section, NULL around none; family is the first part of the schema name."""
 
     def envelope(kind: str) -> Column:
         return as_object(
@@ -434,6 +437,7 @@ def wrap_envelope(
             }
         )
 
-    return F.when(card_type == "model", envelope("model")).when(
-        card_type == "dataset", envelope("dataset")
+    given = section.isNotNull()
+    return F.when(given & (card_type == "model"), envelope("model")).when(
+        given & (card_type == "dataset"), envelope("dataset")
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 64
 
 
 def fits_broadcast(
@@ -20,27 +19,38 @@ def fits_broadcast(
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    *,
-    spread: str,
-    broadcast: bool | None = None,
-    salts: int = SALTS,
+    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", *, shuffle: bool | None = None
 ) -> DataFrame:
-    """Join on keys: broadcast a lookup that was measured as small, else salt.
+    """Join on keys (left, inner, left_semi or left_anti): broadcast a lookup that was measured as small, else shuffle.
 
-    In the salted join every fact row goes to one of `salts` parts of its key, taken
-    from the hash of the `spread` column (a row id), and the lookup is repeated once
-    per part. A key that holds a third of the rows is then spread over many tasks,
-    and so are rows whose key is NULL. The hash makes a rerun task give the same rows.
+    shuffle says which way to go where the lookup was measured before; False measures nothing and is for a
+    lookup whose size is known to be bounded.
     """
-    if broadcast is None:
-        broadcast = fits_broadcast(lookup)
-    if broadcast:
+    if shuffle is None:
+        shuffle = not fits_broadcast(lookup)
+    if not shuffle:
         return facts.join(F.broadcast(lookup), keys, how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    salted_lookup = lookup.withColumn("_salt", parts)
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return skewed_join(facts, lookup, keys, how)
+
+
+def skewed_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A shuffled join in which no key of the facts is too large for a task.
+
+    The most frequent keys, a few for each shuffle partition, are looked up from a copy in every task. Any other
+    key holds less than a task's share of the rows. Rows with a NULL key match nothing and are not shuffled.
+    Send only the columns that are needed through it: each of them is shuffled.
+    """
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = F.lit(True)
+    for key in keys:
+        given = given & F.col(key).isNotNull()
+    whole = facts.filter(given)
+    counts = whole.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = counts.orderBy(F.desc("_rows"), *keys).limit(4 * partitions).select(*keys)
+    few = lookup.join(F.broadcast(hot), keys, "left_semi")
+    at_hand = whole.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
+    rest = whole.join(F.broadcast(hot), keys, "left_anti").join(lookup.hint("merge"), keys, how)
+    joined = at_hand.unionByName(rest)
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(facts.filter(~given), allowMissingColumns=True)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.contracts.schema_documents import shape_from_document
+from cardmill.contracts.shapes import Shape
 from cardmill.functions.fence import fence
+from cardmill.functions.session import scratch_path
 from cardmill.functions.values import Fields, Record, as_text
 from cardmill.operators.classify import SECTION_KEY
 from cardmill.operators.lookup import lookup_join
+from cardmill.operators.validate import validate
 
 # What is shown for a schema.
 BASE_SOURCE = "base"
@@ -51,77 +57,122 @@ def check_registry(registry: DataFrame) -> DataFrame:
     return fence(SCHEMA.unstage(checked, "schema"), "usable", "version", "description")
 
 
-def one_per_source(checked: DataFrame) -> DataFrame:
-    """One usable schema per card type and source, so that a join repeats no card."""
-    newest = F.max(F.struct("version", "description"))
-    return (
-        checked.filter("usable")
-        .groupBy("card_type", "source")
-        .agg(newest.alias("newest"))
-        .select("card_type", "source", "newest.version", "newest.description")
-    )
+def one_per_source(checked: DataFrame, order: str | None = None) -> DataFrame:
+    """One schema per card type and source, so that a join repeats no card.
+
+    Of several rows the one with the largest value in the column `order` counts. Without such a column nothing
+    tells which is newer, so a source with different rows is left out like one that can't be used. Base schemas
+    count as they are, custom ones only with the structure that a schema must have.
+    """
+    loaded = F.col("document").isNotNull()
+    fit = checked.filter(loaded & (F.col("usable") | (F.col("source") == BASE_SOURCE)))
+    entry = F.struct("version", "description", F.to_json("document").alias("document"))
+    if order is not None:
+        chosen = fit.groupBy("card_type", "source").agg(F.max_by(entry, F.col(order)).alias("one"))
+    else:
+        low, high = F.min(entry).alias("one"), F.max(entry).alias("other")
+        chosen = fit.groupBy("card_type", "source").agg(low, high).filter("one = other")
+    return chosen.select("card_type", "source", "one.*")
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """A small table written once, so that what it was made from is not read again for each use."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def resolve_schema(
     cards: DataFrame,
     registry: DataFrame,
     *,
-    id_column: str,
     source_column: str = "schema_source",
-    broadcast: bool | None = None,
+    order: str | None = None,
+    shuffle: bool | None = None,
 ) -> DataFrame:
     """Add the schema a card is checked with: its own if usable, else the base schema.
 
-    Adds schema_text, schema_version, schema_description, is_custom and schema_found.
-    schema_found is false where not even a base schema exists, so that a missing
-    schema is visible. Only names and versions are joined, not the documents.
+    Adds schema_text, schema_version, schema_description, is_custom and schema_found. schema_found is false
+    where not even a base schema exists, so that a missing schema is visible. The registry is checked once;
+    only names and versions are joined, in one join. Base schemas, one for each card type, become constants.
     """
-    sources = one_per_source(check_registry(registry))
+    sources = stored(one_per_source(check_registry(registry), order), "registry").drop("document")
+    return with_schema(cards, sources, source_column, shuffle)
+
+
+def with_schema(
+    cards: DataFrame, sources: DataFrame, source_column: str, shuffle: bool | None
+) -> DataFrame:
     custom = sources.filter(F.col("source") != BASE_SOURCE).select(
         "card_type",
         F.col("source").alias(source_column),
         F.col("version").alias("_custom_version"),
         F.col("description").alias("_custom_description"),
     )
-    base = sources.filter(F.col("source") == BASE_SOURCE).select(
-        "card_type",
-        F.col("version").alias("_base_version"),
-        F.col("description").alias("_base_description"),
-    )
-    joined = lookup_join(
-        cards,
-        custom,
-        ["card_type", source_column],
-        spread=id_column,
-        broadcast=broadcast,
-    )
-    # One base row per card type, of which there are two.
-    joined = lookup_join(joined, base, ["card_type"], spread=id_column, broadcast=broadcast)
+    base_version = base_description = F.lit(None).cast("string")
+    for row in sources.filter(F.col("source") == BASE_SOURCE).filter(F.col("card_type").isin(*SECTION_KEY)).collect():
+        own = F.col("card_type") == row["card_type"]
+        base_version = F.when(own, row["version"]).otherwise(base_version)
+        base_description = F.when(own, row["description"]).otherwise(base_description)
+    joined = lookup_join(cards, custom, ["card_type", source_column], shuffle=shuffle)
     is_custom = F.col("_custom_version").isNotNull()
     return joined.withColumns(
         {
             "schema_text": F.when(is_custom, F.col(source_column)).otherwise(BASE_TEXT),
-            "schema_version": F.coalesce("_custom_version", "_base_version", F.lit(NO_VERSION)),
-            "schema_description": F.coalesce(
-                "_custom_description", "_base_description", F.lit("")
-            ),
+            "schema_version": F.coalesce("_custom_version", base_version, F.lit(NO_VERSION)),
+            "schema_description": F.coalesce("_custom_description", base_description, F.lit("")),
             "is_custom": is_custom,
-            "schema_found": is_custom | F.col("_base_version").isNotNull(),
+            "schema_found": is_custom | base_version.isNotNull(),
         }
-    ).drop("_custom_version", "_custom_description", "_base_version", "_base_description")
+    ).drop("_custom_version", "_custom_description")
 
 
-def unknown_codes(
+# Each schema adds its rules to the plan; more schemas are checked in several runs over parts of the cards.
+MOST_SCHEMAS = 200
+
+
+def registry_shapes(sources: DataFrame) -> dict[tuple[str, str], Shape]:
+    """The shapes of all schemas that can be read, by card type and source."""
+    rows = sources.select("card_type", "source", "document").limit(MOST_SCHEMAS + 1).collect()
+    if len(rows) > MOST_SCHEMAS:
+        raise ValueError(f"more than {MOST_SCHEMAS} schemas in one run")
+    shapes = {}
+    for row in rows:
+        try:
+            shapes[row["card_type"], row["source"]] = shape_from_document(json.loads(row["document"]))
+        except (AttributeError, KeyError, TypeError, ValueError):
+            continue
+    return shapes
+
+
+def check_by_registry(
     cards: DataFrame,
-    vocabulary: DataFrame,
+    registry: DataFrame,
     *,
-    codes: str,
-    id_column: str,
-    broadcast: bool | None = None,
+    doc: str = "doc",
+    source_column: str = "schema_source",
+    order: str | None = None,
+) -> DataFrame:
+    """Check each card (card_type, source_column, doc) by the schema it resolves to.
+
+    Adds the columns of resolve_schema, contract_read and those of validate. contract_read is false, and the
+    violations are NULL, where no schema was found or the schema holds a rule that is not supported.
+    """
+    sources = stored(one_per_source(check_registry(registry), order), "registry")
+    resolved = with_schema(cards, sources.drop("document"), source_column, None)
+    source = F.when(F.col("is_custom"), F.col(source_column)).otherwise(BASE_SOURCE)
+    named = resolved.withColumn("_contract", F.concat_ws(" ", "card_type", source))
+    shapes = {f"{kind} {name}": shape for (kind, name), shape in registry_shapes(sources).items()}
+    if not shapes:
+        shapes = {"": Shape()}
+    checked = validate(named, shapes, doc=doc, key="_contract")
+    return checked.withColumn("contract_read", F.col("violations").isNotNull()).drop("_contract")
+
+
+def unknown_codes(
+    cards: DataFrame, vocabulary: DataFrame, *, codes: str, id_column: str, shuffle: bool | None = None
 ) -> DataFrame:
     """One row per card and code that the vocabulary (column code) does not hold."""
     each = cards.select(id_column, F.explode(codes).alias("code"))
     known = vocabulary.select("code").distinct()
-    return lookup_join(
-        each, known, ["code"], "left_anti", spread=id_column, broadcast=broadcast
-    ).select(id_column, "code")
+    return lookup_join(each, known, ["code"], "left_anti", shuffle=shuffle).select(id_column, "code")

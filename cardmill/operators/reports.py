@@ -1,50 +1,34 @@
-"""Summaries over a corpus. Each is one aggregation over few groups: rows are counted
-before the shuffle, so no group is ever held whole by one task."""
+"""Summaries over a corpus. Rows are counted inside each card and before the shuffle, so no group is ever
+held whole by one task. Keys that cards choose themselves are part of a path, so the number of groups can
+grow with the corpus; it is spread over the shuffle like any other key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK = "\u0001"
-
-
-def path_pattern(path: Column) -> Column:
-    """A path with list positions replaced by a star."""
-    return F.regexp_replace(path, r"\[[0-9]+\]", "[*]")
-
 
 def violation_summary(checked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Cards affected and violations per path pattern and keyword.
 
-    Repeats within a card are removed inside the card's own array, so the number of
-    cards is a plain sum and needs no distinct count across the corpus.
+    The pattern is the path with a star for each position in a list; validation gives it beside the path, as
+    a key may itself look like a position. Each card gives one row for each different pattern and keyword
+    with its count, so the number of cards is a plain count.
     """
     keys = F.transform(
-        "violations", lambda v: F.concat(path_pattern(v["path"]), F.lit(MARK), v["keyword"])
+        "violations", lambda v: F.struct(v["pattern"].alias("path"), v["keyword"].alias("keyword"))
     )
 
-    def counted(key: Column, cards: int, found: int) -> Column:
-        return F.struct(
-            key.alias("key"), F.lit(cards).alias("cards"), F.lit(found).alias("found")
-        )
+    def counted(key: Column) -> Column:
+        times = F.size(F.filter("keys", lambda k: k == key)).cast("bigint")
+        return F.struct(key["path"].alias("path"), key["keyword"].alias("keyword"), times.alias("times"))
 
-    entries = F.concat(
-        F.transform("keys", lambda key: counted(key, 0, 1)),
-        F.transform(F.array_distinct("keys"), lambda key: counted(key, 1, 0)),
-    )
+    entries = F.transform(F.array_distinct("keys"), counted)
     return (
         checked.select(*by, keys.alias("keys"))
         .select(*by, F.explode(entries).alias("entry"))
-        .groupBy(*by, "entry.key")
-        .agg(F.sum("entry.cards").alias("cards"), F.sum("entry.found").alias("violations"))
-        .select(
-            *by,
-            F.split("key", MARK)[0].alias("path"),
-            F.split("key", MARK)[1].alias("keyword"),
-            "cards",
-            "violations",
-        )
+        .groupBy(*by, "entry.path", "entry.keyword")
+        .agg(F.count("*").alias("cards"), F.sum("entry.times").alias("violations"))
     )
 
 

@@ -17,19 +17,24 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.contracts.shapes import Shape
+from cardmill.contracts.shapes import UNSET, Loop, Shape
 from cardmill.functions.fence import fence
 from cardmill.functions.values import backticked, json_path, struct_type
 
 NO_VIOLATIONS = (
-    "cast(array() AS array<struct<path:string,keyword:string,message:string>>)"
+    "cast(array() AS array<struct<path:string,pattern:string,keyword:string,message:string>>)"
+)
+NO_NODES = (
+    "cast(array() AS "
+    "array<struct<kind:string,path:string,pattern:string,order:array<int>,value:variant>>)"
 )
-NO_SPOTS = "cast(array() AS array<struct<path:string,value:variant>>)"
 
 # Accepted text formats.
 DATE_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 EMAIL_SHAPE = r"\A[^@\s]+@[^@\s]+\.[^@\s]+\z"
 URI_SHAPE = r"\A[A-Za-z][A-Za-z0-9+.-]*:\S+\z"
+TIME_SHAPE = r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:(?:[0-5][0-9]|60)(?:\.[0-9]+)?(?:[zZ]|[+-][0-9]{2}:[0-9]{2})"
+UUID_SHAPE = r"\A[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z"
 
 # Fixed value: how many violations are shown before "... and N more errors".
 SHOWN = 5
@@ -37,8 +42,6 @@ SHOWN = 5
 # Arrays joined in one step.
 GROUP = 12
 
-TOO_DEEP_TEXT = "is nested too deep to be checked"
-
 
 def quote(text: str) -> str:
     """A SQL string literal."""
@@ -51,7 +54,8 @@ class Place:
     """A value inside a document and the path it is reported under, as SQL.
 
     doc is a VARIANT expression and record a struct with its fields (see record_type).
-    base is the known start of the path, start an expression before it (in lists).
+    base is the known start of the path, start an expression before it (in lists), stars the same
+    with a star for each position in a list.
     depth counts enclosing lambdas and keeps their parameter names apart.
     """
 
@@ -59,6 +63,7 @@ class Place:
     record: str = ""
     base: str = ""
     start: str | None = None
+    stars: str | None = None
     keys: tuple[str | int, ...] = ()
     is_record: bool = False
     depth: int = 0
@@ -69,6 +74,12 @@ class Place:
             return quote(self.base)
         return f"concat({self.start}, {quote(self.base)})" if self.base else self.start
 
+    @property
+    def pattern(self) -> str:
+        if self.stars is None:
+            return quote(self.base)
+        return f"concat({self.stars}, {quote(self.base)})" if self.base else self.stars
+
     def child(self, name: str, shape: Shape | None = None) -> Place:
         return replace(
             self,
@@ -131,7 +142,7 @@ class Place:
 
 
 def holds_record(shape: Shape) -> bool:
-    return bool(shape.fields) and not shape.repeats
+    return bool(shape.fields)
 
 
 def record_tree(shape: Shape) -> dict[str, Any]:
@@ -154,6 +165,7 @@ class Rule:
 
     broken: str = ""
     path: str = ""
+    pattern: str = ""
     keyword: str = ""
     message: str = ""
     many: str = ""
@@ -170,9 +182,10 @@ class Rule:
         return f"coalesce({self.broken}, false)"
 
 
-def violation(path: str, keyword: str, message: str) -> str:
+def violation(path: str, pattern: str, keyword: str, message: str) -> str:
     return (
-        f"named_struct('path', {path}, 'keyword', {quote(keyword)}, 'message', {quote(message)})"
+        f"named_struct('path', {path}, 'pattern', {pattern}, "
+        f"'keyword', {quote(keyword)}, 'message', {quote(message)})"
     )
 
 
@@ -217,40 +230,36 @@ def format_broken(text: str, name: str) -> str:
     if name == "date":
         no_day = f"try_to_date({text}, 'yyyy-MM-dd') IS NULL"
         return f"{text} IS NOT NULL AND (NOT {text} RLIKE {quote(DATE_SHAPE)} OR {no_day})"
-    shapes = {"email": EMAIL_SHAPE, "uri": URI_SHAPE}
+    if name == "date-time":
+        day = format_broken(f"substring({text}, 1, 10)", "date")
+        return f"({day} OR NOT {text} RLIKE {quote(rf'{chr(92)}A.{{10}}[tT ]{TIME_SHAPE}{chr(92)}z')})"
+    shapes = {"email": EMAIL_SHAPE, "uri": URI_SHAPE, "uuid": UUID_SHAPE}
+    shapes["time"] = rf"\A{TIME_SHAPE}\z"
     if name not in shapes:
         raise ValueError(f"unknown format: {name}")
     return f"NOT {text} RLIKE {quote(shapes[name])}"
 
 
-def rules_of(place: Place, shape: Shape, repeating: bool = False) -> Iterator[Rule]:
-    """Rules of a shape in reporting order: the value itself, then what it holds.
-
-    repeating is set for a spot of a repeating shape, whose inner levels are listed
-    by own_levels and checked next to it.
-    """
+def rules_of(place: Place, shape: Shape) -> Iterator[Rule]:
+    """Rules of a shape in reporting order: the value itself, then what it holds."""
 
     def rule(broken: str, keyword: str, message: str) -> Rule:
-        return Rule(broken, place.path, keyword, message)
-
-    if shape.repeats and not repeating:
-        first = f"named_struct('path', {place.path}, 'value', {place.value})"
-        spots = f"flatten(transform(array({first}), top -> "
-        spots += f"{own_levels('top', shape, shape.levels, place.depth)}))"
-        many = checked_spots(spots, shape, place.depth)
-        yield Rule(many=f"if({place.present}, {many}, NULL)")
-        return
-    if shape.too_deep:
-        yield rule(place.present, "depth_exceeded", TOO_DEEP_TEXT)
+        return Rule(broken, place.path, place.pattern, keyword, message)
+
+    if shape.never:
+        yield rule(place.present, "false", "is not allowed")
         return
+    if shape.loop is not None:
+        yield Rule(many=f"if({place.present}, {looped(place, shape.loop)}, NULL)")
     if shape.types:
         fits = " OR ".join(has_type(place, name) for name in shape.types)
         yield rule(
             f"{place.present} AND NOT ({fits})", "type", f"must be of type {' or '.join(shape.types)}"
         )
-    if shape.constant is not None:
+    if shape.constant is not UNSET:
         same = equals_any(place, (shape.constant,))
-        yield rule(f"{place.present} AND NOT {same}", "const", f"must be {shape.constant}")
+        shown = "null" if shape.constant is None else shape.constant
+        yield rule(f"{place.present} AND NOT {same}", "const", f"must be {shown}")
     if shape.values:
         listed = equals_any(place, shape.values)
         yield rule(
@@ -276,19 +285,19 @@ def rules_of(place: Place, shape: Shape, repeating: bool = False) -> Iterator[Ru
 
 
 def text_rules(place: Place, shape: Shape) -> Iterator[Rule]:
-    text, path = place.text, place.path
+    text, path = place.text, (place.path, place.pattern)
     if shape.min_length is not None:
         message = f"must have at least {shape.min_length} characters"
-        yield Rule(f"length({text}) < {shape.min_length}", path, "minLength", message)
+        yield Rule(f"length({text}) < {shape.min_length}", *path, "minLength", message)
     if shape.max_length is not None:
         message = f"must have at most {shape.max_length} characters"
-        yield Rule(f"length({text}) > {shape.max_length}", path, "maxLength", message)
+        yield Rule(f"length({text}) > {shape.max_length}", *path, "maxLength", message)
     if shape.pattern is not None:
         message = f"must match {shape.pattern}"
-        yield Rule(f"NOT {text} RLIKE {quote(shape.pattern)}", path, "pattern", message)
+        yield Rule(f"NOT {text} RLIKE {quote(shape.pattern)}", *path, "pattern", message)
     if shape.format is not None:
         message = f"must be a valid {shape.format}"
-        yield Rule(format_broken(text, shape.format), path, "format", message)
+        yield Rule(format_broken(text, shape.format), *path, "format", message)
 
 
 def number_rules(place: Place, shape: Shape) -> Iterator[Rule]:
@@ -298,25 +307,25 @@ def number_rules(place: Place, shape: Shape) -> Iterator[Rule]:
     ):
         if bound is not None:
             outside = f"{place.number} {sign} {float(bound)!r}D AND {has_type(place, 'number')}"
-            yield Rule(outside, place.path, keyword, f"must be {words} {bound}")
+            yield Rule(outside, place.path, place.pattern, keyword, f"must be {words} {bound}")
 
 
 def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
     for name in shape.required:
         missing = place.child(name, shape.fields.get(name))
         broken = f"{place.is_object} AND {missing.value} IS NULL"
-        yield Rule(broken, missing.path, "required", "is required")
+        yield Rule(broken, missing.path, missing.pattern, "required", "is required")
     if shape.closed:
         yield Rule(many=extra_keys(place, shape))
     size = f"size({place.names})"
     if shape.min_keys is not None:
         message = f"must have at least {shape.min_keys} fields"
         broken = f"{place.is_object} AND {size} < {shape.min_keys}"
-        yield Rule(broken, place.path, "minProperties", message)
+        yield Rule(broken, place.path, place.pattern, "minProperties", message)
     if shape.max_keys is not None:
         message = f"must have at most {shape.max_keys} fields"
         broken = f"{place.is_object} AND {size} > {shape.max_keys}"
-        yield Rule(broken, place.path, "maxProperties", message)
+        yield Rule(broken, place.path, place.pattern, "maxProperties", message)
     if shape.key_pattern is not None and shape.key_shape is not None:
         yield Rule(many=keyed_values(place, shape.key_pattern, shape.key_shape))
     for name, inner in shape.fields.items():
@@ -329,9 +338,8 @@ def extra_keys(place: Place, shape: Shape) -> str:
     extra = f"array_except({place.names}, cast(array({allowed}) AS array<string>))"
     if shape.key_pattern is not None:
         extra = f"filter({extra}, {key} -> NOT {key} RLIKE {quote(shape.key_pattern)})"
-    found = violation(
-        f"concat({place.path}, '.', {key})", "additionalProperties", "is not an allowed field"
-    )
+    under = [f"concat({start}, '.', {key})" for start in (place.path, place.pattern)]
+    found = violation(*under, "additionalProperties", "is not an allowed field")
     return f"transform({extra}, {key} -> {found})"
 
 
@@ -343,33 +351,30 @@ def keyed_values(place: Place, key_pattern: str, shape: Shape) -> str:
     )
     spots = (
         f"transform({entries}, {pair} -> named_struct("
-        f"'path', concat({place.path}, '.', {pair}.key), 'value', {pair}.value))"
+        f"'path', concat({place.path}, '.', {pair}.key), "
+        f"'pattern', concat({place.pattern}, '.', {pair}.key), 'value', {pair}.value))"
     )
     return checked_spots(spots, shape, place.depth)
 
 
 def list_rules(place: Place, shape: Shape) -> Iterator[Rule]:
-    items, path = place.items, place.path
+    items, path = place.items, (place.path, place.pattern)
     if shape.min_items is not None:
         message = f"must have at least {shape.min_items} items"
-        yield Rule(f"size({items}) < {shape.min_items}", path, "minItems", message)
+        yield Rule(f"size({items}) < {shape.min_items}", *path, "minItems", message)
     if shape.max_items is not None:
         message = f"must have at most {shape.max_items} items"
-        yield Rule(f"size({items}) > {shape.max_items}", path, "maxItems", message)
+        yield Rule(f"size({items}) > {shape.max_items}", *path, "maxItems", message)
     if shape.unique:
         item = f"item{place.depth}"
         distinct = f"array_distinct(transform({items}, {item} -> to_json({item})))"
         message = "must not repeat items"
-        yield Rule(f"size({distinct}) < size({items})", path, "uniqueItems", message)
+        yield Rule(f"size({distinct}) < size({items})", *path, "uniqueItems", message)
     for position, inner in enumerate(shape.lead):
         spots = slice_spots(place, f"slice({items}, {position + 1}, 1)", position)
         yield Rule(many=checked_spots(spots, inner, place.depth))
     if shape.items is not None:
         spots = item_spots(place, len(shape.lead))
-        if shape.items.repeats:
-            one = f"top{place.depth}"
-            levels = own_levels(one, shape.items, shape.items.levels, place.depth + 1)
-            spots = f"flatten(transform({spots}, {one} -> {levels}))"
         yield Rule(many=checked_spots(spots, shape.items, place.depth))
 
 
@@ -386,30 +391,84 @@ def slice_spots(place: Place, items: str, offset: int) -> str:
     path = f"concat({place.path}, '[', cast({index} + {offset} AS string), ']')"
     return (
         f"transform({items}, ({item}, {index}) -> "
-        f"named_struct('path', {path}, 'value', {item}))"
+        f"named_struct('path', {path}, 'pattern', concat({place.pattern}, '[*]'), 'value', {item}))"
     )
 
 
-def own_levels(one: str, shape: Shape, levels: int, depth: int) -> str:
-    """A spot and all spots of the same shape below it, down to a number of levels.
+def looped(place: Place, loop: Loop) -> str:
+    """Violations of a value of a recursive shape and of all such values within it.
 
-    One level more is kept, without its value, so that deeper nesting is reported.
+    The values are gathered turn by turn, each turn those that the last ones hold. A value can't be nested
+    deeper than it has opening brackets, which bounds the turns; turns with nothing left change nothing.
+    They are then put into the order of the document and checked by one copy of the rules of each shape.
     """
-    if levels == 0:
-        return f"array(named_struct('path', {one}.path, 'value', cast(NULL AS variant)))"
-    path = quote(json_path(shape.repeats))
-    inner = Place(
-        f"try_variant_get({one}.value, {path}, 'variant')",
-        base=f".{shape.repeats}",
-        start=f"{one}.path",
-        depth=depth,
+    work, turn, one = f"work{place.depth}", f"turn{place.depth}", f"node{place.depth}"
+    first = node(loop.entry, place.path, place.pattern, "array(0)", place.value)
+    brackets = f"regexp_count(to_json({place.value}), {quote(chr(92) + '[|' + chr(92) + '{')})"
+    held = []
+    for kind, (_, routes) in loop.members.items():
+        for number, (steps, target) in enumerate(routes):
+            order = f"concat({one}.order, array({number}))"
+            found = along(
+                f"{one}.value", f"{one}.path", f"{one}.pattern", order, steps, target, place.depth
+            )
+            held.append(f"if({one}.kind = {quote(kind)}, {found}, {NO_NODES})")
+    following = f"flatten(transform({work}.front, {one} -> concat({', '.join(held)})))"
+    before = f"left{place.depth}.order < right{place.depth}.order"
+    nodes = (
+        f"aggregate(sequence(0, {brackets}), "
+        f"named_struct('front', array({first}), 'done', {NO_NODES}), "
+        f"({work}, {turn}) -> if(size({work}.front) = 0, {work}, named_struct("
+        f"'front', {following}, 'done', concat({work}.done, {work}.front))), "
+        f"{work} -> array_sort(concat({work}.done, {work}.front), "
+        f"(left{place.depth}, right{place.depth}) -> if({before}, -1, 1)))"
+    )
+    checked = " ".join(
+        f"WHEN {one}.kind = {quote(kind)} THEN {checked_spots(f'array({one})', shape, place.depth + 1)}"
+        for kind, (shape, _) in loop.members.items()
     )
-    below = f"own{depth}"
-    deeper = own_levels(below, shape, levels - 1, depth + 1)
+    return f"flatten(transform({nodes}, {one} -> CASE {checked} END))"
+
+
+def node(kind: str, path: str, pattern: str, order: str, value: str) -> str:
     return (
-        f"concat(array({one}), coalesce(flatten(transform({item_spots(inner)}, "
-        f"{below} -> {deeper})), {NO_SPOTS}))"
+        f"named_struct('kind', {quote(kind)}, 'path', {path}, 'pattern', {pattern}, "
+        f"'order', {order}, 'value', {value})"
+    )
+
+
+def along(
+    value: str, path: str, pattern: str, order: str, steps: tuple, target: str, depth: int
+) -> str:
+    """The values at the end of a route, as nodes; none where it ends early."""
+    if not steps:
+        return f"if({value} IS NULL, {NO_NODES}, array({node(target, path, pattern, order, value)}))"
+    step, *rest = steps
+    if isinstance(step, str):
+        name = quote(f".{step}")
+        return along(
+            f"try_variant_get({value}, {quote(json_path(step))}, 'variant')",
+            f"concat({path}, {name})",
+            f"concat({pattern}, {name})",
+            order,
+            tuple(rest),
+            target,
+            depth,
+        )
+    item, index = f"held{depth}_{len(rest)}", f"place{depth}_{len(rest)}"
+    items = f"try_variant_get({value}, '$', 'array<variant>')"
+    if step:
+        items = f"slice({items}, {step + 1}, greatest(size({items}), 0))"
+    inner = along(
+        item,
+        f"concat({path}, '[', cast({index} + {step} AS string), ']')",
+        f"concat({pattern}, '[*]')",
+        f"concat({order}, array({index}))",
+        tuple(rest),
+        target,
+        depth,
     )
+    return f"coalesce(flatten(transform({items}, ({item}, {index}) -> {inner})), {NO_NODES})"
 
 
 def checked_spots(spots: str, shape: Shape, depth: int) -> str:
@@ -421,19 +480,17 @@ def checked_spots(spots: str, shape: Shape, depth: int) -> str:
         record = read_record(f"{one}.value", shape)
         spots = (
             f"transform({spots}, {one} -> named_struct("
-            f"'path', {one}.path, 'value', {one}.value, 'record', {record}))"
+            f"'path', {one}.path, 'pattern', {one}.pattern, 'value', {one}.value, 'record', {record}))"
         )
     place = Place(
         f"{one}.value",
         record=f"{one}.record" if has_fields else "",
         start=f"{one}.path",
+        stars=f"{one}.pattern",
         is_record=has_fields,
         depth=depth + 1,
     )
-    found = violations_at(place, shape, repeating=True)
-    if shape.repeats:
-        beyond = violation(f"{one}.path", "depth_exceeded", TOO_DEEP_TEXT)
-        found = f"if({one}.value IS NOT NULL, {found}, array({beyond}))"
+    found = violations_at(place, shape)
     return f"flatten(transform({spots}, {one} -> {found}))"
 
 
@@ -442,18 +499,18 @@ def valid_for(place: Place, shape: Shape) -> str:
     return f"(NOT ({' OR '.join(broken) or 'false'}))"
 
 
-def violations_at(place: Place, shape: Shape, repeating: bool = False) -> str:
+def violations_at(place: Place, shape: Shape) -> str:
     """All violations below a place, in order.
 
     Every rule gives an array, empty or of one violation, and the arrays are joined:
     outside lists this leaves no step that Spark cannot compile.
     """
     found = []
-    for rule in rules_of(place, shape, repeating):
+    for rule in rules_of(place, shape):
         if rule.many:
             found.append(f"coalesce({rule.many}, {NO_VIOLATIONS})")
         else:
-            one = violation(rule.path, rule.keyword, rule.message)
+            one = violation(rule.path, rule.pattern, rule.keyword, rule.message)
             found.append(f"if({rule.broken}, array({one}), {NO_VIOLATIONS})")
     if place.start is not None and len(found) > 1:
         return f"flatten(array({', '.join(found)}))"
@@ -497,11 +554,14 @@ def validate(
     records, found = {}, []
     for number, (wanted, shape) in enumerate(by_key.items()):
         name = f"_record_{number}"
-        document = doc if wanted is None else f"if({key} = {quote(wanted)}, {doc}, NULL)"
+        document = backticked(doc)
+        if wanted is not None:
+            document = f"if({backticked(key)} = {quote(wanted)}, {document}, NULL)"
         if record_tree(shape):
             records[name] = F.expr(read_record(document, shape))
-        checked = F.expr(violations_sql(doc, name, shape, root))
-        found.append(checked if wanted is None else F.when(F.col(key) == wanted, checked))
+        checked = F.expr(violations_sql(backticked(doc), name, shape, root))
+        chosen = F.col(backticked(key)) == wanted
+        found.append(checked if wanted is None else F.when(chosen, checked))
     # The records are columns of their own, so that each document is read once.
     checked = (
         cards.withColumns(records)

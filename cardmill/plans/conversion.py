@@ -29,7 +29,6 @@ from cardmill.plans.corpus import (
     flat_model_cards,
     nested_dataset_cards,
     nested_model_cards,
-    spread,
     table,
 )
 from cardmill.sources.cards import cards_from_table
@@ -166,7 +165,31 @@ FROM (SELECT p_partkey, {INTEGER_TEXTS} AS t FROM part)
 """)
 def leading_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{INTEGER_TEXTS} AS t")
-    return texts.select("p_partkey", leading_integer(F.col("t")).cast("bigint").alias("n"))
+    return texts.select(
+        "p_partkey", F.try_variant_get(leading_integer(F.col("t")), "$", "bigint").alias("n")
+    )
+
+
+@query("""
+SELECT c_custkey,
+       CASE c_custkey % 4
+         WHEN 0 THEN power(16::DOUBLE, 14 + c_custkey % 9) WHEN 1 THEN power(10::DOUBLE, 38 + c_custkey % 3)
+         WHEN 2 THEN -255 END AS n
+FROM customer
+""")
+def long_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of digits that no decimal holds become doubles; one that no double holds becomes null."""
+    texts = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        """CASE c_custkey % 4
+             WHEN 0 THEN concat('0x0001', repeat('0', cast(14 + c_custkey % 9 AS int)), ' bytes')
+             WHEN 1 THEN concat('1', repeat('0', cast(38 + c_custkey % 3 AS int)))
+             WHEN 2 THEN '-0x000000000000000000000000fF'
+             ELSE repeat('9', 400) END AS t""",
+    )
+    return texts.select(
+        "c_custkey", F.try_variant_get(leading_integer(F.col("t")), "$", "double").alias("n")
+    )
 
 
 # ---- defaults and truthiness ---------------------------------------------------
@@ -429,7 +452,7 @@ def round_trip_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = """to_json(struct(source AS dataset_name, text AS labeling, source AS noise,
                             text AS motivation, lang AS purpose,
                             array(struct(lang AS subset_name)) AS partitions)) AS raw"""
-    documents = spread(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
     cards = cards_from_table(documents.selectExpr("doc_id", raw)).withColumn(
         "card_type", F.lit("dataset")
     )

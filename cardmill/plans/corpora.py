@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.contracts.profiles import legacy_dataset, legacy_model
-from cardmill.contracts.shapes import integer, record, text
+from cardmill.contracts.shapes import integer, record
 from cardmill.functions.session import prepare_session, scratch_path
 from cardmill.operators.classify import classify
-from cardmill.operators.registry import check_registry, resolve_schema, unknown_codes
+from cardmill.operators.registry import (
+    check_by_registry,
+    check_registry,
+    resolve_schema,
+    unknown_codes,
+)
 from cardmill.operators.validate import validate
 from cardmill.plans.catalog import query
 from cardmill.plans.conversion import sections
@@ -17,6 +22,7 @@ from cardmill.plans.corpus import (
     FAMILY,
     flat_dataset_cards,
     flat_model_cards,
+    nation_card_files,
     nested_model_cards,
     table,
 )
@@ -29,12 +35,13 @@ from cardmill.streaming.stream import card_stream, write_card_stream
 
 
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A base schema per region and a custom one per nation, some of them unusable."""
+    """A base schema per region, one without structure, and a custom one per nation, some unusable."""
     base = table(spark, sf_dir, "region").selectExpr(
         "CASE r_regionkey WHEN 0 THEN 'model' WHEN 1 THEN 'dataset' ELSE 'other' END AS card_type",
         "'base' AS source",
-        """parse_json(concat('{"$id":"', r_name, '","properties":{"Model":{},"Dataset":{}},',
-                             '"$defs":{"model":{},"dataset":{}}}')) AS document""",
+        """parse_json(concat('{"$id":"', r_name, '"', if(r_regionkey = 0, '', concat(
+                             ',"properties":{"Model":{},"Dataset":{}},',
+                             '"$defs":{"model":{},"dataset":{}}')), '}')) AS document""",
     )
     custom = table(spark, sf_dir, "nation").selectExpr(
         "if(n_nationkey % 2 = 0, 'model', 'dataset') AS card_type",
@@ -52,7 +59,7 @@ def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CASE r_regionkey WHEN 0 THEN 'model' WHEN 1 THEN 'dataset' ELSE 'other' END AS card_type,
-       'base' AS source, r_regionkey < 2 AS usable, r_name AS version, '' AS description
+       'base' AS source, r_regionkey = 1 AS usable, r_name AS version, '' AS description
 FROM region
 UNION ALL
 SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'model' ELSE 'dataset' END,
@@ -93,16 +100,14 @@ FROM matched
 """
 
 
-def resolved(spark: SparkSession, sf_dir: str, broadcast: bool | None) -> DataFrame:
+def resolved(spark: SparkSession, sf_dir: str, shuffle: bool | None) -> DataFrame:
     cards = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey",
         """CASE c_custkey % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'dataset' ELSE 'unknown' END
            AS card_type""",
         "if(c_custkey % 5 <> 0, concat('custom/', c_nationkey), NULL) AS schema_source",
     )
-    found = resolve_schema(
-        cards, registry_rows(spark, sf_dir), id_column="c_custkey", broadcast=broadcast
-    )
+    found = resolve_schema(cards, registry_rows(spark, sf_dir), shuffle=shuffle)
     return found.select(
         "c_custkey",
         "schema_text",
@@ -121,7 +126,48 @@ def resolved_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RESOLVED_SQL)
 def resolved_schemas_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way taken when the registry is too large to broadcast."""
-    return resolved(spark, sf_dir, False)
+    return resolved(spark, sf_dir, True)
+
+
+@query("""
+WITH cards AS (
+  SELECT s_suppkey, s_acctbal, s_suppkey % 10 = 0 AS nameless, n_regionkey,
+         n_regionkey < 4 AS is_custom, n_regionkey < 4 AND n_nationkey % 7 = 0 AS odd
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey, is_custom, NOT odd AS contract_read,
+       CASE WHEN NOT odd THEN list_filter([
+         CASE WHEN nameless THEN '$.Dataset.Name|required' END,
+         CASE WHEN s_acctbal > CASE WHEN is_custom THEN 1000 * n_regionkey ELSE 5000 END
+              THEN '$.Dataset.Balance|maximum' END], lambda x: x IS NOT NULL) END AS found
+FROM cards
+""")
+def checked_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards checked by the schema of their nation, or the base schema where that one doesn't load."""
+    document = """try_parse_json(concat('{"$id":"', version, '","type":"object","properties":',
+        '{"Model":{},"Dataset":{"$ref":"#/$defs/dataset"}},"$defs":{"model":{},"dataset":{',
+        '"type":"object","required":["Name"],', extra,
+        '"properties":{"Balance":{"type":"number","maximum":', top, '}}}}}')) AS document"""
+    base = table(spark, sf_dir, "region").filter("r_regionkey = 0").selectExpr(
+        "'base' AS source", "r_name AS version", "'' AS extra", "'5000' AS top"
+    )
+    custom = table(spark, sf_dir, "nation").selectExpr(
+        "concat('custom/', n_nationkey) AS source",
+        "n_name AS version",
+        """CASE WHEN n_regionkey = 4 THEN '{' WHEN n_nationkey % 7 = 0 THEN '"anyOf":[true],'
+                ELSE '' END AS extra""",
+        "cast(1000 * n_regionkey AS string) AS top",
+    )
+    registry = base.unionByName(custom).selectExpr("'dataset' AS card_type", "source", document)
+    cards = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey",
+        "'dataset' AS card_type",
+        "concat('custom/', s_nationkey) AS schema_source",
+        """parse_json(to_json(struct(struct(
+             s_acctbal AS Balance, if(s_suppkey % 10 = 0, NULL, s_name) AS Name) AS Dataset))) AS doc""",
+    )
+    checked = check_by_registry(cards, registry)
+    found = F.transform("violations", lambda v: F.concat(v["path"], F.lit("|"), v["keyword"]))
+    return checked.select("s_suppkey", "is_custom", "contract_read", found.alias("found"))
 
 
 UNKNOWN_CODES_SQL = """
@@ -132,16 +178,14 @@ WHERE code NOT IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey < 3
 """
 
 
-def codes_outside(spark: SparkSession, sf_dir: str, broadcast: bool | None) -> DataFrame:
+def codes_outside(spark: SparkSession, sf_dir: str, shuffle: bool | None) -> DataFrame:
     cards = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "array(lang, source) AS codes"
     )
     known = table(spark, sf_dir, "nation").selectExpr(
         "if(n_regionkey < 3, concat('src', n_nationkey), 'en') AS code"
     )
-    return unknown_codes(
-        cards, known, codes="codes", id_column="doc_id", broadcast=broadcast
-    )
+    return unknown_codes(cards, known, codes="codes", id_column="doc_id", shuffle=shuffle)
 
 
 @query(UNKNOWN_CODES_SQL)
@@ -151,7 +195,7 @@ def codes_outside_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(UNKNOWN_CODES_SQL)
 def codes_outside_vocabulary_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codes_outside(spark, sf_dir, False)
+    return codes_outside(spark, sf_dir, True)
 
 
 # ---- exports -------------------------------------------------------------------
@@ -216,6 +260,35 @@ def exported_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT c_custkey,
+       CASE c_custkey % 4 WHEN 0 THEN 'unknown_type' WHEN 1 THEN 'no_section'
+            WHEN 2 THEN 'not_mappable' END AS flat_fate,
+       CASE c_custkey % 4 WHEN 0 THEN 'unknown_type' WHEN 1 THEN 'no_section' END AS nested_fate
+FROM customer
+""")
+def export_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of which some have an unknown type, no section or one that can't be mapped: none is lost."""
+    cards = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "if(c_custkey % 4 = 0, 'other', if(c_custkey % 8 < 4, 'model', 'dataset')) AS card_type",
+        """parse_json(CASE c_custkey % 4 WHEN 1 THEN NULL WHEN 2 THEN concat(
+             '{"Name":"', c_custkey, '","Results":"text","Subsets":"text"}')
+             ELSE concat('{"Name":"', c_custkey, '"}') END) AS section""",
+    )
+    flat, nested = scratch_path(spark, "flat"), scratch_path(spark, "nested")
+    not_flat = export_flat(cards, flat, day=EXPORT_DAY)
+    not_nested = export_nested(cards, nested, family=FAMILY, day=EXPORT_DAY)
+    name = """coalesce(variant_get(doc, '$.model_name', 'string'), variant_get(doc, '$.dataset_name', 'string'),
+                       variant_get(doc, '$.Model.Name', 'string'), variant_get(doc, '$.Dataset.Name', 'string'))"""
+
+    def fates(path: str, refused: DataFrame, fate: str) -> DataFrame:
+        written = exported(spark, path).selectExpr(f"cast({name} AS bigint) AS c_custkey", f"NULL AS {fate}")
+        return written.unionByName(refused.selectExpr("c_custkey", f"refusal AS {fate}"))
+
+    return fates(flat, not_flat, "flat_fate").join(fates(nested, not_nested, "nested_fate"), "c_custkey")
+
+
 @query("""
 SELECT s_suppkey,
        concat_ws(chr(10), '{', '  "Keys": [', '    ' || s_suppkey, '  ],',
@@ -292,25 +365,24 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, 'dataset' AS card_type, s_name AS name,
-       contains(s_name, '1')::INTEGER AS error_count
-FROM supplier
+SELECT s_nationkey::BIGINT AS nation, 'dataset' AS card_type, count(*)::BIGINT AS suppliers,
+       (count(*) > 3)::INTEGER AS error_count
+FROM supplier GROUP BY s_nationkey
 """)
 def streamed_card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier as a card file of its own, taken in as a stream of files."""
+    """A card file for each nation that sums up its suppliers, taken in as a stream of files."""
     folder = scratch_path(spark, "arriving")
-    cards = table(spark, sf_dir, "supplier").selectExpr(
-        "to_json(struct(s_name AS dataset_name, s_suppkey AS number_of_instances)) AS value"
+    nation_card_files(spark, sf_dir, folder)
+    shape = record(
+        {"Composition": record({"Number of instances": integer(maximum=3)}, closed=False)}, closed=False
     )
-    cards.write.option("maxRecordsPerFile", 1).text(folder)
-    shape = record({"Name": text(pattern="^[^1]*$")}, closed=False)
     processed = process_cards(card_stream(spark, folder), {"dataset": shape})
     path = scratch_path(spark, "streamed")
     stream = write_card_stream(
         processed.selectExpr(
-            "variant_get(section, '$.Composition[\"Number of instances\"]', 'bigint') AS s_suppkey",
+            "cast(variant_get(section, '$.Name', 'string') AS bigint) AS nation",
             "card_type",
-            "variant_get(section, '$.Name', 'string') AS name",
+            "variant_get(section, '$.Composition[\"Number of instances\"]', 'bigint') AS suppliers",
             "error_count",
         ),
         path,

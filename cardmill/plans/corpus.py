@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardmill.functions.session import prepare_session
 
@@ -14,16 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan gives fewer tasks than there are cores.
-
-    Work on cards is bound by the processor. A large table has more scan tasks than
-    the cluster has cores and passes through without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def as_json(*expressions: str) -> str:
     """SQL for the JSON text of an object; NULL members are left out."""
     return f"to_json(struct({', '.join(expressions)}))"
@@ -49,7 +40,7 @@ def flat_model_cards(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
         "array('Detection') AS use_case",
         f"transform(slice(array(1, 2, 3), 1, p_size % 4), i -> {result}) AS results",
     )
-    return spread(table(spark, sf_dir, "part")).selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id",
         "concat('part-', p_partkey, '.txt') AS file_name",
         f"{raw} AS raw",
@@ -75,7 +66,7 @@ def nested_model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         p_type AS Output,
         if(p_size % 5 = 0, NULL, {technical}) AS `Technical Details`,
         transform(slice(array(1, 2, 3), 1, p_size % 4), i -> {result}) AS Results)"""
-    return spread(table(spark, sf_dir, "part")).selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id",
         "concat('part-', p_partkey, '.json') AS file_name",
         f"to_json(struct('{FAMILY}-model-2025-05.json' AS `$schema`, {section} AS Model)) AS raw",
@@ -114,7 +105,7 @@ def flat_dataset_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transform(slice(array(1, 2, 3), 1, cast(o_orderkey % 4 AS int)), "
         f"i -> {partition}) AS partitions",
     )
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "concat('order-', o_orderkey, '.txt') AS file_name", f"{raw} AS raw"
     )
 
@@ -154,10 +145,20 @@ def nested_dataset_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         transform(slice(array(1, 2, 3), 1, cast(o_orderkey % 4 AS int)),
                   i -> named_struct('Partition name', concat('part ', i), 'Data', {data})
                  ) AS Partition)"""
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id",
         "concat('order-', o_orderkey, '.json') AS file_name",
         f"""to_json(struct(if(o_orderkey % 2 = 0, '{FAMILY}-dataset-2025-03.json',
                                                  '{FAMILY}-dataset-2025-05.json') AS `$schema`,
                           {section} AS Dataset)) AS raw""",
     )
+
+
+def nation_card_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A flat card file for each nation (25 at any size) with the number of its suppliers, below card=…/ folders."""
+    cards = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    lines = cards.selectExpr(
+        "s_nationkey AS card",
+        "to_json(struct(cast(s_nationkey AS string) AS dataset_name, n AS number_of_instances)) AS value",
+    )
+    lines.write.partitionBy("card").text(folder)

@@ -13,6 +13,7 @@ from cardmill.plans.catalog import query
 from cardmill.plans.corpus import (
     flat_dataset_cards,
     flat_model_cards,
+    nation_card_files,
     nested_dataset_cards,
     nested_model_cards,
     table,
@@ -80,19 +81,17 @@ def source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, s_name, 'dataset' AS card_type, 'txt' AS format, TRUE AS ends_in_txt
-FROM supplier
+SELECT s_nationkey::BIGINT AS nation, count(*)::BIGINT AS suppliers, 'dataset' AS card_type,
+       'txt' AS format, TRUE AS ends_in_txt
+FROM supplier GROUP BY s_nationkey
 """)
 def source_card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write each supplier as a card file of its own, then read the files whole."""
+    """Write a card file for each nation that sums up its suppliers, then read the files whole."""
     path = scratch_path(spark, "card-files")
-    cards = table(spark, sf_dir, "supplier").selectExpr(
-        "to_json(struct(s_name AS dataset_name, s_suppkey AS number_of_instances)) AS value"
-    )
-    cards.write.option("maxRecordsPerFile", 1).text(path)
-    return classify(read_cards(spark, path)).select(
-        F.variant_get("doc", "$.number_of_instances", "bigint").alias("s_suppkey"),
-        F.variant_get("doc", "$.dataset_name", "string").alias("s_name"),
+    nation_card_files(spark, sf_dir, path)
+    return classify(read_cards(spark, path, recursive=True)).select(
+        F.variant_get("doc", "$.dataset_name", "string").cast("bigint").alias("nation"),
+        F.variant_get("doc", "$.number_of_instances", "bigint").alias("suppliers"),
         "card_type",
         "format",
         F.col("file_name").endswith(".txt").alias("ends_in_txt"),

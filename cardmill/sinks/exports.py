@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from cardmill.functions.fence import fence
+from cardmill.functions.json_text import indented_json
 from cardmill.operators.convert import EXPORT_RELEASE, nested_to_flat, wrap_envelope
 
-
-def indented(texts: Column) -> Column:
-    """Re-indent JSON text by two spaces; Spark's own pretty option skips VARIANT."""
-
-    def indent(batch: pd.Series) -> pd.Series:
-        return batch.map(
-            lambda t: t and json.dumps(json.loads(t), indent=2, ensure_ascii=False)
-        )
-
-    return F.pandas_udf(indent, StringType())(texts)
+# Why a card has no line.
+UNKNOWN_TYPE = "unknown_type"
+NO_SECTION = "no_section"
+NOT_MAPPABLE = "not_mappable"
 
 
 def preview_json(value: Column) -> Column:
     """Indented JSON text of a VARIANT, for display."""
-    return indented(F.to_json(value))
+    return indented_json(value)
 
 
 def utc_day(moment: Column | None = None) -> Column:
@@ -39,25 +31,36 @@ def export_name(card_type: Column, family: str, day: Column, ending: str) -> Col
     return F.concat(F.lit(f"{family.lower()}-"), card_type, F.lit("-"), day, F.lit(ending))
 
 
+def with_refusal(cards: DataFrame) -> DataFrame:
+    """Add refusal: why a card got no line, NULL where it did."""
+    known = F.coalesce(F.col("card_type").isin("model", "dataset"), F.lit(False))
+    reason = (
+        F.when(F.col("value").isNotNull(), None)
+        .when(~known, UNKNOWN_TYPE)
+        .when(F.col("section").isNull(), NO_SECTION)
+        .otherwise(NOT_MAPPABLE)
+    )
+    return fence(cards.withColumn("refusal", reason), "value", "refusal")
+
+
 def nested_lines(cards: DataFrame, family: str, release: str = EXPORT_RELEASE) -> DataFrame:
-    """Cards with section and card_type to one line of nested JSON each."""
+    """Add value, one line of nested JSON for a card with section and card_type, and refusal."""
     card = wrap_envelope(F.col("section"), F.col("card_type"), family, release)
-    return cards.select("card_type", F.to_json(card).alias("value"))
+    return with_refusal(cards.withColumn("value", F.to_json(card)))
 
 
 def flat_lines(cards: DataFrame) -> DataFrame:
-    """Cards with section and card_type to one line of flat JSON each."""
-    return nested_to_flat(cards).select("card_type", F.to_json("flat").alias("value"))
+    """Add value, one line of flat JSON for a card with section and card_type, and refusal."""
+    flat = nested_to_flat(cards, into="_flat")
+    return with_refusal(flat.withColumn("value", F.to_json("_flat")).drop("_flat"))
 
 
-def write_lines(lines: DataFrame, path: str, day: str | None, single_files: bool) -> None:
-    stamped = lines.filter(F.col("value").isNotNull()).withColumn(
-        "export_date", F.lit(day) if day else utc_day()
+def write_lines(lines: DataFrame, path: str, day: str | None) -> DataFrame:
+    written = lines.filter(F.col("refusal").isNull()).select(
+        "card_type", (F.lit(day) if day else utc_day()).alias("export_date"), "value"
     )
-    writer = stamped.write.mode("errorifexists").partitionBy("card_type", "export_date")
-    if single_files:
-        writer = writer.option("maxRecordsPerFile", 1)
-    writer.text(path)
+    written.write.mode("errorifexists").partitionBy("card_type", "export_date").text(path)
+    return lines.filter(F.col("refusal").isNotNull()).drop("value")
 
 
 def export_nested(
@@ -67,21 +70,15 @@ def export_nested(
     family: str,
     release: str = EXPORT_RELEASE,
     day: str | None = None,
-    single_files: bool = False,
-) -> None:
-    """Write nested cards under card_type=…/export_date=…
+) -> DataFrame:
+    """Write nested cards, one a line, under card_type=…/export_date=…
 
-    A large corpus is written one card per line. single_files writes one indented
-    card per file, as for handing out a few cards. Pass the day to make reruns equal.
+    Returns the cards that were not written, with the reason in refusal; written and returned
+    cards together are all cards. Pass the day to make reruns equal.
     """
-    lines = nested_lines(cards, family, release)
-    if single_files:
-        lines = lines.withColumn("value", indented(F.col("value")))
-    write_lines(lines, path, day, single_files)
+    return write_lines(nested_lines(cards, family, release), path, day)
 
 
-def export_flat(
-    cards: DataFrame, path: str, *, day: str | None = None, single_files: bool = False
-) -> None:
-    """Write flat cards, compact, under card_type=…/export_date=…"""
-    write_lines(flat_lines(cards), path, day, single_files)
+def export_flat(cards: DataFrame, path: str, *, day: str | None = None) -> DataFrame:
+    """Write flat cards, one a line, under card_type=…/export_date=…; returns those not written."""
+    return write_lines(flat_lines(cards), path, day)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from cardmill.functions.fence import fence
 from cardmill.functions.session import prepare_session
 
-FILE_COLUMNS = ("file_name", "raw")
-
 
 def file_cards(files: DataFrame) -> DataFrame:
     """Name and text of whole-file rows; the reader reports names percent-encoded."""
@@ -40,14 +38,15 @@ def with_document(cards: DataFrame, raw: str = "raw") -> DataFrame:
     return fence(parsed, "doc", "parse_ok")
 
 
-def read_cards(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: file_name, raw, doc, parse_ok.
+def read_cards(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
+    """One row per file: file_name, raw, doc, parse_ok. Files of subfolders too, unless recursive is off.
 
     Files are read whole and cannot be split, so land a corpus of small files in a
     Parquet table once and go on from there with cards_from_table.
     """
     prepare_session(spark)
-    return with_document(file_cards(spark.read.text(path, wholetext=True)))
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    return with_document(file_cards(files.text(path, wholetext=True)))
 
 
 def cards_from_table(

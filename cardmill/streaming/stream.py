@@ -5,30 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from cardmill.contracts.shapes import Shape
 from cardmill.functions.session import prepare_session
-from cardmill.plans.process import process_cards
 from cardmill.sources.cards import file_cards, with_document
 
 
 def card_stream(
-    spark: SparkSession, path: str, *, files_per_batch: int = 10_000
+    spark: SparkSession, path: str, *, files_per_batch: int = 10_000, recursive: bool = True
 ) -> DataFrame:
     """Cards of new files below a folder, as read_cards gives them for present files."""
     prepare_session(spark)
     files = (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .option("recursiveFileLookup", "true")
+        .option("recursiveFileLookup", str(recursive).lower())
         .text(path, wholetext=True)
     )
     return with_document(file_cards(files))
 
 
-def process_stream(cards: DataFrame, shapes: dict[str, Shape], root: str = "$") -> DataFrame:
-    """Classify, convert and validate; no state, so no watermark is needed."""
-    return process_cards(cards, shapes, root)
-
-
 def write_card_stream(
     cards: DataFrame, path: str, checkpoint: str, file_format: str = "parquet"
 ) -> StreamingQuery:

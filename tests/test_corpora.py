@@ -8,21 +8,17 @@ from cardmill.plans.process import process_cards
 from pyspark.sql import functions as F
 
 
-def test_salted_join_gives_the_same_rows_for_a_hot_key(spark):
+def test_shuffled_join_gives_the_same_rows_for_a_hot_key(spark):
     facts = spark.range(3000).selectExpr(
         "id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id) END AS k"
     )
     lookup = facts.filter("k IS NOT NULL AND id % 2 = 0").groupBy("k").agg(F.count("*").alias("n"))
-    joins = [lookup_join(facts, lookup, ["k"], spread="id", broadcast=b) for b in (True, False)]
-    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        broadcast, salted = (sorted(map(tuple, join.collect()), key=str) for join in joins)
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        joins = [lookup_join(facts, lookup, ["k"], how, shuffle=s) for s in (False, True)]
+        small, large = (sorted(map(tuple, join.select(*joins[0].columns).collect()), key=str) for join in joins)
+        assert small == large
         plan = joins[1]._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
-    assert broadcast == salted and len(salted) == 3000
-    assert "SortMergeJoin" in plan and "_salt" in plan
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
 
 
 def test_broadcast_is_measured(spark):
@@ -32,22 +28,28 @@ def test_broadcast_is_measured(spark):
     assert not fits_broadcast(lookup, size=5000)
 
 
-def test_repeated_registry_rows_do_not_repeat_cards(spark):
+def test_repeated_registry_rows_need_an_order(spark):
     schema = '{"$id": "v%d", "properties": {"Model": {}}, "$defs": {"model": {}}}'
+    sparse = '{"$id": "sparse"}'
     registry = spark.createDataFrame(
-        [("model", "base", schema % 1), ("model", "base", schema % 2), ("model", "url", "{}")],
-        "card_type string, source string, raw string",
-    ).select("card_type", "source", F.parse_json("raw").alias("document"))
+        [("model", "base", sparse, 1), ("model", "url", schema % 9, 1), ("model", "url", schema % 10, 2),
+         ("model", "bad", "{}", 1)],
+        "card_type string, source string, raw string, loaded int",
+    ).select("card_type", "source", F.parse_json("raw").alias("document"), "loaded")
     cards = spark.createDataFrame(
-        [(1, "model", None), (2, "model", "url"), (3, "dataset", None)],
+        [(1, "model", None), (2, "model", "url"), (3, "dataset", None), (4, "model", "bad")],
         "id int, card_type string, schema_source string",
     )
-    found = cardmill.resolve_schema(cards, registry, id_column="id").orderBy("id").collect()
-    assert [(r.id, r.schema_text, r.schema_version, r.schema_found) for r in found] == [
-        (1, "Base Schema", "v2", True),
-        (2, "Base Schema", "v2", True),
-        (3, "Base Schema", "Unknown", False),
-    ]
+
+    def found(**how):
+        rows = cardmill.resolve_schema(cards, registry, **how).orderBy("id").collect()
+        return [(r.id, r.schema_text, r.schema_version, r.schema_found) for r in rows]
+
+    rest = [(3, "Base Schema", "Unknown", False), (4, "Base Schema", "sparse", True)]
+    first = (1, "Base Schema", "sparse", True)
+    assert found(order="loaded") == [first, (2, "url", "v10", True), *rest]
+    assert found() == [first, (2, "Base Schema", "sparse", True), *rest]
+    assert found(order="loaded", shuffle=True) == found(order="loaded")
 
 
 def test_defaults_fill_only_what_is_missing(spark):
@@ -66,21 +68,50 @@ def test_exports_round_trip(spark, cards_of, tmp_path):
         cardmill.classify(cards_of(("a.json", json.dumps(card)), ("b.json", json.dumps(card))))
     )
     nested, flat = str(tmp_path / "nested"), str(tmp_path / "flat")
-    cardmill.export_nested(loaded, nested, family="FAM", day="2025-01-02", single_files=True)
-    cardmill.export_flat(loaded, flat, day="2025-01-02")
-    files = sorted((tmp_path / "nested").rglob("part-*"))
-    assert len(files) == 2
-    assert files[0].parent.relative_to(tmp_path / "nested").parts == (
-        "card_type=model",
-        "export_date=2025-01-02",
-    )
-    text_ = files[0].read_text()
-    assert json.loads(text_) == {"$schema": "FAM-model-2025-05.json"} | card
-    assert text_.rstrip("\n") == json.dumps(json.loads(text_), indent=2)
+    none = [cardmill.export_nested(loaded, nested, family="FAM", day="2025-01-02"),
+            cardmill.export_flat(loaded, flat, day="2025-01-02")]
+    assert [x.count() for x in none] == [0, 0]
+    (folder,) = {f.parent.relative_to(tmp_path / "nested").parts for f in (tmp_path / "nested").rglob("part-*")}
+    assert folder == ("card_type=model", "export_date=2025-01-02")
+    written = [json.loads(r.value) for r in spark.read.text(nested).collect()]
+    assert written == [{"$schema": "FAM-model-2025-05.json"} | card] * 2
     lines = spark.read.text(flat).collect()
     assert [json.loads(r.value)["model_architecture"] for r in lines] == ["in", "in"]
 
 
+def test_no_card_is_invented_or_lost(spark, cards_of, tmp_path):
+    cards = cards_of(
+        ("a.json", '{"Model": {"Name": "m", "Results": "text"}}'), ("b.json", '{"Model": {"Name": "n"}}'),
+        ("c.txt", '{"model_name": "x", "results": "text"}'), ("d.json", "[1]"),
+    )
+    loaded = cardmill.load_section(cardmill.classify(cards))
+    for kind, fates in (
+        ("nested", {"c.txt": "no_section", "d.json": "unknown_type"}),
+        ("flat", {"a.json": "not_mappable", "c.txt": "no_section", "d.json": "unknown_type"}),
+    ):
+        path = str(tmp_path / kind)
+        export = cardmill.export_flat if kind == "flat" else cardmill.export_nested
+        refused = export(loaded, path, **({} if kind == "flat" else {"family": "FAM"}))
+        assert {r.file_name: r.refusal for r in refused.collect()} == fates
+        assert spark.read.text(path).count() == 4 - len(fates)
+
+
+def test_day_of_an_export_is_that_of_utc(spark):
+    from cardmill.sinks.exports import utc_day
+
+    moment = spark.sql("SELECT timestamp'2025-01-02 23:30:00-05:00' AS t")
+    assert moment.select(utc_day(F.col("t"))).first()[0] == "2025-01-03"
+    assert spark.range(1).select(utc_day() == F.date_format(F.current_timestamp(), "yyyy-MM-dd")).first()[0]
+
+
+def test_preview_is_indented_like_a_script_does(spark):
+    value = {"a": [], "b": {}, "c": [1, {"d": "x,[\"{\\\\"}], "e": {"f": {"g": None}}, "h": "y" * 30000}
+    value["long"] = [[i] for i in range(600)]
+    row = spark.createDataFrame([(json.dumps(value),), (None,)], "raw string")
+    shown = [r[0] for r in row.select(cardmill.preview_json(F.parse_json("raw"))).collect()]
+    assert shown == [json.dumps(value, indent=2, sort_keys=True), None]
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     source = tmp_path / "cards"
     source.mkdir()

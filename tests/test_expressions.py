@@ -71,12 +71,35 @@ def test_text_of_values(spark):
     [
         ("1,250", 1), ("12.7", 12), ("abc", None), ("", None), ("  -8x", -8), ("+5", 5),
         ("0x1F", 31), ("-0x10", -16), (" 7", 7), ("x7", None),
-        ("12345678901234567890", 12345678901234567890),
+        ("12345678901234567890", 12345678901234567890), ("0x000F", 15), ("9" * 40, 1e40), ("0x" + "F" * 22, 16.0**22),
+        ("-0x" + "F" * 22, -(16.0**22)), ("1" + "0" * 400, "null"), ("0x" + "1" * 400, "null"),
     ],
 )
 def test_leading_integer(spark, text, want):
-    row = spark.createDataFrame([(text,)], "t string").select(leading_integer(F.col("t"))).first()
-    assert row[0] == want
+    row = spark.createDataFrame([(text,)], "t string").select(F.to_json(leading_integer(F.col("t")))).first()
+    if want is None or want == "null":
+        assert row[0] == want
+    else:
+        assert float(row[0]) == want if isinstance(want, float) else int(row[0]) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("1e3", "1000"), ("1e10", "10000000000"), ("1e21", "1e+21"), ("1.5e-7", "1.5e-7"), ("1e-7", "1e-7"),
+     ("1.5e-5", "0.000015"), ("0.00000012", "1.2e-7"), ("-2.50e1", "-25"), ("1.25e1", "12.5"), ("1.50", "1.5"),
+     ("12345678.9e0", "12345678.9"), ("7", "7"), ('"1000.0"', "1000.0"), ("[1e3, 2]", "1000,2")],
+)
+def test_numbers_read_as_a_script_prints_them(spark, raw, want):
+    value = spark.createDataFrame([(raw,)], "raw string").select(F.parse_json("raw").alias("v"))
+    assert value.select(as_text(Field(F.col("v")))).first()[0] == want
+
+
+def test_an_empty_list_has_a_label(spark, cards_of):
+    from test_convert import nested
+
+    rows = nested(cards_of, {"model_name": "m", "sustainability": [], "time_to_train": 1e3, "medical_task": ""})
+    comments = rows.select(F.variant_get("section", "$.Comments", "string")).first()[0]
+    assert comments == "Sustainability: \n\nTraining Time: 1000"
 
 
 @pytest.mark.parametrize(

@@ -66,6 +66,7 @@ def test_whole_files_and_names(spark, tmp_path):
         ('{ "Model" : { "v" : 1.0 } }', 17, "Detected from content"),
         ('{"Model": "😀", "$schema": "s"}', 28, "s"),
         ('{"Model": 1, "$schema": ""}', 24, "Detected from content"),
+        ('{"Model": [1e10, 1e3, "1.0E10"], "n": 0.5}', 45, "Detected from content"),
     ],
 )
 def test_preview(cards_of, raw, size, schema):
