@@ -16,6 +16,9 @@ NAME_KEY = {"model": "model_name", "dataset": "dataset_name"}
 NO_SCHEMA_TEXT = "Detected from content"
 
 INVALID_FILE = "invalid_file"
+TOO_LARGE = "too_large"
+# Bytes beyond which Spark may refuse a sound JSON text: its parser takes strings up to this size.
+LARGEST_TEXT = 20_000_000
 NO_DATA = "no_data"
 UNKNOWN_TYPE = "unknown_type"
 
@@ -48,10 +51,15 @@ def detect_card_type(head: Record) -> Column:
     return found.otherwise("unknown")
 
 
-def reject_reason(doc: Column, card_type: Column) -> Column:
-    """Why a card cannot be loaded, NULL when it can."""
+def reject_reason(doc: Column, card_type: Column, raw: Column) -> Column:
+    """Why a card cannot be loaded, NULL when it can.
+
+    A text that gives no value and is longer than the engine takes a single value may be sound JSON, so it is
+    not called broken.
+    """
     return (
-        F.when(doc.isNull() | F.is_variant_null(doc), INVALID_FILE)
+        F.when(doc.isNull() & (F.octet_length(raw) > LARGEST_TEXT), TOO_LARGE)
+        .when(doc.isNull() | F.is_variant_null(doc), INVALID_FILE)
         .when(card_type != "unknown", None)
         .when(~Field(doc).truthy, NO_DATA)
         .otherwise(UNKNOWN_TYPE)
@@ -67,7 +75,7 @@ def classify(cards: DataFrame) -> DataFrame:
             "card_type": detect_card_type(head),
         }
     )
-    reason = reject_reason(F.col("doc"), F.col("card_type"))
+    reason = reject_reason(F.col("doc"), F.col("card_type"), F.col("raw"))
     classified = HEAD.unstage(typed.withColumn("reject_reason", reason), "head")
     return fence(classified, "format", "card_type", "reject_reason")
 

@@ -37,3 +37,35 @@ def apply_defaults(section: Column, defaults: dict[str, Any]) -> Column:
     return F.when(
         present.isNotNull(), F.to_variant_object(F.map_concat(present, missing))
     ).otherwise(section)
+
+
+def fill_defaults(section: Column, shape: Shape) -> Column:
+    """Section with missing fields added at every level that is there.
+
+    Fields of the section, of objects in it and of objects in its lists are filled; a missing object or list
+    gets its default as a whole. Present fields stay, null ones and those of another type too.
+    """
+    if shape.types == ("array",):
+        if shape.items is None or not fillable(shape.items):
+            return section
+        items = Field(section).read("array<variant>")
+        done = F.transform(items, lambda item: fill_defaults(item, shape.items)).cast("variant")
+        return F.when(items.isNotNull(), done).otherwise(section)
+    inner = {name: s for name, s in shape.fields.items() if fillable(s)}
+
+    def field(name: Column, value: Column) -> Column:
+        chosen = F
+        for wanted, inside in inner.items():
+            chosen = chosen.when(name == wanted, fill_defaults(value, inside))
+        return chosen.otherwise(value) if inner else value
+
+    present = Field(section).read("map<string,variant>")
+    filled = apply_defaults(F.to_variant_object(F.transform_values(present, field)), defaults_of(shape))
+    return F.when(present.isNotNull(), filled).otherwise(section)
+
+
+def fillable(shape: Shape) -> bool:
+    """Does a shape have fields, or items with fields, to fill?"""
+    if shape.types == ("array",):
+        return shape.items is not None and fillable(shape.items)
+    return bool(shape.fields)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.contracts.profiles import legacy_dataset
+from cardmill.contracts.shapes import integer, listing, record, text
 from cardmill.functions.text import (
     first_paragraph,
     join_present,
@@ -15,13 +16,15 @@ from cardmill.functions.text import (
     utf16_length,
 )
 from cardmill.functions.values import Field, first_truthy, literal
+from cardmill.operators.classify import classify
 from cardmill.operators.convert import (
     flat_to_nested,
     infer_codes,
+    load_section,
     nested_to_flat,
     wrap_envelope,
 )
-from cardmill.operators.defaults import apply_defaults, defaults_of
+from cardmill.operators.defaults import apply_defaults, defaults_of, fill_defaults
 from cardmill.plans.catalog import query
 from cardmill.plans.corpus import (
     FAMILY,
@@ -248,9 +251,79 @@ def default_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT c_custkey,
+       CASE c_custkey % 3 WHEN 0 THEN '{"Name":"","Org":{},"Parts":[]}'
+            WHEN 1 THEN '{"Name":"n","Org":{"City":"' || c_mktsegment || '","Name":""},"Parts":[{"Label":"","Size":1},7]}'
+            ELSE '{"Name":null,"Org":null,"Parts":"none"}' END AS filled
+FROM customer
+""")
+def nested_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing fields are filled in objects and in objects of lists; null and other types stay."""
+    shape = record(
+        {
+            "Name": text(),
+            "Org": record({"Name": text(), "City": text()}),
+            "Parts": listing(record({"Label": text(), "Size": integer()})),
+        }
+    )
+    cards = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        """parse_json(CASE c_custkey % 3 WHEN 0 THEN '{}'
+             WHEN 1 THEN concat('{"Name":"n","Org":{"City":"', c_mktsegment, '"},"Parts":[{"Size":1},7]}')
+             ELSE '{"Name":null,"Org":null,"Parts":"none"}' END) AS section""",
+    )
+    return cards.select("c_custkey", F.to_json(fill_defaults(F.col("section"), shape)).alias("filled"))
+
+
 # ---- mappings ------------------------------------------------------------------
 
 
+@query("""
+SELECT c_custkey,
+       'Sustainability: ' || chr(10) || chr(10) || 'Training Time: '
+         || CASE c_custkey % 5 WHEN 0 THEN c_custkey + 1 || '000' WHEN 1 THEN c_custkey + 1 || '.5'
+                 WHEN 2 THEN (c_custkey + 1)::VARCHAR WHEN 3 THEN '1.5e-7' ELSE '1e+21' END AS comments
+FROM customer
+""")
+def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers inside a text, and a label with nothing behind it for an empty list."""
+    cards = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        """concat('{"model_name":"m","sustainability":[],"time_to_train":', CASE c_custkey % 5
+             WHEN 0 THEN concat(c_custkey + 1, 'e3') WHEN 1 THEN concat(c_custkey + 1, '.50')
+             WHEN 2 THEN concat(c_custkey + 1, '.0') WHEN 3 THEN '15e-8' ELSE '1e21' END, '}') AS raw""",
+        "'m.txt' AS name",
+    )
+    loaded = load_section(classify(cards_from_table(cards, "raw", "name")))
+    return loaded.select("c_custkey", F.try_variant_get("section", "$.Comments", "string").alias("comments"))
+
+
+@query("""
+SELECT s_suppkey,
+       CASE s_suppkey % 4 WHEN 2 THEN '' ELSE s_nationkey + 1 || '' END AS patient_count,
+       CASE s_suppkey % 4 WHEN 2 THEN '' WHEN 3 THEN s_nationkey + 2 || ''
+            ELSE s_nationkey + 1 || '' END AS number_instances,
+       CASE WHEN s_nationkey % 2 = 0 THEN '5' ELSE '1' END AS site_count,
+       'Not specified' AS age, s_name AS subset_name
+FROM supplier
+""")
+def subsets_to_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a subset stand in for each other; what is missing gets its default."""
+    cards = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey",
+        "'dataset' AS card_type",
+        """parse_json(concat('{"Name":"d","Subsets":[{"Subset name":"', s_name, '"',
+             CASE s_suppkey % 4 WHEN 0 THEN concat(',"Patient count":', s_nationkey + 1)
+                  WHEN 1 THEN concat(',"Number of instances":', s_nationkey + 1) WHEN 2 THEN ''
+                  ELSE concat(',"Patient count":', s_nationkey + 1, ',"Number of instances":', s_nationkey + 2) END,
+             if(s_nationkey % 2 = 0, ',"Site count":5', ''), '}]}')) AS section""",
+    )
+    names = ("patient_count", "number_instances", "site_count", "age", "subset_name")
+    fields = [f"variant_get(flat, '$.partitions[0].{n}', 'string') AS {n}" for n in names]
+    return nested_to_flat(cards).selectExpr("s_suppkey", *fields)
+
+
 @query("""
 SELECT p_partkey AS id, p_name AS name,
        CASE WHEN p_size % 5 = 0 THEN '[]' ELSE '["' || p_brand || '","' || p_type || '"]' END

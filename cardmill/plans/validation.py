@@ -516,3 +516,83 @@ def rules_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = record({"Dataset": form_from_document(NATION_SCHEMA, "dataset")}, closed=False)
     shapes = {"v0": shape_from_document(NATION_SCHEMA), "v1": form}
     return validate(docs, shapes, key="version").select(F.col("s").alias("id"), "error_count")
+
+
+STRICT_SCHEMA = {
+    "properties": {
+        "list": {"$ref": "#/$defs/list", "minItems": 1},
+        "none": {"const": None},
+        "pair": {"prefixItems": [{"type": "string"}], "items": False},
+        "when": {"type": "string", "format": "date-time"},
+    },
+    "$defs": {"list": {"type": "array", "uniqueItems": True}},
+}
+
+
+@query(
+    union_sql(
+        "SELECT o_orderkey AS id, * FROM orders",
+        ("'$.list'", "minItems", "o_orderkey % 2 = 0"),
+        ("'$.none'", "const", "o_orderkey % 3 = 0"),
+        ("'$.pair[1]'", "false", "o_orderkey % 5 = 0"),
+        ("'$.when'", "format", "o_orderkey % 7 = 0"),
+    )
+)
+def strict_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules beside a reference, a constant null, forbidden items and a moment: none is passed over."""
+    raw = """concat('{"list":[', if(o_orderkey % 2 = 0, '', cast(o_orderkey AS string)), '],"none":', if(o_orderkey % 3 = 0, '0', 'null'),
+        ',"pair":["a"', if(o_orderkey % 5 = 0, ',1', ''), '],"when":"', date_format(o_orderdate, 'yyyy-MM-dd'),
+        if(o_orderkey % 7 = 0, '', 'T10:00:00Z'), '"}')"""
+    docs = documents(spark, sf_dir, "orders", "o_orderkey", raw)
+    return listed(validate(docs, shape_from_document(STRICT_SCHEMA)))
+
+
+FORM_SCHEMA = {
+    "$defs": {
+        "model": {
+            "properties": {
+                "any": {"anyOf": [{"type": "integer"}]},
+                "map": {"additionalProperties": {"type": "integer"}},
+                "keys": {"patternProperties": {"^a": {}, "^b": {}}},
+                "own": {"$ref": "#/$defs/part"},
+            },
+            "required": ["any"],
+        },
+        "part": {"type": "object", "properties": {"inner": {"$ref": "#/$defs/part"}, "n": {"type": "integer"}}},
+    }
+}
+
+
+@query(
+    union_sql(
+        "SELECT s_suppkey AS id, * FROM supplier",
+        ("'$.any'", "type", "s_suppkey % 2 = 0"),
+        ("'$.any'", "required", "s_suppkey % 2 = 1"),
+        ("'$.map'", "type", "s_suppkey % 3 = 0"),
+        ("'$.keys'", "type", "s_suppkey % 5 = 0"),
+        ("'$.own.inner'", "type", "TRUE"),
+        ("'$.own.n'", "type", "s_nationkey < 10"),
+    )
+)
+def form_of_combined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined rules, and a definition within itself, are plain texts in a form."""
+    raw = """concat('{', if(s_suppkey % 2 = 0, '"any":1,', ''), '"map":', if(s_suppkey % 3 = 0, '{}', '"t"'),
+        ',"keys":', if(s_suppkey % 5 = 0, '[]', '"t"'), ',"own":{"inner":{},"n":', if(s_nationkey < 10, '"1"', '1'), '}}')"""
+    docs = documents(spark, sf_dir, "supplier", "s_suppkey", raw)
+    return listed(validate(docs, form_from_document(FORM_SCHEMA, "model")))
+
+
+@query("""
+SELECT '$.' || CASE c_custkey % 4 WHEN 0 THEN 'x' || chr(1) || 'y' WHEN 1 THEN 'k[1]' WHEN 2 THEN 'k[2]'
+            ELSE 'list[*]' END AS path,
+       CASE c_custkey % 4 WHEN 3 THEN 'type' ELSE 'additionalProperties' END AS keyword,
+       count(*)::BIGINT AS cards, sum(CASE c_custkey % 4 WHEN 3 THEN 2 ELSE 1 END)::BIGINT AS violations
+FROM customer GROUP BY ALL
+""")
+def summary_of_odd_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that hold brackets or control characters are not mixed up with positions or each other."""
+    raw = """to_json(CASE c_custkey % 4 WHEN 0 THEN map('x\\u0001y', cast(1 AS variant))
+        WHEN 1 THEN map('k[1]', cast(1 AS variant)) WHEN 2 THEN map('k[2]', cast(1 AS variant))
+        ELSE map('list', cast(array(1, 2) AS variant)) END)"""
+    docs = documents(spark, sf_dir, "customer", "c_custkey", raw)
+    return summarise_violations(validate(docs, record({"list": listing(text())})))
