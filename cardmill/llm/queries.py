@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardmill.llm.common import documents, labels, whole
 from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
+from cardmill.llm.oracles import LINE_DEDUP, QUALITY_RULES, SUBSTRING_DEDUP
 from cardmill.llm.packing import pack_documents
 from cardmill.llm.passages import remove_repeated_passages
 from cardmill.llm.pieces import decode, encode_documents, load_pieces
@@ -158,4 +159,8 @@ QUERIES: dict[str, Query] = {
 }
 
 #: SQL for the operators that DuckDB can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": SUBSTRING_DEDUP,
+    "op7_quality_rules": QUALITY_RULES,
+    "op8_line_dedup": LINE_DEDUP,
+}
