@@ -129,3 +129,11 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     streamed = spark.read.parquet(out)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
     assert streamed.count() == 6
+
+
+def test_missing_fields_are_filled_on_the_way(cards_of):
+    shape = {"dataset": record({"Name": text(min_length=1), "Comments": text()}, closed=False)}
+    cards = cards_of(("a.json", '{"Dataset": {"Comments": "c"}}'))
+    plain, filled = (process_cards(cards, shape, fill=fill).first() for fill in (False, True))
+    assert [v.keyword for v in plain.violations] == []
+    assert [(v.path, v.keyword) for v in filled.violations] == [("$.Name", "minLength")]

@@ -79,3 +79,9 @@ def test_filters_do_not_repeat_the_parsing(cards_of):
     good, _ = cardmill.split_rejects(cardmill.classify(cards_of(("a.json", '{"Model": {}}'))))
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_a_text_beyond_the_parser_has_a_reason_of_its_own(spark):
+    cards = spark.sql("SELECT concat('{\"Model\":\"', repeat('x', 20500000), '\"}') AS raw UNION ALL SELECT '{' AS raw")
+    rows = cardmill.classify(cardmill.cards_from_table(cards)).select("reject_reason").collect()
+    assert sorted(r[0] for r in rows) == ["invalid_file", "too_large"]
