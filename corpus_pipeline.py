@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm.common import documents, labels, shared_folder
+from cardmill.functions.session import scratch_path
+from cardmill.llm.common import documents, labels
 from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.packing import pack_documents
 from cardmill.llm.queries import default_vocabulary
@@ -62,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each returns is written to the shared folder and read again."""
+    """All stages over the documents; what each returns is written to the shared folder and read again.
+
+    The written tables stay until the application ends.
+    """
     docs = documents(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
