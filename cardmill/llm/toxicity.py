@@ -207,8 +207,15 @@ def training_rows(
         .filter(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("_id"))
         .withColumn("_order", F.xxhash64("_id", F.lit(2)))
     )
-    # Twice what is wanted, as long texts go; then the first of those that stay.
-    drawn = [usable.filter(F.col("toxic") == y).orderBy("_order", "_id").limit(2 * rows * (2 - y)) for y in (0, 1)]
+    # Twice what is wanted, as long texts go; then the first of those that stay. A bound on the hash, from the number
+    # of rows, leaves about twice as many to sort, so that the sort doesn't grow with the table.
+    counts = {x["toxic"]: x["count"] for x in usable.groupBy("toxic").count().collect()}
+    drawn = []
+    for y in (0, 1):
+        wanted = 2 * rows * (2 - y)
+        share = min(1.0, 2 * wanted / max(1, counts.get(y, 0)))
+        early = F.col("_order") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+        drawn.append(usable.filter((F.col("toxic") == y) & early).orderBy("_order", "_id").limit(wanted))
     sample = drawn[0].union(drawn[1])
     told = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("text"), F.col("lang"))
     told = told.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), "_id")
