@@ -14,9 +14,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cardmill.llm.common import shuffle_partitions, small_batches, whole
 
@@ -28,8 +27,14 @@ UNKNOWN_PENALTY = 10.0
 LONG_WORD = 256
 #: The piece table is copied to every task only up to this many pieces.
 MOST_PIECES = 1_000_000
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+#: What a decoder shows for ids that stand for nothing.
+LOST = "\N{REPLACEMENT CHARACTER}".encode()
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
+
+#: A character that is no letter, digit or mark.
+SIGN = re.compile(f"[^\\w{MARK}]")
+
 
 @dataclass
 class Pieces:
@@ -50,6 +55,22 @@ class Pieces:
         if any("\n" in p or MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p, _, _ in self.rows):
             raise ValueError("pieces of this model reach over words or lines")
 
+    @cached_property
+    def pairs(self) -> frozenset[str]:
+        """All two characters that stand side by side in a piece; no piece reaches over any others."""
+        return frozenset(p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1))
+
+    def cut(self, word: str) -> list[str]:
+        """A word cut beside its signs where no piece reaches over; its path is that of its parts.
+
+        Words that differ in the signs around them have parts in common, so there are fewer different ones.
+        """
+        if SIGN.search(word) is None:
+            return [word]
+        places = {at for sign in SIGN.finditer(word) for at in (sign.start(), sign.end())} - {0, len(word)}
+        gaps = sorted(at for at in places if word[at - 1 : at + 1] not in self.pairs)
+        return [word[a:b] for a, b in zip([0, *gaps], [*gaps, len(word)], strict=True)]
+
     @cached_property
     def table(self) -> dict[str, tuple[int, float]]:
         return {p: (i, s) for p, i, s in self.rows}
@@ -103,14 +124,17 @@ def best_path(edges: Column) -> Column:
     return F.aggregate(F.sort_array(edges), first, step, lambda state: F.element_at(state, -1)["ids"])
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for distinct words: substrings up to the longest piece, joined to the pieces, folded by word."""
+def encode_words(words: DataFrame, pieces: Pieces, *also: str) -> DataFrame:
+    """(also, word, ids) for distinct words: substrings up to the longest piece, joined to the pieces, folded by word.
+
+    `also` are columns that depend on the word; words dealt out by them are not dealt out again.
+    """
     spark = words.sparkSession
     table = spark.createDataFrame(pieces.rows, "_piece string, _id int, _score double")
     length = F.char_length("word")
-    starts = words.filter(length > 0).select("word", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
+    starts = words.filter(length > 0).select(*also, "word", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
     ends = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), length - F.col("start")))
-    spans = starts.select("word", "start", F.explode(ends).alias("length"))
+    spans = starts.select(*also, "word", "start", F.explode(ends).alias("length"))
     exploded = spans.withColumn("_piece", F.substring("word", F.col("start") + 1, F.col("length")))
     # A single character without a piece is an edge too, so every word has a path.
     edges = exploded.join(F.broadcast(table), "_piece", "left").filter(F.col("_id").isNotNull() | (F.col("length") == 1))
@@ -120,8 +144,8 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         F.coalesce("_id", F.lit(pieces.unknown)).alias("piece"),
         F.coalesce("_score", F.lit(pieces.unknown_score)).alias("score"),
     )
-    lattice = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
-    return lattice.select("word", best_path(F.col("edges")).alias("ids"))
+    lattice = edges.groupBy(*also, "word").agg(F.collect_list(edge).alias("edges"))
+    return lattice.select(*also, "word", best_path(F.col("edges")).alias("ids"))
 
 
 def viterbi(word: str, pieces: Pieces) -> list[int]:
@@ -179,60 +203,103 @@ def opened(data: bytes) -> list[bytes]:
     return out
 
 
+def lines_of(text: str) -> Iterator[tuple[str | None, list[str], list[str]]]:
+    """The words of a text a line at a time, split as quickly as can be.
+
+    A line gives its first word where that has no mark (None in the first line, which begins with one), the words that
+    have one mark, without it, and those of a line with runs of spaces as they are.
+    """
+    for number, line in enumerate(text.split("\n")):
+        parts = line.split(" ")
+        head = parts.pop(0) if number else None
+        if "" in parts:
+            yield head, [], WORD.findall(MARK + MARK.join(parts))
+        else:
+            yield head, parts, []
+
+
 class Job:
     def __init__(self, pieces: Pieces, buckets: int):
         self.pieces, self.buckets = pieces, buckets
 
-    def asked(self, chunk: int, table: pa.Table) -> Iterator[tuple[int, list[bytes]]]:
-        """The distinct words of a chunk by bucket, in order."""
+    def words(self, table: pa.Table) -> dict[str, list[str]]:
+        """The distinct words of a chunk, each with its parts."""
+        marked: set[str] = set()
         distinct: set[str] = set()
         for blob in table.column("texts").to_pylist():
-            for text in opened(blob):
-                distinct.update(words_of(text.decode()))
-        by_bucket: dict[int, list[bytes]] = defaultdict(list)
-        for word in sorted(w.encode() for w in distinct):
-            by_bucket[zlib.crc32(word) % self.buckets].append(word)
-        yield from sorted(by_bucket.items())
+            for data in opened(blob):
+                if data:
+                    for head, parts, odd in lines_of(data.decode()):
+                        marked.update(parts)
+                        distinct.update(odd)
+                        if head is not None:
+                            distinct.update(("\n", head) if head else ("\n",))
+        distinct.update([MARK + word for word in marked])
+        return {word: self.pieces.cut(word) for word in distinct}
+
+    def asked(self, words: dict[str, list[str]]) -> Iterator[tuple[int, list[bytes]]]:
+        """The distinct parts of words by bucket, in order."""
+        by_bucket: list[list[bytes]] = [[] for _ in range(self.buckets)]
+        crc, count = zlib.crc32, self.buckets
+        for part in sorted({part.encode() for parts in words.values() for part in parts}):
+            by_bucket[crc(part) % count].append(part)
+        return ((bucket, own) for bucket, own in enumerate(by_bucket) if own)
 
     def ask(self, key: tuple, table: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        rows = [(bucket, chunk, squeezed(words)) for bucket, words in self.asked(chunk, table)]
+        rows = [(bucket, chunk, squeezed(words)) for bucket, words in self.asked(self.words(table))]
         return arrow(rows, [("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
     @staticmethod
-    def distinct(table: pa.Table) -> pa.Table:
+    def distinct(key: tuple, table: pa.Table) -> pa.Table:
         words: set[bytes] = set()
         for blob in table.column("words").to_pylist():
             words.update(opened(blob))
-        short = [w.decode() for w in sorted(words)]
-        return pa.table({"word": pa.array([w for w in short if len(w) <= LONG_WORD], pa.string())})
+        short = [w for w in map(bytes.decode, sorted(words)) if len(w) <= LONG_WORD]
+        buckets = np.full(len(short), key[0].as_py(), dtype=np.int32)
+        return pa.table({"bucket": pa.array(buckets), "word": pa.array(short, pa.string())})
 
     def reply(self, asked: pa.Table, folded: pa.Table) -> pa.Table:
         ids = {}
-        for word, path in zip(folded.column("word").to_pylist(), folded.column("ids").to_pylist(), strict=True):
-            ids[word.encode()] = np.array(with_bytes(word, path, self.pieces), dtype="<i4").tobytes()
+        paths = folded.column("ids").combine_chunks()
+        flat, ends = paths.values.to_numpy().astype("<i4"), paths.offsets.to_numpy()
+        for i, word in enumerate(folded.column("word").to_pylist()):
+            path = flat[ends[i] : ends[i + 1]]
+            if self.pieces.unknown in path:
+                path = np.array(with_bytes(word, path.tolist(), self.pieces), dtype="<i4")
+            ids[word.encode()] = path.tobytes()
         rows = []
         for bucket, chunk, blob in zip(*(asked.column(c).to_pylist() for c in ("bucket", "chunk", "words")), strict=True):
-            paths = []
-            for word in opened(blob):
+            words = opened(blob)
+            for word in words:
                 if word not in ids:
                     text = word.decode()
                     path = with_bytes(text, viterbi(text, self.pieces), self.pieces)
                     ids[word] = np.array(path, dtype="<i4").tobytes()
-                paths.append(ids[word])
-            rows.append((chunk, bucket, squeezed(paths)))
+            rows.append((chunk, bucket, squeezed([ids[word] for word in words])))
         return arrow(rows, [("chunk", pa.int64()), ("bucket", pa.int32()), ("paths", pa.binary())])
 
-    def encode(self, key: tuple, table: pa.Table, replies: pa.Table) -> Iterator[pa.RecordBatch]:
+    def encode(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         paths = dict(zip(replies.column("bucket").to_pylist(), replies.column("paths").to_pylist(), strict=True))
-        known: dict[str, bytes] = {}
-        for bucket, words in self.asked(key[0].as_py(), table):
-            known.update(zip((w.decode() for w in words), opened(paths[bucket]), strict=True))
+        words = self.words(table)
+        found: dict[str, bytes] = {}
+        for bucket, parts in self.asked(words):
+            found.update(zip(map(bytes.decode, parts), opened(paths.pop(bucket)), strict=True))
+        known = {word: b"".join([found[part] for part in parts]) for word, parts in words.items()}
+        marked = {word[1:]: path for word, path in known.items() if word[0] == MARK}
         numbers, ids = [], []
         for row, blob in zip(table.column("doc_ids").to_pylist(), table.column("texts").to_pylist(), strict=True):
-            for number, text in zip(row, opened(blob), strict=True):
+            for number, data in zip(row, opened(blob), strict=True):
+                out: list[bytes] = []
+                for head, parts, odd in lines_of(data.decode()) if data else ():
+                    if head is not None:
+                        out.append(known["\n"])
+                        if head:
+                            out.append(known[head])
+                    out += map(marked.__getitem__, parts)
+                    out += map(known.__getitem__, odd)
                 numbers.append(number)
-                ids.append(np.frombuffer(b"".join(map(known.__getitem__, words_of(text.decode()))), dtype="<i4"))
+                ids.append(np.frombuffer(b"".join(out), dtype="<i4"))
         offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
@@ -245,7 +312,7 @@ def arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def packed_texts(docs: DataFrame, chunks: int) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
     """Documents in compressed groups, dealt into chunks by their id: texts are most of what is shuffled."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,40 +343,34 @@ def encode_documents(docs: DataFrame, pieces: Pieces, *, doc_id: str = "doc_id",
     size = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = shuffle_partitions(spark)
     chunks = max(partitions, math.ceil(size / CHUNK_BYTES))
-    buckets = max(partitions, math.ceil(size / BUCKET_BYTES))
+    # Small parts, as the edges of a part's words are sorted in memory.
+    buckets = max(4 * partitions, math.ceil(size / BUCKET_BYTES))
     job = Job(pieces, buckets)
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).alias("chunk")
-    texts = packed_texts(told.select(chunk, "doc_id", "text"), chunks).groupBy("chunk")
+    texts = packed_texts(told.select(chunk, "doc_id", "text")).groupBy("chunk")
     asked = texts.applyInArrow(lambda key, rows: job.ask(key, rows), "bucket int, chunk long, words binary")
-    words = asked.groupBy("bucket").applyInArrow(lambda rows: job.distinct(rows), "word string")
-    folded = encode_words(words.repartition(2 * partitions, "word"), pieces)
-    folded = folded.withColumn("bucket", F.pmod(F.crc32("word"), F.lit(buckets)).cast("int"))
+    # Dealt out by bucket twice, with the words alone the second time; lattice and replies stay where the words are.
+    asked = asked.repartition(buckets, "bucket")
+    words = asked.groupBy("bucket").applyInArrow(lambda key, rows: job.distinct(key, rows), "bucket int, word string")
+    folded = encode_words(words.repartition(buckets, "bucket"), pieces, "bucket")
     replies = asked.groupBy("bucket").cogroup(folded.groupBy("bucket"))
     replies = replies.applyInArrow(lambda rows, paths: job.reply(rows, paths), "chunk long, bucket int, paths binary")
     both = texts.cogroup(replies.groupBy("chunk"))
-    return both.applyInArrow(lambda key, rows, found: job.encode(key, rows, found), "doc_id long, ids array<int>")
+    return both.applyInArrow(lambda key, rows, found: job.encode(rows, found), "doc_id long, ids array<int>")
 
 
-def decode(ids: Column | str, spark: SparkSession, pieces: Pieces) -> Column:
+def decode(ids: Column | str, pieces: Pieces) -> Column:
     """The text of a list of ids; byte pieces are put together, marks become spaces, the first one is left out.
 
-    NULL stays NULL; ids outside the table give the replacement character.
+    NULL stays NULL; ids outside the table, and bytes that make up no character, give the replacement character.
     """
-    held = spark.sparkContext.broadcast((pieces.names, pieces.bytes_of, pieces.unknown))
-
-    @F.arrow_udf(T.StringType())
-    def text_of(lists: pa.Array) -> pa.Array:
-        names, bytes_of, unknown = held.value
-        parts = [bytes([bytes_of[i]]) if i in bytes_of else name.replace(MARK, " ").encode() for i, name in enumerate(names)]
-        parts[unknown] = "�".encode()
-        lost = "�".encode()
-        out = []
-        for one in lists:
-            if not one.is_valid:
-                out.append(None)
-                continue
-            joined = b"".join(parts[i] if i is not None and 0 <= i < len(parts) else lost for i in one.as_py())
-            out.append(joined.decode("utf-8", "replace").removeprefix(" "))
-        return pa.array(out, pa.string())
-
-    return text_of(ids)
+    parts = [
+        bytes([pieces.bytes_of[i]]) if i in pieces.bytes_of else name.replace(MARK, " ").encode()
+        for i, name in enumerate(pieces.names)
+    ]
+    parts[pieces.unknown] = LOST
+    # One constant: the bytes of every piece in hexadecimal.
+    table = F.split(F.lit(",".join(part.hex() for part in parts)), ",")
+    found = F.transform(ids, lambda i: F.coalesce(F.get(table, F.when(i >= 0, i)), F.lit(LOST.hex())))
+    text = F.make_valid_utf8(F.unhex(F.array_join(found, "")).cast("string"))
+    return F.regexp_replace(text, r"\A ", "")

@@ -132,7 +132,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, pieces = documents(spark, sf_dir), load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     encoded = encode_documents(docs, pieces)
-    back = decode("ids", spark, pieces)
+    back = decode("ids", pieces)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

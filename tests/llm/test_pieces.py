@@ -67,6 +67,13 @@ def test_fold_agrees_with_python(spark, pieces):
     assert {r.word: r.ids for r in rows} == {w: viterbi(w, pieces) for w in words}
 
 
+def test_words_are_cut_where_no_piece_reaches_over(pieces):
+    for word in ("▁end.", "▁naïve漢字x", "▁▁▁", "\n", "a", "▁...!!#abc"):
+        parts = pieces.cut(word)
+        assert "".join(parts) == word and [i for p in parts for i in viterbi(p, pieces)] == viterbi(word, pieces)
+    assert pieces.cut("▁end.") == ["▁end", "."] or "d." in pieces.pairs
+
+
 def test_ties_go_to_the_longer_last_piece(spark):
     pieces = Pieces([("▁", 1, 0.0), ("a", 2, -1.0), ("b", 3, -1.0), ("c", 4, -1.0), ("ab", 5, -1.0), ("bc", 6, -1.0)],
                     ["<unk>", "▁", "a", "b", "c", "ab", "bc"], {}, 0)
@@ -81,11 +88,12 @@ def test_pieces_that_reach_over_words_are_refused():
 
 def test_documents(spark, docs_of, odd, empty, pieces):
     texts = [*ODD, (20, "w" * 600 + " x"), (21, "  lead and trail  ")]
-    rows = encode_documents(docs_of(*texts), pieces).withColumn("back", decode("ids", spark, pieces)).collect()
+    rows = encode_documents(docs_of(*texts), pieces).withColumn("back", decode("ids", pieces)).collect()
     want = sorted(
         str((i, [p for w in words_of(t or "") for p in with_bytes(w, viterbi(w, pieces), pieces)], t or "")) for i, t in texts
     )
     assert sorted(str((r.doc_id, r.ids, r.back)) for r in rows) == want
     assert encode_documents(empty, pieces).count() == 0
-    lists = spark.createDataFrame([(None,), ([],), ([0, 99999, None],)], "ids array<int>")
-    assert [r[0] for r in lists.select(decode("ids", spark, pieces)).collect()] == [None, "", "���"]
+    half = pieces.byte_ids[0xC3]
+    lists = spark.createDataFrame([(None,), ([],), ([0, 99999, None, -1],), ([half],)], "ids array<int>")
+    assert [r[0] for r in lists.select(decode("ids", pieces)).collect()] == [None, "", "����", "�"]
