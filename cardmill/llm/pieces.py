@@ -65,8 +65,10 @@ class Pieces:
 
         Words that differ in the signs around them have parts in common, so there are fewer different ones.
         """
-        if SIGN.search(word) is None:
+        if word.isalnum() or SIGN.search(word) is None:
             return [word]
+        if word[:-1].isalnum():  # nearly all words with a sign have one at their end
+            return [word] if word[-2:] in self.pairs else [word[:-1], word[-1]]
         places = {at for sign in SIGN.finditer(word) for at in (sign.start(), sign.end())} - {0, len(word)}
         gaps = sorted(at for at in places if word[at - 1 : at + 1] not in self.pairs)
         return [word[a:b] for a, b in zip([0, *gaps], [*gaps, len(word)], strict=True)]
@@ -234,8 +236,13 @@ class Job:
                         distinct.update(odd)
                         if head is not None:
                             distinct.update(("\n", head) if head else ("\n",))
-        distinct.update([MARK + word for word in marked])
-        return {word: self.pieces.cut(word) for word in distinct}
+        cut = self.pieces.cut
+        words = {word: cut(word) for word in distinct}
+        for word in marked:
+            # A mark reaches over to any letter as far as cutting goes, so a word is cut without it.
+            head, *rest = (word,) if word.isalnum() else cut(word)
+            words[MARK + word] = [MARK + head, *rest]
+        return words
 
     def asked(self, words: dict[str, list[str]]) -> Iterator[tuple[int, list[bytes]]]:
         """The distinct parts of words by bucket, in order."""
