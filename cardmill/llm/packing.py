@@ -31,9 +31,11 @@ def printable_bytes() -> dict[str, int]:
 def encoder(path: str):
     """A byte-level vocabulary file in the merge engine that is quickest; its ids are those of the file.
 
-    Special tokens of the file are recognised in a text, as the file's own library does by default.
+    Special tokens of the file are recognised in a text, as the file's own library does by default. That library
+    encodes the whole of a text which the quick engine refuses (a run of white space too long for its pattern).
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         held = json.load(file)
@@ -45,7 +47,17 @@ def encoder(path: str):
         if token not in special
     }
     made = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode(text, allowed_special="all")
+    own: list[Tokenizer] = []  # read for the first text that needs it
+
+    def encode(text: str) -> list[int]:
+        try:
+            return made.encode(text, allowed_special="all")
+        except ValueError:
+            if not own:
+                own.append(Tokenizer.from_file(path))
+            return own[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def bounds_of(count: int, capacity: int) -> list[tuple[int, int]]:

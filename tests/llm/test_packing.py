@@ -112,3 +112,14 @@ def test_odd_documents(odd, empty):
     assert pack_documents(empty, PATH).count() == 0
     row = token_pieces(odd.filter("doc_id = 4"), PATH, with_ids=True).first()
     assert row.ids == [2] and row.length == 1
+
+
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_white_space_that_the_quick_engine_refuses(docs_of, run):
+    text = "one two" + run * 2_000_000 + "three<|endoftext|>"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert encoder(PATH)(text) == want
+    pieces = token_pieces(docs_of("a b", text), PATH, 1024).filter("doc_id = 1").collect()
+    assert sum(p.length for p in pieces) == len(want) + 1
+    last = max(pieces, key=lambda p: p.piece)
+    assert last.ids_crc32 == zlib.crc32(np.array([*want, 2], dtype="<u4")[-last.length :].tobytes())
