@@ -72,9 +72,15 @@ def responses(model: Model, rows: np.ndarray) -> list[np.ndarray]:
 
 
 def pooled(model: Model, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The largest response of each filter in each text, at least zero."""
-    found = [np.maximum.reduceat(r, starts[:-1]) for r in responses(model, rows)]
-    return np.maximum(np.concatenate(found, axis=1), 0)
+    """The largest response of each filter in each text, at least zero.
+
+    Windows on the last padding words of a text reach into the next one, so they don't count, as in training.
+    """
+    found = responses(model, rows)
+    for r in found:
+        for back in range(1, max(WIDTHS)):
+            r[starts[1:-1] - back] = 0
+    return np.maximum(np.concatenate([np.maximum.reduceat(r, starts[:-1]) for r in found], axis=1), 0)
 
 
 def long_pooled(model: Model, rows: np.ndarray) -> np.ndarray:

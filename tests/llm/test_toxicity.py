@@ -67,3 +67,15 @@ def test_columns(spark, docs_of, odd, empty):
     assert score_documents(empty, model).count() == 0
     unknown = score_documents(odd, fit(docs, labels.limit(0))).collect()
     assert len({r._score for r in unknown}) == 1 and unknown[0]._score < 0.5
+
+
+def test_a_score_does_not_depend_on_the_next_text():
+    rows = corpus(400)
+    model = train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows]))
+    clean = [b"one two three four", b"", b"five"]
+    toxic = [f"{bad} {bad} {bad} one two".encode() for bad in BAD]
+    apart = np.concatenate([scores(model, clean), scores(model, toxic)])
+    assert np.allclose(scores(model, clean + toxic), apart, rtol=0, atol=1e-5)
+    mixed = [t for bad in toxic for t in (clean[0], bad, clean[1], bad, clean[2], bad)]
+    alone = np.array([scores(model, [t])[0] for t in mixed])
+    assert np.allclose(scores(model, mixed), alone, rtol=0, atol=1e-5)
