@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,9 @@ BATCH = 32
 DROPPED = 0.3
 #: A threshold is set on at least so many rows of each label.
 LEAST_ROWS = 10
+#: Scores are counted by their logit, from minus to plus so much, in so many bins for each unit.
+BIN_REACH = 10
+BINS_A_UNIT = 100
 
 
 @dataclass
@@ -185,14 +188,19 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     return model
 
 
-def threshold_of(values: np.ndarray, labels: np.ndarray) -> float:
-    """The cut between scores with the best balance of precision and recall; 0.5 where a label has too few rows to tell."""
-    if min(labels.sum(), len(labels) - labels.sum()) < LEAST_ROWS:
+def threshold_of(values: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The cut between scores with the best balance of precision and recall; 0.5 where a label has too few rows to tell.
+
+    Each value stands for as many rows as `counts` says, one if it isn't given.
+    """
+    counts = np.ones(len(values)) if counts is None else counts
+    total = counts[labels == 1].sum()
+    if min(total, counts.sum() - total) < LEAST_ROWS:
         return 0.5
     order = np.argsort(-values, kind="stable")
-    right, ranked = np.cumsum(labels[order]), values[order]
+    right, taken, ranked = np.cumsum((labels * counts)[order]), np.cumsum(counts[order]), values[order]
     ends = np.flatnonzero(np.diff(ranked, append=-1.0))  # equal scores stay on one side
-    quality = 2 * right[ends] / (ends + 1 + labels.sum())
+    quality = 2 * right[ends] / (taken[ends] + total)
     top = ends[quality.argmax()]
     below = ranked[top + 1] if top + 1 < len(ranked) else 0.0
     return float(np.clip((ranked[top] + below) / 2, 0.05, 0.95))
@@ -203,16 +211,19 @@ def held_out(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(_id, toxic, _order): all labelled rows that may be learned from."""
+    told = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    told = told.filter(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("_id"))
+    return told.withColumn("_order", F.xxhash64("_id", F.lit(2)))
+
+
 def training_rows(
     docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, *, doc_id: str = "doc_id", text: str = "text"
 ) -> list:
     """At most `rows` rows of label 1 and twice as many of label 0 (by hash of their id), with texts of at most
     SAMPLE_BYTES: all that the driver gets to see, whatever the size of the tables."""
-    usable = (
-        labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-        .filter(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("_id"))
-        .withColumn("_order", F.xxhash64("_id", F.lit(2)))
-    )
+    usable = usable_labels(labels)
     # Twice what is wanted, as long texts go; then the first of those that stay. A bound on the hash, from the number
     # of rows, leaves about twice as many to sort, so that the sort doesn't grow with the table.
     counts = {x["toxic"]: x["count"] for x in usable.groupBy("toxic").count().collect()}
@@ -229,23 +240,75 @@ def training_rows(
     return per_label[0].union(per_label[1]).select("_id", "text", "lang", "toxic", "_order").collect()
 
 
+def score_counts(
+    docs: DataFrame, labels: DataFrame, model: Model, learned: list, *, doc_id: str = "doc_id", text: str = "text"
+) -> pa.Table:
+    """How many labelled rows have which score: (lang, toxic, long, bin, fresh, seen), over whole tables.
+
+    `fresh` counts the rows that the model did not learn from, `seen` those it did (their ids are `learned`), which
+    score too well to set a cut. `long` tells texts too long for training. A language with too few fresh rows of a label
+    goes under NULL, so the result is bounded by the bins and the languages that get a threshold.
+    """
+    spark = docs.sparkSession
+    own = docs.filter(F.col(doc_id).isNotNull() & ~held_out(doc_id))
+    value = F.least(F.greatest(F.col("_score"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    place = F.floor((F.log(value / (1 - value)) + BIN_REACH) * BINS_A_UNIT)
+    # Scores are made before the join, so that no text is shuffled.
+    scored = score_documents(own, model, text=text).select(
+        F.col(doc_id).alias("_id"),
+        "lang",
+        (F.octet_length(whole(text)) > SAMPLE_BYTES).alias("long"),
+        F.least(F.greatest(place, F.lit(0)), F.lit(2 * BIN_REACH * BINS_A_UNIT - 1)).cast("int").alias("bin"),
+    )
+    trained = spark.createDataFrame([(i,) for i in sorted(set(learned))], "_id long").withColumn("_seen", F.lit(1))
+    told = scored.join(usable_labels(labels).drop("_order"), "_id").join(F.broadcast(trained), "_id", "left")
+    seen = F.coalesce(F.col("_seen"), F.lit(0)).cast("long")
+    keys = ["lang", "toxic", "long", "bin"]
+    counts = told.groupBy(*keys).agg(F.sum(1 - seen).alias("fresh"), F.sum(seen).alias("seen"))
+    of_language = Window.partitionBy("lang")
+    enough = [F.sum(F.when(F.col("toxic") == y, F.col("fresh")).otherwise(0)).over(of_language) >= LEAST_ROWS for y in (0, 1)]
+    merged = counts.withColumn("_enough", enough[0] & enough[1]).withColumn("lang", F.when(F.col("_enough"), F.col("lang")))
+    return merged.groupBy(*keys).agg(F.sum("fresh").alias("fresh"), F.sum("seen").alias("seen")).toArrow()
+
+
+def set_thresholds(model: Model, counts: pa.Table) -> None:
+    """The cut for all languages together is moved to 0.5; then each language with enough rows gets its own.
+
+    Rows learned from are left out of the cuts; the others with the same language, label and length stand for them, so
+    that the share of each label is that of the whole table.
+    """
+    languages = np.array([x if x is None else str(x) for x in counts["lang"].to_pylist()], dtype=object)
+    truth, far, place, fresh, seen = (
+        counts[name].to_numpy().astype(np.int64) for name in ("toxic", "long", "bin", "fresh", "seen")
+    )
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(languages, truth, far, strict=True)):
+        groups.setdefault(key, []).append(i)
+    weight = fresh.astype(float)
+    for rows in groups.values():
+        if known := fresh[rows].sum():
+            weight[rows] *= 1 + seen[rows].sum() / known
+    logits = (place + 0.5) / BINS_A_UNIT - BIN_REACH
+
+    def cut_of(chosen: np.ndarray) -> float:
+        if min((fresh[chosen] * (truth[chosen] == y)).sum() for y in (0, 1)) < LEAST_ROWS:
+            return 0.5
+        return threshold_of(1 / (1 + np.exp(-logits[chosen])), truth[chosen], weight[chosen])
+
+    cut_at = cut_of(np.ones(len(languages), dtype=bool))
+    shift = float(np.log(cut_at / (1 - cut_at)))
+    model.offset -= shift
+    logits = logits - shift
+    for language in sorted({x for x in languages if x is not None}):
+        model.thresholds[language] = cut_of(languages == language)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Train on three quarters of the sample; set a threshold for each language on the rest."""
+    """Train on three quarters of the sample; set the thresholds on all labelled rows that were not learned from."""
     rows = sorted(training_rows(docs, labels, doc_id=doc_id, text=text), key=lambda r: (r["_order"], r["_id"]))
-    aside = np.array([r["_order"] % 4 == 0 for r in rows], dtype=bool)
-    texts = [r["text"].encode() for r in rows]
-    truth = np.array([r["toxic"] for r in rows], dtype=np.int64)
-    seen = np.flatnonzero(~aside)
-    model = train([texts[i] for i in seen], truth[seen])
-    checked = np.flatnonzero(aside)
-    values = scores(model, [texts[i] for i in checked])
-    cut_at = threshold_of(values, truth[checked])
-    model.offset -= float(np.log(cut_at / (1 - cut_at)))  # so that 0.5 is the best cut for all languages together
-    values = scores(model, [texts[i] for i in checked])
-    languages = np.array([rows[i]["lang"] or "" for i in checked])
-    for language in sorted(set(languages.tolist())):
-        own = languages == language
-        model.thresholds[language] = threshold_of(values[own], truth[checked][own])
+    seen = [r for r in rows if r["_order"] % 4]
+    model = train([r["text"].encode() for r in seen], np.array([r["toxic"] for r in seen], dtype=np.int64))
+    set_thresholds(model, score_counts(docs, labels, model, [r["_id"] for r in seen], doc_id=doc_id, text=text))
     return model
 
 
@@ -253,7 +316,7 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", lang:
     """`docs` with _score and _threshold behind its own columns.
 
     The score comes from the text alone; a NULL or empty text gets the score of no evidence. The threshold is that of
-    the row's language, 0.5 for languages the sample did not hold and for NULL. Texts are read whole.
+    the row's language, 0.5 for languages with too few labelled rows and for NULL. Texts are read whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
 

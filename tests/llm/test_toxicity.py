@@ -1,8 +1,21 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
-from cardmill.llm.toxicity import fit, held_out, score_documents, scores, threshold_of, train, training_rows
+import pyarrow as pa
+from cardmill.llm.toxicity import (
+    fit,
+    fresh_model,
+    held_out,
+    score_counts,
+    score_documents,
+    scores,
+    set_thresholds,
+    threshold_of,
+    train,
+    training_rows,
+)
 
 from odd_documents import ODD
 
@@ -79,3 +92,40 @@ def test_a_score_does_not_depend_on_the_next_text():
     mixed = [t for bad in toxic for t in (clean[0], bad, clean[1], bad, clean[2], bad)]
     alone = np.array([scores(model, [t])[0] for t in mixed])
     assert np.allclose(scores(model, mixed), alone, rtol=0, atol=1e-5)
+
+
+def test_thresholds_count_all_labelled_rows(spark):
+    # A language with few of the toxic labels, beyond what the sample for training holds, and texts too long for it.
+    rows = [(i, t, "en", y) for i, t, y in corpus(12000, 7)]
+    rare = [(20000 + i, t, "xx", y) for i, t, y in corpus(200, 8)]
+    far = [(30000 + i, t + " one two" * 5000, "zz", y) for i, t, y in corpus(120, 9)]
+    held = spark.createDataFrame(rows + rare + far, "doc_id long, text string, lang string, toxic int")
+    model = fit(held.drop("toxic"), held.select("doc_id", "toxic"))
+    assert {"en", "xx", "zz"} <= set(model.thresholds)
+    sample = training_rows(held.drop("toxic"), held.select("doc_id", "toxic"))
+    learned = [r._id for r in sample if r._order % 4]
+    counts = score_counts(held.drop("toxic"), held.select("doc_id", "toxic"), model, learned).to_pylist()
+    want = Counter((lang, y) for i, _, lang, y in rows + rare + far if zlib.crc32(str(i).encode()) % 5)
+    found = Counter()
+    for r in counts:
+        found[r["lang"], r["toxic"]] += r["fresh"] + r["seen"]
+    assert found == want and sum(r["seen"] for r in counts) == len(learned)
+
+
+def test_the_cut_is_that_of_the_whole_table():
+    # The model learned from most toxic rows and few others: the shares are those of fresh and seen rows together.
+    def table(toxic_seen, toxic_fresh):
+        rows = [("a", 1, False, 1100, toxic_fresh, toxic_seen), ("a", 1, False, 900, toxic_fresh, toxic_seen)]
+        rows += [("a", 0, False, 900, 300, 0), ("a", 0, False, 700, 1000, 0)]
+        names = ["lang", "toxic", "long", "bin", "fresh", "seen"]
+        return pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+
+    made = []
+    for seen, fresh in ((0, 400), (380, 20), (0, 20)):
+        model = fresh_model()
+        set_thresholds(model, table(seen, fresh))
+        made.append((model.offset, model.thresholds["a"]))
+    assert np.allclose(made[0], made[1]) and made[0][0] > made[2][0]
+    values, truth = np.array([0.9, 0.5, 0.2]), np.array([1, 0, 0])
+    counts = np.array([30, 20, 50])
+    assert threshold_of(values, truth, counts) == threshold_of(np.repeat(values, counts), np.repeat(truth, counts))
