@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from cardmill.llm.common import cut, join_heavy, mix, small_batches, whole
 from cardmill.llm.words import FACTORS, OTHER_FACTORS
 
-WINDOWS = "doc_id long, copy long, at int, mark long, mark_at int, low long, high long"
+WINDOWS = "doc_id long, copy long, at int, lines int, mark long, mark_at int, low long, high long"
 WINDOWS_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("mark", pa.int64()), ("mark_at", pa.int32())]
-    + [("low", pa.int64()), ("high", pa.int64())]
+    [("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("lines", pa.int32()), ("mark", pa.int64())]
+    + [("mark_at", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]
 )
 
 
@@ -46,17 +46,38 @@ def line_windows(text: bytes, width: int) -> tuple[np.ndarray, ...] | None:
     return hashes[place].view(np.int64), place, mix(low).view(np.int64), mix(high).view(np.int64)
 
 
-def winnowed(docs: DataFrame, width: int) -> DataFrame:
+def runs_of(text: bytes, width: int, least_words: int | None) -> tuple[np.ndarray, ...] | None:
+    """All runs that count: number of the first line, number of lines, and what `line_windows` tells.
+
+    These are the runs of `width` lines, and shorter ones that hold at least `least_words` words, if that is given.
+    Runs of another length select other fingerprints, so they only meet their like.
+    """
+    made: list[tuple[np.ndarray, ...]] = []
+    if least_words is not None:
+        words = np.cumsum([0, *(len(line.split()) for line in lines_of(text))])
+    for lines in range(width if least_words is None else 1, width + 1):
+        told = line_windows(text, lines)
+        if told is None:
+            continue
+        mark, place, low, high = told
+        at = np.arange(len(mark))
+        if lines < width:
+            at = np.flatnonzero(words[lines:] - words[:-lines] >= least_words)
+            mark = mix(mark.view(np.uint64) + np.uint64(lines)).view(np.int64)
+        made.append((at, np.full(len(at), lines), mark[at], place[at], low[at], high[at]))
+    return tuple(np.concatenate(c) for c in zip(*made, strict=True)) if made else None
+
+
+def winnowed(docs: DataFrame, width: int, least_words: int | None) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             parts: list[list[np.ndarray]] = []
             ids: list = []
             for number, copy, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                made = line_windows(text.encode(), width)
+                made = runs_of(text.encode(), width, least_words)
                 if made is not None:
-                    mark, place, low, high = made
-                    parts.append([np.full(len(mark), copy), np.arange(len(mark)), mark, place, low, high])
-                    ids += [number] * len(mark)
+                    parts.append([np.full(len(made[0]), copy), *made])
+                    ids += [number] * len(made[0])
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -67,13 +88,13 @@ def winnowed(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(windows, WINDOWS)
 
 
-def without_lines(texts: pa.Array, starts: pa.Array, width: int) -> list[str | None]:
+def without_lines(texts: pa.Array, runs: pa.Array) -> list[str | None]:
     out = []
-    for text, at in zip(texts.to_pylist(), starts.to_pylist(), strict=True):
-        if not at:
+    for text, own in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
+        if not own:
             out.append(text)
             continue
-        gone = {line for start in at for line in range(start, start + width)}
+        gone = {line for run in own for line in range(run["at"], run["at"] + run["lines"])}
         kept, number = [], 0
         for line in text.split("\n"):
             if line.encode().strip():
@@ -86,8 +107,11 @@ def without_lines(texts: pa.Array, starts: pa.Array, width: int) -> list[str | N
     return out
 
 
-def repeated_runs(docs: DataFrame, width: int = 3, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, copy, starts): the runs of `width` lines of each text that occur earlier, by the number of their first line.
+def repeated_runs(
+    docs: DataFrame, width: int = 3, least_words: int | None = None, *, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, copy, runs): the runs of `width` lines of each text that occur earlier, as the number of their first
+    line and of their lines; also shorter ones of at least `least_words` words, if that is given.
 
     Earlier is a smaller doc_id, or further up in the same text without overlap. `copy` is a hash of the text, so
     that rows with one id but different texts are told apart; among them the smaller hash comes first. Lines are
@@ -96,24 +120,28 @@ def repeated_runs(docs: DataFrame, width: int = 3, *, doc_id: str = "doc_id", te
     keyed = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole(text), F.lit(2)).alias("copy"), whole(text).alias("text")
     )
-    found = cut(winnowed(keyed, width).distinct())
+    found = cut(winnowed(keyed, width, least_words).distinct())
     # Selected positions, each once; a fingerprint that stands at one place only is no copy of anything.
     positions = found.select("doc_id", "copy", "mark_at", "mark").distinct()
     marks = positions.groupBy("mark").agg(F.count("*").alias("places")).filter("places > 1")
-    # A line is selected by at most `width` windows, so this bounds the rows that have the mark.
+    # A line is selected by at most `width` windows of one length, so this bounds the rows that have the mark.
     alive = join_heavy(found, cut(marks.select("mark", (F.col("places") * width).alias("_count"))), ["mark"])
-    alive = cut(alive.select("doc_id", "copy", "at", "low", "high"))
+    alive = cut(alive.select("doc_id", "copy", "at", "lines", "low", "high"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy", "at")
-    firsts = alive.groupBy("low", "high").agg(F.count("*").alias("_count"), F.min(place).alias("first")).filter("_count > 1")
-    later = join_heavy(alive, cut(firsts), ["low", "high"])
+    firsts = alive.groupBy("lines", "low", "high").agg(F.count("*").alias("_count"), F.min(place).alias("first")).filter("_count > 1")
+    later = join_heavy(alive, cut(firsts), ["lines", "low", "high"])
     same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
-    later = later.filter(~same_text | (F.col("at") >= F.col("first.at") + width))
-    return later.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+    later = later.filter(~same_text | (F.col("at") >= F.col("first.at") + F.col("lines")))
+    return later.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("runs"))
 
 
-def remove_repeated_runs(docs: DataFrame, width: int = 3, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_runs(
+    docs: DataFrame, width: int = 3, least_words: int | None = None, *, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """`docs` with all its columns, its text without lines in a run of `width` or more lines that occurs earlier.
 
+    Where `least_words` is given, a run of fewer lines counts too if it holds at least so many words.
+
     Runs are judged on the input, not on what is left. A text of which nothing repeats is returned unchanged, NULL as
     NULL; other texts keep their other lines, blank ones too, and may end up empty. Repeated rows keep each other's
     text (they are one document). A line that stands many times in a text keeps its first `width`.
@@ -121,19 +149,19 @@ def remove_repeated_runs(docs: DataFrame, width: int = 3, *, doc_id: str = "doc_
     Fingerprints (window minima) that occur once end there. The others' windows are compared in full; overlapping
     repeated windows make up the maximal runs. Frequent lines cost one row a place and are never listed in pairs.
     """
-    runs = repeated_runs(docs, width, doc_id=doc_id, text=text)
+    runs = repeated_runs(docs, width, least_words, doc_id=doc_id, text=text)
     columns = docs.columns
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
         F.col(doc_id).cast("long").alias("_id"),
         F.xxhash64(whole(text), F.lit(2)).alias("_copy"),
     )
-    runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("copy").alias("_run_copy"), "starts")
+    runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("copy").alias("_run_copy"), "runs")
     matched = row.join(runs, F.col("_id").eqNullSafe(F.col("_run_id")) & (F.col("_copy") == F.col("_run_copy")), "left")
 
     @F.arrow_udf(T.StringType())
-    def kept(texts: pa.Array, starts: pa.Array) -> pa.Array:
-        return pa.array(without_lines(texts, starts, width), pa.string())
+    def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        return pa.array(without_lines(texts, runs), pa.string())
 
-    changed = kept(F.col("_row")[text], F.col("starts"))
+    changed = kept(F.col("_row")[text], F.col("runs"))
     return matched.select(*[(changed if c == text else F.col("_row")[c]).alias(c) for c in columns])

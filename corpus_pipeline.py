@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without runs of three or more lines that an earlier place has."""
-    return counted(remove_repeated_runs(docs, 3))
+    """Every document, without runs that an earlier place has: three or more lines, or fewer with 50 words or more."""
+    return counted(remove_repeated_runs(docs, 3, 50))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from cardmill.llm.line_dedup import line_windows, remove_repeated_runs
 
 from odd_documents import ODD
@@ -66,3 +67,37 @@ def test_equal_runs_select_equal_fingerprints():
     marks = [dict(zip(low.tolist(), mark.tolist(), strict=True)) for mark, _, low, _ in (line_windows(t, 3) for t in (one, two))]
     (shared,) = marks[0].keys() & marks[1].keys()
     assert marks[0][shared] == marks[1][shared] and line_windows(b"a\nb", 3) is None
+
+
+def brute_with_words(rows, width, least_words):
+    """The same as `brute`, where shorter runs of enough words count too."""
+    first, out = {}, {}
+    for number, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        places = [i for i, line in enumerate(lines) if line.strip(SPACE)]
+        own = [lines[i].strip(SPACE) for i in places]
+        gone = set()
+        for n in range(1, width + 1):
+            for a in range(len(own) - n + 1):
+                key = tuple(own[a : a + n])
+                if n < width and len(" ".join(key).split()) < least_words:
+                    continue
+                there = first.setdefault(key, (number, text, a))
+                if there[:2] != (number, text) or a >= there[2] + n:
+                    gone |= {places[a + j] for j in range(n)}
+        out[number, text] = text if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_passages_of_one_or_two_lines(docs_of):
+    rng = random.Random(4)
+    one, half = " ".join(f"w{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "xy"]
+    rows = [(1, f"a\n{one}\nb"), (2, f"c\n {one} \nd"), (3, one), (4, "e\n" + "\n".join(half) + "\nf")]
+    rows += [(5, "g\n" + "\n\n".join(half) + "\nh"), (6, f"i\n{half[0]}\nj"), (7, f"{one}\n{one}")]
+    lines = [one, *half, "short", *(" ".join(rng.choice("pq") for _ in range(n)) for n in (10, 20, 49, 50, 51))]
+    rows += [(100 + i, "\n".join(rng.choice([*lines, f"own {i}"]) for _ in range(rng.randint(1, 6)))) for i in range(80)]
+    want = brute_with_words(rows, 3, 50)
+    made = {r.doc_id: r.text for r in remove_repeated_runs(docs_of(*rows), 3, 50).collect()}
+    assert made == {i: want[i, t] for i, t in rows}
+    assert [made[i] for i in range(2, 8)] == ["c\nd", "", rows[3][1], "g\n\nh", rows[5][1], ""]
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(None, docs_of(*rows), "").collect()} == made
