@@ -135,35 +135,63 @@ def read_tag(data: bytes, at: int, tags: list) -> int | None:
     return promised
 
 
+def trailing_tags(data: bytes, at: int) -> dict[int, bool]:
+    """Where the sound may end, by the marks of tags behind it, and whether an ID3v1 tag would follow there.
+
+    Sound can hold the same bytes as a mark, so the frames decide which of these it is.
+    """
+    ends = {len(data): False}
+    if len(data) - at >= 128 and data[-128:-125] == b"TAG":
+        ends[len(data) - 128] = True
+    for end, tagged in list(ends.items()):
+        if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+            size = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
+            if 32 <= size <= end - at:
+                ends.setdefault(end - size, tagged)
+    return ends
+
+
+def frames_reach(data: bytes, at: int, end: int, kind: tuple | None) -> bool:
+    """Do frames of one kind follow each other from a position exactly to the end?"""
+    while at < end:
+        frame = header(data[at : at + 4])
+        if not frame or kind and frame[:3] != kind:
+            return False
+        kind = frame[:3]
+        at += frame[4]
+    return at == end
+
+
 def decode(data: bytes) -> dict:
     """All that DECODED holds for one file; bytes without any frame give zero frames."""
     tags: list[dict] = []
-    at, end, payload_size = 0, len(data), None
+    at, payload_size = 0, None
     while size := tag_size(data, at):
         told = read_tag(data, at, tags)
         payload_size = told if told is not None else payload_size
         at += size
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if value := data[end + low : end + high].rstrip(b"\0 ").decode("latin-1"):
-                tags.append({"name": name, "value": value})
-    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
-        end = max(at, end - size)
+    ends = trailing_tags(data, at)
+    end = min(ends)
 
     out = {"version": None, "layer": None, "sample_rate": None, "channels": None, "variable_bitrate": None}
     out |= {"promised_frames": None, "promised_bytes": None, "truncated": False, "tags": tags}
     seek, parts, lost, checked, bad, samples = [], [], 0, 0, 0, 0
     in_step, kind, first = False, None, True
-    while at + 4 <= end:
+    while True:
+        if end < len(data) and (in_step or at == end):  # do frames run over the marks of a tag? Then they are sound
+            crossing = header(data[at : at + 4])
+            if at == end or crossing and at + crossing[4] > end:
+                end = max([end, *(e for e in ends if e > end and frames_reach(data, at, e, kind))])
+        if at + 4 > end:
+            lost += max(0, end - at)
+            break
         frame = header(data[at : at + 4])
         if frame and kind and frame[:3] != kind:
             frame = None
         if frame and not in_step:  # a header counts if another of its kind, or the end, follows
             after = at + frame[4]
             following = header(data[after : after + 4]) if after + 4 <= end else None
-            if not (after == end or following and following[:3] == frame[:3]):
+            if not (after in ends or following and following[:3] == frame[:3]):
                 frame = None
         if frame is None:
             in_step = False
@@ -173,6 +201,8 @@ def decode(data: bytes) -> dict:
             at = following
             continue
         version, layer, rate, channels, size, count, protected = frame
+        if at + size > end and at + size in ends:
+            end = at + size
         if at + size > end:
             out["truncated"] = True
             break
@@ -195,8 +225,10 @@ def decode(data: bytes) -> dict:
         samples += count
         parts.append(data[body : at + size])
         at += size
-    else:
-        lost += max(0, end - at)
+    if end <= len(data) - 128 and ends[end]:
+        for name, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+            if value := data[len(data) - 128 + low : len(data) - 128 + high].rstrip(b"\0 ").decode("latin-1"):
+                tags.append({"name": name, "value": value})
     payload = b"".join(parts)
     out |= {"frames": len(seek), "samples": samples, "checked": checked, "bad_checksums": bad}
     out |= {"duration_s": samples / out["sample_rate"] if seek else 0.0, "unsynchronised_bytes": lost}

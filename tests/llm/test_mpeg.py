@@ -68,3 +68,34 @@ def test_columns(spark, odd, empty):
     for r in rows:
         assert (r.a is None) == (r.b is None) and (r.b is None or bytes(r.a.payload) == bytes(r.b))
     assert empty.select(mpeg_decode(F.col("text").cast("binary"))).count() == 0
+
+
+def test_payloads_that_look_like_tags():
+    song = b"TAG" + b"song".ljust(30, b"\0") + bytes(95)
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(16)
+    for mark in (b"TAG", b"APETAGEX", ape, song, ape + song):
+        for size in [*range(1, 1100), 1874, 1900, 5000]:
+            payload = (mark * (size // len(mark) + 1))[-size:]
+            for data in {payload, payload[:-1] + b"x", bytes(64) + payload + bytes(16)}:
+                out = decode(encode(data))
+                assert out["payload"] == data and not out["truncated"] and not out["tags"][1:]
+                assert out["frames"] == out["promised_frames"] and out["unsynchronised_bytes"] == 0
+    # Every place that a mark can take in the last frames.
+    for at in range(0, 1000):
+        for mark in (b"TAG", ape):
+            data = bytes(at) + mark + bytes(at % 130)
+            assert decode(encode(data))["payload"] == data
+
+
+def test_tags_behind_the_sound_still_count():
+    song = b"TAG" + b"song".ljust(30, b"\0") + bytes(95)
+    item = (4).to_bytes(4, "little") + bytes(4) + b"Year\0" + b"1999"
+    ape = item + b"APETAGEX" + (2000).to_bytes(4, "little") + (32 + len(item)).to_bytes(4, "little") + bytes(16)
+    for payload in (b"", b"TAG" * 100, bytes(range(256)) * 20):
+        data = encode(payload)
+        for behind in (song, ape, ape + song):
+            out = decode(data + behind)
+            assert out["payload"] == payload and not out["truncated"] and out["unsynchronised_bytes"] == 0
+            assert ({"name": "title", "value": "song"} in out["tags"]) == behind.endswith(song)
+    cut = decode(encode(bytes(5000))[:-50] + song)
+    assert cut["truncated"] and {"name": "title", "value": "song"} in cut["tags"]
