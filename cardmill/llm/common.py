@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardmill.functions.session import scratch_path
+
 #: Characters that part words: space, and tab to carriage return. `bytes.split()` parts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +49,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows as Parquet in the shared folder, for a table of which later steps read some columns each."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

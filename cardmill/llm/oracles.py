@@ -92,3 +92,69 @@ kept AS (
 SELECT doc_id, (n_chars - length(kept.text))::BIGINT AS n_removed_chars, sha256(kept.text) AS kept_sha256
 FROM docs JOIN kept USING (doc_id)
 """
+
+#: Terms of letters and digits, and of letters only; only A-Z are lower-cased.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RANKED_SEARCH = f"""
+WITH terms AS (
+  SELECT number, doc_id, unnest(regexp_extract_all({SMALL.format("text")}, '{TERM}')) AS term
+  FROM (SELECT row_number() OVER () AS number, doc_id, text FROM documents)),
+tf AS (SELECT number, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT number, sum(tf)::BIGINT AS n FROM tf GROUP BY number),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+asked AS (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT item, item_id, unnest(regexp_extract_all({SMALL.format("text")}, '{TERM}')) AS term
+        FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark))
+  GROUP BY ALL),
+scores AS (
+  SELECT item, item_id, number, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (number), totals GROUP BY ALL),
+ranks AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 20
+"""
+
+SOURCE_DIVERGENCE = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS number, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         coalesce(text, '') AS text FROM documents),
+words AS (SELECT number, lang, source, unnest(regexp_extract_all({SMALL.format("text")}, '{LETTERS}')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT number) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT groups.lang, groups.source, coalesce(sum(c), 0)::HUGEINT AS n FROM groups LEFT JOIN counts USING (lang, source)
+  GROUP BY ALL),
+p_of AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 1)::HUGEINT) // (n + v) AS p
+  FROM totals JOIN sizes USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+of_lang AS (
+  SELECT lang, term, 1 + (1000000000 * (c + 1)::HUGEINT) // (n + v) AS q
+  FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM counts GROUP BY ALL)
+  JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p_of a JOIN p_of b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM p_of JOIN of_lang USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM ranked)
+SELECT * FROM places WHERE part = 'pair' OR rank <= 200
+"""

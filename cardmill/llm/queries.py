@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardmill.llm import quality_model
 from cardmill.llm.common import documents, labels, whole
+from cardmill.llm.divergence import source_divergence
+from cardmill.llm.lexical import search
 from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.mpeg import mpeg_decode, mpeg_encode
-from cardmill.llm.oracles import LINE_DEDUP, QUALITY_RULES, SUBSTRING_DEDUP
+from cardmill.llm.oracles import LINE_DEDUP, QUALITY_RULES, RANKED_SEARCH, SOURCE_DIVERGENCE, SUBSTRING_DEDUP
 from cardmill.llm.packing import pack_documents
 from cardmill.llm.passages import remove_repeated_passages
 from cardmill.llm.pieces import decode, encode_documents, load_pieces
@@ -145,6 +148,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), default_vocabulary(), 1024, 2)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir), 3, 200)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_model.fit(docs, labels(spark, sf_dir))
+    return quality_model.score_quality(docs, model).select(
+        "doc_id",
+        quality_model.held_out("doc_id").alias("held_out"),
+        F.col("_quality").alias("score"),
+        (F.col("_quality") >= quality_model.CUT).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -156,6 +178,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: SQL for the operators that DuckDB can express; the others are tested against brute force.
@@ -163,4 +188,6 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_DEDUP,
     "op7_quality_rules": QUALITY_RULES,
     "op8_line_dedup": LINE_DEDUP,
+    "op11_lexical_search": RANKED_SEARCH,
+    "op12_source_divergence": SOURCE_DIVERGENCE,
 }
