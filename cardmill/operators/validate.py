@@ -39,6 +39,9 @@ UUID_SHAPE = r"\A[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z"
 # Fixed value: how many violations are shown before "... and N more errors".
 SHOWN = 5
 
+# Spark's JSON parser refuses texts that are nested deeper.
+DEEPEST = 1000
+
 # Arrays joined in one step.
 GROUP = 12
 
@@ -54,19 +57,22 @@ class Place:
     """A value inside a document and the path it is reported under, as SQL.
 
     doc is a VARIANT expression and record a struct with its fields (see record_type).
-    base is the known start of the path, start an expression before it (in lists), stars the same
-    with a star for each position in a list.
-    depth counts enclosing lambdas and keeps their parameter names apart.
+    base is the known end of the path and start an expression before it (in lists); star_base and stars are the
+    same with a star for each position in a list. Both stand in rules only where a violation is made, so a sound
+    value costs no text. depth counts enclosing lambdas and keeps their parameter names apart.
     """
 
     doc: str
     record: str = ""
     base: str = ""
     start: str | None = None
+    star_base: str = ""
     stars: str | None = None
     keys: tuple[str | int, ...] = ()
     is_record: bool = False
     depth: int = 0
+    # Where the kind of the value itself has been read before.
+    known_kind: str | None = None
 
     @property
     def path(self) -> str:
@@ -77,13 +83,14 @@ class Place:
     @property
     def pattern(self) -> str:
         if self.stars is None:
-            return quote(self.base)
-        return f"concat({self.stars}, {quote(self.base)})" if self.base else self.stars
+            return quote(self.star_base)
+        return f"concat({self.stars}, {quote(self.star_base)})" if self.star_base else self.stars
 
     def child(self, name: str, shape: Shape | None = None) -> Place:
         return replace(
             self,
             base=f"{self.base}.{name}",
+            star_base=f"{self.star_base}.{name}",
             keys=(*self.keys, name),
             is_record=shape is not None and holds_record(shape),
         )
@@ -110,6 +117,8 @@ class Place:
 
     @property
     def kind(self) -> str:
+        if self.known_kind and not self.keys:
+            return self.known_kind
         return f"schema_of_variant({self.value})"
 
     @property
@@ -161,7 +170,7 @@ def read_record(doc: str, shape: Shape) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """One possible violation, or (many) an array expression of violations."""
+    """One possible violation, or (many) an array expression of violations, with a test whether there is one (some)."""
 
     broken: str = ""
     path: str = ""
@@ -169,17 +178,20 @@ class Rule:
     keyword: str = ""
     message: str = ""
     many: str = ""
+    some: str = ""
+    # Another rule of the same value is broken whenever this one is.
+    implied: bool = False
 
     def under(self, guard: str) -> Rule:
         if self.many:
-            return replace(self, many=f"if({guard}, {self.many}, NULL)")
+            some = f"({guard}) AND ({self.some})" if self.some else ""
+            return replace(self, many=f"if({guard}, {self.many}, NULL)", some=some)
         return replace(self, broken=f"({guard}) AND ({self.broken})")
 
     @property
     def any_broken(self) -> str:
-        if self.many:
-            return f"coalesce(size({self.many}) > 0, false)"
-        return f"coalesce({self.broken}, false)"
+        """A test for a place where NULL counts as false."""
+        return self.broken or self.some or f"size({self.many}) > 0"
 
 
 def violation(path: str, pattern: str, keyword: str, message: str) -> str:
@@ -243,8 +255,8 @@ def format_broken(text: str, name: str) -> str:
 def rules_of(place: Place, shape: Shape) -> Iterator[Rule]:
     """Rules of a shape in reporting order: the value itself, then what it holds."""
 
-    def rule(broken: str, keyword: str, message: str) -> Rule:
-        return Rule(broken, place.path, place.pattern, keyword, message)
+    def rule(broken: str, keyword: str, message: str, implied: bool = False) -> Rule:
+        return Rule(broken, place.path, place.pattern, keyword, message, implied=implied)
 
     if shape.never:
         yield rule(place.present, "false", "is not allowed")
@@ -254,7 +266,10 @@ def rules_of(place: Place, shape: Shape) -> Iterator[Rule]:
     if shape.types:
         fits = " OR ".join(has_type(place, name) for name in shape.types)
         yield rule(
-            f"{place.present} AND NOT ({fits})", "type", f"must be of type {' or '.join(shape.types)}"
+            f"{place.present} AND NOT ({fits})",
+            "type",
+            f"must be of type {' or '.join(shape.types)}",
+            implied=shape.types == ("string",) and bool(shape.values) and all(isinstance(v, str) for v in shape.values),
         )
     if shape.constant is not UNSET:
         same = equals_any(place, (shape.constant,))
@@ -327,7 +342,7 @@ def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         broken = f"{place.is_object} AND {size} > {shape.max_keys}"
         yield Rule(broken, place.path, place.pattern, "maxProperties", message)
     if shape.key_pattern is not None and shape.key_shape is not None:
-        yield Rule(many=keyed_values(place, shape.key_pattern, shape.key_shape))
+        yield keyed_values(place, shape.key_pattern, shape.key_shape)
     for name, inner in shape.fields.items():
         yield from rules_of(place.child(name, inner), inner)
 
@@ -343,18 +358,15 @@ def extra_keys(place: Place, shape: Shape) -> str:
     return f"transform({extra}, {key} -> {found})"
 
 
-def keyed_values(place: Place, key_pattern: str, shape: Shape) -> str:
-    pair = f"pair{place.depth}"
+def keyed_values(place: Place, key_pattern: str, shape: Shape) -> Rule:
+    pair, one = f"pair{place.depth}", f"spot{place.depth}"
     entries = (
         f"filter(map_entries({place.read('map<string,variant>')}), "
         f"{pair} -> {pair}.key RLIKE {quote(key_pattern)})"
     )
-    spots = (
-        f"transform({entries}, {pair} -> named_struct("
-        f"'path', concat({place.path}, '.', {pair}.key), "
-        f"'pattern', concat({place.pattern}, '.', {pair}.key), 'value', {pair}.value))"
-    )
-    return checked_spots(spots, shape, place.depth)
+    spots = f"transform({entries}, {pair} -> named_struct('at', {pair}.key, {spot_fields(f'{pair}.value', shape)}))"
+    starts = [f"concat({start}, '.', {one}.at)" for start in (place.path, place.pattern)]
+    return checked_spots(spots, shape, place.depth, start=starts[0], stars=starts[1])
 
 
 def list_rules(place: Place, shape: Shape) -> Iterator[Rule]:
@@ -369,38 +381,50 @@ def list_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         item = f"item{place.depth}"
         distinct = f"array_distinct(transform({items}, {item} -> to_json({item})))"
         message = "must not repeat items"
-        yield Rule(f"size({distinct}) < size({items})", *path, "uniqueItems", message)
+        broken = f"size({items}) > 1 AND size({distinct}) < size({items})"
+        yield Rule(broken, *path, "uniqueItems", message)
     for position, inner in enumerate(shape.lead):
-        spots = slice_spots(place, f"slice({items}, {position + 1}, 1)", position)
-        yield Rule(many=checked_spots(spots, inner, place.depth))
+        yield checked_items(place, f"slice({items}, {position + 1}, 1)", position, inner)
     if shape.items is not None:
-        spots = item_spots(place, len(shape.lead))
-        yield Rule(many=checked_spots(spots, shape.items, place.depth))
+        offset = len(shape.lead)
+        rest = f"slice({items}, {offset + 1}, greatest(size({items}), 0))" if offset else items
+        yield checked_items(place, rest, offset, shape.items)
+
+
+def checked_items(place: Place, items: str, offset: int, shape: Shape) -> Rule:
+    """What is wrong with items of a list, of which the first has the position `offset`."""
+    item, index, one = f"item{place.depth}", f"index{place.depth}", f"spot{place.depth}"
+    spots = f"transform({items}, ({item}, {index}) -> named_struct('at', {index}, {spot_fields(item, shape)}))"
+    at = f"{one}.at + {offset}" if offset else f"{one}.at"
+    start = f"concat({place.path}, '[', cast({at} AS string), ']')"
+    return checked_spots(
+        spots, shape, place.depth, start=start, stars=place.stars, star_base=f"{place.star_base}[*]"
+    )
 
 
-def item_spots(place: Place, offset: int = 0) -> str:
-    """The items of a list, each with its path."""
-    items = place.items
-    if offset:
-        items = f"slice({items}, {offset + 1}, greatest(size({items}), 0))"
-    return slice_spots(place, items, offset)
+def spot_fields(value: str, shape: Shape) -> str:
+    """A value of a list with what its rules read of it, so that it is read once."""
+    fields = [f"'value', {value}"]
+    if record_tree(shape):
+        fields.append(f"'record', {read_record(value, shape)}")
+    elif reads_kind(shape):
+        fields.append(f"'kind', schema_of_variant({value})")
+    return ", ".join(fields)
 
 
-def slice_spots(place: Place, items: str, offset: int) -> str:
-    item, index = f"item{place.depth}", f"index{place.depth}"
-    path = f"concat({place.path}, '[', cast({index} + {offset} AS string), ']')"
-    return (
-        f"transform({items}, ({item}, {index}) -> "
-        f"named_struct('path', {path}, 'pattern', concat({place.pattern}, '[*]'), 'value', {item}))"
-    )
+def reads_kind(shape: Shape) -> bool:
+    """Do rules of a value without known fields ask for its kind?"""
+    told = {"string", "integer", "number", "boolean"} & set(shape.types)
+    return bool(told or shape.values or shape.pattern or shape.format) and not record_tree(shape)
 
 
 def looped(place: Place, loop: Loop) -> str:
     """Violations of a value of a recursive shape and of all such values within it.
 
-    The values are gathered turn by turn, each turn those that the last ones hold. A value can't be nested
-    deeper than it has opening brackets, which bounds the turns; turns with nothing left change nothing.
-    They are then put into the order of the document and checked by one copy of the rules of each shape.
+    Most values hold none, and then the value itself is checked. Else they are gathered turn by turn, each turn those
+    that the last ones hold. A value can't be nested deeper than it has opening brackets, nor deeper than the parser
+    goes, which bounds the turns; turns with nothing left change nothing. They are then put into the order of the
+    document and checked by one copy of the rules of each shape.
     """
     work, turn, one = f"work{place.depth}", f"turn{place.depth}", f"node{place.depth}"
     first = node(loop.entry, place.path, place.pattern, "array(0)", place.value)
@@ -413,21 +437,27 @@ def looped(place: Place, loop: Loop) -> str:
                 f"{one}.value", f"{one}.path", f"{one}.pattern", order, steps, target, place.depth
             )
             held.append(f"if({one}.kind = {quote(kind)}, {found}, {NO_NODES})")
-    following = f"flatten(transform({work}.front, {one} -> concat({', '.join(held)})))"
+    inner = f"{one} -> concat({', '.join(held)})"
     before = f"left{place.depth}.order < right{place.depth}.order"
+    below = f"flatten(transform(array({first}), {inner}))"
+    turns = f"sequence(1, least({brackets}, {DEEPEST}))"
     nodes = (
-        f"aggregate(sequence(0, {brackets}), "
-        f"named_struct('front', array({first}), 'done', {NO_NODES}), "
+        f"aggregate(if(size({below}) = 0, cast(array() AS array<int>), {turns}), "
+        f"named_struct('front', {below}, 'done', array({first})), "
         f"({work}, {turn}) -> if(size({work}.front) = 0, {work}, named_struct("
-        f"'front', {following}, 'done', concat({work}.done, {work}.front))), "
-        f"{work} -> array_sort(concat({work}.done, {work}.front), "
-        f"(left{place.depth}, right{place.depth}) -> if({before}, -1, 1)))"
+        f"'front', flatten(transform({work}.front, {inner})), 'done', concat({work}.done, {work}.front))), "
+        f"{work} -> if(size({work}.done) = 1, {work}.done, array_sort({work}.done, "
+        f"(left{place.depth}, right{place.depth}) -> if({before}, -1, 1))))"
     )
-    checked = " ".join(
-        f"WHEN {one}.kind = {quote(kind)} THEN {checked_spots(f'array({one})', shape, place.depth + 1)}"
-        for kind, (shape, _) in loop.members.items()
-    )
-    return f"flatten(transform({nodes}, {one} -> CASE {checked} END))"
+    checked = []
+    for kind, (shape, _) in loop.members.items():
+        spot = f"spot{place.depth + 1}"
+        fields = f"'path', {one}.path, 'pattern', {one}.pattern, {spot_fields(f'{one}.value', shape)}"
+        rule = checked_spots(
+            f"array(named_struct({fields}))", shape, place.depth + 1, start=f"{spot}.path", stars=f"{spot}.pattern"
+        )
+        checked.append(f"WHEN {one}.kind = {quote(kind)} THEN {rule.many}")
+    return f"flatten(transform({nodes}, {one} -> CASE {' '.join(checked)} END))"
 
 
 def node(kind: str, path: str, pattern: str, order: str, value: str) -> str:
@@ -471,32 +501,37 @@ def along(
     return f"coalesce(flatten(transform({items}, ({item}, {index}) -> {inner})), {NO_NODES})"
 
 
-def checked_spots(spots: str, shape: Shape, depth: int) -> str:
-    """Violations of every spot of a list, in order."""
+def checked_spots(
+    spots: str, shape: Shape, depth: int, *, start: str, stars: str | None, star_base: str = ""
+) -> Rule:
+    """Violations of every spot of a list, in order. Sound spots are only tested; texts are made for the others."""
     one = f"spot{depth}"
     has_fields = bool(record_tree(shape))
-    if has_fields:
-        # A step of its own, so that the item's fields are read once.
-        record = read_record(f"{one}.value", shape)
-        spots = (
-            f"transform({spots}, {one} -> named_struct("
-            f"'path', {one}.path, 'pattern', {one}.pattern, 'value', {one}.value, 'record', {record}))"
-        )
     place = Place(
         f"{one}.value",
         record=f"{one}.record" if has_fields else "",
-        start=f"{one}.path",
-        stars=f"{one}.pattern",
+        start=start,
+        stars=stars,
+        star_base=star_base,
         is_record=has_fields,
         depth=depth + 1,
+        known_kind=f"{one}.kind" if reads_kind(shape) else None,
     )
-    found = violations_at(place, shape)
-    return f"flatten(transform({spots}, {one} -> {found}))"
+    broken = any_rule_broken(place, shape)
+    return Rule(
+        many=f"flatten(transform({spots}, {one} -> if({broken}, {violations_at(place, shape)}, {NO_VIOLATIONS})))",
+        some=f"exists({spots}, {one} -> {broken})",
+    )
+
+
+def any_rule_broken(place: Place, shape: Shape) -> str:
+    """Is anything wrong below a place? NULL counts as no."""
+    tests = [rule.any_broken for rule in rules_of(place, shape) if not rule.implied]
+    return f"({' OR '.join(f'({test})' for test in tests) or 'false'})"
 
 
 def valid_for(place: Place, shape: Shape) -> str:
-    broken = [rule.any_broken for rule in rules_of(place, shape)]
-    return f"(NOT ({' OR '.join(broken) or 'false'}))"
+    return f"(NOT coalesce({any_rule_broken(place, shape)}, false))"
 
 
 def violations_at(place: Place, shape: Shape) -> str:
@@ -533,7 +568,7 @@ def violations_sql(doc: str, record: str, shape: Shape, root: str = "$") -> str:
     record names a column that holds read_record(doc, shape).
     """
     is_record = bool(record_tree(shape))
-    return violations_at(Place(doc, record=record, base=root, is_record=is_record), shape)
+    return violations_at(Place(doc, record=record, base=root, star_base=root, is_record=is_record), shape)
 
 
 def validate(

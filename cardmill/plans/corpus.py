@@ -1,4 +1,4 @@
-"""Cards derived from the driver tables: one card per row, without any shuffle."""
+"""Cards derived from the driver tables: one card per row; only rows of small tables are shuffled, to use all cores."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.functions.session import prepare_session
+from cardmill.sources.cards import spread
 
 # Stands for the first part of the schema names in the derived cards.
 FAMILY = "SAMPLE"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def as_json(*expressions: str) -> str:

@@ -9,6 +9,24 @@ from cardmill.functions.fence import fence
 from cardmill.functions.session import prepare_session
 
 
+# A core gets at least so many bytes of a table, and a table of more than SPREAD_BYTES stays as its files are split.
+CORE_BYTES = 8 * 1024 * 1024
+SPREAD_BYTES = 1024 * 1024 * 1024
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The same rows over all cores, where the table is so small that its files give work to few of them.
+
+    A file with one row group is read by one task, and parsing and checking cards costs far more than dealing out
+    their rows. Larger tables have splits enough and are not shuffled, nor are streams.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size <= min(cores * CORE_BYTES, SPREAD_BYTES) else table
+
+
 def file_cards(files: DataFrame) -> DataFrame:
     """Name and text of whole-file rows; the reader reports names percent-encoded."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
