@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,17 +104,22 @@ def resolve_schema(
 def with_schema(
     cards: DataFrame, sources: DataFrame, source_column: str, shuffle: bool | None
 ) -> DataFrame:
+    """Columns of resolve_schema; also _contract, which tells different documents apart, where sources have it."""
+    if "_contract" not in sources.columns:
+        return with_schema(cards, sources.withColumn("_contract", F.lit("")), source_column, shuffle).drop("_contract")
     custom = sources.filter(F.col("source") != BASE_SOURCE).select(
         "card_type",
         F.col("source").alias(source_column),
         F.col("version").alias("_custom_version"),
         F.col("description").alias("_custom_description"),
+        F.col("_contract").alias("_custom_contract"),
     )
-    base_version = base_description = F.lit(None).cast("string")
+    base_version = base_description = base_contract = F.lit(None).cast("string")
     for row in sources.filter(F.col("source") == BASE_SOURCE).filter(F.col("card_type").isin(*SECTION_KEY)).collect():
         own = F.col("card_type") == row["card_type"]
         base_version = F.when(own, row["version"]).otherwise(base_version)
         base_description = F.when(own, row["description"]).otherwise(base_description)
+        base_contract = F.when(own, row["_contract"]).otherwise(base_contract)
     joined = lookup_join(cards, custom, ["card_type", source_column], shuffle=shuffle)
     is_custom = F.col("_custom_version").isNotNull()
     return joined.withColumns(
@@ -123,26 +129,24 @@ def with_schema(
             "schema_description": F.coalesce("_custom_description", base_description, F.lit("")),
             "is_custom": is_custom,
             "schema_found": is_custom | base_version.isNotNull(),
+            "_contract": F.coalesce("_custom_contract", base_contract),
         }
-    ).drop("_custom_version", "_custom_description")
+    ).drop("_custom_version", "_custom_description", "_custom_contract")
 
 
-# Each schema adds its rules to the plan; more schemas are checked in several runs over parts of the cards.
+# Each different schema adds its rules to the plan; more are checked in groups, each with its part of the cards.
 MOST_SCHEMAS = 200
 
 
-def registry_shapes(sources: DataFrame) -> dict[tuple[str, str], Shape]:
-    """The shapes of all schemas that can be read, by card type and source."""
-    rows = sources.select("card_type", "source", "document").limit(MOST_SCHEMAS + 1).collect()
-    if len(rows) > MOST_SCHEMAS:
-        raise ValueError(f"more than {MOST_SCHEMAS} schemas in one run")
+def registry_shapes(documents: DataFrame) -> dict[str, Shape]:
+    """The shapes of all documents that can be read, by contract; none reads as a shape that no card is checked by."""
     shapes = {}
-    for row in rows:
+    for row in documents.collect():
         try:
-            shapes[row["card_type"], row["source"]] = shape_from_document(json.loads(row["document"]))
+            shapes[row["_contract"]] = shape_from_document(json.loads(row["document"]))
         except (AttributeError, KeyError, TypeError, ValueError):
             continue
-    return shapes
+    return shapes or {"": Shape()}
 
 
 def check_by_registry(
@@ -157,16 +161,34 @@ def check_by_registry(
 
     Adds the columns of resolve_schema, contract_read and those of validate. contract_read is false, and the
     violations are NULL, where no schema was found or the schema holds a rule that is not supported.
+
+    Sources with equal documents share a contract, and of a large registry only contracts that cards resolve to are
+    read. Where these are still more than MOST_SCHEMAS, cards are stored by groups of contracts, and each group is
+    checked by its own rules, so that neither plan nor driver holds all of them.
     """
     sources = stored(one_per_source(check_registry(registry), order), "registry")
-    resolved = with_schema(cards, sources.drop("document"), source_column, None)
-    source = F.when(F.col("is_custom"), F.col(source_column)).otherwise(BASE_SOURCE)
-    named = resolved.withColumn("_contract", F.concat_ws(" ", "card_type", source))
-    shapes = {f"{kind} {name}": shape for (kind, name), shape in registry_shapes(sources).items()}
-    if not shapes:
-        shapes = {"": Shape()}
-    checked = validate(named, shapes, doc=doc, key="_contract")
-    return checked.withColumn("contract_read", F.col("violations").isNotNull()).drop("_contract")
+    sources = sources.withColumn("_contract", F.sha2("document", 256))
+    documents = sources.select("_contract", "document").distinct()
+    named = with_schema(cards, sources.drop("document"), source_column, None)
+    if documents.limit(MOST_SCHEMAS + 1).count() > MOST_SCHEMAS:
+        used = named.select("_contract").distinct()
+        documents = stored(documents.join(used, "_contract", "left_semi"), "contracts")
+    count = documents.count()
+    if count <= MOST_SCHEMAS:
+        parts = [(named, documents)]
+    else:
+        # About half of what a run can take, as groups by hash differ in size.
+        groups = 2 * count // MOST_SCHEMAS + 1
+        group = F.pmod(F.xxhash64("_contract"), F.lit(groups)).cast("int")
+        path = scratch_path(cards.sparkSession, "cards-by-contract")
+        named.withColumn("_group", group).write.partitionBy("_group").parquet(path)
+        kept = cards.sparkSession.read.schema(named.withColumn("_group", group).schema).parquet(path)
+        parts = [
+            (kept.filter(F.col("_group") == g).drop("_group"), documents.filter(group == g)) for g in range(groups)
+        ]
+    checked = [validate(own, registry_shapes(rules), doc=doc, key="_contract") for own, rules in parts]
+    told = reduce(DataFrame.unionByName, checked)
+    return told.withColumn("contract_read", F.col("violations").isNotNull()).drop("_contract")
 
 
 def unknown_codes(

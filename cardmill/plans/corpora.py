@@ -170,6 +170,32 @@ def checked_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("s_suppkey", "is_custom", "contract_read", found.alias("found"))
 
 
+@query("""
+SELECT c_custkey, c_custkey % 450 % 9 <> 0 AS is_custom,
+       CASE WHEN c_custkey % 450 % 9 = 0 THEN CASE WHEN c_acctbal > 0 THEN ['$.Model.Balance|maximum'] ELSE [] END
+            WHEN c_acctbal > 10 * (c_custkey % 450) THEN ['$.Model.Balance|maximum'] ELSE [] END AS found
+FROM customer
+""")
+def checked_by_many_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of 450 schemas, more than the rules of one run; a source in nine has no schema that can be used."""
+    document = """try_parse_json(concat('{"$id":"v', n, '","properties":{"Dataset":{},"Model":{"$ref":"#/$defs/model"}},',
+        '"$defs":{"dataset":{},"model":{"properties":{"Balance":{"type":"number","maximum":', top, '}}}}}')) AS document"""
+    sources = spark.range(450).selectExpr(
+        "concat('custom/', id) AS source", "id AS n", "if(id % 9 = 0, '}', cast(10 * id AS string)) AS top"
+    )
+    base = spark.range(1).selectExpr("'base' AS source", "id AS n", "'0' AS top")
+    registry = base.unionByName(sources).selectExpr("'model' AS card_type", "source", document)
+    cards = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "'model' AS card_type",
+        "concat('custom/', c_custkey % 450) AS schema_source",
+        "parse_json(to_json(struct(struct(c_acctbal AS Balance) AS Model))) AS doc",
+    )
+    checked = check_by_registry(cards, registry)
+    found = F.transform("violations", lambda v: F.concat(v["path"], F.lit("|"), v["keyword"]))
+    return checked.select("c_custkey", "is_custom", found.alias("found"))
+
+
 UNKNOWN_CODES_SQL = """
 SELECT doc_id, code FROM (
   SELECT doc_id, lang AS code FROM documents UNION ALL SELECT doc_id, source FROM documents)

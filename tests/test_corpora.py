@@ -1,7 +1,9 @@
 import json
 
 import cardmill
+import pytest
 from cardmill.contracts.shapes import record, text
+from cardmill.operators import registry
 from cardmill.operators.defaults import apply_defaults, defaults_of
 from cardmill.operators.lookup import fits_broadcast, lookup_join
 from cardmill.plans.process import process_cards
@@ -137,3 +139,25 @@ def test_missing_fields_are_filled_on_the_way(cards_of):
     plain, filled = (process_cards(cards, shape, fill=fill).first() for fill in (False, True))
     assert [v.keyword for v in plain.violations] == []
     assert [(v.path, v.keyword) for v in filled.violations] == [("$.Name", "minLength")]
+
+
+@pytest.mark.parametrize("most", [1, 3, 200])
+def test_any_number_of_schemas(spark, monkeypatch, most):
+    """Groups of schemas, one run, and a registry of which cards use a part give the same."""
+    monkeypatch.setattr(registry, "MOST_SCHEMAS", most)
+    text = (
+        '{"$id":"%s","properties":{"Model":{"$ref":"#/$defs/model"},"Dataset":{}},"$defs":{"dataset":{},'
+        '"model":{"properties":{"n":{"maximum":%d}%s}}}}'
+    )
+    rows = [("model", f"s{i}", text % (i, i, "")) for i in range(6)] + [("model", "same", text % (1, 1, ""))]
+    rows += [("model", "odd", text % (7, 7, ',"m":{"unknown":1}')), ("model", "base", text % ("b", 100, ""))]
+    known = spark.createDataFrame(rows, "card_type string, source string, raw string")
+    known = known.selectExpr("card_type", "source", "try_parse_json(raw) AS document")
+    named = [(i, "model", source) for i, source in enumerate(["s1", "s2", "s2", "s5", "same", "odd", "none", None])]
+    cards = spark.createDataFrame([*named, (8, "other", "s1")], "id long, card_type string, schema_source string")
+    cards = cards.selectExpr("*", "parse_json('{\"Model\":{\"n\":3}}') AS doc")
+    told = registry.check_by_registry(cards, known).select("id", "error_count", "contract_read", "is_custom").collect()
+    assert sorted(map(tuple, told)) == [
+        (0, 1, True, True), (1, 1, True, True), (2, 1, True, True), (3, 0, True, True), (4, 1, True, True),
+        (5, None, False, True), (6, 0, True, False), (7, 0, True, False), (8, None, False, False),
+    ]
