@@ -19,12 +19,19 @@ from cardmill.operators.reports import intake_summary, violation_summary
 from cardmill.operators.validate import validate, with_report
 from cardmill.sinks.exports import export_flat, export_nested, preview_json
 from cardmill.sources.cards import cards_from_table, read_cards
-from cardmill.streaming.stream import card_stream, write_card_stream
+from cardmill.streaming.stream import (
+    card_stream,
+    check_stream_by_registry,
+    read_summary,
+    write_card_stream,
+    write_summary_stream,
+)
 
 __all__ = [
     "card_stream",
     "cards_from_table",
     "check_registry",
+    "check_stream_by_registry",
     "classify",
     "declared_dataset",
     "export_flat",
@@ -38,6 +45,7 @@ __all__ = [
     "nested_to_flat",
     "preview_json",
     "read_cards",
+    "read_summary",
     "resolve_schema",
     "shape_from_document",
     "split_rejects",
@@ -46,4 +54,5 @@ __all__ = [
     "with_report",
     "wrap_envelope",
     "write_card_stream",
+    "write_summary_stream",
 ]

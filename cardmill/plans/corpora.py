@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.contracts.profiles import legacy_dataset, legacy_model
-from cardmill.contracts.shapes import integer, record
+from cardmill.contracts.shapes import integer, listing, record, text
 from cardmill.functions.session import prepare_session, scratch_path
 from cardmill.operators.classify import classify
 from cardmill.operators.registry import (
@@ -15,6 +15,7 @@ from cardmill.operators.registry import (
     resolve_schema,
     unknown_codes,
 )
+from cardmill.operators.reports import violation_summary
 from cardmill.operators.validate import validate
 from cardmill.plans.catalog import query
 from cardmill.plans.conversion import sections
@@ -29,7 +30,13 @@ from cardmill.plans.corpus import (
 from cardmill.plans.process import process_cards
 from cardmill.sinks.exports import export_flat, export_name, export_nested, preview_json
 from cardmill.sources.cards import cards_from_table
-from cardmill.streaming.stream import card_stream, write_card_stream
+from cardmill.streaming.stream import (
+    card_stream,
+    check_stream_by_registry,
+    read_summary,
+    write_card_stream,
+    write_summary_stream,
+)
 
 # ---- registry ------------------------------------------------------------------
 
@@ -129,7 +136,7 @@ def resolved_schemas_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir, True)
 
 
-@query("""
+BY_REGISTRY_SQL = """
 WITH cards AS (
   SELECT s_suppkey, s_acctbal, s_suppkey % 10 = 0 AS nameless, n_regionkey,
          n_regionkey < 4 AS is_custom, n_regionkey < 4 AND n_nationkey % 7 = 0 AS odd
@@ -140,9 +147,11 @@ SELECT s_suppkey, is_custom, NOT odd AS contract_read,
          CASE WHEN s_acctbal > CASE WHEN is_custom THEN 1000 * n_regionkey ELSE 5000 END
               THEN '$.Dataset.Balance|maximum' END], lambda x: x IS NOT NULL) END AS found
 FROM cards
-""")
-def checked_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards checked by the schema of their nation, or the base schema where that one doesn't load."""
+"""
+
+
+def nation_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema for each nation, some of which don't load or hold a rule that is not supported, and a base schema."""
     document = """try_parse_json(concat('{"$id":"', version, '","type":"object","properties":',
         '{"Model":{},"Dataset":{"$ref":"#/$defs/dataset"}},"$defs":{"model":{},"dataset":{',
         '"type":"object","required":["Name"],', extra,
@@ -157,17 +166,25 @@ def checked_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ELSE '' END AS extra""",
         "cast(1000 * n_regionkey AS string) AS top",
     )
-    registry = base.unionByName(custom).selectExpr("'dataset' AS card_type", "source", document)
-    cards = table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey",
-        "'dataset' AS card_type",
-        "concat('custom/', s_nationkey) AS schema_source",
-        """parse_json(to_json(struct(struct(
-             s_acctbal AS Balance, if(s_suppkey % 10 = 0, NULL, s_name) AS Name) AS Dataset))) AS doc""",
-    )
-    checked = check_by_registry(cards, registry)
-    found = F.transform("violations", lambda v: F.concat(v["path"], F.lit("|"), v["keyword"]))
-    return checked.select("s_suppkey", "is_custom", "contract_read", found.alias("found"))
+    return base.unionByName(custom).selectExpr("'dataset' AS card_type", "source", document)
+
+
+SUPPLIER_CARDS = (
+    "s_suppkey",
+    "'dataset' AS card_type",
+    "concat('custom/', s_nationkey) AS schema_source",
+    """parse_json(to_json(struct(struct(
+         s_acctbal AS Balance, if(s_suppkey % 10 = 0, NULL, s_name) AS Name) AS Dataset))) AS doc""",
+)
+FAULTS = "transform(violations, v -> concat(v.path, '|', v.keyword)) AS found"
+
+
+@query(BY_REGISTRY_SQL)
+def checked_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards checked by the schema of their nation, or the base schema where that one doesn't load."""
+    cards = table(spark, sf_dir, "supplier").selectExpr(*SUPPLIER_CARDS)
+    checked = check_by_registry(cards, nation_registry(spark, sf_dir))
+    return checked.selectExpr("s_suppkey", "is_custom", "contract_read", FAULTS)
 
 
 @query("""
@@ -390,6 +407,50 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(BY_REGISTRY_SQL)
+def streamed_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving cards checked by the schema of their nation, as checked_by_registry does with cards at rest."""
+    arriving = (
+        prepare_session(spark)
+        .readStream.schema(table(spark, sf_dir, "supplier").schema)
+        .option("pathGlobFilter", "supplier.parquet")
+        .parquet(sf_dir)
+    )
+    path = scratch_path(spark, "streamed")
+    stream = check_stream_by_registry(
+        arriving.selectExpr(*SUPPLIER_CARDS),
+        lambda: nation_registry(spark, sf_dir),
+        path,
+        scratch_path(spark, "commits"),
+        columns=("s_suppkey", "is_custom", "contract_read", "violations"),
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(path).selectExpr("s_suppkey", "is_custom", "contract_read", FAULTS)
+
+
+@query("""
+SELECT path, keyword, count(DISTINCT id) AS cards, count(*) AS violations FROM (
+  SELECT c_custkey AS id, unnest(list_filter([
+    CASE WHEN c_custkey % 5 = 0 THEN '$.name|required' END,
+    CASE WHEN length(c_mktsegment) > 8 THEN '$.tags[*]|maxLength' END,
+    CASE WHEN c_custkey % 3 = 0 THEN '$.tags[*]|type' END], lambda x: x IS NOT NULL)) AS fault,
+    split_part(fault, '|', 1) AS path, split_part(fault, '|', 2) AS keyword FROM customer) GROUP BY ALL
+""")
+def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with cards that arrive in two lots, summed up by a stream that was stopped in between."""
+    raw = """to_json(struct(if(c_custkey % 5 = 0, NULL, c_name) AS name,
+        array(cast(c_mktsegment AS variant), if(c_custkey % 3 = 0, cast(1 AS variant), cast('a' AS variant))) AS tags)) AS raw"""
+    cards = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", raw)
+    shape = record({"name": text(), "tags": listing(text(max_length=8))}, required=("name",))
+    folder, path, commits = (scratch_path(spark, name) for name in ("arriving", "summary", "commits"))
+    for lot in (0, 1):
+        cards.filter(F.col("id") % 2 == lot).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(cards.schema).parquet(folder)
+        checked = validate(cards_from_table(arriving), shape)
+        write_summary_stream(violation_summary(checked), path, commits).awaitTermination()
+    return read_summary(spark, path, ("cards", "violations"))
+
+
 @query("""
 SELECT s_nationkey::BIGINT AS nation, 'dataset' AS card_type, count(*)::BIGINT AS suppliers,
        (count(*) > 3)::INTEGER AS error_count

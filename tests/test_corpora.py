@@ -161,3 +161,39 @@ def test_any_number_of_schemas(spark, monkeypatch, most):
         (0, 1, True, True), (1, 1, True, True), (2, 1, True, True), (3, 0, True, True), (4, 1, True, True),
         (5, None, False, True), (6, 0, True, False), (7, 0, True, False), (8, None, False, False),
     ]
+
+
+def test_a_registry_is_read_for_each_batch(spark, tmp_path):
+    """A schema that was added between two batches counts for the later cards only; no card is taken twice."""
+    text = '{"$id":"v","properties":{"Model":{"$ref":"#/$defs/model"},"Dataset":{}},"$defs":{"dataset":{},"model":{"properties":{"n":{"maximum":%d}}}}}'
+    folder, out, commits = (str(tmp_path / name) for name in ("cards", "out", "commits"))
+    known = [("model", "base", text % 100), ("model", "a", text % 1)]
+
+    def rows():
+        return spark.createDataFrame(known, "card_type string, source string, raw string").selectExpr(
+            "card_type", "source", "try_parse_json(raw) AS document"
+        )
+
+    schema = "id long, card_type string, schema_source string"
+    for lot in range(2):
+        spark.createDataFrame([(2 * lot, "model", "a"), (2 * lot + 1, "model", "b")], schema).write.mode("append").parquet(folder)
+        cards = spark.readStream.schema(schema).parquet(folder).selectExpr("*", "parse_json('{\"Model\":{\"n\":3}}') AS doc")
+        for _ in range(2):
+            cardmill.check_stream_by_registry(cards, rows, out, commits, columns=("id", "error_count", "is_custom")).awaitTermination()
+        known.append(("model", "b", text % 2))
+    told = spark.read.parquet(out).select("id", "error_count", "is_custom").collect()
+    assert sorted(map(tuple, told)) == [(0, 1, True), (1, 0, False), (2, 1, True), (3, 1, True)]
+
+
+def test_a_streamed_intake_summary_goes_on_after_a_stop(spark, tmp_path):
+    source, out, commits = tmp_path / "cards", str(tmp_path / "out"), str(tmp_path / "commits")
+    source.mkdir()
+    for lot in range(3):
+        for i in range(4):
+            (source / f"{lot} {i}.txt").write_text(json.dumps({"dataset_name": "d"}) if i % 2 else "broken")
+        (source / f"{lot}.json").write_text(json.dumps({"Model": {"n": lot}}))
+        stream = cardmill.intake_summary(cardmill.classify(cardmill.card_stream(spark, str(source))))
+        cardmill.write_summary_stream(stream, out, commits).awaitTermination()
+        batch = cardmill.intake_summary(cardmill.classify(cardmill.read_cards(spark, str(source))))
+        told = cardmill.read_summary(spark, out, ("cards",))
+        assert sorted(map(str, told.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
