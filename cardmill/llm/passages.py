@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cardmill.llm.common import shuffle_partitions, whole
 from cardmill.llm.words import (
-    OTHER_FACTORS,
     Words,
     covered,
     from_planes,
@@ -57,7 +56,7 @@ class Anchors:
 
     def __init__(self, texts: list[bytes], window: int, bits: int):
         self.window, self.block = window, (window + 1) // 2
-        self.words: Words = words_of(texts)
+        self.words: Words = words_of(texts, others=True)
         inside = within_text(self.words, self.block)
         self.at = np.flatnonzero(inside)
         keys = windows(self.words, self.block)[self.at] >> np.uint64(64 - bits)
@@ -88,7 +87,7 @@ class Windows:
     """The candidate windows of one chunk by a key of 96 bits, and the smallest document here that has each."""
 
     def __init__(self, words: Words, begins: np.ndarray, window: int, ids: np.ndarray):
-        first, second = windows(words, window)[begins], windows(words, window, OTHER_FACTORS)[begins]
+        first, second = windows(words, window)[begins], windows(words, window, other=True)[begins]
         second = second >> np.uint64(32)
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
@@ -257,7 +256,7 @@ def remove_repeated_passages(
     joined by a space). A NULL or empty text has no words; documents without an id come after all others; rows
     with the same id take nothing from each other. Extra columns are dropped.
 
-    Texts are dealt into chunks by id. A chunk sends each of its keys once to the bucket of the key, so a passage in a
+    Texts are dealt into chunks by id and text. A chunk sends each of its keys once to the bucket of the key, so a passage in a
     third of all documents costs a bucket one entry for each chunk, and gets one bit back. Nothing is listed in pairs.
     """
     spark = docs.sparkSession
@@ -269,7 +268,7 @@ def remove_repeated_passages(
     # Anchors are a filter: with 12 bits more than blocks need, few other windows pass it. What passes is compared.
     bits = min(64, max(32, math.ceil(math.log2(size + 2)) + 10))
     job = Job(window, bits, buckets)
-    chunked = told.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk")
+    chunked = told.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).groupBy("chunk")
 
     anchors = chunked.applyInArrow(lambda key, rows: job.send_anchors(key, rows), SENT)
     live = anchors.groupBy("bucket").applyInArrow(lambda rows: job.match_anchors(rows), REPLY)

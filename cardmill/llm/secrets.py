@@ -26,12 +26,14 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 #: Runs that may be an encoded key; a run is taken whole, so it must not follow a character of its own kind.
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}+|[0-9A-F]{64,}+)(?![0-9A-Fa-f])")
-#: An encoded JSON object begins with one of these letters pairs.
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{2,}+\.e[wy][A-Za-z0-9_-]*+\.[A-Za-z0-9_-]*+")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
+#: An encoded JSON object begins with e and one of these. A token may begin in any part, so none is used up by a match.
+SIGNED = re.compile(
+    r"(?<![A-Za-z0-9_-])(?=(e[w-z0-9_-][A-Za-z0-9_-]*+\.e[w-z0-9_-][A-Za-z0-9_-]*+\.[A-Za-z0-9_-]*+))"
+)
 OPENSSH = b"openssh-key-v1\0"
 #: Bytes of a signature by its algorithm; RSA signatures are at least as long as a 1024-bit modulus.
 SIGNATURE_BYTES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES256K": 64, "ES384": 96, "ES512": 132, "EDDSA": 64}
@@ -66,7 +68,7 @@ def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     found = []
     while at < end:
         one = element(data, at, end)
-        if one is None or len(found) > 64:
+        if one is None:
             return None
         found.append(one)
         at = one[2]
@@ -162,19 +164,24 @@ def may_be_key(head: bytes, size: int) -> bool:
     return 1 <= count <= 4 and int.from_bytes(head[2 : 2 + count], "big") + 2 + count == size
 
 
-def pem_end(text: str, start: re.Match) -> int | None:
-    """Where a key block ends, if what it holds is a key."""
-    close = f"-----END {start[1]}-----"
-    at = text.find(close, start.end())
-    if at < 0:
-        return None
-    body = text[start.end() : at].replace("\\n", "\n").replace("\\r", "")
+def key_blocks(text: str) -> list[tuple[str, int, int]]:
+    """Blocks between a BEGIN mark and an END mark of the same label, without another mark in between, that hold a key."""
+    marks = list(PEM.finditer(text)) if "-----BEGIN " in text else []
+    return [
+        ("pem", one.start(), other.end())
+        for one, other in zip(marks, marks[1:], strict=False)
+        if (one[1], other[1]) == ("BEGIN", "END") and one[2] == other[2] and holds_key(text[one.end() : other.start()])
+    ]
+
+
+def holds_key(body: str) -> bool:
+    body = body.replace("\\n", "\n").replace("\\r", "")
     if "Proc-Type:" in body:  # headers come before an empty line; the body is encrypted and has no structure to see
         body = re.split(r"\r?\n\r?\n", body, maxsplit=1)[-1]
         data = decoded("".join(body.split()))
-        return at + len(close) if data and len(data) % 8 == 0 else None
+        return bool(data) and len(data) % 8 == 0
     data = decoded("".join(body.split()))
-    return at + len(close) if data and (key_encoding(data) or openssh_encoding(data)) else None
+    return bool(data) and (key_encoding(data) or openssh_encoding(data))
 
 
 def spans_of(text: str) -> list[tuple[str, int, int]]:
@@ -183,12 +190,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    blocks, done = [], 0
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if m.start() >= done and (end := pem_end(text, m)):
-                blocks.append(("pem", m.start(), end))
-                done = end
+    blocks = key_blocks(text)
     found += blocks
     inside = iter([*blocks, ("", len(text) + 1, 0)])
     block = next(inside)
@@ -215,7 +217,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             elif key_encoding(data):
                 found.append(("der", m.start(), m.end()))
     if ".e" in text:
-        found += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if signed_token(m[0])]
+        found += [("jwt", m.start(1), m.end(1)) for m in SIGNED.finditer(text) if signed_token(m[1])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -15,7 +15,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Spread the number of a word's block of eight bytes; one for each of the two hashes.
+STEP, OTHER_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: About this many bytes are hashed at once; a slice ends at the end of a word.
 SLICE = 1 << 20
 #: Odd factors, one for each place in a window.
@@ -31,14 +32,10 @@ class Words:
     text: np.ndarray
     #: For each text the index of its first word, and the number of all words at the end.
     first: np.ndarray
-    #: For each wanted length a hash of the word's first bytes, at most so many.
+    #: For each wanted length (up to eight) a hash of the word's first bytes, at most so many.
     prefixes: tuple[np.ndarray, ...] = ()
-
-
-def powers(count: int) -> np.ndarray:
-    base = np.full(count, BASE, dtype=np.uint64)
-    base[:1] = 1
-    return np.multiply.accumulate(base)
+    #: A second hash of each word, which tells nothing about the first; where it was asked for.
+    others: np.ndarray | None = None
 
 
 def slices(data: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -56,12 +53,21 @@ def slices(data: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def words_of(
-    texts: list[bytes], *, lower: bool = False, gap: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()
+    texts: list[bytes],
+    *,
+    lower: bool = False,
+    gap: np.ndarray = SPACE,
+    prefixes: tuple[int, ...] = (),
+    others: bool = False,
 ) -> Words:
-    """Hash each word of each text; equal words have equal hashes wherever they are. `gap` marks the separators."""
+    """Hash each word of each text; equal words have equal hashes wherever they are. `gap` marks the separators.
+
+    A word is read in blocks of eight bytes. Each block is mixed with its number before the blocks are summed, so that
+    words of the same bytes in another order, however regular, have nothing in common.
+    """
     joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    hashes, places, heads, power = [], [], [[] for _ in prefixes], powers(256)
+    hashes, seconds, places, heads = [], [], [], [[] for _ in prefixes]
     for start, end in slices(joined, gap):
         data = joined[start:end]
         letters = np.flatnonzero(~gap[data])
@@ -69,29 +75,38 @@ def words_of(
             continue
         opens = np.flatnonzero(np.diff(letters, prepend=-2) != 1)
         lengths = np.diff(opens, append=len(letters))
-        if (longest := int(lengths.max())) > len(power):
-            power = powers(2 * longest)
         within = np.arange(len(letters)) - np.repeat(opens, lengths)
-        values = (LOWER[data[letters]] if lower else data[letters]).astype(np.uint64) + np.uint64(1)
-        values *= power[within]
-        hashes.append(mix(np.add.reduceat(values, opens) + lengths.astype(np.uint64)))
+        values = (LOWER[data[letters]] if lower else data[letters]).astype(np.uint64)
+        values <<= ((within & 7) << 3).astype(np.uint64)
+        first = np.flatnonzero((within & 7) == 0)
+        blocks, number = np.add.reduceat(values, first), (within[first] >> 3).astype(np.uint64)
+        words = np.searchsorted(first, opens)
+        size = lengths.astype(np.uint64)
+        hashes.append(mix(np.add.reduceat(mix(blocks ^ mix(number * STEP)), words) + size))
+        if others:
+            seconds.append(mix(np.add.reduceat(mix(mix(blocks + OTHER_STEP) ^ (number * OTHER_STEP)), words) ^ size))
         places.append(letters[opens] + start)
         for head, length in zip(heads, prefixes, strict=True):
-            early = np.where(within < length, values, np.uint64(0))
-            head.append(mix(np.add.reduceat(early, opens) + np.uint64(length << 40)))
+            early = blocks[words] & np.uint64((1 << 8 * length) - 1)
+            head.append(mix(mix(early) + np.uint64(length)))
     none = np.zeros(0, np.uint64)
     at = np.concatenate([np.zeros(0, np.int64), *places])
     first = np.searchsorted(at, begins)
     parts = tuple(np.concatenate([none, *head]) for head in heads)
-    return Words(np.concatenate([none, *hashes]), np.repeat(np.arange(len(texts)), np.diff(first)), first, parts)
+    second = np.concatenate([none, *seconds]) if others else None
+    return Words(np.concatenate([none, *hashes]), np.repeat(np.arange(len(texts)), np.diff(first)), first, parts, second)
 
 
-def windows(words: Words, width: int, factors: np.ndarray = FACTORS) -> np.ndarray:
-    """A hash of the `width` words from each word on; only those that `within_text` marks lie in one text."""
-    count = max(0, len(words.hashes) - width + 1)
+def windows(words: Words, width: int, *, other: bool = False) -> np.ndarray:
+    """A hash of the `width` words from each word on; only those that `within_text` marks lie in one text.
+
+    With `other` it is made from the words' second hashes, by other factors.
+    """
+    hashes, factors = (words.others, OTHER_FACTORS) if other else (words.hashes, FACTORS)
+    count = max(0, len(hashes) - width + 1)
     total = np.zeros(count, dtype=np.uint64)
     for j in range(width):
-        total += words.hashes[j : j + count] * factors[j]
+        total += hashes[j : j + count] * factors[j]
     return mix(total)
 
 

@@ -63,3 +63,22 @@ def test_words_are_those_of_the_pattern():
     assert words.hashes[0] == words_of([b"x a"]).hashes[1]
     assert len(windows(words, 7)) == 1 and len(windows(words_of([b"a"]), 2)) == 0
     assert list(from_planes(planes(words.hashes, 8), 7, 8)) == list(words.hashes)
+
+
+def thue_morse(size, one=b"a", other=b"b"):
+    return b"".join((one, other)[bin(i).count("1") % 2] for i in range(size))
+
+
+def test_regular_words_do_not_collide(docs_of):
+    for size in (1 << 10, 1 << 11, 1 << 12):
+        words = [thue_morse(size), thue_morse(size, b"b", b"a"), thue_morse(size)[::-1] + b"c", b"a" * size]
+        made = words_of([b" ".join(words)], others=True)
+        assert len(set(made.hashes.tolist())) == len(set(made.others.tolist())) == 4
+        assert not set(made.hashes.tolist()) & set(made.others.tolist())
+    rest = " ".join(f"w{i}" for i in range(12))
+    one, other = (thue_morse(1 << 10, *letters).decode() for letters in ((b"a", b"b"), (b"b", b"a")))
+    rows = remove_repeated_passages(docs_of(f"{one} {rest}", f"{other} {rest}", f"{one} {rest}"), 13).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {0: 0, 1: 0, 2: 13}
+    swapped = words_of([b"abcdefgh12345678 12345678abcdefgh abcdefgh abcdefgh1"], prefixes=(4, 8))
+    assert len(set(swapped.hashes.tolist())) == 4 and len(set(swapped.prefixes[0].tolist())) == 2
+    assert swapped.prefixes[1][0] == swapped.prefixes[1][2] == swapped.prefixes[1][3] != swapped.prefixes[1][1]

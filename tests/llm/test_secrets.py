@@ -1,5 +1,6 @@
 import base64
 import json
+import time
 
 from cardmill.llm.secrets import KINDS, mask_secrets, scan_secrets, spans_of
 
@@ -95,3 +96,31 @@ def test_masking(docs_of):
     docs = docs_of("a token=12345678, b", None, "", "password: " + "ab" * 20)
     masked = [r.text for r in docs.select(mask_secrets("text").alias("text")).collect()]
     assert masked == ["a <assign>, b", None, "", "<assign>"]
+
+
+def test_many_marks_take_linear_time():
+    mark, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n"
+    begun = time.perf_counter()
+    for text in (mark * 600_000, mark * 600_000 + end, (mark + "x" * 30) * 300_000 + end, "-----BEGIN " + "A " * 5_000_000):
+        assert not [s for s in spans_of(text) if s[0] == "pem"]
+    assert time.perf_counter() - begun < 60
+
+
+def test_wider_encodings():
+    def part(value):
+        return base64.urlsafe_b64encode(value).decode().rstrip("=")
+
+    token = f"{part(b'{\"alg\":\"HS256\"}')}.{part(b'{}')}.{part(bytes(32))}"
+    assert ".e30." in token and ("jwt", 4, 4 + len(token)) in spans_of(f"see {token}.")
+    # A token behind a part that looks like a beginning.
+    assert ("jwt", 3, 3 + len(token)) in spans_of(f"ew.{token}")
+    # A key of many parts, in hexadecimal digits of both cases.
+    names = b"".join(b"\x02\x01\x05" for _ in range(100))
+    inner = b"\x06\x01\x2a\x30\x82" + len(names).to_bytes(2, "big") + names
+    body = b"\x02\x01\x00\x30\x82" + len(inner).to_bytes(2, "big") + inner + b"\x04\x20" + bytes(range(100, 132))
+    key = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    told = key.hex()
+    mixed = "".join(c.upper() if i % 2 else c for i, c in enumerate(told))
+    for text in (told, told.upper(), mixed):
+        assert ("der", 2, 2 + len(told)) in spans_of(f"x {text} y")
+    assert ("der", 0, len(base64.b64encode(key).rstrip(b"="))) in [(k, s, e - text.count("=")) for text in [base64.b64encode(key).decode()] for k, s, e in spans_of(text)]
