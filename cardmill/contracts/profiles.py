@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from cardmill.contracts import vocabularies as v
 from cardmill.contracts.shapes import (
+    Keys,
     Shape,
     choice,
     integer,
@@ -74,7 +75,7 @@ INDEXING = record(
             Shape(
                 one_of=(
                     text(pattern="RID[0-9]+"),
-                    record({}, key_pattern="RID[0-9]+", key_shape=TEXT),
+                    record({}, keyed=((Keys("RID[0-9]+"), TEXT),)),
                 )
             ),
             unique=True,
@@ -221,7 +222,7 @@ LONG_VALUE_LIST = 5
 
 def form_shape(shape: Shape) -> Shape:
     """Rules an entry form keeps of a shape: combined rules become plain text."""
-    if shape.one_of or shape.condition is not None or shape.key_pattern is not None:
+    if shape.one_of or shape.condition is not None or shape.keyed:
         return TEXT
     if shape.loop is not None:
         inner, routes = shape.loop.members[shape.loop.entry]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 from cardmill.contracts.profiles import FALLBACK_SECTION, LONG_VALUE_LIST, TEXT
-from cardmill.contracts.shapes import UNSET, Loop, Route, Shape, record
+from cardmill.contracts.shapes import UNSET, At, Keys, Loop, Route, Shape, Step, record
 
 # Keywords that carry a rule, by the shape attribute that holds a plain value.
 PLAIN = {
@@ -86,7 +86,7 @@ class Walk:
     def __init__(self, reader: Reader, group: frozenset[str], routes: list[Route]):
         self.reader, self.group, self.routes = reader, group, routes
 
-    def shape(self, node: Any, steps: tuple[str | int, ...] | None) -> Shape:
+    def shape(self, node: Any, steps: tuple[Step, ...] | None) -> Shape:
         """steps is the way from the definition, None where a value can't be singled out by a way."""
         if node is True:
             return Shape()
@@ -97,7 +97,7 @@ class Walk:
             return own
         return merged(self.reference(node["$ref"], steps), own)
 
-    def reference(self, ref: str, steps: tuple[str | int, ...] | None) -> Shape:
+    def reference(self, ref: str, steps: tuple[Step, ...] | None) -> Shape:
         name, reader = ref.removeprefix(REFERENCE), self.reader
         if name not in reader.definitions:
             raise ValueError(f"unknown reference: {ref}")
@@ -110,8 +110,8 @@ class Walk:
             return reader.loop(name)
         return self.shape(reader.definitions[name], steps)
 
-    def plain(self, node: dict[str, Any], steps: tuple[str | int, ...] | None) -> Shape:
-        def inside(*more: str | int) -> tuple[str | int, ...] | None:
+    def plain(self, node: dict[str, Any], steps: tuple[Step, ...] | None) -> Shape:
+        def inside(*more: Step) -> tuple[Step, ...] | None:
             return None if steps is None else (*steps, *more)
 
         found: dict[str, Any] = {}
@@ -136,11 +136,16 @@ class Walk:
                 found["fields"] = {name: self.shape(rule, inside(name)) for name, rule in value.items()}
             elif keyword == "additionalProperties" and value is False:
                 found["closed"] = True
-            elif keyword == "patternProperties" and len(value) == 1:
-                (found["key_pattern"], rule), = value.items()
-                found["key_shape"] = self.shape(rule, None)
+            elif keyword == "additionalProperties":
+                known, patterns = (tuple(node.get(k, ())) for k in ("properties", "patternProperties"))
+                others = Keys(names=known, others=patterns)
+                found["keyed"] = (*found.get("keyed", ()), (others, self.shape(value, inside(others))))
+            elif keyword == "patternProperties":
+                told = [(Keys(pattern), rule) for pattern, rule in value.items()]
+                shapes = tuple((keys, self.shape(rule, inside(keys))) for keys, rule in told)
+                found["keyed"] = (*found.get("keyed", ()), *shapes)
             elif keyword == "prefixItems":
-                found["lead"] = tuple(self.shape(rule, None) for rule in value)
+                found["lead"] = tuple(self.shape(rule, inside(At(i))) for i, rule in enumerate(value))
             elif keyword == "oneOf":
                 found["one_of"] = tuple(self.shape(rule, None) for rule in value)
             else:
@@ -157,7 +162,7 @@ def merged(base: Shape, beside: Shape) -> Shape:
         held = getattr(base, name)
         if held is not UNSET and held != getattr(plain, name) and name != "default":
             raise ValueError(f"rule given beside a reference that has it too: {name}")
-    if given.keys() & {"fields", "closed", "key_pattern"} and base.loop is not None:
+    if given.keys() & {"fields", "closed", "keyed"} and base.loop is not None:
         raise ValueError("fields given beside a reference that comes back inside itself")
     return base.with_(**given)
 

@@ -16,8 +16,27 @@ class Unset:
 
 UNSET = Unset()
 
-# A way from a value to values of a recursive shape in it: field names, and for lists the first item's number.
-Route = tuple[tuple[str | int, ...], str]
+
+@dataclass(frozen=True)
+class Keys:
+    """Keys of an object: those that match a pattern, or without one all but some names and those that match others."""
+
+    pattern: str | None = None
+    names: tuple[str, ...] = ()
+    others: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class At:
+    """One position of a list."""
+
+    number: int
+
+
+# A step from a value to values in it: a field, all items of a list from a number on, one item, or some keys' values.
+Step = str | int | At | Keys
+# A way from a value to values of a recursive shape in it.
+Route = tuple[tuple[Step, ...], str]
 
 
 @dataclass(frozen=True)
@@ -39,8 +58,8 @@ class Shape:
     fields: Mapping[str, Shape] = field(default_factory=dict)
     required: tuple[str, ...] = ()
     closed: bool = False
-    key_pattern: str | None = None
-    key_shape: Shape | None = None
+    # rules for the values of some keys, whatever these are
+    keyed: tuple[tuple[Keys, Shape], ...] = ()
     min_keys: int | None = None
     max_keys: int | None = None
     # lists

@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.contracts.shapes import UNSET, Loop, Shape
+from cardmill.contracts.shapes import UNSET, At, Keys, Loop, Shape
 from cardmill.functions.fence import fence
 from cardmill.functions.values import backticked, json_path, struct_type
 
@@ -341,8 +341,8 @@ def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         message = f"must have at most {shape.max_keys} fields"
         broken = f"{place.is_object} AND {size} > {shape.max_keys}"
         yield Rule(broken, place.path, place.pattern, "maxProperties", message)
-    if shape.key_pattern is not None and shape.key_shape is not None:
-        yield keyed_values(place, shape.key_pattern, shape.key_shape)
+    for keys, inner in shape.keyed:
+        yield keyed_values(place, keys, inner)
     for name, inner in shape.fields.items():
         yield from rules_of(place.child(name, inner), inner)
 
@@ -351,18 +351,27 @@ def extra_keys(place: Place, shape: Shape) -> str:
     key = f"key{place.depth}"
     allowed = ", ".join(quote(name) for name in shape.fields)
     extra = f"array_except({place.names}, cast(array({allowed}) AS array<string>))"
-    if shape.key_pattern is not None:
-        extra = f"filter({extra}, {key} -> NOT {key} RLIKE {quote(shape.key_pattern)})"
+    patterns = [keys.pattern for keys, _ in shape.keyed if keys.pattern is not None]
+    if patterns:
+        extra = f"filter({extra}, {key} -> {key_fits(key, Keys(others=tuple(patterns)))})"
     under = [f"concat({start}, '.', {key})" for start in (place.path, place.pattern)]
     found = violation(*under, "additionalProperties", "is not an allowed field")
     return f"transform({extra}, {key} -> {found})"
 
 
-def keyed_values(place: Place, key_pattern: str, shape: Shape) -> Rule:
+def key_fits(key: str, keys: Keys) -> str:
+    if keys.pattern is not None:
+        return f"{key} RLIKE {quote(keys.pattern)}"
+    tests = [f"NOT {key} IN ({', '.join(quote(name) for name in keys.names)})"] if keys.names else []
+    tests += [f"NOT {key} RLIKE {quote(pattern)}" for pattern in keys.others]
+    return " AND ".join(tests) or "true"
+
+
+def keyed_values(place: Place, keys: Keys, shape: Shape) -> Rule:
     pair, one = f"pair{place.depth}", f"spot{place.depth}"
     entries = (
         f"filter(map_entries({place.read('map<string,variant>')}), "
-        f"{pair} -> {pair}.key RLIKE {quote(key_pattern)})"
+        f"{pair} -> {key_fits(f'{pair}.key', keys)})"
     )
     spots = f"transform({entries}, {pair} -> named_struct('at', {pair}.key, {spot_fields(f'{pair}.value', shape)}))"
     starts = [f"concat({start}, '.', {one}.at)" for start in (place.path, place.pattern)]
@@ -486,12 +495,28 @@ def along(
             depth,
         )
     item, index = f"held{depth}_{len(rest)}", f"place{depth}_{len(rest)}"
+    if isinstance(step, Keys):
+        pairs = f"map_entries(try_variant_get({value}, '$', 'map<string,variant>'))"
+        inner = along(
+            f"{item}.value",
+            f"concat({path}, '.', {item}.key)",
+            f"concat({pattern}, '.', {item}.key)",
+            f"concat({order}, array({index}))",
+            tuple(rest),
+            target,
+            depth,
+        )
+        chosen = f"filter({pairs}, {item} -> {key_fits(f'{item}.key', step)})"
+        return f"coalesce(flatten(transform({chosen}, ({item}, {index}) -> {inner})), {NO_NODES})"
     items = f"try_variant_get({value}, '$', 'array<variant>')"
-    if step:
-        items = f"slice({items}, {step + 1}, greatest(size({items}), 0))"
+    start = step.number if isinstance(step, At) else step
+    if isinstance(step, At):
+        items = f"slice({items}, {start + 1}, 1)"
+    elif start:
+        items = f"slice({items}, {start + 1}, greatest(size({items}), 0))"
     inner = along(
         item,
-        f"concat({path}, '[', cast({index} + {step} AS string), ']')",
+        f"concat({path}, '[', cast({index} + {start} AS string), ']')",
         f"concat({pattern}, '[*]')",
         f"concat({order}, array({index}))",
         tuple(rest),

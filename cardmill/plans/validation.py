@@ -15,7 +15,7 @@ from cardmill.contracts.profiles import (
     subset,
 )
 from cardmill.contracts.schema_documents import form_from_document, shape_from_document
-from cardmill.contracts.shapes import Shape, choice, integer, listing, number, record, text
+from cardmill.contracts.shapes import Keys, Shape, choice, integer, listing, number, record, text
 from cardmill.operators.convert import flat_to_nested
 from cardmill.operators.reports import violation_summary as summarise_violations
 from cardmill.operators.validate import validate, with_report
@@ -206,7 +206,7 @@ def validate_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed objects, key patterns, and how many keys an object may have."""
     shape = record(
-        {"k": integer()}, key_pattern="^n[0-9]+$", key_shape=text(), min_keys=2, max_keys=2
+        {"k": integer()}, keyed=((Keys("^n[0-9]+$"), text()),), min_keys=2, max_keys=2
     )
     key = "concat(if(user_id % 2 = 0, 'x', 'n'), user_id)"
     value = "if(event_id % 3 = 1, '1', '\"1\"')"
@@ -547,6 +547,40 @@ def strict_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(validate(docs, shape_from_document(STRICT_SCHEMA)))
 
 
+KEYED_SCHEMA = {
+    "$ref": "#/$defs/node",
+    "$defs": {
+        "node": {
+            "type": "object",
+            "properties": {"n": {"type": "integer", "maximum": 9}},
+            "patternProperties": {"^a": {"$ref": "#/$defs/node"}, "^t": {"type": "string"}},
+            "additionalProperties": {"type": "array", "prefixItems": [{"$ref": "#/$defs/node"}]},
+        }
+    },
+}
+
+
+@query(
+    union_sql(
+        "SELECT s_suppkey AS id, * FROM supplier",
+        ("'$.n'", "maximum", "s_nationkey > 9"),
+        ("'$.bad'", "type", "s_suppkey % 3 = 0"),
+        ("'$.a' || s_nationkey || '.n'", "maximum", "s_nationkey > 4"),
+        ("'$.a' || s_nationkey || '.tx'", "type", "s_suppkey % 2 = 0"),
+        ("'$.other[0].n'", "maximum", "s_suppkey % 20 > 9"),
+        ("'$.other[0].a2.n'", "type", "TRUE"),
+        ("'$.other[0].a2.more[0].t'", "type", "s_suppkey % 5 = 0"),
+    )
+)
+def keyed_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several key patterns and a schema for all other keys, by which a definition comes back inside itself."""
+    raw = """concat('{"n":', s_nationkey, ',"a', s_nationkey, '":{"n":', s_nationkey + 5, ',"tx":', if(s_suppkey % 2 = 0, '5', '"x"'),
+        '},"other":[{"n":', s_suppkey % 20, ',"a2":{"n":"x","more":[{"t":', if(s_suppkey % 5 = 0, '1', '"t"'), '}, 1]}}],"bad":',
+        if(s_suppkey % 3 = 0, '1', '[]'), '}')"""
+    docs = documents(spark, sf_dir, "supplier", "s_suppkey", raw)
+    return listed(validate(docs, shape_from_document(KEYED_SCHEMA)))
+
+
 FORM_SCHEMA = {
     "$defs": {
         "model": {

@@ -288,3 +288,28 @@ def test_summary_keeps_odd_keys_apart(cards_of):
     assert {(r.path, r.keyword, r.cards) for r in rows} == {
         ("$.x\u0001y", "additionalProperties", 1), ("$.k[1]", "additionalProperties", 1),
         ("$.k[2]", "additionalProperties", 2)}
+
+
+def test_deep_and_wide_values_of_a_recursive_rule(cards_of):
+    """As deep as the parser goes, and with far more brackets than levels."""
+    deep = {"Sex": "Other"}
+    for _ in range(300):
+        deep = {"Subset": [deep]}
+    wide = {"Sex": "Other", "Extra": [[] for _ in range(50_000)], "Subset": [{"Sex": "Other"}]}
+    tall, broad = check(cards_of, subset(), deep, wide)
+    assert [(p.count("Subset"), k) for p, k in tall if k == "enum"] == [(300, "enum")]
+    assert [p for p, k in broad if k == "enum"] == ["$.Sex", "$.Subset[0].Sex"]
+
+
+def test_key_patterns_and_all_other_keys(cards_of):
+    document = {
+        "properties": {"n": {"type": "integer"}},
+        "patternProperties": {"^a": {"type": "string"}, "z$": {"minLength": 2}},
+        "additionalProperties": {"type": "array", "items": {"maximum": 3}},
+    }
+    shape = shape_from_document(document)
+    assert check(cards_of, shape, {"n": 1, "a": "x", "az": "x", "o": [1, 5], "p": "t", "z": 1})[0] == [
+        ("$.az", "minLength"), ("$.o[1]", "maximum"), ("$.p", "type"),
+    ]
+    closed = shape_from_document({**document, "additionalProperties": False})
+    assert check(cards_of, closed, {"n": 1, "a": "x", "bz": "xx", "o": 1})[0] == [("$.o", "additionalProperties")]
