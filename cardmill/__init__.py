@@ -19,6 +19,7 @@ from cardmill.operators.reports import intake_summary, violation_summary
 from cardmill.operators.validate import validate, with_report
 from cardmill.sinks.exports import export_flat, export_nested, preview_json
 from cardmill.sources.cards import cards_from_table, read_cards
+from cardmill.streaming.landing import land_cards, landed_cards
 from cardmill.streaming.stream import (
     card_stream,
     check_stream_by_registry,
@@ -39,6 +40,8 @@ __all__ = [
     "flat_to_nested",
     "form_dataset",
     "intake_summary",
+    "land_cards",
+    "landed_cards",
     "legacy_dataset",
     "legacy_model",
     "load_section",

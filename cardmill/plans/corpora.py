@@ -30,6 +30,7 @@ from cardmill.plans.corpus import (
 from cardmill.plans.process import process_cards
 from cardmill.sinks.exports import export_flat, export_name, export_nested, preview_json
 from cardmill.sources.cards import cards_from_table
+from cardmill.streaming.landing import land_cards, landed_cards
 from cardmill.streaming.stream import (
     card_stream,
     check_stream_by_registry,
@@ -381,6 +382,42 @@ def processed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+WITH versions AS (
+  SELECT n_nationkey AS nation, n_regionkey, since, n
+  FROM (SELECT *, unnest([0, 1]) AS n FROM nation), LATERAL (SELECT make_date(1996 + 2 * n + n_nationkey % 2, 1, 1) AS since)
+  WHERE n_regionkey < 4 OR n = 0)
+SELECT o_orderkey, n IS NOT NULL AS is_custom,
+       coalesce('v' || n, CASE WHEN o_orderdate >= DATE '1995-07-01' THEN 'base' ELSE 'Unknown' END) AS schema_version,
+       o_totalprice > CASE n WHEN 0 THEN 200000 WHEN 1 THEN 300000
+                      ELSE CASE WHEN o_orderdate >= DATE '1995-07-01' THEN 100000 END END AS broken
+FROM orders ASOF LEFT JOIN versions ON o_custkey % 30 = nation AND o_orderdate >= since
+""")
+def checked_by_schema_of_the_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards checked by the schema that was valid on their date: two versions of each source, of which some don't load."""
+    document = """try_parse_json(concat('{"$id":"', version, '","properties":{"Dataset":{},"Model":{"$ref":"#/$defs/model"}},',
+        '"$defs":{"dataset":{},"model":{"properties":{"Price":{"maximum":', top, '}}}}}')) AS document"""
+    versions = table(spark, sf_dir, "nation").selectExpr("*", "explode(array(0, 1)) AS n").selectExpr(
+        "concat('custom/', n_nationkey) AS source",
+        "make_date(1996 + 2 * n + n_nationkey % 2, 1, 1) AS since",
+        "concat('v', n) AS version",
+        "if(n_regionkey = 4 AND n = 1, '}', cast(200000 + 100000 * n AS string)) AS top",
+    )
+    base = spark.range(1).selectExpr(
+        "'base' AS source", "DATE '1995-07-01' AS since", "'base' AS version", "'100000' AS top"
+    )
+    registry = base.unionByName(versions).selectExpr("'model' AS card_type", "source", "since", document)
+    cards = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "'model' AS card_type",
+        "concat('custom/', o_custkey % 30) AS schema_source",
+        "cast(o_orderdate AS date) AS card_date",
+        "parse_json(to_json(struct(struct(o_totalprice AS Price) AS Model))) AS doc",
+    )
+    checked = check_by_registry(cards, registry, order="since", at="card_date")
+    return checked.selectExpr("o_orderkey", "is_custom", "schema_version", "NOT is_valid AS broken")
+
+
 # ---- streams -------------------------------------------------------------------
 
 
@@ -479,6 +516,33 @@ def streamed_card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("""
+SELECT p_brand AS brand, count(*)::BIGINT AS parts, 'model' AS card_type,
+       (substr(p_brand, 7)::INTEGER % 2)::BIGINT AS batch, 1::BIGINT AS files
+FROM part GROUP BY p_brand
+""")
+def landed_card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card file for each brand, landed in two lots, the second by a run that meets the files of the first again."""
+    folder, landed, commits = (scratch_path(spark, name) for name in ("arriving", "landed", "commits"))
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    cards = brands.selectExpr(
+        "p_brand AS card",
+        "cast(substring(p_brand, 7) AS int) % 2 AS lot",
+        """to_json(struct(struct(p_brand AS Name, n AS Parts) AS Model)) AS value""",
+    )
+    for lot in (0, 1):
+        cards.filter(F.col("lot") == lot).drop("lot").write.mode("append").partitionBy("card").text(folder)
+        for _ in range(2):
+            land_cards(spark, folder, landed, commits).awaitTermination()
+    found = classify(cards_from_table(landed_cards(spark, landed), "raw", "file_name"))
+    return found.groupBy(
+        F.variant_get("doc", "$.Model.Name", "string").alias("brand"),
+        F.variant_get("doc", "$.Model.Parts", "bigint").alias("parts"),
+        "card_type",
+        F.col("batch").cast("bigint").alias("batch"),
+    ).agg(F.count("*").alias("files"))
+
+
 @query("""
 SELECT card_type, format, reject_reason, count(*) AS cards FROM (
   SELECT CASE event_type WHEN 'click' THEN 'model' WHEN 'view' THEN 'dataset'

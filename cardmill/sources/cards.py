@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.functions.fence import fence
@@ -27,10 +27,10 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if size <= min(cores * CORE_BYTES, SPREAD_BYTES) else table
 
 
-def file_cards(files: DataFrame) -> DataFrame:
-    """Name and text of whole-file rows; the reader reports names percent-encoded."""
+def file_cards(files: DataFrame, *more: Column) -> DataFrame:
+    """Name and text of whole-file rows, and columns of one's own; the reader reports names percent-encoded."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return files.select(name.alias("file_name"), F.col("value").alias("raw"))
+    return files.select(name.alias("file_name"), F.col("value").alias("raw"), *more)
 
 
 def with_document(cards: DataFrame, raw: str = "raw") -> DataFrame:
@@ -60,7 +60,7 @@ def read_cards(spark: SparkSession, path: str | list[str], *, recursive: bool =
     """One row per file: file_name, raw, doc, parse_ok. Files of subfolders too, unless recursive is off.
 
     Files are read whole and cannot be split, so land a corpus of small files in a
-    Parquet table once and go on from there with cards_from_table.
+    Parquet table once (land_cards) and go on from there with cards_from_table.
     """
     prepare_session(spark)
     files = spark.read.option("recursiveFileLookup", str(recursive).lower())

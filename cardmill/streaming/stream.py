@@ -12,6 +12,9 @@ from cardmill.functions.session import prepare_session
 from cardmill.operators.registry import check_by_registry
 from cardmill.sources.cards import file_cards, with_document
 
+# Else a stream passes over files that are a week older than the newest one it has taken.
+FOREVER = "36500d"
+
 
 def card_stream(
     spark: SparkSession, path: str, *, files_per_batch: int = 10_000, recursive: bool = True
@@ -20,6 +23,7 @@ def card_stream(
     prepare_session(spark)
     files = (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", FOREVER)
         .option("recursiveFileLookup", str(recursive).lower())
         .text(path, wholetext=True)
     )

@@ -1,4 +1,5 @@
 import json
+import os
 
 import cardmill
 import pytest
@@ -197,3 +198,61 @@ def test_a_streamed_intake_summary_goes_on_after_a_stop(spark, tmp_path):
         batch = cardmill.intake_summary(cardmill.classify(cardmill.read_cards(spark, str(source))))
         told = cardmill.read_summary(spark, out, ("cards",))
         assert sorted(map(str, told.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_files_are_landed_once_and_packed(spark, tmp_path):
+    """Files that are older than those landed before count too; a run that meets nothing new changes nothing."""
+    source, table, commits = tmp_path / "cards", str(tmp_path / "table"), str(tmp_path / "commits")
+    (source / "below").mkdir(parents=True)
+    want = {}
+    for lot in range(3):
+        for i in range(40):
+            name = f"{lot} {i}+ä.txt"
+            content = "" if i == 0 else " \n" if i == 1 else json.dumps({"dataset_name": "d" * i}) + "\n"
+            path = source / ("below" if i % 2 else ".") / name
+            path.write_text(content)
+            if content:  # a file without a byte has no row, as in read_cards
+                want[name] = content
+            os.utime(path, (1_700_000_000 - lot * 10_000_000,) * 2)
+        for _ in range(2):
+            cardmill.land_cards(spark, str(source), table, commits, files_per_batch=25).awaitTermination()
+        landed = cardmill.landed_cards(spark, table)
+        assert {row.file_name: row.raw for row in landed.collect()} == want and landed.count() == len(want)
+    assert landed.filter("file_size <> octet_length(raw) OR modified IS NULL OR NOT file_path LIKE '%.txt'").count() == 0
+    assert len(list((tmp_path / "table").glob("batch=*"))) == 6
+    cards = cardmill.cards_from_table(landed, "raw", "file_name")
+    assert cards.filter("parse_ok").count() == len(want) - 3
+
+    # One task for all files where a group takes them.
+    one = str(tmp_path / "one")
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    try:
+        cardmill.land_cards(spark, str(source), one, str(tmp_path / "other"), open_bytes=1).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(list((tmp_path / "one").glob("batch=0/*.parquet"))) <= spark.sparkContext.defaultParallelism + 1
+
+
+def test_the_schema_of_the_time(spark):
+    text = '{"$id":"%s","properties":{"Dataset":{},"Model":{"$ref":"#/$defs/model"}},"$defs":{"dataset":{},"model":{"properties":{"n":{"maximum":%d}}}}}'
+    rows = [("a", 10, text % ("a10", 5)), ("a", 20, text % ("a20", 1)), ("a", 15, "{"), ("a", 30, text % ("a30", 4))]
+    rows += [("a", 30, text % ("a31", 2)), ("b", None, text % ("b", 9)), ("b", 20, text % ("b20", 1))]
+    rows += [("base", 12, text % ("base12", 0)), ("base", 22, text % ("base22", 7))]
+    known = spark.createDataFrame(rows, "source string, since int, raw string").selectExpr(
+        "'model' AS card_type", "source", "since", "try_parse_json(raw) AS document"
+    )
+    dates = [("a", 9), ("a", 10), ("a", 19), ("a", 20), ("a", 99), ("a", None), ("b", 1), ("b", 20), ("c", 11), ("c", 12)]
+    dates += [(None, 50), ("c", None), ("b", None)]
+    cards = spark.createDataFrame([(i, *d) for i, d in enumerate(dates)], "id int, schema_source string, `card date` int")
+    cards = cards.selectExpr("*", "'model' AS card_type", "parse_json('{\"Model\":{\"n\":3}}') AS doc")
+    want = ["Unknown", "a10", "a10", "a20", "a31", "a31", "b", "b20", "Unknown", "base12", "base22", "base22", "b20"]
+    top = {"a10": 5, "a20": 1, "a31": 2, "b": 9, "b20": 1, "base12": 0, "base22": 7}
+    for shuffle in (None, True):
+        told = registry.resolve_schema(cards, known, order="since", at="card date", shuffle=shuffle)
+        assert [row.schema_version for row in told.orderBy("id").collect()] == want
+    checked = registry.check_by_registry(cards, known, order="since", at="card date").orderBy("id").collect()
+    assert [row.schema_version for row in checked] == want
+    assert [row.error_count for row in checked] == [None if v == "Unknown" else int(3 > top[v]) for v in want]
+    assert [row.is_custom for row in checked] == [v[0] in "ab" and not v.startswith("base") for v in want]
+    with pytest.raises(ValueError):
+        registry.resolve_schema(cards, known, at="card date")
