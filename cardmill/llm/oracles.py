@@ -73,22 +73,27 @@ parts AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS list FROM docs)),
 lines AS (
   SELECT *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS norm,
+         len(regexp_extract_all(line, '{WORD}')) AS words,
          row_number() OVER (PARTITION BY doc_id ORDER BY place) AS number
   FROM parts WHERE regexp_matches(line, '{WORD}')),
 windows AS (
-  SELECT *, CASE WHEN count(*) OVER w = 3 THEN string_agg(norm, chr(10)) OVER w END AS key FROM lines
+  SELECT doc_id, number, 1 AS n, 1 AS there, words, norm AS key FROM lines
+  UNION ALL
+  SELECT doc_id, number, 2, count(*) OVER w, sum(words) OVER w, string_agg(norm, chr(10)) OVER w FROM lines
+  WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, number, 3, count(*) OVER w, sum(words) OVER w, string_agg(norm, chr(10)) OVER w FROM lines
   WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
 firsts AS (
   SELECT *, first_value(doc_id) OVER f AS first_id, first_value(number) OVER f AS first_number FROM windows
-  WINDOW f AS (PARTITION BY key ORDER BY doc_id, number)),
-marked AS (
-  SELECT doc_id, place,
-         max((key IS NOT NULL AND (first_id < doc_id OR number >= first_number + 3))::INTEGER)
-           OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone
-  FROM firsts),
+  WHERE there = n AND (n = 3 OR words >= 50) WINDOW f AS (PARTITION BY n, key ORDER BY doc_id, number)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(number, number + n - 1)) AS number FROM firsts
+  WHERE first_id < doc_id OR number >= first_number + n),
 kept AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE coalesce(gone, 0) = 0), '') AS text
-  FROM parts LEFT JOIN marked USING (doc_id, place) GROUP BY doc_id)
+  SELECT p.doc_id, coalesce(string_agg(p.line, chr(10) ORDER BY p.place) FILTER (WHERE gone.number IS NULL), '') AS text
+  FROM parts p LEFT JOIN lines USING (doc_id, place)
+  LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.number = lines.number GROUP BY p.doc_id)
 SELECT doc_id, (n_chars - length(kept.text))::BIGINT AS n_removed_chars, sha256(kept.text) AS kept_sha256
 FROM docs JOIN kept USING (doc_id)
 """

@@ -122,7 +122,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_runs(documents(spark, sf_dir), 3)
+    kept = remove_repeated_runs(documents(spark, sf_dir), 3, 50)
     return kept.select(
         "doc_id",
         (F.col("n_chars") - F.char_length(whole("text"))).alias("n_removed_chars"),
