@@ -223,6 +223,13 @@ def test_files_are_landed_once_and_packed(spark, tmp_path):
     cards = cardmill.cards_from_table(landed, "raw", "file_name")
     assert cards.filter("parse_ok").count() == len(want) - 3
 
+    # As after a stop between writing the last batch and noting it: the batch is done again, in place of its own.
+    for note in ("5", ".5.crc"):
+        (tmp_path / "commits" / "commits" / note).unlink(missing_ok=True)
+    cardmill.land_cards(spark, str(source), table, commits, files_per_batch=25).awaitTermination()
+    landed = cardmill.landed_cards(spark, table)
+    assert {row.file_name: row.raw for row in landed.collect()} == want and landed.count() == len(want)
+
     # One task for all files where a group takes them.
     one = str(tmp_path / "one")
     spark.conf.set("spark.sql.files.minPartitionNum", "64")
