@@ -49,9 +49,9 @@ lines AS (
   WHERE regexp_matches(line, '{WORD}')),
 repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
 frequent AS (
-  SELECT source, norm, arg_min(text, doc_id) AS first FROM lines GROUP BY ALL HAVING count(DISTINCT text) > 50),
+  SELECT source, norm FROM lines GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
 removed AS (
-  SELECT doc_id, sum(n) FILTER (WHERE text <> first) AS gone
+  SELECT doc_id, sum(n) AS gone
   FROM lines JOIN frequent ON lines.norm = frequent.norm AND lines.source IS NOT DISTINCT FROM frequent.source
   GROUP BY doc_id),
 told AS (

@@ -92,15 +92,20 @@ def quality_rules(
     min_words: int = 20,
     min_kept: float = 0.5,
     *,
+    count_copies: bool = True,
+    first_keeps: bool = False,
     doc_id: str = "doc_id",
     text: str = "text",
     host: str = "source",
 ) -> DataFrame:
     """Base counts and base_failed of each row, and a verdict by lines that are frequent at the row's host.
 
-    A line (normalised) that more than `limit` distinct documents of a host have is removed from all of them but the
-    one with the least id. A document is depleted if fewer than `min_words` words, or less than `min_kept` of its
-    words, are left. kept is false if base_failed or depleted. Exact copies at a host are one document.
+    A line (normalised) that more than `limit` distinct documents of a host have is removed from all of them. A
+    document is depleted if fewer than `min_words` words, or less than `min_kept` of its words, are left. kept is
+    false if base_failed or depleted. A document is an id with a text, so a repeated row counts once and exact copies
+    under several ids count each; rows without an id are documents of their own. With `count_copies=False` the copies
+    of a text at a host count as one document, with `first_keeps=True` the document with the least id (and its
+    copies) keeps the line.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_frequent_words.
     A NULL text is empty (no words, so base_failed); a NULL host is a host of its own; rows without an id come after
@@ -112,21 +117,32 @@ def quality_rules(
     told = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.col(host), F.col(host).isNull()).alias("host"),
-        F.xxhash64(whole(text), F.lit(1)).alias("copy"),
+        F.struct(F.xxhash64(F.lit(1), whole(text)), F.xxhash64(F.lit(2), whole(text))).alias("copy"),
         line_and_word_counts(whole(text)).alias("stats"),
     )
     rows = cut(told)
     texts = rows.groupBy("host", "copy").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("stats.lines").alias("lines")
     )
+    if count_copies:
+        known_ids = rows.filter(F.col("doc_id").isNotNull()).select("host", "copy", "doc_id").distinct()
+        ids = known_ids.groupBy("host", "copy").agg(F.count("*").alias("ids"))
+        no_id = rows.filter(F.col("doc_id").isNull()).groupBy("host", "copy").agg(F.count("*").alias("ids"))
+        weights = ids.unionByName(no_id).groupBy("host", "copy").agg(F.sum("ids").alias("documents"))
+        texts = texts.join(weights, ["host", "copy"])
+    else:
+        texts = texts.withColumn("documents", F.lit(1))
     texts = cut(texts)
-    lines = texts.select("host", "copy", "least", F.explode("lines").alias("l")).select(
-        "host", "copy", "l.line", "l.words", F.struct(F.col("least").isNull(), "least", "copy").alias("order")
+    lines = texts.select("host", "copy", "least", "documents", F.explode("lines").alias("l")).select(
+        "host", "copy", "documents", "l.line", "l.words", F.struct(F.col("least").isNull(), "least", "copy").alias("order")
     )
-    frequent = cut(
-        lines.groupBy("host", "line").agg(F.count("*").alias("_count"), F.min("order").alias("first")).filter(F.col("_count") > limit)
+    counted = lines.groupBy("host", "line").agg(
+        F.count("*").alias("_count"), F.sum("documents").alias("documents"), F.min("order").alias("first")
     )
-    gone = join_heavy(lines, frequent, ["host", "line"]).filter(F.col("copy") != F.col("first.copy"))
+    frequent = cut(counted.filter(F.col("documents") > limit).drop("documents"))
+    gone = join_heavy(lines, frequent, ["host", "line"])
+    if first_keeps:
+        gone = gone.filter(F.col("copy") != F.col("first.copy"))
     gone = gone.groupBy("host", "copy").agg(F.sum("words").alias("removed"))
     removed = texts.join(gone, ["host", "copy"], "left").select(
         "host", "copy", F.coalesce("removed", F.lit(0)).alias("n_frequent_words"), F.col("rows").alias("_count")

@@ -15,13 +15,14 @@ def slow_line(line):
     return re.sub("[0-9]", "0", " ".join(re.findall(WORD, low)))
 
 
-def brute(rows, limit):
-    """Rows of (doc_id, text, host)."""
+def brute(rows, limit, copies_are_one=False):
+    """Rows of (doc_id, text, host). With copies_are_one, a text counts once at a host and its first id keeps lines."""
     having = defaultdict(dict)
-    for number, text, host in rows:
+    for at, (number, text, host) in enumerate(rows):
+        document = text if copies_are_one else (text, at if number is None else f"id {number}")
         for line in {slow_line(x) for x in text.split("\n") if x.strip(SPACE)}:
             order = (number is None, number or 0)
-            having[host, line][text] = min(order, having[host, line].get(text, order))
+            having[host, line][document] = min(order, having[host, line].get(document, order))
     out = []
     for number, text, host in rows:
         words = re.findall(WORD, text)
@@ -39,7 +40,8 @@ def brute(rows, limit):
         gone = 0
         for line in text.split("\n"):
             if line.strip(SPACE) and len(had := having[host, slow_line(line)]) > limit:
-                gone += len(re.findall(WORD, line)) if min(had, key=had.get) != text else 0
+                stays = copies_are_one and min(had, key=had.get) == text
+                gone += 0 if stays else len(re.findall(WORD, line))
         left = len(words) - gone
         kept = not failed and left >= 20 and 2 * left >= len(words)
         symbols = sum(text.count(c) for c in "#*$%&|<>")
@@ -47,8 +49,8 @@ def brute(rows, limit):
     return sorted(out, key=str)
 
 
-def found(docs, limit):
-    rows = quality_rules(docs, limit).collect()
+def found(docs, limit, **how):
+    rows = quality_rules(docs, limit, **how).collect()
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return sorted((tuple(r[n] for n in (*names, "n_frequent_words")) for r in rows), key=str)
 
@@ -64,17 +66,30 @@ def test_against_brute_force(docs_of):
     for host in ("h0", "h1", "h2"):
         own = docs_of(*[(i, t) for i, t, h in rows if h == host], source=host)
         docs = own if docs is None else docs.unionByName(own)
+    assert found(docs, 5, count_copies=False, first_keeps=True) == brute(rows, 5, copies_are_one=True)
     want = brute(rows, 5)
     assert found(docs, 5) == want
     assert any(r[8] for r in want) and any(r[7] for r in want) and not all(r[7] for r in want)
 
 
+def test_documents_are_counted(docs_of):
+    line = " ".join(f"w{i}" for i in range(30))
+    own = " ".join(f"o{i}" for i in range(20))
+    copies = [(i, f"{line}\n{own}") for i in range(11)]
+    assert not any(r.kept for r in quality_rules(docs_of(*copies), 10).collect())
+    assert all(r.kept for r in quality_rules(docs_of(*copies[:10], *copies[:10]), 10).collect())  # repeated rows
+    no_id = [(None, text) for _, text in copies]
+    assert not any(r.kept for r in quality_rules(docs_of(*no_id), 10).collect())
+
+
 def test_one_document_keeps_a_frequent_line(docs_of):
     line = " ".join(f"w{i}" for i in range(30))
     texts = [f"{line}\nown {i}" for i in range(12)] + [f"{line}\nown 0"] * 50
-    rows = {r.doc_id: r for r in quality_rules(docs_of(*texts), 10).collect()}
+    docs = docs_of(*texts)
+    rows = {r.doc_id: r for r in quality_rules(docs, 10, count_copies=False, first_keeps=True).collect()}
     assert [rows[i].kept for i in range(12)] == [True] + [False] * 11
     assert all(rows[i].kept for i in range(12, 62))  # copies of the first document
+    assert not any(r.kept for r in quality_rules(docs, 10).collect())
 
 
 def test_odd_documents(odd, empty, docs_of):
