@@ -109,20 +109,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of a graph of pairs (a, b); the component is its least node.
 
     Each round takes the least label among the neighbours and then the label of that label, so the rounds grow with
-    the logarithm of the longest path. Nothing but the number of changed labels reaches the driver.
+    the logarithm of the longest path. A component may hold a large part of all nodes: its label is looked up from a
+    copy in each task. Nothing but counts reaches the driver.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("component")))
     while True:
         seen = labels.select(F.col("node").alias("b"), "component")
         hopped = both.join(seen, "b").groupBy("a").agg(F.min("component").alias("least"))
-        moved = labels.join(hopped.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("component").alias("before"), F.least("component", "least").alias("component")
+        moved = cut(
+            labels.join(hopped.withColumnRenamed("a", "node"), "node").select(
+                "node", F.col("component").alias("before"), F.least("component", "least").alias("component")
+            )
         )
-        jumps = moved.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        # Each label is a node, so every row finds the label that its label has now.
+        sizes = moved.groupBy("component").agg(F.count("*").alias("_count"))
+        jumps = moved.select(F.col("node").alias("component"), F.col("component").alias("further")).join(sizes, "component")
         labels = cut(
-            moved.join(jumps, "component", "left").select(
-                "node", "before", F.least("component", F.coalesce("further", "component")).alias("component")
+            join_heavy(moved, cut(jumps), ["component"]).select(
+                "node", "before", F.least("component", "further").alias("component")
             )
         )
         if labels.filter("before <> component").isEmpty():
