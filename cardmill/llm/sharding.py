@@ -55,14 +55,15 @@ def range_shards(
     records have) is subdivided by the hash of `tie`, and a record goes to the shard in which the middle of its
     stretch of the overall order lies. A shard is off its share by one record's size at most.
 
-    NULL sizes count 0, NULL keys and ties count as 0. Repeated records each get a slot. An empty table gives none.
+    NULL sizes count 0, NULL keys count as 0. A NULL tie is the row's place in the stored table, so any number of such
+    records of one key can be subdivided. Repeated records each get a slot. An empty table gives none.
     """
     spark = records.sparkSession
     rows = cut(
         records.select(
             F.struct(*kept).alias("_kept"),
             F.coalesce(key, F.lit(0)).alias("_key"),
-            F.coalesce(tie, F.lit(0)).alias("_tie"),
+            F.coalesce(tie, F.monotonically_increasing_id()).alias("_tie"),
             F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
         )
     )

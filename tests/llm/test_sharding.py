@@ -34,6 +34,13 @@ def test_one_text_in_all_rows(docs_of):
     laws_hold(rows, 6, 12)
 
 
+def test_one_text_without_ids(docs_of):
+    docs = docs_of(*[(None, "same")] * 500, *[(i, f"own {i}") for i in range(40)])
+    rows = shard_documents(docs, 6).collect()
+    laws_hold(rows, 6, 16)
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 6
+
+
 def test_odd_documents(odd, empty):
     rows = shard_documents(odd, 3).collect()
     assert len(rows) == len(ODD)
