@@ -260,7 +260,8 @@ def score_counts(
         (F.octet_length(whole(text)) > SAMPLE_BYTES).alias("long"),
         F.least(F.greatest(place, F.lit(0)), F.lit(2 * BIN_REACH * BINS_A_UNIT - 1)).cast("int").alias("bin"),
     )
-    trained = spark.createDataFrame([(i,) for i in sorted(set(learned))], "_id long").withColumn("_seen", F.lit(1))
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    trained = spark.createDataFrame([(i,) for i in sorted(set(learned))], f"_id {id_type}").withColumn("_seen", F.lit(1))
     told = scored.join(usable_labels(labels).drop("_order"), "_id").join(F.broadcast(trained), "_id", "left")
     seen = F.coalesce(F.col("_seen"), F.lit(0)).cast("long")
     keys = ["lang", "toxic", "long", "bin"]
