@@ -1,4 +1,4 @@
-"""Cards derived from the driver tables: one card per row; only rows of small tables are shuffled, to use all cores."""
+"""Cards derived from the driver tables: one card per row; rows are shuffled once, unless large texts stand in them, so that no task gets too many."""
 
 from __future__ import annotations
 
@@ -12,8 +12,13 @@ from cardmill.sources.cards import spread
 FAMILY = "SAMPLE"
 
 
+# Tables whose rows hold long texts; of these, large ones are not shuffled.
+LONG_TEXTS = ("documents", "pages", "conversations", "benchmark", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+    rows = prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in LONG_TEXTS else spread(rows, None)
 
 
 def as_json(*expressions: str) -> str:

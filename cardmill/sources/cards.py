@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,22 +11,26 @@ from cardmill.functions.fence import fence
 from cardmill.functions.session import prepare_session
 
 
-# A core gets at least so many bytes of a table, and a table of more than SPREAD_BYTES stays as its files are split.
-CORE_BYTES = 8 * 1024 * 1024
+# A task gets at most so many bytes of a table that is dealt out, and a table with more than SPREAD_BYTES of long texts
+# stays as its files are split.
+TASK_BYTES = 1024 * 1024
 SPREAD_BYTES = 1024 * 1024 * 1024
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """The same rows over all cores, where the table is so small that its files give work to few of them.
+def spread(table: DataFrame, most_bytes: int | None = SPREAD_BYTES) -> DataFrame:
+    """The same rows over all cores, in tasks of at most TASK_BYTES.
 
-    A file with one row group is read by one task, and parsing and checking cards costs far more than dealing out
-    their rows. Larger tables have splits enough and are not shuffled, nor are streams.
+    A row group is read by one task, and parsing and checking cards costs far more than dealing out their rows: left
+    as the files are split, a table of narrow rows gives a task millions of cards. Tables of more than most_bytes (None:
+    of any size) have splits enough for what a byte costs and are not shuffled, nor are streams.
     """
     if table.isStreaming:
         return table
-    cores = table.sparkSession.sparkContext.defaultParallelism
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores) if size <= min(cores * CORE_BYTES, SPREAD_BYTES) else table
+    if most_bytes is not None and size > most_bytes:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores * max(1, math.ceil(size / (cores * TASK_BYTES))))
 
 
 def file_cards(files: DataFrame, *more: Column) -> DataFrame:

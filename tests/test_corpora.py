@@ -7,7 +7,9 @@ from cardmill.contracts.shapes import record, text
 from cardmill.operators import registry
 from cardmill.operators.defaults import apply_defaults, defaults_of
 from cardmill.operators.lookup import fits_broadcast, lookup_join
+from cardmill.plans.corpus import table
 from cardmill.plans.process import process_cards
+from cardmill.sources import cards as card_sources
 from pyspark.sql import functions as F
 
 
@@ -31,6 +33,17 @@ def test_broadcast_is_measured(spark):
     assert not fits_broadcast(lookup, size=5000)
 
 
+def test_a_task_gets_a_bounded_part_of_a_large_table(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "orders.parquet")
+    spark.range(200_000, numPartitions=1).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).write.parquet(path)
+    size = sum(os.path.getsize(os.path.join(path, file)) for file in os.listdir(path) if file.endswith(".parquet"))
+    monkeypatch.setattr(card_sources, "TASK_BYTES", 64 * 1024, raising=False)
+    dealt = [table(spark, str(tmp_path), "orders"), card_sources.spread(spark.read.parquet(path), size // 2)]
+    counts = [[r["count"] for r in t.groupBy(F.spark_partition_id()).count().collect()] for t in dealt]
+    assert max(counts[0]) <= 1.1 * 200_000 * 64 * 1024 / size and sum(counts[0]) == 200_000
+    assert counts[1] == [200_000]
+
+
 def test_repeated_registry_rows_need_an_order(spark):
     schema = '{"$id": "v%d", "properties": {"Model": {}}, "$defs": {"model": {}}}'
     sparse = '{"$id": "sparse"}'
