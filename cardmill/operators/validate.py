@@ -42,6 +42,9 @@ SHOWN = 5
 # Spark's JSON parser refuses texts that are nested deeper.
 DEEPEST = 1000
 
+# Turns in which a recursive value is gathered without a look at how deep it may be.
+TURNS = 8
+
 # Arrays joined in one step.
 GROUP = 12
 
@@ -331,7 +334,7 @@ def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         broken = f"{place.is_object} AND {missing.value} IS NULL"
         yield Rule(broken, missing.path, missing.pattern, "required", "is required")
     if shape.closed:
-        yield Rule(many=extra_keys(place, shape))
+        yield extra_keys(place, shape)
     size = f"size({place.names})"
     if shape.min_keys is not None:
         message = f"must have at least {shape.min_keys} fields"
@@ -347,7 +350,7 @@ def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         yield from rules_of(place.child(name, inner), inner)
 
 
-def extra_keys(place: Place, shape: Shape) -> str:
+def extra_keys(place: Place, shape: Shape) -> Rule:
     key = f"key{place.depth}"
     allowed = ", ".join(quote(name) for name in shape.fields)
     extra = f"array_except({place.names}, cast(array({allowed}) AS array<string>))"
@@ -356,7 +359,8 @@ def extra_keys(place: Place, shape: Shape) -> str:
         extra = f"filter({extra}, {key} -> {key_fits(key, Keys(others=tuple(patterns)))})"
     under = [f"concat({start}, '.', {key})" for start in (place.path, place.pattern)]
     found = violation(*under, "additionalProperties", "is not an allowed field")
-    return f"transform({extra}, {key} -> {found})"
+    unfit = key_fits(key, Keys(names=tuple(shape.fields), others=tuple(patterns)))
+    return Rule(many=f"transform({extra}, {key} -> {found})", some=f"exists({place.names}, {key} -> {unfit})")
 
 
 def key_fits(key: str, keys: Keys) -> str:
@@ -431,42 +435,43 @@ def looped(place: Place, loop: Loop) -> str:
     """Violations of a value of a recursive shape and of all such values within it.
 
     Most values hold none, and then the value itself is checked. Else they are gathered turn by turn, each turn those
-    that the last ones hold. A value can't be nested deeper than it has opening brackets, nor deeper than the parser
-    goes, which bounds the turns; turns with nothing left change nothing. They are then put into the order of the
-    document and checked by one copy of the rules of each shape.
+    that the last ones hold. Some turns are always there; where they leave values over, there are as many more as the
+    value has opening brackets, as it can't be nested deeper, nor deeper than the parser goes. Turns with nothing left
+    change nothing. Where a turn took several values, all are put into the order of the document; else they stand in
+    each other and are in order. They are checked by one copy of the rules of each shape.
     """
     work, turn, one = f"work{place.depth}", f"turn{place.depth}", f"node{place.depth}"
+    left, right = f"left{place.depth}", f"right{place.depth}"
     first = node(loop.entry, place.path, place.pattern, "array(0)", place.value)
     brackets = f"regexp_count(to_json({place.value}), {quote(chr(92) + '[|' + chr(92) + '{')})"
+    alone = len(loop.members) == 1
     held = []
     for kind, (_, routes) in loop.members.items():
         for number, (steps, target) in enumerate(routes):
-            order = f"concat({one}.order, array({number}))"
-            found = along(
-                f"{one}.value", f"{one}.path", f"{one}.pattern", order, steps, target, place.depth
-            )
-            held.append(f"if({one}.kind = {quote(kind)}, {found}, {NO_NODES})")
-    inner = f"{one} -> concat({', '.join(held)})"
-    before = f"left{place.depth}.order < right{place.depth}.order"
-    below = f"flatten(transform(array({first}), {inner}))"
-    turns = f"sequence(1, least({brackets}, {DEEPEST}))"
-    nodes = (
-        f"aggregate(if(size({below}) = 0, cast(array() AS array<int>), {turns}), "
-        f"named_struct('front', {below}, 'done', array({first})), "
+            order = f"array_append({one}.order, {number})"
+            found = along(f"{one}.value", f"{one}.path", f"{one}.pattern", order, steps, target, place.depth)
+            held.append(found if alone else f"if({one}.kind = {quote(kind)}, {found}, {NO_NODES})")
+    inner = f"{one} -> {held[0] if len(held) == 1 else f'concat({", ".join(held)})'}"
+    taken = (
         f"({work}, {turn}) -> if(size({work}.front) = 0, {work}, named_struct("
-        f"'front', flatten(transform({work}.front, {inner})), 'done', concat({work}.done, {work}.front))), "
-        f"{work} -> if(size({work}.done) = 1, {work}.done, array_sort({work}.done, "
-        f"(left{place.depth}, right{place.depth}) -> if({before}, -1, 1))))"
+        f"'front', flatten(transform({work}.front, {inner})), 'done', flatten(array({work}.done, {work}.front)), "
+        f"'wide', {work}.wide OR size({work}.front) > 1))"
     )
-    checked = []
+    before = f"({left}, {right}) -> if({left}.order < {right}.order, -1, 1)"
+    in_order = f"if({work}.wide, array_sort({work}.done, {before}), {work}.done)"
+    start = f"named_struct('front', {work}, 'done', array({first}), 'wide', false)"
+    more = f"aggregate(sequence(1, least({brackets}, {DEEPEST})), {work}, {taken}, {work} -> {in_order})"
+    rest = f"{work} -> if(size({work}.front) = 0, {in_order}, {more})"
+    gathered = f"aggregate(sequence(1, {TURNS}), {start}, {taken}, {rest})"
+    below = f"flatten(transform(array({first}), {inner}))"
+    nodes = f"get(transform(array({below}), {work} -> if(size({work}) = 0, array({first}), {gathered})), 0)"
+    spot, checked = f"spot{place.depth + 1}", []
     for kind, (shape, _) in loop.members.items():
-        spot = f"spot{place.depth + 1}"
         fields = f"'path', {one}.path, 'pattern', {one}.pattern, {spot_fields(f'{one}.value', shape)}"
-        rule = checked_spots(
-            f"array(named_struct({fields}))", shape, place.depth + 1, start=f"{spot}.path", stars=f"{spot}.pattern"
-        )
-        checked.append(f"WHEN {one}.kind = {quote(kind)} THEN {rule.many}")
-    return f"flatten(transform({nodes}, {one} -> CASE {' '.join(checked)} END))"
+        spots = f"transform({nodes}, {one} -> named_struct({fields}))" if alone else f"array(named_struct({fields}))"
+        rule = checked_spots(spots, shape, place.depth + 1, start=f"{spot}.path", stars=f"{spot}.pattern")
+        checked.append(rule.many if alone else f"WHEN {one}.kind = {quote(kind)} THEN {rule.many}")
+    return checked[0] if alone else f"flatten(transform({nodes}, {one} -> CASE {' '.join(checked)} END))"
 
 
 def node(kind: str, path: str, pattern: str, order: str, value: str) -> str:
@@ -477,38 +482,41 @@ def node(kind: str, path: str, pattern: str, order: str, value: str) -> str:
 
 
 def along(
-    value: str, path: str, pattern: str, order: str, steps: tuple, target: str, depth: int
+    value: str, path: str, pattern: str, order: str, steps: tuple, target: str, depth: int, names: tuple[str, ...] = ()
 ) -> str:
-    """The values at the end of a route, as nodes; none where it ends early."""
+    """The values at the end of a route, as nodes; none where it ends early. names are steps that lead on from value."""
+    at = quote(json_path(*names))
     if not steps:
+        value = f"try_variant_get({value}, {at}, 'variant')" if names else value
         return f"if({value} IS NULL, {NO_NODES}, array({node(target, path, pattern, order, value)}))"
     step, *rest = steps
     if isinstance(step, str):
         name = quote(f".{step}")
         return along(
-            f"try_variant_get({value}, {quote(json_path(step))}, 'variant')",
+            value,
             f"concat({path}, {name})",
             f"concat({pattern}, {name})",
             order,
             tuple(rest),
             target,
             depth,
+            (*names, step),
         )
     item, index = f"held{depth}_{len(rest)}", f"place{depth}_{len(rest)}"
     if isinstance(step, Keys):
-        pairs = f"map_entries(try_variant_get({value}, '$', 'map<string,variant>'))"
+        pairs = f"map_entries(try_variant_get({value}, {at}, 'map<string,variant>'))"
         inner = along(
             f"{item}.value",
             f"concat({path}, '.', {item}.key)",
             f"concat({pattern}, '.', {item}.key)",
-            f"concat({order}, array({index}))",
+            f"array_append({order}, {index})",
             tuple(rest),
             target,
             depth,
         )
         chosen = f"filter({pairs}, {item} -> {key_fits(f'{item}.key', step)})"
         return f"coalesce(flatten(transform({chosen}, ({item}, {index}) -> {inner})), {NO_NODES})"
-    items = f"try_variant_get({value}, '$', 'array<variant>')"
+    items = f"try_variant_get({value}, {at}, 'array<variant>')"
     start = step.number if isinstance(step, At) else step
     if isinstance(step, At):
         items = f"slice({items}, {start + 1}, 1)"
@@ -518,7 +526,7 @@ def along(
         item,
         f"concat({path}, '[', cast({index} + {start} AS string), ']')",
         f"concat({pattern}, '[*]')",
-        f"concat({order}, array({index}))",
+        f"array_append({order}, {index})",
         tuple(rest),
         target,
         depth,

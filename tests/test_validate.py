@@ -158,6 +158,25 @@ def test_order_of_nested_values_is_that_of_the_document(cards_of):
     assert [p for p, k in check(cards_of, subset(), card)[0] if k == "type"] == [f"${p}.Sex" for p in places]
 
 
+def test_gathering_reads_brackets_and_sorts_only_where_it_must(cards_of):
+    """Chains beyond the first turns and wide values among them give all places in order."""
+
+    def places(card, path="$"):
+        inner = [p for i, c in enumerate(card.get("Subset", [])) for p in places(c, f"{path}.Subset[{i}]")]
+        return [f"{path}.Sex"] * (card.get("Sex") == 1) + inner
+
+    def chain(depth, end):
+        return {"Sex": 1, "Subset": [chain(depth - 1, end)]} if depth else end
+
+    wide = {"Sex": 1, "Subset": [chain(3, {"Sex": 1}), {}, {"Sex": 1, "Subset": [{"Sex": 1}, {"Sex": 1}]}]}
+    cards = [chain(n, end) for n in (0, 1, 7, 8, 9, 25) for end in ({"Sex": 1}, wide)]
+    for card, found in zip(cards, check(cards_of, subset(), *cards), strict=True):
+        assert [p for p, k in found if k == "type"] == places(card)
+    sql = cardmill.operators.validate.violations_sql("doc", "_record_0", subset())
+    # The depth is counted and the places are sorted behind a test, not for each card that holds another value.
+    assert ".wide, array_sort(" in sql and "aggregate(sequence(1, least(" not in sql.split(".front) = 0, ")[0]
+
+
 MUTUAL = {
     "$ref": "#/$defs/tree",
     "$defs": {
