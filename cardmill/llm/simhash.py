@@ -76,7 +76,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
     values = fingerprints.select("fingerprint")
     signed = variants(values)
     counted = signed.groupBy("variant").agg(F.count("*").alias("_count")).filter("_count > 1")
-    shared = cut(join_heavy(signed, counted.withColumn("members", F.col("_count")), ["variant"]))
+    shared = cut(join_heavy(signed, cut(counted.withColumn("members", F.col("_count"))), ["variant"]))
     few = shared.filter(F.col("members") <= CROWD)
     other = few.select("variant", F.col("fingerprint").alias("other"))
     differs = F.col("fingerprint").bitwiseXOR(F.col("other"))
@@ -112,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest path. A component may hold a large part of all nodes: its label is looked up from a
     copy in each task. Nothing but counts reaches the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
+    edges = cut(edges.select("a", "b"))
+    both = edges.union(edges.select("b", "a"))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("component")))
     while True:
         seen = labels.select(F.col("node").alias("b"), "component")
@@ -142,17 +143,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Texts without a word (NULL too) have the fingerprint zero and link like any others. Rows without an id get the
     component of the rows they link to, NULL if those have no id either. Repeated rows stay. Extra columns are dropped.
 
-    Copies share a fingerprint and are linked through it, never in pairs.
+    Copies share a fingerprint and are linked through it, never in pairs. What a lookup of frequent keys reads several
+    times is stored first, so that the driver never holds the plans and tasks of all steps at once.
     """
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), simhash(whole(text)).alias("fingerprint")))
     known = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_count")))
     found = components(links(known)).withColumnRenamed("node", "fingerprint")
     classed = known.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    classed = cut(classed.withColumnRenamed("_count", "rows"))
     named = classed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_count"))
-    classed = join_heavy(classed.withColumnRenamed("_count", "rows"), named, ["component"])
-    return join_heavy(
-        rows, classed.select("fingerprint", "component_id", F.col("rows").alias("_count")), ["fingerprint"]
-    ).select("doc_id", "fingerprint", "component_id")
+    classed = join_heavy(classed, cut(named), ["component"])
+    classed = cut(classed.select("fingerprint", "component_id", F.col("rows").alias("_count")))
+    return join_heavy(rows, classed, ["fingerprint"]).select("doc_id", "fingerprint", "component_id")
 
 
 def hexadecimal(fingerprint: Column) -> Column:

@@ -89,6 +89,13 @@ def test_near_copies_and_odd_documents(docs_of, odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_the_plan_left_over_is_small(docs_of, capsys):
+    """Each step is stored before a lookup reads it several times, so plans don't nest: the last one is one lookup."""
+    made = near_duplicates(docs_of("a b c d", "a b c d", "x y z", None))
+    made.explain()
+    assert capsys.readouterr().out.count("Exchange") <= 6
+
+
 def test_one_of_each_group_stays(docs_of, odd):
     docs = docs_of("a b c d", "a b c d", "x y z", None, "")
     kept = keep_first_of_each(docs)
