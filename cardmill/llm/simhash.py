@@ -71,12 +71,13 @@ def links(fingerprints: DataFrame) -> DataFrame:
     the same signature, so an equality join on signatures finds every pair; the bits are then counted. Signatures
     that stand alone, nearly all of them, end at the count. Where very many fingerprints share a signature (copies
     of one text with small changes), each of them is linked by looking up all 2,080 values within two bits, which
-    grows with their number and not with its square. So no pair is missed, however large a group is.
+    grows with their number and not with its square. So no pair is missed, however large a group is. The shared ones
+    are some signatures of any input, so they are always joined by a shuffle, never by a copy in each task.
     """
     values = fingerprints.select("fingerprint")
     signed = variants(values)
     counted = signed.groupBy("variant").agg(F.count("*").alias("_count")).filter("_count > 1")
-    shared = cut(join_heavy(signed, cut(counted.withColumn("members", F.col("_count"))), ["variant"]))
+    shared = cut(join_heavy(signed, cut(counted.withColumn("members", F.col("_count"))), ["variant"], merge=True))
     few = shared.filter(F.col("members") <= CROWD)
     other = few.select("variant", F.col("fingerprint").alias("other"))
     differs = F.col("fingerprint").bitwiseXOR(F.col("other"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 from cardmill.llm import simhash as module
+from cardmill.llm.common import join_heavy
 from cardmill.llm.simhash import components, fingerprint_of, hexadecimal, keep_first_of_each, links, near_duplicates
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def test_links_are_complete(spark, monkeypatch):
         assert len(rows) == len(set(rows)) and {(r.a, r.b) for r in rows} == pairs(values)
 
 
+def test_signatures_are_dealt_out_alike_at_any_size(spark, monkeypatch):
+    """However few signatures are shared, their join is a shuffle, so its disk grows in proportion to the input."""
+    plans = []
+
+    def watched(*args, **more):
+        joined = join_heavy(*args, **more)
+        joined.collect()
+        plans.append(joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return joined
+
+    monkeypatch.setattr(module, "join_heavy", watched)
+    rows = links(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fingerprint long")).collect()
+    assert {(r.a, r.b) for r in rows} == pairs([1, 3, 1 << 40])
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0]
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)]
