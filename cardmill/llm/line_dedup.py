@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardmill.llm.common import cut, join_heavy, mix, small_batches, whole
+from cardmill.llm.common import cut, join_heavy, mix, small_batches, small_transfers, whole
 from cardmill.llm.words import FACTORS, OTHER_FACTORS
 
 WINDOWS = "doc_id long, copy long, at int, lines int, mark long, mark_at int, low long, high long"
@@ -149,6 +149,7 @@ def remove_repeated_runs(
     Fingerprints (window minima) that occur once end there. The others' windows are compared in full; overlapping
     repeated windows make up the maximal runs. Frequent lines cost one row a place and are never listed in pairs.
     """
+    small_transfers(docs.sparkSession)
     runs = repeated_runs(docs, width, least_words, doc_id=doc_id, text=text)
     columns = docs.columns
     row = docs.select(

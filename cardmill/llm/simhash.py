@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardmill.llm.common import cut, join_heavy, whole
+from cardmill.llm.common import cut, join_heavy, small_transfers, whole
 from cardmill.llm.words import LOWER
 
 SEED = 42
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Copies share a fingerprint and are linked through it, never in pairs. What a lookup of frequent keys reads several
     times is stored first, so that the driver never holds the plans and tasks of all steps at once.
     """
+    small_transfers(docs.sparkSession)
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), simhash(whole(text)).alias("fingerprint")))
     known = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_count")))
     found = components(links(known)).withColumnRenamed("node", "fingerprint")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardmill.llm.common import whole
+from cardmill.llm.common import small_transfers, whole
 from cardmill.llm.words import words_of
 
 #: Every byte but letters, digits and those of longer characters parts words here, so punctuation doesn't stick.
@@ -319,6 +319,7 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", lang:
     The score comes from the text alone; a NULL or empty text gets the score of no evidence. The threshold is that of
     the row's language, 0.5 for languages with too few labelled rows and for NULL. Texts are read whole.
     """
+    small_transfers(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
 
     @F.arrow_udf(T.DoubleType())

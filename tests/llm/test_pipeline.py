@@ -2,7 +2,8 @@ import corpus_pipeline
 from cardmill.llm.line_dedup import remove_repeated_runs
 from cardmill.llm.packing import pack_documents
 from cardmill.llm.secrets import masked
-from cardmill.llm.simhash import fingerprint_of
+from cardmill.llm.simhash import fingerprint_of, keep_first_of_each
+from cardmill.llm.toxicity import fresh_model, score_documents
 from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_packing import PATH
@@ -58,3 +59,17 @@ def test_run_and_empty_tables(spark, docs_of, empty, tmp_path):
     some = write(spark, tmp_path / "some", docs_of("a b", "c d", None), labels)
     assert corpus_pipeline.run(spark, some).agg(F.countDistinct("doc_id")).first()[0] == 3
     assert remove_repeated_runs(empty).columns == empty.columns
+
+
+def test_texts_go_to_python_in_small_batches(spark, docs_of):
+    """Each step that hands whole texts to Python lowers the size of a batch; a smaller setting stays."""
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", docs_of("a b c d", None)
+    before = spark.conf.get(name)
+    steps = [remove_repeated_runs, keep_first_of_each, lambda d: score_documents(d, fresh_model())]
+    try:
+        for step in steps:
+            for given, want in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+                spark.conf.set(name, given)
+                assert step(docs).count() == 2 and spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
