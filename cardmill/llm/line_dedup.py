@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardmill.llm.common import cut, join_heavy, mix, small_batches, small_transfers, whole
+from cardmill.llm.common import cut, join_heavy, mix, small_batches, small_transfers, stored, whole
 from cardmill.llm.words import FACTORS, OTHER_FACTORS
 
 WINDOWS = "doc_id long, copy long, at int, lines int, mark long, mark_at int, low long, high long"
@@ -120,19 +120,22 @@ def repeated_runs(
     keyed = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole(text), F.lit(2)).alias("copy"), whole(text).alias("text")
     )
-    found = cut(winnowed(keyed, width, least_words).distinct())
-    # Selected positions, each once; a fingerprint that stands at one place only is no copy of anything.
-    positions = found.select("doc_id", "copy", "mark_at", "mark").distinct()
-    marks = positions.groupBy("mark").agg(F.count("*").alias("places")).filter("places > 1")
-    # A line is selected by at most `width` windows of one length, so this bounds the rows that have the mark.
-    alive = join_heavy(found, cut(marks.select("mark", (F.col("places") * width).alias("_count"))), ["mark"])
+    # Repeated rows stay here and fall together at the end, which saves a shuffle of all windows.
+    found = stored(winnowed(keyed, width, least_words), "line-windows")
+    # A fingerprint that stands at one place only, even if in repeated rows, is no copy of anything.
+    ends = [end(c).alias(f"{name}_{c}") for c in ("doc_id", "copy", "mark_at") for name, end in (("least", F.min), ("most", F.max))]
+    marks = found.groupBy("mark").agg(F.count("*").alias("_count"), F.count("doc_id").alias("named"), *ends)
+    marks = marks.filter(
+        "least_doc_id <> most_doc_id or least_copy <> most_copy or least_mark_at <> most_mark_at or named between 1 and _count - 1"
+    )
+    alive = join_heavy(found, cut(marks.select("mark", "_count")), ["mark"])
     alive = cut(alive.select("doc_id", "copy", "at", "lines", "low", "high"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy", "at")
     firsts = alive.groupBy("lines", "low", "high").agg(F.count("*").alias("_count"), F.min(place).alias("first")).filter("_count > 1")
     later = join_heavy(alive, cut(firsts), ["lines", "low", "high"])
     same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
     later = later.filter(~same_text | (F.col("at") >= F.col("first.at") + F.col("lines")))
-    return later.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("runs"))
+    return later.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.struct("at", "lines"))).alias("runs"))
 
 
 def remove_repeated_runs(
@@ -158,11 +161,15 @@ def remove_repeated_runs(
         F.xxhash64(whole(text), F.lit(2)).alias("_copy"),
     )
     runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("copy").alias("_run_copy"), "runs")
-    matched = row.join(runs, F.col("_id").eqNullSafe(F.col("_run_id")) & (F.col("_copy") == F.col("_run_copy")), "left")
+    # The runs are looked up by hash, so that no text is sorted.
+    same = F.col("_id").eqNullSafe(F.col("_run_id")) & (F.col("_copy") == F.col("_run_copy"))
+    matched = row.join(runs.hint("shuffle_hash"), same, "left")
 
     @F.arrow_udf(T.StringType())
     def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return pa.array(without_lines(texts, runs), pa.string())
 
-    changed = kept(F.col("_row")[text], F.col("runs"))
+    # Only a text that loses lines goes to Python.
+    before, repeats = F.col("_row")[text], F.col("runs").isNotNull()
+    changed = F.when(repeats, kept(F.when(repeats, before), F.col("runs"))).otherwise(before)
     return matched.select(*[(changed if c == text else F.col("_row")[c]).alias(c) for c in columns])

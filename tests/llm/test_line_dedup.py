@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from cardmill.llm.line_dedup import line_windows, remove_repeated_runs
+from cardmill.llm import line_dedup
+from cardmill.llm.line_dedup import line_windows, remove_repeated_runs, repeated_runs
 
 from odd_documents import ODD
 
@@ -62,6 +63,32 @@ def test_odd_documents(docs_of, odd, empty):
     check(docs_of(*rows), rows, 3)
 
 
+def test_repeated_rows_with_and_without_ids(docs_of):
+    own, shared = "a\nb\nc", "p\nq\nr\ns"
+    rows = [(1, own)] * 3 + [(2, shared)] * 2 + [(None, shared)] * 2 + [(None, f"x\n{shared}")] + [(None, "k\nl\nm")] * 2
+    check(docs_of(*rows), rows, 3)
+    told = [(r.doc_id, [(x["at"], x["lines"]) for x in r.runs]) for r in repeated_runs(docs_of(*rows), 3).collect()]
+    assert sorted(told, key=str) == [(None, [(0, 3), (1, 3)]), (None, [(1, 3), (2, 3)])]
+
+
+def test_windows_are_stored_unshuffled_and_texts_unsorted(docs_of, monkeypatch):
+    plans = []
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    def told(frame, name):
+        plans.append(plan(frame))
+        return stored(frame, name)
+
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", told)
+    made = remove_repeated_runs(docs_of((1, "a\nb\nc"), (2, "a\nb\nc")), 3)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    outer = [line for line in plan(made).split("\n") if "LeftOuter" in line]
+    assert len(outer) == 1 and "ShuffledHashJoin" in outer[0]
+
+
 def test_equal_runs_select_equal_fingerprints():
     one, two = b"x\na\nb\nc\ny", b"p\nq\na\nb\nc"
     marks = [dict(zip(low.tolist(), mark.tolist(), strict=True)) for mark, _, low, _ in (line_windows(t, 3) for t in (one, two))]
