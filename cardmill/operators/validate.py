@@ -10,8 +10,9 @@ rules and each Column call is a round trip to the JVM.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cardmill.contracts.shapes import UNSET, At, Keys, Loop, Shape
 from cardmill.functions.fence import fence
-from cardmill.functions.values import backticked, json_path, struct_type
+from cardmill.functions.values import backticked, json_path, leaves, struct_type
 
 NO_VIOLATIONS = (
     "cast(array() AS array<struct<path:string,pattern:string,keyword:string,message:string>>)"
@@ -45,6 +46,9 @@ DEEPEST = 1000
 # Turns in which a recursive value is gathered without a look at how deep it may be.
 TURNS = 8
 
+# Spark turns a longer IN into a set (spark.sql.optimizer.inSetConversionThreshold, as it comes).
+SHORT_IN = 10
+
 # Arrays joined in one step.
 GROUP = 12
 
@@ -59,7 +63,9 @@ def quote(text: str) -> str:
 class Place:
     """A value inside a document and the path it is reported under, as SQL.
 
-    doc is a VARIANT expression and record a struct with its fields (see record_type).
+    doc is a VARIANT expression, record a struct with its fields (see record_tree) and lists one with the items of those
+    that are lists (see list_tree); tree is the record's form and listed names the places found in lists. names_of has
+    the key names of some objects.
     base is the known end of the path and start an expression before it (in lists); star_base and stars are the
     same with a star for each position in a list. Both stand in rules only where a violation is made, so a sound
     value costs no text. depth counts enclosing lambdas and keeps their parameter names apart.
@@ -67,6 +73,10 @@ class Place:
 
     doc: str
     record: str = ""
+    tree: Mapping[str, Any] = field(default_factory=dict)
+    lists: str = ""
+    listed: frozenset[tuple[str | int, ...]] = frozenset()
+    names_of: Mapping[tuple[str | int, ...], str] = field(default_factory=dict)
     base: str = ""
     start: str | None = None
     star_base: str = ""
@@ -74,8 +84,10 @@ class Place:
     keys: tuple[str | int, ...] = ()
     is_record: bool = False
     depth: int = 0
-    # Where the kind of the value itself has been read before.
+    # Where the kind of the value itself, its text and its number have been read before.
     known_kind: str | None = None
+    known_text: str | None = None
+    known_number: str | None = None
 
     @property
     def path(self) -> str:
@@ -126,7 +138,17 @@ class Place:
 
     @property
     def present(self) -> str:
-        return f"{self.value} IS NOT NULL"
+        if not self.is_record or not self.keys:
+            return f"{self.value} IS NOT NULL"
+        # The slot of a record is looked at first, as it is there already; a path that leads nowhere costs an exception.
+        *above, name = self.keys
+        names = self.names_of.get(tuple(above))
+        other = f"coalesce(array_contains({names}, {quote(name)}), false)" if names else f"{self.value} IS NOT NULL"
+        return f"({self.slot} IS NOT NULL OR {other})"
+
+    @property
+    def absent(self) -> str:
+        return f"NOT {self.present}" if self.is_record and self.keys else f"{self.value} IS NULL"
 
     @property
     def is_string(self) -> str:
@@ -134,19 +156,37 @@ class Place:
 
     @property
     def text(self) -> str:
+        if self.known_text and not self.keys:
+            return self.known_text
         return f"if({self.is_string}, {self.read('string')}, NULL)"
 
     @property
     def number(self) -> str:
+        if self.known_number and not self.keys:
+            return self.known_number
         return f"if({self.is_string}, NULL, {self.read('double')})"
 
     @property
     def items(self) -> str:
+        if self.keys in self.listed:
+            return ".".join([self.lists, *(backticked(key) for key in self.keys)])
         return self.read("array<variant>")
 
+    @property
+    def is_list(self) -> str:
+        return f"{self.items if self.keys in self.listed else self.read('array<struct<>>')} IS NOT NULL"
+
     @property
     def names(self) -> str:
-        return f"map_keys({self.read('map<string,struct<>>')})"
+        return self.names_of.get(self.keys) or f"map_keys({self.read('map<string,struct<>>')})"
+
+    def has_slots(self, fields: Mapping[str, Shape]) -> bool:
+        """Does the record have all these fields, in this form? Forms of oneOf may name others."""
+        node: Any = self.tree
+        for key in self.keys:
+            node = node.get(key) if isinstance(node, dict) else None
+        held = node if isinstance(node, dict) else {}
+        return all(name in held and isinstance(held[name], dict) == holds_record(one) for name, one in fields.items())
 
     @property
     def is_object(self) -> str:
@@ -166,6 +206,52 @@ def record_tree(shape: Shape) -> dict[str, Any]:
     }
 
 
+def reads_items(shape: Shape) -> bool:
+    """Do rules of the value itself look at its items, or whether it is a list?"""
+    sized = shape.min_items is not None or shape.max_items is not None
+    return "array" in shape.types or sized or shape.unique or bool(shape.lead) or shape.items is not None
+
+
+def list_tree(shape: Shape) -> dict[str, Any]:
+    """The fields of a shape that are lists, those of records within it too."""
+    tree: dict[str, Any] = {}
+    for name, inner in shape.fields.items():
+        if holds_record(inner):
+            if below := list_tree(inner):
+                tree[name] = below
+        elif reads_items(inner):
+            tree[name] = "array<variant>"
+    return tree
+
+
+def read_lists(doc: str, shape: Shape) -> str:
+    """The items of all lists of a document that a shape has rules for, in one pass over it."""
+    return f"try_variant_get({doc}, '$', {quote(struct_type(list_tree(shape)))})"
+
+
+def listed_keys(shape: Shape) -> frozenset[tuple[str | int, ...]]:
+    return frozenset(path for path, _ in leaves(list_tree(shape)))
+
+
+def name_keys(shape: Shape, keys: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+    """Where the records of a shape stand whose key names its rules ask for."""
+    inner = [(name, one) for name, one in shape.fields.items() if holds_record(one)]
+    if inner or shape.closed or shape.min_keys is not None or shape.max_keys is not None:
+        yield keys
+    for name, one in inner:
+        yield from name_keys(one, (*keys, name))
+
+
+def read_names(doc: str, record: str, shape: Shape) -> str:
+    """The key names of all records of a document that a shape has rules for, each read once; NULL where there is none."""
+    fields = []
+    for number, keys in enumerate(name_keys(shape)):
+        names = f"map_keys(try_variant_get({doc}, {quote(json_path(*keys))}, 'map<string,struct<>>'))"
+        slot = ".".join([record, *(backticked(key) for key in keys)])
+        fields.append(f"'n{number}', if({slot} IS NOT NULL, {names}, NULL)")
+    return f"named_struct({', '.join(fields)})"
+
+
 def read_record(doc: str, shape: Shape) -> str:
     """All fields of a document that a shape has rules for, in one pass over it."""
     return f"try_variant_get({doc}, '$', {quote(struct_type(record_tree(shape)))})"
@@ -184,6 +270,8 @@ class Rule:
     some: str = ""
     # Another rule of the same value is broken whenever this one is.
     implied: bool = False
+    # The test (some) costs little beside the array.
+    cheap: bool = False
 
     def under(self, guard: str) -> Rule:
         if self.many:
@@ -210,7 +298,7 @@ def has_type(place: Place, name: str) -> str:
     if name == "object":
         return f"({place.is_object})"
     if name == "array":
-        return f"({place.read('array<struct<>>')} IS NOT NULL)"
+        return f"({place.is_list})"
     kind = place.kind
     if name == "integer":
         whole_decimal = quote(r"\ADECIMAL\([0-9]+,0\)\z")
@@ -234,8 +322,13 @@ def equals_any(place: Place, values: tuple[Any, ...]) -> str:
     ]
     matches = []
     if texts:
-        listed = f"{place.read('string')} IN ({', '.join(texts)})"
-        matches.append(f"coalesce({place.is_string} AND {listed}, false)")
+        known = place.known_text and not place.keys
+        text = place.text if known else place.read("string")
+        listed = f"{text} IN ({', '.join(texts)})"
+        # Inside a higher-order function a match in a short IN costs an exception; a long one becomes a set.
+        if place.depth and len(texts) <= SHORT_IN:
+            listed = f"array_contains(array({', '.join(texts)}), {text})"
+        matches.append(f"coalesce({listed if known else f'{place.is_string} AND {listed}'}, false)")
     if others:
         matches.append(f"to_json({place.value}) IN ({', '.join(others)})")
     return f"({' OR '.join(matches)})"
@@ -269,7 +362,7 @@ def rules_of(place: Place, shape: Shape) -> Iterator[Rule]:
     if shape.types:
         fits = " OR ".join(has_type(place, name) for name in shape.types)
         yield rule(
-            f"{place.present} AND NOT ({fits})",
+            f"NOT ({fits}) AND {place.present}" if place.is_record else f"{place.present} AND NOT ({fits})",
             "type",
             f"must be of type {' or '.join(shape.types)}",
             implied=shape.types == ("string",) and bool(shape.values) and all(isinstance(v, str) for v in shape.values),
@@ -331,7 +424,7 @@ def number_rules(place: Place, shape: Shape) -> Iterator[Rule]:
 def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
     for name in shape.required:
         missing = place.child(name, shape.fields.get(name))
-        broken = f"{place.is_object} AND {missing.value} IS NULL"
+        broken = f"{place.is_object} AND {missing.absent}"
         yield Rule(broken, missing.path, missing.pattern, "required", "is required")
     if shape.closed:
         yield extra_keys(place, shape)
@@ -351,16 +444,30 @@ def object_rules(place: Place, shape: Shape) -> Iterator[Rule]:
 
 
 def extra_keys(place: Place, shape: Shape) -> Rule:
+    """Keys that no rule names. Names are looked at only where there are more keys than fields that the record holds."""
     key = f"key{place.depth}"
     allowed = ", ".join(quote(name) for name in shape.fields)
     extra = f"array_except({place.names}, cast(array({allowed}) AS array<string>))"
     patterns = [keys.pattern for keys, _ in shape.keyed if keys.pattern is not None]
+    unfit = key_fits(key, Keys(names=tuple(shape.fields), others=tuple(patterns)))
+    tests = [f"exists({place.names}, {key} -> {unfit})"] if patterns or not place.has_slots(shape.fields) else []
+    if place.has_slots(shape.fields):
+        held = [f"cast({place.child(name, inner).present} AS int)" for name, inner in shape.fields.items()]
+        tests.insert(0, f"size({place.names}) > {summed(held)}")
+    some = f"coalesce({' AND '.join(tests)}, false)"
     if patterns:
         extra = f"filter({extra}, {key} -> {key_fits(key, Keys(others=tuple(patterns)))})"
     under = [f"concat({start}, '.', {key})" for start in (place.path, place.pattern)]
     found = violation(*under, "additionalProperties", "is not an allowed field")
-    unfit = key_fits(key, Keys(names=tuple(shape.fields), others=tuple(patterns)))
-    return Rule(many=f"transform({extra}, {key} -> {found})", some=f"exists({place.names}, {key} -> {unfit})")
+    return Rule(many=f"if({some}, transform({extra}, {key} -> {found}), NULL)", some=some, cheap=True)
+
+
+def summed(numbers: list[str]) -> str:
+    """The sum of all numbers, added in pairs of halves: a long chain would be a deep expression."""
+    if len(numbers) < 2:
+        return numbers[0] if numbers else "0"
+    middle = len(numbers) // 2
+    return f"({summed(numbers[:middle])} + {summed(numbers[middle:])})"
 
 
 def key_fits(key: str, keys: Keys) -> str:
@@ -392,7 +499,10 @@ def list_rules(place: Place, shape: Shape) -> Iterator[Rule]:
         yield Rule(f"size({items}) > {shape.max_items}", *path, "maxItems", message)
     if shape.unique:
         item = f"item{place.depth}"
-        distinct = f"array_distinct(transform({items}, {item} -> to_json({item})))"
+        # A quoted text is equal to no other value's JSON text; it need not be escaped to be told from others.
+        text = f"concat('\"', try_variant_get({item}, '$', 'string'), '\"')"
+        told = f"if(schema_of_variant({item}) = 'STRING', {text}, to_json({item}))"
+        distinct = f"array_distinct(transform({items}, {item} -> {told}))"
         message = "must not repeat items"
         broken = f"size({items}) > 1 AND size({distinct}) < size({items})"
         yield Rule(broken, *path, "uniqueItems", message)
@@ -421,29 +531,54 @@ def spot_fields(value: str, shape: Shape) -> str:
     if record_tree(shape):
         fields.append(f"'record', {read_record(value, shape)}")
     elif reads_kind(shape):
+        is_string = f"schema_of_variant({value}) = 'STRING'"
         fields.append(f"'kind', schema_of_variant({value})")
+        if reads_text(shape):
+            fields.append(f"'text', if({is_string}, try_variant_get({value}, '$', 'string'), NULL)")
+        if shape.minimum is not None or shape.maximum is not None:
+            fields.append(f"'number', if({is_string}, NULL, try_variant_get({value}, '$', 'double'))")
+    if list_tree(shape):
+        fields.append(f"'lists', {read_lists(value, shape)}")
+    elif reads_items(shape) and not record_tree(shape):
+        fields.append(f"'lists', try_variant_get({value}, '$', 'array<variant>')")
     return ", ".join(fields)
 
 
+def forms(shape: Shape) -> tuple[Shape, ...]:
+    """A shape and those that the value itself is checked by with it."""
+    parts = [*shape.one_of, shape.condition, shape.then, shape.otherwise]
+    return shape, *(form for part in parts if part is not None for form in forms(part))
+
+
 def reads_kind(shape: Shape) -> bool:
     """Do rules of a value without known fields ask for its kind?"""
-    told = {"string", "integer", "number", "boolean"} & set(shape.types)
-    return bool(told or shape.values or shape.pattern or shape.format) and not record_tree(shape)
+    told = {"string", "integer", "number", "boolean"}
+    bounded = shape.minimum is not None or shape.maximum is not None
+    asked = bounded or reads_text(shape) or any(told & set(form.types) or form.values for form in forms(shape))
+    return bool(asked) and not record_tree(shape)
+
+
+def reads_text(shape: Shape) -> bool:
+    """Do rules of the value itself ask for its text?"""
+    lengths = (shape.min_length, shape.max_length)
+    own = shape.pattern or shape.format or any(bound is not None for bound in lengths)
+    listed = any(isinstance(value, str) for value in shape.values)
+    return bool(own or listed) or any(reads_text(form) for form in forms(shape)[1:])
 
 
 def looped(place: Place, loop: Loop) -> str:
     """Violations of a value of a recursive shape and of all such values within it.
 
-    Most values hold none, and then the value itself is checked. Else they are gathered turn by turn, each turn those
-    that the last ones hold. Some turns are always there; where they leave values over, there are as many more as the
-    value has opening brackets, as it can't be nested deeper, nor deeper than the parser goes. Turns with nothing left
-    change nothing. Where a turn took several values, all are put into the order of the document; else they stand in
+    Most values hold none, as they lack the fields that could, and then the value itself is checked. Else they are
+    gathered turn by turn, each turn those that the last ones hold. Some turns are always there; where they leave values
+    over, there are as many more as the value has opening brackets, as it can't be nested deeper, nor deeper than the
+    parser goes. Turns with nothing left change nothing. Where a turn took several values, all are put into the order of the document; else they stand in
     each other and are in order. They are checked by one copy of the rules of each shape.
     """
-    work, turn, one = f"work{place.depth}", f"turn{place.depth}", f"node{place.depth}"
+    work, turn, one, top = (f"{name}{place.depth}" for name in ("work", "turn", "node", "top"))
     left, right = f"left{place.depth}", f"right{place.depth}"
     first = node(loop.entry, place.path, place.pattern, "array(0)", place.value)
-    brackets = f"regexp_count(to_json({place.value}), {quote(chr(92) + '[|' + chr(92) + '{')})"
+    brackets = f"regexp_count(to_json({top}.value), {quote(chr(92) + '[|' + chr(92) + '{')})"
     alone = len(loop.members) == 1
     held = []
     for kind, (_, routes) in loop.members.items():
@@ -459,12 +594,12 @@ def looped(place: Place, loop: Loop) -> str:
     )
     before = f"({left}, {right}) -> if({left}.order < {right}.order, -1, 1)"
     in_order = f"if({work}.wide, array_sort({work}.done, {before}), {work}.done)"
-    start = f"named_struct('front', {work}, 'done', array({first}), 'wide', false)"
+    below = f"flatten(transform(array({top}), {inner}))"
+    start = f"named_struct('front', {below}, 'done', array({top}), 'wide', false)"
     more = f"aggregate(sequence(1, least({brackets}, {DEEPEST})), {work}, {taken}, {work} -> {in_order})"
     rest = f"{work} -> if(size({work}.front) = 0, {in_order}, {more})"
     gathered = f"aggregate(sequence(1, {TURNS}), {start}, {taken}, {rest})"
-    below = f"flatten(transform(array({first}), {inner}))"
-    nodes = f"get(transform(array({below}), {work} -> if(size({work}) = 0, array({first}), {gathered})), 0)"
+    nodes = f"if({may_hold(place.value, loop)}, flatten(transform(array({first}), {top} -> {gathered})), array({first}))"
     spot, checked = f"spot{place.depth + 1}", []
     for kind, (shape, _) in loop.members.items():
         fields = f"'path', {one}.path, 'pattern', {one}.pattern, {spot_fields(f'{one}.value', shape)}"
@@ -474,6 +609,18 @@ def looped(place: Place, loop: Loop) -> str:
     return checked[0] if alone else f"flatten(transform({nodes}, {one} -> CASE {' '.join(checked)} END))"
 
 
+def may_hold(value: str, loop: Loop) -> str:
+    """Has a value of the entry a field by which it could hold others? True where a way does not begin with a field."""
+    firsts = [steps[0] if steps else None for steps, _ in loop.members[loop.entry][1]]
+    if not all(isinstance(step, str) for step in firsts):
+        return "true"
+    names = list(dict.fromkeys(firsts))
+    if not names:
+        return "false"
+    record = f"try_variant_get({value}, '$', {quote(struct_type(dict.fromkeys(names, 'variant')))})"
+    return " OR ".join(f"{record}.{backticked(name)} IS NOT NULL" for name in names)
+
+
 def node(kind: str, path: str, pattern: str, order: str, value: str) -> str:
     return (
         f"named_struct('kind', {quote(kind)}, 'path', {path}, 'pattern', {pattern}, "
@@ -537,29 +684,38 @@ def along(
 def checked_spots(
     spots: str, shape: Shape, depth: int, *, start: str, stars: str | None, star_base: str = ""
 ) -> Rule:
-    """Violations of every spot of a list, in order. Sound spots are only tested; texts are made for the others."""
+    """Violations of every spot of a list, in order; texts are made only for those that are not sound."""
     one = f"spot{depth}"
     has_fields = bool(record_tree(shape))
+    bounded = shape.minimum is not None or shape.maximum is not None
     place = Place(
         f"{one}.value",
         record=f"{one}.record" if has_fields else "",
+        tree=record_tree(shape),
+        lists=f"{one}.lists",
+        listed=listed_keys(shape) or (frozenset([()]) if reads_items(shape) and not has_fields else frozenset()),
         start=start,
         stars=stars,
         star_base=star_base,
         is_record=has_fields,
         depth=depth + 1,
         known_kind=f"{one}.kind" if reads_kind(shape) else None,
+        known_text=f"{one}.text" if reads_kind(shape) and reads_text(shape) else None,
+        known_number=f"{one}.number" if reads_kind(shape) and bounded else None,
     )
-    broken = any_rule_broken(place, shape)
     return Rule(
-        many=f"flatten(transform({spots}, {one} -> if({broken}, {violations_at(place, shape)}, {NO_VIOLATIONS})))",
-        some=f"exists({spots}, {one} -> {broken})",
+        many=f"flatten(transform({spots}, {one} -> {violations_at(place, shape)}))",
+        some=f"exists({spots}, {one} -> {any_rule_broken(place, shape)})",
     )
 
 
 def any_rule_broken(place: Place, shape: Shape) -> str:
     """Is anything wrong below a place? NULL counts as no."""
-    tests = [rule.any_broken for rule in rules_of(place, shape) if not rule.implied]
+    return one_broken(rules_of(place, shape))
+
+
+def one_broken(rules: Iterable[Rule]) -> str:
+    tests = [rule.any_broken for rule in rules if not rule.implied]
     return f"({' OR '.join(f'({test})' for test in tests) or 'false'})"
 
 
@@ -571,18 +727,28 @@ def violations_at(place: Place, shape: Shape) -> str:
     """All violations below a place, in order.
 
     Every rule gives an array, empty or of one violation, and the arrays are joined:
-    outside lists this leaves no step that Spark cannot compile.
+    outside lists this leaves no step that Spark cannot compile. Inside them rules that are quickly tested are tested
+    first, and arrays made only where one is broken; what takes as much work to test as to list is listed at once.
     """
+    rules = list(rules_of(place, shape))
+    if place.start is None:
+        return joined([listed_rule(rule) for rule in rules])
     found = []
-    for rule in rules_of(place, shape):
-        if rule.many:
-            found.append(f"coalesce({rule.many}, {NO_VIOLATIONS})")
+    for quick, run in groupby(rules, lambda rule: rule.cheap or not rule.many):
+        group = list(run)
+        arrays = [listed_rule(rule) for rule in group]
+        if quick and len(group) > 1:
+            found.append(f"if({one_broken(group)}, flatten(array({', '.join(arrays)})), {NO_VIOLATIONS})")
         else:
-            one = violation(rule.path, rule.pattern, rule.keyword, rule.message)
-            found.append(f"if({rule.broken}, array({one}), {NO_VIOLATIONS})")
-    if place.start is not None and len(found) > 1:
-        return f"flatten(array({', '.join(found)}))"
-    return joined(found)
+            found += arrays
+    return f"flatten(array({', '.join(found)}))" if len(found) > 1 else (found or [NO_VIOLATIONS])[0]
+
+
+def listed_rule(rule: Rule) -> str:
+    if rule.many:
+        return f"coalesce({rule.many}, {NO_VIOLATIONS})"
+    one = violation(rule.path, rule.pattern, rule.keyword, rule.message)
+    return f"if({rule.broken}, array({one}), {NO_VIOLATIONS})"
 
 
 def joined(arrays: list[str]) -> str:
@@ -595,13 +761,26 @@ def joined(arrays: list[str]) -> str:
     return joined([joined(group) for group in groups])
 
 
-def violations_sql(doc: str, record: str, shape: Shape, root: str = "$") -> str:
+def violations_sql(
+    doc: str, record: str, shape: Shape, root: str = "$", *, lists: str = "", names: str = ""
+) -> str:
     """SQL expression for the violations of a VARIANT column.
 
-    record names a column that holds read_record(doc, shape).
+    record names a column that holds read_record(doc, shape), lists one that holds read_lists(doc, shape) and names
+    one that holds read_names(doc, record, shape).
     """
-    is_record = bool(record_tree(shape))
-    return violations_at(Place(doc, record=record, base=root, star_base=root, is_record=is_record), shape)
+    place = Place(
+        doc,
+        record=record,
+        tree=record_tree(shape),
+        lists=lists,
+        listed=listed_keys(shape) if lists else frozenset(),
+        names_of={keys: f"{names}.n{number}" for number, keys in enumerate(name_keys(shape))} if names else {},
+        base=root,
+        star_base=root,
+        is_record=bool(record_tree(shape)),
+    )
+    return violations_at(place, shape)
 
 
 def validate(
@@ -619,24 +798,30 @@ def validate(
     may be the card type, a profile name or the schema version of a registry.
     """
     by_key = {None: shapes} if isinstance(shapes, Shape) else shapes
-    records, found = {}, []
+    records, key_names, found = {}, {}, []
     for number, (wanted, shape) in enumerate(by_key.items()):
-        name = f"_record_{number}"
+        name, lists, names = f"_record_{number}", f"_lists_{number}", f"_names_{number}"
         document = backticked(doc)
         if wanted is not None:
             document = f"if({backticked(key)} = {quote(wanted)}, {document}, NULL)"
         if record_tree(shape):
             records[name] = F.expr(read_record(document, shape))
-        checked = F.expr(violations_sql(backticked(doc), name, shape, root))
+        if list_tree(shape):
+            records[lists] = F.expr(read_lists(document, shape))
+        if record_tree(shape) and list(name_keys(shape)):
+            key_names[names] = F.expr(read_names(document, name, shape))
+        at = {"lists": lists, "names": names if names in key_names else ""}
+        checked = F.expr(violations_sql(backticked(doc), name, shape, root, **at))
         chosen = F.col(backticked(key)) == wanted
         found.append(checked if wanted is None else F.when(chosen, checked))
-    # The records are columns of their own, so that each document is read once.
+    # The records are columns of their own, so that each document is read once for fields, once for lists and once for key names.
     checked = (
         cards.withColumns(records)
+        .withColumns(key_names)
         .withColumn("violations", F.coalesce(*found))
         .withColumn("error_count", F.when(F.col("violations").isNotNull(), F.size("violations")))
         .withColumn("is_valid", F.col("error_count") == 0)
-        .drop(*records)
+        .drop(*records, *key_names)
     )
     return fence(checked, "violations", "error_count", "is_valid")
 

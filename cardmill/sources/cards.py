@@ -49,12 +49,12 @@ def with_document(cards: DataFrame, raw: str = "raw") -> DataFrame:
     text = F.regexp_replace(raw, r"\A\x{FEFF}", "")
     seal = F.concat(F.lit("k"), F.xxhash64(raw).cast("string"))
     sealed = F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))
-    whole = F.try_variant_get("_parsed", "$[1]", "string") == seal
-    alone = F.try_variant_get("_parsed", "$[2]", "variant").isNull()
-    doc = F.when(whole & alone, F.try_variant_get("_parsed", "$[0]", "variant"))
-    # A column of its own, so that the text is parsed once.
+    whole = F.try_variant_get(F.get("_parsed", 1), "$", "string") == seal
+    alone = F.size("_parsed") == 2
+    doc = F.when(whole & alone, F.get("_parsed", 0))
+    # A column of its own, so that the text is parsed once; elements are read at once, as a path to none costs an exception.
     parsed = (
-        cards.withColumn("_parsed", F.try_parse_json(sealed))
+        cards.withColumn("_parsed", F.try_variant_get(F.try_parse_json(sealed), "$", "array<variant>"))
         .withColumn("doc", doc)
         .drop("_parsed")
         .withColumn("parse_ok", F.col("doc").isNotNull())

@@ -5,7 +5,7 @@ import pytest
 import cardmill
 from cardmill.contracts.profiles import dataset_section, subset
 from cardmill.contracts.schema_documents import form_from_document, shape_from_document
-from cardmill.contracts.shapes import Shape, integer, listing, record, text
+from cardmill.contracts.shapes import Shape, choice, integer, listing, record, text
 from test_convert import DATASET, MODEL, nested
 
 GROUP = {"Site count": 3, "Age range": [[2, "months"], [11, "years"]], "Sex": "Unsure"}
@@ -332,3 +332,57 @@ def test_key_patterns_and_all_other_keys(cards_of):
     ]
     closed = shape_from_document({**document, "additionalProperties": False})
     assert check(cards_of, closed, {"n": 1, "a": "x", "bz": "xx", "o": 1})[0] == [("$.o", "additionalProperties")]
+
+
+def test_lists_and_key_names_are_read_once(cards_of):
+    """Every rule of a list looks at the same items, also inside lists, and key names are read once an object."""
+    inner = listing(choice("a", "b"), lead=(integer(minimum=0, maximum=9),), min_items=2, max_items=3)
+    shape = record({"tags": listing(text(), min_items=1, max_items=3, unique=True), "pairs": listing(inner, max_items=2)},
+                   min_keys=1, max_keys=2)
+    plan = cardmill.validate(cards_of({}), shape)._jdf.queryExecution().analyzed().toString()
+    # Parsing, both lists of the card, and the lists within a list; the keys of the card; the number of a pair.
+    assert [plan.count(part) for part in ("ArrayType(VariantType", "MapType(StringType", "DoubleType")] == [4, 1, 1]
+    cards = [
+        {"tags": ["x", "y"], "pairs": [[1, "a"], [9, "b", "a"]]},
+        {"tags": ["x", "x", 1, "1"], "pairs": [[10, "c"], [1], "no", None], "odd": 0},
+        {"tags": None, "pairs": {}},
+        {"tags": ["5", 5, None, "null"][:3]},
+        {"tags": [], "odd": None},
+        {},
+    ]
+    found = check(cards_of, shape, *cards)
+    assert found[0] == [] and found[5] == [("$", "minProperties")]
+    assert sorted(found[1]) == sorted([
+        ("$.odd", "additionalProperties"), ("$", "maxProperties"), ("$.tags", "maxItems"), ("$.tags", "uniqueItems"),
+        ("$.tags[2]", "type"), ("$.pairs", "maxItems"), ("$.pairs[0][0]", "maximum"), ("$.pairs[0][1]", "enum"),
+        ("$.pairs[1]", "minItems"), ("$.pairs[2]", "type"), ("$.pairs[3]", "type")])
+    assert found[2] == [("$.tags", "type"), ("$.pairs", "type")]
+    assert found[3] == [("$.tags[1]", "type"), ("$.tags[2]", "type")]
+    assert found[4] == [("$.odd", "additionalProperties"), ("$.tags", "minItems")]
+
+
+def test_closed_forms_of_a_combined_rule_know_their_own_fields(cards_of):
+    """A form that forbids other fields names fields that the shape around it may not."""
+    forms = (record({"a": Shape()}), record({"b": Shape(), "c": Shape()}))
+    shape = record({"one": Shape(one_of=forms), "many": listing(Shape(one_of=forms))}, closed=False)
+    cards = [{"one": {"a": 1}, "many": [{"b": 1}, {"c": None}]}, {"one": {"a": 1, "b": 2}, "many": [{"d": 1}, {}, 7]}]
+    found = check(cards_of, shape, *cards)
+    assert found[0] == []
+    assert found[1] == [("$.one", "oneOf"), ("$.many[0]", "oneOf"), ("$.many[1]", "oneOf"), ("$.many[2]", "oneOf")]
+
+
+def test_records_that_are_missing_null_or_no_objects(cards_of):
+    shape = record({"in": record({"deep": record({"n": integer()}, required=("n",))}, required=("deep",))},
+                   required=("in",))
+    cards = [{}, {"in": None}, {"in": []}, {"in": {}}, {"in": {"deep": None, "x": 1}}, {"in": {"deep": {"n": None}}},
+             {"in": {"deep": {}}}, {"in": {"deep": {"n": 1}}, "in2": {}}]
+    assert check(cards_of, shape, *cards) == [
+        [("$.in", "required")],
+        [("$.in", "type")],
+        [("$.in", "type")],
+        [("$.in.deep", "required")],
+        [("$.in.x", "additionalProperties"), ("$.in.deep", "type")],
+        [("$.in.deep.n", "type")],
+        [("$.in.deep.n", "required")],
+        [("$.in2", "additionalProperties")],
+    ]
